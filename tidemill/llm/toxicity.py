@@ -9,13 +9,14 @@ document's score is the softmax of its highest window, so one insult counts alik
 Deviation from plain averaging: one average over a whole document would drown a single word among thousands, hence
 the windows.
 
-The fit reads a bounded sample: ``per_class`` labelled documents of each label, in the order of a hash of their id.
+The fit reads a bounded sample: ``toxic_rows`` and ``clean_rows`` labelled documents, in the order of a hash of their id.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +34,14 @@ SPLIT_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in LOWER_BYTE
 @dataclass(frozen=True)
 class Shape:
     buckets: int = 1 << 17
-    dim: int = 12
+    dim: int = 8
     shortest: int = 3
     longest: int = 5
     window: int = 8
-    per_class: int = 2500
-    first_steps: int = 40
-    steps: int = 160
+    toxic_rows: int = 1500
+    clean_rows: int = 3000
+    first_steps: int = 30
+    steps: int = 110
     rate: float = 0.05
     decay: float = 1e-5
 
@@ -48,11 +50,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(SPLIT_BYTES).split()
 
 
-def grams(word: bytes, shape: Shape) -> list[int]:
-    """Embedding rows of a word: its n-grams in characters with end marks, and the word as a whole."""
-    marked = f"<{word.decode('utf-8', 'replace')}>"
-    parts = {marked, *(marked[i : i + n] for n in range(shape.shortest, shape.longest + 1) for i in range(len(marked) - n + 1))}
-    return sorted(zlib.crc32(p.encode()) % shape.buckets for p in parts)
+def grams(words: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word): the embedding rows of each word's character n-grams, end marks included, and of the word itself."""
+    points = np.frombuffer(b"".join(b"<%b>" % w for w in words).decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    starts = np.flatnonzero(points == ord("<"))
+    lengths = np.diff(np.append(starts, len(points)))
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(points))  # characters from here to the word's end
+    owner = np.repeat(np.arange(len(words)), lengths)
+    rows, owners, code = [], [], np.zeros(len(points), np.uint64)
+    for n in range(1, shape.longest + 1):
+        code[: len(points) - n + 1] += points[n - 1 :] * np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64))
+        if n >= shape.shortest:
+            at = np.flatnonzero(left >= n)
+            mixed = (code[at] ^ (code[at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
+            rows.append((mixed >> np.uint64(32)) % np.uint64(shape.buckets))
+            owners.append(owner[at])
+    rows.append(np.fromiter((zlib.crc32(w) % shape.buckets for w in words), np.uint64, len(words)))
+    owners.append(np.arange(len(words)))
+    return np.concatenate(rows).astype(np.int64), np.concatenate(owners)
 
 
 class Bag:
@@ -72,10 +87,8 @@ class Bag:
         self.doc_of = np.repeat(np.arange(len(texts)), windows)
         self.first = np.cumsum([0, *windows[:-1]])
         self.sizes = np.maximum(np.bincount(self.window_of, minlength=self.n_windows), 1)
-        rows = [grams(w, shape) for w in ids]
-        self.n_grams = np.array([len(x) for x in rows])
-        self.gram = np.fromiter((y for x in rows for y in x), np.int64, int(self.n_grams.sum()))
-        self.word_of = np.repeat(np.arange(len(rows)), self.n_grams)
+        self.gram, self.word_of = grams(list(ids), shape)
+        self.n_grams = np.bincount(self.word_of, minlength=len(ids))
 
 
 @dataclass
@@ -100,7 +113,7 @@ def fit(texts: list[str | None], labels: np.ndarray, shape: Shape | None = None,
     """Joint full-batch training (Adam) of embeddings and softmax. Without both labels the model scores the prior."""
     shape = shape or Shape()
     rng = np.random.default_rng(seed)
-    E = rng.normal(0, 0.1, (shape.buckets, shape.dim))
+    E = rng.normal(0, 0.1, (shape.buckets, shape.dim)).astype(np.float32)
     W = rng.normal(0, 0.1, (shape.dim, 2))
     b = np.zeros(2)
     labels = np.asarray(labels, np.float64)
@@ -130,44 +143,54 @@ def fit(texts: list[str | None], labels: np.ndarray, shape: Shape | None = None,
         by_word = np.bincount(bag.token, (error / bag.sizes)[bag.window_of], len(bag.n_grams)) / np.maximum(bag.n_grams, 1)
         by_row = np.bincount(bag.gram, by_word[bag.word_of], shape.buckets)
         slope = E.T @ by_row
-        adam("E", E, np.outer(by_row, W[:, 1] - W[:, 0]) + shape.decay * E, t)
+        adam("E", E, np.outer(by_row, W[:, 1] - W[:, 0]).astype(np.float32) + shape.decay * E, t)
         adam("W", W, np.column_stack((-slope, slope)) + shape.decay * W, t)
         adam("b", b, np.array([-error.sum(), error.sum()]), t)
     return Model(shape, E, W, b)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, shape: Shape) -> pd.DataFrame:
-    """text and toxic of at most ``per_class`` documents a label; held-out rows and rows without a label stay out."""
+    """text and toxic of at most ``toxic_rows`` and ``clean_rows`` documents; held-out rows and rows without a label stay out."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marks = marks.where(~held_out(F.col("doc_id"), 3)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = marks.where("toxic = 1").orderBy(*order).limit(shape.per_class).unionByName(marks.where("toxic = 0").orderBy(*order).limit(shape.per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
+    chosen = marks.where("toxic = 1").orderBy(*order).limit(shape.toxic_rows).unionByName(marks.where("toxic = 0").orderBy(*order).limit(shape.clean_rows))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # a bounded number of ids
     return rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"], kind="stable")
 
 
-_WORDS: dict[bytes, float] = {}
-_WORDS_OF: list = [None]
+_CACHE: dict[object, dict[bytes, float]] = {}
 
 
-def word_scores(rows: np.ndarray, key: object, shape: Shape) -> dict[bytes, float]:
-    """This process's cache of word scores for the model ``key``; emptied at 400,000 words to bound its memory."""
-    if _WORDS_OF[0] != key or len(_WORDS) > 400_000:
-        _WORDS.clear()
-        _WORDS_OF[0] = key
-    return _WORDS
+def word_scores(model: object, most: int = 400_000) -> dict[bytes, float]:
+    """This process's cache of word scores for ``model``, emptied beyond ``most`` words to bound its memory."""
+    if model not in _CACHE or len(_CACHE[model]) > most:
+        _CACHE.clear()
+        _CACHE[model] = {}
+    return _CACHE[model]
 
 
-def text_score(text: str | None, rows: np.ndarray, bias: float, cache: dict[bytes, float], shape: Shape) -> float:
-    words = words_of(text)
-    if not words:
-        return float(1 / (1 + np.exp(-bias)))
-    for w in set(words).difference(cache):
-        cache[w] = float(rows[grams(w, shape)].mean())
-    own = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-    starts = np.arange(0, len(words), shape.window)
-    tops = np.add.reduceat(own, starts) / np.diff(np.append(starts, len(words)))
-    return float(1 / (1 + np.exp(-np.clip(tops.max() + bias, -40, 40))))
+def learn(words: set[bytes], rows: np.ndarray, cache: dict[bytes, float], shape: Shape) -> None:
+    """Add the scores of the words that the cache lacks: the mean of their embedding rows' shares."""
+    new = list(words.difference(cache))
+    for at in range(0, len(new), 20_000):
+        part = new[at : at + 20_000]
+        gram, word = grams(part, shape)
+        cache.update(zip(part, (np.bincount(word, rows[gram], len(part)) / np.bincount(word, minlength=len(part))).tolist(), strict=True))
+
+
+def text_scores(texts: Sequence[str | None], rows: np.ndarray, bias: float, cache: dict[bytes, float], shape: Shape) -> list[float]:
+    words = [words_of(x) for x in texts]
+    learn(set().union(*words), rows, cache, shape)
+    out = []
+    for text in words:
+        top = 0.0
+        if text:
+            own = np.fromiter(map(cache.__getitem__, text), np.float64, len(text))
+            starts = np.arange(0, len(text), shape.window)
+            top = (np.add.reduceat(own, starts) / np.diff(np.append(starts, len(text)))).max()
+        out.append(float(1 / (1 + np.exp(-np.clip(top + bias, -40, 40)))))
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -175,13 +198,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared: Broadcast = spark.sparkContext.broadcast((model.rows(), model.bias, model.shape))  # 4 bytes a bucket
-    name = shared.id if hasattr(shared, "id") else id(shared)
+    name = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, bias, shape = shared.value
         for frame in frames:
-            cache = word_scores(rows, name, shape)
-            frame["toxicity"] = [text_score(x, rows, bias, cache, shape) for x in frame["text"]]
+            texts, found = frame["text"].tolist(), []
+            for at in range(0, len(texts), 64):
+                found += text_scores(texts[at : at + 64], rows, bias, word_scores(name), shape)
+            frame["toxicity"] = found
             yield frame
 
     own = [f for f in docs.schema.fields if f.name != "toxicity"]
