@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, licenses, mixing, secrets, simhash, toxicity, warc
 from .common import held_out, table
 
 
@@ -81,5 +81,68 @@ m AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN si USING (s) WHERE s <>
 SELECT doc_id, item_id, k AS n_shared, n AS n_item, k / n AS containment FROM m JOIN q USING (item_id) WHERE k >= 0.8 * n - 1e-9
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op7_source_mix, op8_decontaminate)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_source_mix": OP7_SQL, "op8_decontaminate": OP8_SQL}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select(
+        warc.page_number("record").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.page_number("refers").alias("refers_to")
+    )
+
+
+OP4_SQL = """
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN octet_length(encode(h)) >= 1000 AND page_id < max(page_id) OVER g THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(h)) >= 1000 AND page_id < max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h FROM pages) WINDOW g AS (PARTITION BY h)
+"""
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = list(secrets.BASE_RULES)
+    own = F.filter("spans", lambda x: x["kind"].isin(base))
+    line = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, base), F.sha2(line(own), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(added)))
+
+
+OP9_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, n, q, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, q)),
+e AS (SELECT *, replace(replace(r, '\', '\\'), '<|', '<\|') AS er, replace(replace(t, '\', '\\'), '<|', '<\|') AS et FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+       cast(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn NULLS FIRST, r, t)) AS loss_sha256,
+       cast(sum(length(er) + length(et) + 26) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("\\", "\")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("places", lambda x: x["label"].startswith("phrase "))
+    named = F.create_map(*[F.lit(y) for p, k in licenses.PHRASES.items() for y in (f"phrase {p}", k)])
+    base_labels = F.array_distinct(F.transform(base, lambda x: F.element_at(named, x["label"])))
+    own = F.transform(F.filter("places", lambda x: ~x["label"].startswith("phrase ")), lambda x: x["label"])
+    join = lambda xs: F.array_join(F.array_sort(F.array_distinct(xs)), ",")
+    starts = F.transform(base, lambda x: x["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        join(base_labels).alias("base_labels"), join(F.concat(base_labels, own)).alias("labels"),
+        F.when(F.size(own) > 0, 1.0).when(F.size(base) > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op4_warc, op6_secret_scan, op7_source_mix, op8_decontaminate, op9_chat_format, op10_license_scan)
+}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_chat_format": OP9_SQL}
