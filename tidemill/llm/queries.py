@@ -123,7 +123,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn NULLS FIRST, r, t)) AS loss_sha256,
        cast(sum(length(er) + length(et) + 26) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
-""".replace("\\", "\")
+"""
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
