@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, mixing, secrets, simhash, toxicity, warc
+from . import chat, decontaminate, exact_dedup, licenses, lm, mixing, secrets, simhash, toxicity, warc
 from .common import held_out, table
 
 
@@ -96,6 +96,10 @@ FROM (SELECT page_id, coalesce(html, '') AS h FROM pages) WINDOW g AS (PARTITION
 """
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = list(secrets.BASE_RULES)
@@ -143,6 +147,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op4_warc, op6_secret_scan, op7_source_mix, op8_decontaminate, op9_chat_format, op10_license_scan)
+    for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op4_warc, op5_lm_score, op6_secret_scan, op7_source_mix, op8_decontaminate, op9_chat_format, op10_license_scan)
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_chat_format": OP9_SQL}
