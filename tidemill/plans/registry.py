@@ -1,6 +1,6 @@
 """All queries of the market-data part, by name."""
 
-from . import tick_queries
+from . import more_queries, tick_queries  # noqa: F401  more_queries registers itself
 
 
 def queries() -> dict:
