@@ -156,7 +156,7 @@ def models(columns: Sequence[str], label: str = "label", seed: int = 42) -> dict
     scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)
     own = {"labelCol": label, "featuresCol": "_x"}
     return {
-        "logistic": Pipeline(stages=[vector, scaled, LogisticRegression(maxIter=300, regParam=1e-4, **own)]),
+        "logistic": Pipeline(stages=[vector, scaled, LogisticRegression(maxIter=100, regParam=1e-4, **own)]),
         "forest": Pipeline(stages=[vector, scaled, RandomForestClassifier(numTrees=100, maxDepth=6, seed=seed, **own)]),
         "boosted": Pipeline(stages=[vector, scaled, OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **own), **own)]),
     }
@@ -164,7 +164,7 @@ def models(columns: Sequence[str], label: str = "label", seed: int = 42) -> dict
 
 def train_and_predict(folds: DataFrame, columns: Sequence[str], model: str = "forest", seed: int = 42) -> DataFrame:
     """Predictions for each fold's test rows by a model of its training rows; labels -1, 0, 1."""
-    out = None
+    out, folds = None, folds.persist()  # fitting passes over the rows many times
     for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):
         rows = folds.where(F.col("fold") == fold).withColumn("_label", (F.col("label") + 1).cast("double"))
         fitted = models(columns, "_label", seed)[model].fit(rows.where("part = 'train'"))

@@ -1,6 +1,6 @@
 """All queries of the market-data part, by name."""
 
-from . import more_queries, tick_queries  # noqa: F401  more_queries registers itself
+from . import more_queries, stream_queries, tick_queries  # noqa: F401  the others register themselves
 
 
 def queries() -> dict:
