@@ -74,10 +74,11 @@ def _forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
             continue
         open_[i], queue = False, [i]
         while queue:
-            near = np.flatnonzero(open_ & (np.bitwise_count(bits ^ bits[queue.pop()]) <= radius))
+            own = queue.pop()
+            near = np.flatnonzero(open_ & (np.bitwise_count(bits ^ bits[own]) <= radius))
             open_[near] = False
             queue += near.tolist()
-            out += [(int(bits[j]), int(bits[i])) for j in near]
+            out += [(int(bits[j]), int(bits[own])) for j in near]
     return out
 
 
