@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators, strategies
 from ..operators import bars as B
-from . import indicator_sql
+from . import indicator_sql, recursive_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,13 +40,13 @@ for _name, _columns in indicators.INDICATORS.items():
     _kept = _columns.split()
     if _name == "adx_di":  # adx has gaps where both directions are flat; SQL covers the two lines
         _kept = ["plus_di", "minus_di"]
-    query(f"ind_{_name}", indicator_sql.indicator_sql(_name))(
+    query(f"ind_{_name}", indicator_sql.indicator_sql(_name) or recursive_sql.INDICATORS.get(_name))(
         lambda spark, sf_dir, kept=tuple(_kept): indicators.with_indicators(series(spark, sf_dir)).select("symbol", "bar_no", *rounded(list(kept), EXACT))
     )
 
 query("ind_adx")(lambda spark, sf_dir: indicators.with_indicators(series(spark, sf_dir)).select("symbol", "bar_no", F.round("adx", 6).alias("adx")))
 
 for _name in strategies.CATEGORIES["ALL"]:
-    query(f"sig_{_name.lower()}", indicator_sql.signal_sql(_name))(
+    query(f"sig_{_name.lower()}", indicator_sql.signal_sql(_name) or recursive_sql.SIGNALS.get(_name))(
         lambda spark, sf_dir, name=_name: strategies.with_signals(indicators.with_indicators(series(spark, sf_dir)), [name]).select("symbol", "bar_no", F.col(name).alias("signal"))
     )
