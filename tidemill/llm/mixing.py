@@ -115,7 +115,7 @@ def mix(docs: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, weig
     Null texts have size 0, a null source is a source of its own, sources and ids may repeat (each row is a document of
     its own); an empty table or one without words takes nothing. Only doc_id, source and text are read.
     """
-    rows = places(sized(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    rows = places(written(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes"))
     goal = written(needed_blocks(targets(rows.select("_none", "_src", "size"), weights, most_passes), block_words), "mix-targets")
     goal = F.broadcast(goal) if _few(goal) else goal
     key = ["_none", "_src"]
