@@ -1,10 +1,12 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams and itself, hashed into ``buckets`` embedding rows; a window of ``window``
-words is the mean of its words' embeddings; a linear softmax over two classes reads it. Unseen misspellings and
+distinct words is the mean of its words' embeddings (of ``window`` words, so that a short one says less); a linear softmax over two classes reads it. Unseen misspellings and
 inflections share n-gram rows with what was seen. Labels belong to documents: a first phase gives each window its
-document's label, a second one only the highest window of a toxic document, and all windows of the others. A
+document's label, a second one only the highest window of a toxic document, and of the others the highest one as much as all. A
 document's score is the softmax of its highest window, so one insult counts alike in a short and a very long text.
+Rows that fewer than ``least_docs`` documents of the sample reach stay zero: what one document has for itself can't be
+learnt by heart.
 
 Deviation from plain averaging: one average over a whole document would drown a single word among thousands, hence
 the windows.
@@ -33,21 +35,23 @@ SPLIT_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in LOWER_BYTE
 
 @dataclass(frozen=True)
 class Shape:
-    buckets: int = 1 << 17
+    buckets: int = 1 << 20
+    least_docs: int = 4
     dim: int = 8
     shortest: int = 3
     longest: int = 5
-    window: int = 8
+    window: int = 2
     toxic_rows: int = 1500
     clean_rows: int = 3000
-    first_steps: int = 30
-    steps: int = 110
+    first_steps: int = 60
+    steps: int = 90
     rate: float = 0.05
     decay: float = 1e-5
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(SPLIT_BYTES).split()
+    """The distinct words in the order in which they first occur; what is said often counts once."""
+    return list(dict.fromkeys((text or "").encode("utf-8", "replace").translate(SPLIT_BYTES).split()))
 
 
 def grams(words: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +90,15 @@ class Bag:
         self.n_windows = int(sum(windows))
         self.doc_of = np.repeat(np.arange(len(texts)), windows)
         self.first = np.cumsum([0, *windows[:-1]])
-        self.sizes = np.maximum(np.bincount(self.window_of, minlength=self.n_windows), 1)
-        self.gram, self.word_of = grams(list(ids), shape)
-        self.n_grams = np.bincount(self.word_of, minlength=len(ids))
+        row, word = grams(list(ids), shape)
+        pairs = np.unique(self.doc_of[self.window_of] * len(ids) + self.token) if len(ids) else np.zeros(0, np.int64)
+        docs = np.bincount(row, np.bincount(pairs % max(len(ids), 1), minlength=len(ids))[word], shape.buckets)  # documents by word
+        self.rows = np.flatnonzero(docs >= shape.least_docs)
+        place = np.full(shape.buckets, -1)
+        place[self.rows] = np.arange(len(self.rows))
+        self.n_grams = np.bincount(word, minlength=len(ids))
+        trained = place[row] >= 0
+        self.gram, self.word_of = place[row][trained], word[trained]
 
 
 @dataclass
@@ -113,15 +123,16 @@ def fit(texts: list[str | None], labels: np.ndarray, shape: Shape | None = None,
     """Joint full-batch training (Adam) of embeddings and softmax. Without both labels the model scores the prior."""
     shape = shape or Shape()
     rng = np.random.default_rng(seed)
-    E = rng.normal(0, 0.1, (shape.buckets, shape.dim)).astype(np.float32)
     W = rng.normal(0, 0.1, (shape.dim, 2))
     b = np.zeros(2)
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         rate = np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99)
-        return Model(shape, E * 0, W, np.array([0.0, np.log(rate / (1 - rate))]))
+        return Model(shape, np.zeros((shape.buckets, shape.dim), np.float32), W, np.array([0.0, np.log(rate / (1 - rate))]))
     bag, state = Bag(texts, shape), {}
+    E = rng.normal(0, 0.1, (len(bag.rows), shape.dim)).astype(np.float32)
     truth = labels[bag.doc_of]
+    per_doc = 1 / np.bincount(bag.doc_of)[bag.doc_of]
 
     def adam(name: str, x: np.ndarray, g: np.ndarray, t: int) -> None:
         m, v = state.setdefault(name, (np.zeros_like(x), np.zeros_like(x)))
@@ -132,21 +143,24 @@ def fit(texts: list[str | None], labels: np.ndarray, shape: Shape | None = None,
     for t in range(1, shape.first_steps + shape.steps + 1):
         lean = E @ (W[:, 1] - W[:, 0])
         word = np.bincount(bag.word_of, lean[bag.gram], len(bag.n_grams)) / np.maximum(bag.n_grams, 1)
-        logit = np.bincount(bag.window_of, word[bag.token], bag.n_windows) / bag.sizes + b[1] - b[0]
+        logit = np.bincount(bag.window_of, word[bag.token], bag.n_windows) / shape.window + b[1] - b[0]
         weight = np.ones(bag.n_windows)
         if t > shape.first_steps:  # of a toxic document only its highest window is toxic
             top = np.maximum.reduceat(logit, bag.first)
-            weight = np.where(truth > 0, logit >= top[bag.doc_of], 1.0)
-        for y in (0.0, 1.0):  # either label weighs half
-            weight[truth == y] /= 2 * max(weight[truth == y].sum(), 1e-9)
+            highest = logit >= top[bag.doc_of]
+            weight = np.where(truth > 0, highest, highest + per_doc)
+        for y, share in ((0.0, 0.4), (1.0, 0.6)):  # a toxic document missed costs more than a clean one lost
+            weight[truth == y] *= share / max(weight[truth == y].sum(), 1e-9)
         error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - truth) * weight
-        by_word = np.bincount(bag.token, (error / bag.sizes)[bag.window_of], len(bag.n_grams)) / np.maximum(bag.n_grams, 1)
-        by_row = np.bincount(bag.gram, by_word[bag.word_of], shape.buckets)
+        by_word = np.bincount(bag.token, (error / shape.window)[bag.window_of], len(bag.n_grams)) / np.maximum(bag.n_grams, 1)
+        by_row = np.bincount(bag.gram, by_word[bag.word_of], len(bag.rows))
         slope = E.T @ by_row
         adam("E", E, np.outer(by_row, W[:, 1] - W[:, 0]).astype(np.float32) + shape.decay * E, t)
         adam("W", W, np.column_stack((-slope, slope)) + shape.decay * W, t)
         adam("b", b, np.array([-error.sum(), error.sum()]), t)
-    return Model(shape, E, W, b)
+    whole = np.zeros((shape.buckets, shape.dim), np.float32)
+    whole[bag.rows] = E
+    return Model(shape, whole, W, b)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, shape: Shape) -> pd.DataFrame:
@@ -188,7 +202,7 @@ def text_scores(texts: Sequence[str | None], rows: np.ndarray, bias: float, cach
         if text:
             own = np.fromiter(map(cache.__getitem__, text), np.float64, len(text))
             starts = np.arange(0, len(text), shape.window)
-            top = (np.add.reduceat(own, starts) / np.diff(np.append(starts, len(text)))).max()
+            top = np.add.reduceat(own, starts).max() / shape.window
         out.append(float(1 / (1 + np.exp(-np.clip(top + bias, -40, 40)))))
     return out
 
