@@ -46,7 +46,9 @@ def static_filter(ticks: DataFrame, low: float = 50.0, high: float = 2000.0) ->
 
 def day_stats(ticks: DataFrame, reach: int = 3) -> DataFrame:
     """Exact median price of each day and the mean of its neighbouring days' medians (the day itself left out)."""
-    days = ticks.groupBy("trade_date").agg(F.median("price").alias("day_median"))
+    # Ticks share prices: counts per price come first, so the exact median reads a row per price and not per tick.
+    prices = ticks.groupBy("trade_date", "price").agg(F.count("*").alias("_n"))
+    days = prices.groupBy("trade_date").agg(F.expr("percentile(price, 0.5, _n)").alias("day_median"))
     return days.withColumn("neighbor_avg", mean_without_current(F.col("day_median"), Window.orderBy("trade_date"), reach))
 
 
@@ -72,6 +74,7 @@ def count_outliers(ticks: DataFrame, tolerance: float = 0.15) -> DataFrame:
 
 
 def bar_columns(order: Column) -> list[Column]:
+    """``order`` is a number, which keeps the aggregation buffers flat and the aggregation in hash tables."""
     first, last = (lambda c: F.min_by(c, order)), (lambda c: F.max_by(c, order))
     volume = F.sum("volume")
     return [
@@ -91,7 +94,7 @@ def tick_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = F
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
     rows = numbered(ticks, by, F.date_trunc("hour", "ts"), ("ts", "seq"))
     rows = rows.withColumn("bar_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("bar_idx", F.expr("(rn - 1) div bar_size"))
-    return rows.groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.struct("ts", "seq")))
+    return rows.groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn")))
 
 
 def volume_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = False) -> DataFrame:
@@ -99,7 +102,7 @@ def volume_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool =
     by = (["symbol"] if per_symbol else []) + ["trade_date"]
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
     rows = _indexed(ticks, by).withColumn("bar_size", F.explode(F.array(*map(F.lit, sizes))))
-    return rows.withColumn("bar_idx", F.expr("(cum_volume - 1) div bar_size")).groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.struct("ts", "seq")))
+    return rows.withColumn("bar_idx", F.expr("(cum_volume - 1) div bar_size")).groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn")))
 
 
 def continuous_bars(ticks: DataFrame, size: int) -> DataFrame:
@@ -107,7 +110,7 @@ def continuous_bars(ticks: DataFrame, size: int) -> DataFrame:
     and put together by the counts of the days before."""
     rows = numbered(ticks.withColumn("_all", F.lit(0)), ["_all"], F.date_trunc("hour", "ts"), ("ts", "seq"))
     rows = rows.withColumn("bar_idx", F.expr(f"(rn - 1) div {int(size)}"))
-    order, volume = F.struct("ts", "seq"), F.sum("volume")
+    order, volume = F.col("rn"), F.sum("volume")
     units = F.when(volume == 0, 1).otherwise(volume)
     bars = rows.groupBy("bar_idx").agg(
         F.max("ts").alias("datetime"), F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ewm, rolling, series
+from ..functions.windows import ewm, numbered, rolling, series
 
 FEATURES = (
     "ret_1 ret_3 ret_5 ret_10 atr_14 atr_pct ema_diff_10 ema_diff_30 ema_ratio_10_30 rsi_14 macd_hist bb_pct_b bb_bandwidth vol_surge_ratio vwap_disparity"
@@ -104,7 +104,7 @@ def walk_forward(rows: DataFrame, at: str, train_days: int = 500, test_days: int
         n = rows.count()
         if n <= 100:
             return rows.withColumn("fold", F.lit(0)).withColumn("part", F.lit("train")).limit(0)
-        ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(at)))
+        ranked = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], F.to_date(at), [at], "_i").drop("_all")
         return ranked.withColumn("fold", F.lit(0)).withColumn("part", F.when(F.col("_i") <= int(n * 0.75), "train").otherwise("test")).drop("_i")
     skip = int(test_days * embargo)
     lay = days.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("_o", F.col("_d") - F.col("fold") * test_days)
@@ -117,7 +117,8 @@ def purged_folds(rows: DataFrame, at: Sequence[str], folds: int = 4, embargo: fl
     """Rows with fold and part: contiguous test stretches, training rows no nearer than int(n * embargo)."""
     n = rows.count()
     size, gap = n // folds, int(n * embargo)
-    out = rows.withColumn("_i", F.row_number().over(Window.orderBy(*at)) - 1).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    out = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], F.to_date(at[0]), at, "_i").drop("_all").withColumn("_i", F.col("_i") - 1)
+    out = out.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     begin, end = F.col("fold") * size, F.when(F.col("fold") < folds - 1, (F.col("fold") + 1) * size).otherwise(n)
     part = F.when((F.col("_i") >= begin) & (F.col("_i") < end), "test").when((F.col("_i") < begin - gap) | (F.col("_i") >= end + gap), "train")
     return out.withColumn("part", part).where("part is not null").drop("_i")
