@@ -85,20 +85,24 @@ class Bag:
             tokens.append(own)
             windows.append(max(1, -(-len(own) // shape.window)))
         lengths = np.array([len(x) for x in tokens])
-        self.token = np.fromiter((y for x in tokens for y in x), np.int64, lengths.sum())
-        self.window_of = np.concatenate([np.arange(n) // shape.window + s for n, s in zip(lengths, np.cumsum([0, *windows[:-1]]), strict=True)]).astype(np.int64)
+        self.token = np.fromiter((y for x in tokens for y in x), np.int32, lengths.sum())
+        self.window_of = np.concatenate([np.arange(n) // shape.window + s for n, s in zip(lengths, np.cumsum([0, *windows[:-1]]), strict=True)]).astype(np.int32)
         self.n_windows = int(sum(windows))
         self.doc_of = np.repeat(np.arange(len(texts)), windows)
         self.first = np.cumsum([0, *windows[:-1]])
-        row, word = grams(list(ids), shape)
-        pairs = np.unique(self.doc_of[self.window_of] * len(ids) + self.token) if len(ids) else np.zeros(0, np.int64)
+        vocabulary, parts = list(ids), []
+        for at in range(0, len(vocabulary), 20_000):  # in small numbers, piece by piece: this runs on the driver
+            row, word = grams(vocabulary[at : at + 20_000], shape)
+            parts.append((row.astype(np.int32), (word + at).astype(np.int32)))
+        row, word = (np.concatenate(x) if parts else np.zeros(0, np.int32) for x in (list(zip(*parts, strict=True)) or ((), ())))
+        pairs = np.unique(self.doc_of[self.window_of].astype(np.int64) * len(ids) + self.token) if len(ids) else np.zeros(0, np.int64)
         docs = np.bincount(row, np.bincount(pairs % max(len(ids), 1), minlength=len(ids))[word], shape.buckets)  # documents by word
         self.rows = np.flatnonzero(docs >= shape.least_docs)
-        place = np.full(shape.buckets, -1)
-        place[self.rows] = np.arange(len(self.rows))
+        place = np.full(shape.buckets, -1, np.int32)
+        place[self.rows] = np.arange(len(self.rows), dtype=np.int32)
         self.n_grams = np.bincount(word, minlength=len(ids))
-        trained = place[row] >= 0
-        self.gram, self.word_of = place[row][trained], word[trained]
+        row = place[row]
+        self.gram, self.word_of = row[row >= 0], word[row >= 0]
 
 
 @dataclass
