@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strategies import CATEGORIES, vote
+from ..sources.shared import stored
 
 KEYS = ("symbol", "bar_size", "strategy")
 
@@ -173,12 +174,14 @@ def top_votes(signals: DataFrame, results: DataFrame) -> DataFrame:
 def grid(rows: DataFrame, strategies: Sequence[str], costs: Costs | None = None, least_bars: int = 20, with_votes: bool = True) -> DataFrame:
     """Summaries of all strategies (columns of ``rows``) on every series of ``least_bars`` or more, with the votes of the best."""
     keys = [k for k in ("symbol", "bar_size") if k in rows.columns]
+    rows = stored(rows, "bars-with-signals")
     enough = rows.groupBy(*keys).count().where(F.col("count") >= least_bars).select(*keys)
-    signals = long_signals(rows.join(enough, keys, "left_semi"), strategies)
-    singles = summary(equity(signals, costs), costs)
+    # Indicators and signals are made once, and so is each equity curve, which a summary reads several times.
+    signals = stored(long_signals(rows.join(enough, keys, "left_semi"), strategies), "signals")
+    singles = stored(summary(stored(equity(signals, costs), "curves"), costs), "summaries")
     if not with_votes or len(strategies) < 3:
         return singles
-    return singles.unionByName(summary(equity(top_votes(signals, singles), costs), costs))
+    return singles.unionByName(summary(stored(equity(top_votes(signals, singles), costs), "curves"), costs))
 
 
 def trade_cost(entry: Column, exit_: Column, quantity: float = 1.0, volume: Column | None = None, mode: str = "fixed_and_volume", rate: float = 0.00003, tick: float = 0.05, impact: float = 0.00001) -> Column:

@@ -10,6 +10,7 @@ from ..operators import backtest as T
 from ..operators import bars as B
 from ..operators import learning as L
 from ..operators import quality as Q
+from ..sources.shared import stored
 from .indicator_sql import SIGNALS
 from .sql import BAR, SERIES, TICKS, W, roll, span, stages
 from .tick_queries import query, series
@@ -270,7 +271,11 @@ SINGLE = ["EMA_Cross", "RSI", "Bollinger_Bands"]
 
 def signal_rows(spark, sf_dir, names=tuple(SINGLE)):
     rows = strategies.with_signals(indicators.with_indicators(series(spark, sf_dir)), names)
-    return T.long_signals(rows, list(names))
+    return stored(T.long_signals(rows, list(names)), "signals")
+
+
+def curve_of(spark, sf_dir):
+    return stored(T.equity(signal_rows(spark, sf_dir)), "curve")
 
 
 def _signals_sql(names=tuple(SINGLE)) -> str:
@@ -336,17 +341,17 @@ SUMMARY_OUT = "symbol, strategy, bars, total_trades, " + ", ".join(f"round({c},
 
 @query("backtest_summary", CURVE_SQL + DEALS + SUMMARY + f" SELECT {SUMMARY_OUT} FROM sm")
 def backtest_summary(spark, sf_dir):
-    return summary_out(T.summary(T.equity(signal_rows(spark, sf_dir))))
+    return summary_out(T.summary(curve_of(spark, sf_dir)))
 
 
 @query("rank_matrix", CURVE_SQL + DEALS + SUMMARY + " SELECT symbol, strategy, row_number() OVER (ORDER BY sharpe DESC, total_return_pct DESC, symbol, strategy) AS place FROM sm")
 def rank_matrix(spark, sf_dir):
-    return T.rank_matrix(T.summary(T.equity(signal_rows(spark, sf_dir)))).select("symbol", "strategy", F.col("place").cast("bigint").alias("place"))
+    return T.rank_matrix(T.summary(curve_of(spark, sf_dir))).select("symbol", "strategy", F.col("place").cast("bigint").alias("place"))
 
 
 @query("best_strategies", CURVE_SQL + DEALS + SUMMARY + " SELECT symbol, strategy, place FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY total_return_pct DESC, sharpe DESC, strategy) AS place FROM sm) WHERE place <= 2")
 def best_strategies(spark, sf_dir):
-    return T.best(T.summary(T.equity(signal_rows(spark, sf_dir))), 2, "total_return_pct", "sharpe").select("symbol", "strategy", F.col("place").cast("bigint").alias("place"))
+    return T.best(T.summary(curve_of(spark, sf_dir)), 2, "total_return_pct", "sharpe").select("symbol", "strategy", F.col("place").cast("bigint").alias("place"))
 
 
 def _breakdown_sql(pattern: str) -> str:
@@ -359,12 +364,12 @@ SELECT symbol, strategy, period, round(net_pnl / 1000000.0, 2) AS return_pct, ro
 
 @query("breakdown_month", _breakdown_sql("%Y-%m"))
 def breakdown_month(spark, sf_dir):
-    return T.breakdown(T.equity(signal_rows(spark, sf_dir)), "yyyy-MM").select("symbol", "strategy", "period", "return_pct", "mdd_pct", "trades")
+    return T.breakdown(curve_of(spark, sf_dir), "yyyy-MM").select("symbol", "strategy", "period", "return_pct", "mdd_pct", "trades")
 
 
 @query("breakdown_year", _breakdown_sql("%Y"))
 def breakdown_year(spark, sf_dir):
-    return T.breakdown(T.equity(signal_rows(spark, sf_dir)), "yyyy").select("symbol", "strategy", "period", "return_pct", "mdd_pct", "trades")
+    return T.breakdown(curve_of(spark, sf_dir), "yyyy").select("symbol", "strategy", "period", "return_pct", "mdd_pct", "trades")
 
 
 VOLS = tuple(n for n in strategies.VOLATILITY if n != "RVI")
@@ -546,7 +551,8 @@ def sequences(spark, sf_dir):
 def _model_query(model: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = learning_bars(spark, sf_dir)
-        rows = L.features(bars).join(L.triple_barrier(bars).select("symbol", "bar_no", "label"), ["symbol", "bar_no"])
+        bars = stored(bars, "bars")
+        rows = stored(L.features(bars).join(L.triple_barrier(bars).select("symbol", "bar_no", "label"), ["symbol", "bar_no"]), "labelled")
         folds = L.walk_forward(rows, "datetime", 12, 6, 0.0)
         return L.train_and_predict(folds, L.FEATURES, model).select("bar_no", "fold", "label", "predicted")
 
