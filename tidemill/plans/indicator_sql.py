@@ -74,7 +74,7 @@ FORMS: dict[str, tuple[list[str], str, str]] = {
 
 
 def indicator_sql(name: str) -> str | None:
-    """None for recurrences with state of their own (supertrend, psar), a gap in the middle (rvi)."""
+    """None for recurrences that need a recursive query."""
     if name not in FORMS:
         return None
     steps, columns, exact = FORMS[name]

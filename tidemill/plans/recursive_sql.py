@@ -1,7 +1,7 @@
 """DuckDB forms of the state machines, as recursive queries that carry the state from bar to bar."""
 
 from .indicator_sql import BB, FORMS, PC, TR
-from .sql import W, ewm, over, span, stages
+from .sql import W, ewm, over, roll, span, stages
 
 
 def _walk(steps: list[str], first: str, then: str, names: str, out: str) -> str:
@@ -84,5 +84,24 @@ BREAKOUTS = {
     "Genius_NQ_Adaptive_Ribbon": _breakout(20, 12, 3.2, ribbon=True),
 }
 
-SIGNALS = CONTRARIAN | BREAKOUTS | {"Supertrend": SIG_SUPERTREND, "Parabolic_SAR": SIG_PSAR}
-INDICATORS = {"supertrend": SUPERTREND, "psar": PSAR}
+
+def _gap(x: str, y: str, w: str, alpha: float) -> tuple[str, str]:
+    """Next mean and weight of an exponential mean whose input x has gaps."""
+    keep = 1 - alpha
+    mean = f"CASE WHEN p.{y} IS NULL THEN n.{x} WHEN n.{x} IS NULL THEN p.{y} ELSE (p.{w} * {keep!r} * p.{y} + {alpha!r} * n.{x}) / (p.{w} * {keep!r} + {alpha!r}) END"
+    return mean, f"CASE WHEN p.{y} IS NULL OR n.{x} IS NOT NULL THEN 1.0::DOUBLE ELSE p.{w} * {keep!r} END"
+
+
+_DX = [*FORMS["adx_di"][0], "100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx"]
+_DX_THEN = ", ".join([*_gap("dx", "y", "w", 1 / 14), "n.plus_di", "n.minus_di"])
+_DX_WALK = (_DX, "n.dx, 1.0::DOUBLE, n.plus_di, n.minus_di", _DX_THEN, "y, w, pdi, mdi")
+ADX = _walk(*_DX_WALK, "round(y, 6) AS adx")
+SIG_ADX = _walk(*_DX_WALK, "CAST(CASE WHEN pdi > mdi AND y > 20 THEN 1 WHEN mdi > pdi AND y > 20 THEN -1 ELSE 0 END AS INTEGER) AS signal")
+
+_RVI = [f"{PC}, {roll('stddev_samp', 'close', 10)} AS sd", "CASE WHEN close > pc THEN sd ELSE 0.0 END AS us, CASE WHEN close < pc THEN sd ELSE 0.0 END AS ds"]
+_RVI_WALK = (_RVI, "n.us, 1.0::DOUBLE, n.ds, 1.0::DOUBLE", ", ".join([*_gap("us", "u", "wu", 1 / 14), *_gap("ds", "d", "wd", 1 / 14)]), "u, wu, d, wd")
+RVI = _walk(*_RVI_WALK, "round(coalesce(100 * u / (u + nullif(d, 0)), 50.0), 6) AS rvi")
+SIG_RVI = _walk(*_RVI_WALK, "CASE WHEN coalesce(100 * u / (u + nullif(d, 0)), 50.0) > 50 THEN 1 ELSE -1 END AS signal")
+
+SIGNALS = CONTRARIAN | BREAKOUTS | {"Supertrend": SIG_SUPERTREND, "Parabolic_SAR": SIG_PSAR, "ADX_DI": SIG_ADX, "RVI": SIG_RVI}
+INDICATORS = {"supertrend": SUPERTREND, "psar": PSAR, "rvi": RVI, "adx": ADX}
