@@ -12,7 +12,7 @@ from tidemill.plans import registry
 
 NAMES = (
     "tick_bars tick_bars_sweep tick_bars_filtered volume_bars volume_bars_filtered tick_bars_by_symbol order_bars continuous_bars day_stats outlier_count bar_invariants extremes boundaries tick_sides"
-    " clean_ticks halts daily_quality dataset_overview suspect_days latest_ticks close_filter ind_macd ind_cci ind_tsi ind_squeeze ind_candles ind_supertrend_ladder sig_ichimoku sig_donchian_channel sig_ulcer_index"
+    " clean_ticks halts daily_quality dataset_overview suspect_days latest_ticks close_filter ind_macd ind_cci ind_tsi ind_squeeze ind_candles ind_supertrend ind_psar ind_rvi sig_adx_di sig_contrarian_bb_pinbar sig_genius_nq_pyramiding_trend sig_ichimoku sig_donchian_channel sig_ulcer_index"
     " backtest_equity backtest_trades backtest_summary rank_matrix breakdown_month vote_momentum return_backtest features triple_barrier walk_forward purged_folds psi stream_live_bars stream_windows csv_round_trip cdt_round_trip live_actions"
 ).split()
 

@@ -154,3 +154,29 @@ def test_model_predictions(spark):
     f = pd.DataFrame(x, columns=["a", "b", "c"]).assign(label=np.sign(x[:, 0]).astype(int), fold=0, part=["train"] * 200 + ["test"] * 100, bar_no=range(300))
     got = L.train_and_predict(spark.createDataFrame(f), ["a", "b", "c"], "logistic").toPandas()
     assert len(got) == 100 and (got["label"] == got["predicted"]).mean() > 0.9
+
+
+def test_bar_csv_forms():
+    head = cdt.parse_csv("timestamp,open,high,low,close,volume\n2024/01/02 09:00,1,\"1,002\",0.5,1.5,10\n")
+    seven = cdt.parse_csv("20240102,93000,1,2,0.5,1.5,10\n")
+    six = cdt.parse_csv("2024-01-02 09:30:00,1,2,0.5,1.5,10\n")
+    assert head.iloc[0].tolist()[:6] == ["2024/01/02 09:00", 1.0, 1002.0, 0.5, 1.5, 10.0]
+    assert seven.iloc[0, 0] == six.iloc[0, 0] == "2024-01-02 09:30:00" and seven.iloc[0, 1:6].tolist() == six.iloc[0, 1:6].tolist()
+    assert len(cdt.parse_csv("")) == 0
+
+
+def test_merge_keeps_one_of_like_bars_and_periods_select(spark):
+    schema = "timestamp string, open double, high double, low double, close double, volume double"
+    a = spark.createDataFrame([("2024/01/02 09:00", 1.0, 2.0, 0.5, 1.5, 10.0)], schema)
+    b = spark.createDataFrame([("2024-01-02 09:00", 1.0, 2.0, 0.5, 1.5, 10.0), ("2024-02-01 09:00", 1.0, 2.0, 0.5, None, 0.0)], schema)
+    got = {r.timestamp: r.vwap for r in Q.merge_bars([a, b]).collect()}
+    assert got == {"2024-01-02 09:00": 1.5, "2024-02-01 09:00": 0.0}
+    merged = Q.merge_bars([a, b])
+    assert Q.in_period(merged, "timestamp", "MONTH", "2024-02").count() == 1 and Q.in_period(merged, "timestamp", "CUSTOM", "2024-01-01", "2024-01-31").count() == 1
+
+
+def test_quotes_are_the_last_ones(spark):
+    from conftest import SF
+
+    ticks = B.event_ticks(spark, SF).withColumn("bid", F.col("price") - 1).withColumn("ask", F.col("price") + 1)
+    assert B.tick_bars(ticks, 7).where((F.abs(F.col("bid") + 1 - F.col("close")) > 1e-9) | (F.abs(F.col("ask") - 1 - F.col("close")) > 1e-9)).count() == 0

@@ -73,17 +73,23 @@ def count_outliers(ticks: DataFrame, tolerance: float = 0.15) -> DataFrame:
     return rows.agg(F.count("*").alias("total_ticks"), F.count_if(bad).alias("outliers"))
 
 
-def bar_columns(order: Column) -> list[Column]:
-    """``order`` is a number, which keeps the aggregation buffers flat and the aggregation in hash tables."""
+def bar_columns(order: Column, quotes: Sequence[str] = ()) -> list[Column]:
+    """``order`` is a number, which keeps the aggregation buffers flat and the aggregation in hash tables. ``quotes``:
+    columns (bid, ask) of which a bar has the last value."""
     first, last = (lambda c: F.min_by(c, order)), (lambda c: F.max_by(c, order))
     volume = F.sum("volume")
     return [
         F.min("ts").alias("open_time"), F.max("ts").alias("close_time"), first("price").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         last("price").alias("close"), volume.alias("volume"), F.count("*").alias("tick_count"),
         F.when(volume > 0, F.sum(F.col("price") * F.col("volume")) / volume).otherwise(last("price")).alias("vwap"),
+        *[last(c).alias(c) for c in quotes],
     ]
 
 
+def _quotes(ticks: DataFrame) -> list[str]:
+    return [c for c in ("bid", "ask") if c in ticks.columns]
+
+
 def _indexed(ticks: DataFrame, by: Sequence[str]) -> DataFrame:
     return numbered(ticks, by, F.date_trunc("hour", "ts"), ("ts", "seq"), add="volume", total="cum_volume")
 
@@ -94,7 +100,7 @@ def tick_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = F
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
     rows = numbered(ticks, by, F.date_trunc("hour", "ts"), ("ts", "seq"))
     rows = rows.withColumn("bar_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("bar_idx", F.expr("(rn - 1) div bar_size"))
-    return rows.groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn")))
+    return rows.groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn"), _quotes(ticks)))
 
 
 def volume_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = False) -> DataFrame:
@@ -102,7 +108,7 @@ def volume_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool =
     by = (["symbol"] if per_symbol else []) + ["trade_date"]
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
     rows = _indexed(ticks, by).withColumn("bar_size", F.explode(F.array(*map(F.lit, sizes))))
-    return rows.withColumn("bar_idx", F.expr("(cum_volume - 1) div bar_size")).groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn")))
+    return rows.withColumn("bar_idx", F.expr("(cum_volume - 1) div bar_size")).groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn"), _quotes(ticks)))
 
 
 def continuous_bars(ticks: DataFrame, size: int) -> DataFrame:

@@ -172,3 +172,34 @@ def train_and_predict(folds: DataFrame, columns: Sequence[str], model: str = "fo
         part = fitted.transform(rows.where("part = 'test'")).withColumn("predicted", (F.col("prediction") - 1).cast("int")).drop("_raw", "_x", "rawPrediction", "probability", "prediction", "_label")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def tuned(rows: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 42, folds: int = 3):
+    """The forest whose depth and number of trees do best in cross-validation."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    pipeline = models(columns, label, seed)["forest"]
+    forest = pipeline.getStages()[-1]
+    grid = ParamGridBuilder().addGrid(forest.maxDepth, [4, 6]).addGrid(forest.numTrees, [40, 100]).build()
+    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
+    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed).fit(rows.persist()).bestModel
+
+
+def save_model(model, path: str, columns: Sequence[str], **facts: str) -> None:
+    """The fitted pipeline below ``path``/model and what is known of it as JSON below ``path``/facts."""
+    from pyspark.sql import SparkSession
+
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(list(columns), {k: str(v) for k, v in facts.items()})], "features array<string>, facts map<string,string>").write.mode("overwrite").json(f"{path}/facts")
+
+
+def load_model(path: str, columns: Sequence[str] | None = None):
+    """(model, facts, columns that are missing or too many against ``columns``)."""
+    from pyspark.ml import PipelineModel
+    from pyspark.sql import SparkSession
+
+    row = SparkSession.getActiveSession().read.schema("features array<string>, facts map<string,string>").json(f"{path}/facts").first()
+    apart = sorted(set(row["features"]) ^ set(columns)) if columns is not None else []
+    return PipelineModel.load(f"{path}/model"), row["facts"], apart

@@ -67,6 +67,14 @@ def suspect_sources(ticks: DataFrame, source: str, most: float = 5000.0, least:
     return found.where((F.col("max_price") > most) | (F.col("min_price") < least) | (F.col("ticks") < rows))
 
 
+def suspect_files(files: DataFrame, ticks: DataFrame, large: int = 500_000, rows: int = 2000) -> DataFrame:
+    """Names of files (file_name, file_size) to load again: suspect by their ticks, or large with few of them."""
+    bad = suspect_sources(ticks, "file_source").select(F.col("file_source").alias("file_name"))
+    counts = ticks.groupBy(F.col("file_source").alias("file_name")).agg(F.count("*").alias("ticks"))
+    short = files.join(counts, "file_name", "left").where((F.col("file_size") > large) & (F.coalesce("ticks", F.lit(0)) < rows)).select("file_name")
+    return bad.unionByName(short).distinct()
+
+
 def overview(ticks: DataFrame) -> DataFrame:
     return ticks.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("trade_date").alias("days"), F.count("*").alias("ticks"))
 
@@ -107,6 +115,15 @@ def period_bounds(kind: str, value: str, end: str | None = None) -> tuple[str |
     return f"{value} 00:00:00", f"{value} 23:59:59"
 
 
+def in_period(rows: DataFrame, column: str, kind: str, value: str = "", end: str | None = None) -> DataFrame:
+    """Rows whose text timestamp lies in a YEAR, MONTH or DAY (a prefix), a CUSTOM range of days or ALL."""
+    if kind == "ALL":
+        return rows
+    if kind == "CUSTOM":
+        return rows.where((F.col(column) >= value) & (F.col(column) <= f"{end or value} 23:59:59"))
+    return rows.where(F.col(column).startswith(value))
+
+
 def close_filter(bars: DataFrame, least: int = 10) -> DataFrame:
     """Of series with more than ``least`` bars, those whose close is within 0.2 to 5 times the series' median."""
     by = [c for c in ("symbol", "bar_size") if c in bars.columns]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import struct
 from collections.abc import Iterator
 
@@ -10,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_ticks import decoded
+
 FIELDS = ("stamp", "open", "high", "low", "close", "volume", "trading_value", "open_interest")
 
 
@@ -27,6 +31,48 @@ def parse(data: bytes) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(FIELDS))
 
 
+#: Header words of bar files.
+BAR_WORDS = {
+    "timestamp": ("일자시간", "timestamp", "datetime", "date"), "open": ("시가", "open"), "high": ("고가", "high"), "low": ("저가", "low"), "close": ("종가", "close"),
+    "volume": ("거래량", "volume"), "trading_value": ("거래대금", "value"), "open_interest": ("미결제", "interest"),
+}
+
+
+def parse_csv(text: str) -> pd.DataFrame:
+    """Bars of a CSV with a header, or without one: date, time, prices, volume (7 or more columns) or timestamp, prices, volume (6)."""
+    rows = [r for r in csv.reader(io.StringIO(text)) if len(r) >= 5]
+    names = ["timestamp", *FIELDS[1:]]
+    if not rows:
+        return pd.DataFrame(columns=names)
+    head = [x.strip().lower().lstrip("\ufeff") for x in rows[0]]
+    at = {k: next((i for i, h in enumerate(head) if any(w in h for w in words)), None) for k, words in BAR_WORDS.items()}
+    number = lambda x: float(x.replace(",", "")) if x and x.strip() else 0.0
+    out = []
+    if None not in [at[k] for k in ("timestamp", "open", "high", "low", "close")]:
+        for r in rows[1:]:
+            out.append([r[at["timestamp"]].strip(), *(number(r[at[k]]) if at[k] is not None and at[k] < len(r) else 0.0 for k in names[1:])])
+    else:
+        for r in rows:
+            if len(r) >= 7:
+                d, t = r[0].strip(), r[1].strip().zfill(6)
+                out.append([f"{d[:4]}-{d[4:6]}-{d[6:8]} {t[:2]}:{t[2:4]}:{t[4:6]}", *map(number, r[2:7]), 0.0, 0.0])
+            elif len(r) == 6:
+                out.append([r[0].strip(), *map(number, r[1:6]), 0.0, 0.0])
+    return pd.DataFrame(out, columns=names)
+
+
+def read_bar_csv(spark: SparkSession, path: str) -> DataFrame:
+    """file and bars of every .csv file in one of the forms of ``parse_csv``; a file is read by one task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path_, content in zip(frame["path"], frame["content"], strict=True):
+                yield parse_csv(decoded(bytes(content))).assign(file=path_.rsplit("/", 1)[-1])
+
+    return files.select("path", "content").mapInPandas(run, "timestamp string, " + ", ".join(f"{f} double" for f in FIELDS[1:]) + ", file string")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """file and bars of every .cdt file; timestamps stay text, prices have two decimals. A file is read by one task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cdt").option("recursiveFileLookup", "true").load(path)

@@ -21,6 +21,19 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ts", F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("bigint").alias("volume"))
 
 
+def simulated_ticks(spark: SparkSession, per_second: int = 20, start: float = 345.0, step: float = 0.05, seed: int = 42) -> DataFrame:
+    """An endless feed: steps of -1, 0 or 1 (44, 12 and 44 %) around ``start``, from the row's number alone, so that a
+    restarted stream repeats itself. The walk's position is a sum of slow waves, which keeps it near the start."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    draw = F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(100))
+    move = F.when(draw < 44, -1).when(draw < 56, 0).otherwise(1)
+    wave = F.round(F.sin(F.col("value") / 97.0) * 12 + F.sin(F.col("value") / 11.0) * 3)
+    return rows.select(
+        F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.col("value").alias("seq"), F.lit("SIM").alias("symbol"),
+        F.round(F.lit(start) + step * (wave + move), 2).alias("price"), (1 + F.pmod(F.xxhash64("value", F.lit(seed + 1)), F.lit(19))).cast("bigint").alias("volume"),
+    )
+
+
 BAR = "symbol string, bar_no bigint, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume bigint, ticks int, complete boolean"
 HELD = "bar_no bigint, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume bigint, ticks int"
 
