@@ -270,7 +270,7 @@ def test_mix_meets_targets_and_repeats_at_most_three_times(spark, none):
     by = defaultdict(list)
     for r in got:
         by[r.source].append(r)
-        assert 0 <= r.taken <= 3 * r.size and r.size == sum(len(t.split()) for i, t, s in rows if False) + r.size
+        assert 0 <= r.taken <= 3 * r.size and any(r.size == len((t or "").split()) for i, t, _ in rows if i == r.doc_id)
     total = sum(r.size for r in got)
     for own in by.values():
         assert own[0].source_size == sum(r.size for r in own) and sum(r.taken for r in own) == int(own[0].target + 0.5) and own[0].target <= 3 * own[0].source_size
