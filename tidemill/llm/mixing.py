@@ -52,11 +52,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: i
     filling = Window.orderBy(F.col("cap") / F.col("weight"), "_none", F.col("_src").cast("binary"))
     before = filling.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of many words and many sources pass 64 bits
     own = (
         own.withColumn("all_words", F.sum("source_size").over(everything))
         .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("full", F.col("cap") * F.col("open") <= F.col("weight") * (F.col("all_words") - F.col("capped")))
+        .withColumn("full", wide("cap") * wide("open") <= wide("weight") * (F.col("all_words") - F.col("capped")).cast("decimal(19,0)"))
     )
     rest = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("capped").alias("capped"), F.col("open").alias("open")))).over(everything)
     own = own.withColumn("rest", rest)
