@@ -210,6 +210,49 @@ def test_suffix_tree_scores(spark):
     assert lm.score_documents(docs.limit(0)).count() == 0
 
 
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark, monkeypatch):
+    """All scores against a plain tree; some contexts make up less than 2e-5 of the positions."""
+    import zlib
+
+    monkeypatch.setattr(lm, "BLOCK", 100_000)
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(400)]
+    rows = [(i, " ".join(rnd.choices(words, k=600))) for i in range(330)] + [(1000 + i, "see hagbfced now") for i in range(12)] + [(2000, None), (2001, "unseen ÿ hagbfcz")]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    docs = {i: "\n".encode() + b" ".join(lm.words_of(t)) + b"\n" for i, t in rows}
+    n = [defaultdict(Counter) for _ in range(7)]
+    back = lambda d, at, k: d[at - k : at] if at >= k else None
+    for i, d in docs.items():
+        if not held[i]:
+            for at in range(1, len(d)):
+                for k in range(min(6, at) + 1):
+                    n[k][back(d, at, k)][d[at]] += 1
+    kept = set()
+    for k in range(6, 0, -1):
+        for ctx, own in n[k].items():
+            total, up = sum(own.values()), n[k - 1][ctx[1:]]
+            gain = total >= 8 and sum(c * math.log(c / total / (up[s] / sum(up.values()))) for s, c in own.items())
+            if k < lm.NEAR or gain >= 10:
+                kept |= {ctx[j:] for j in range(k)}
+    totals = [{c: sum(x.values()) for c, x in level.items()} for level in n]
+
+    def prob(ctx, s):
+        own = n[len(ctx)][ctx]
+        if not ctx:
+            return (own[s] + 0.5) / (totals[0][b""] + 128)
+        return (own[s] + len(own) * prob(ctx[1:], s)) / (totals[len(ctx)][ctx] + len(own))
+
+    n = [{c: Counter({s: v for s, v in x.items() if v}) for c, x in level.items()} for level in n]
+    want = {}
+    for i, d in docs.items():
+        if i % 30 == 0 or i >= 1000:
+            best = lambda at: next((c for k in range(min(6, at), 0, -1) if (c := d[at - k : at]) in kept), b"")  # noqa: B023, E731
+            want[i] = sum(math.log10(prob(best(at), d[at])) for at in range(1, len(d)))
+    assert any(len(c) >= lm.NEAR and totals[len(c)][c] < 2e-5 * totals[0][b""] for c in kept)
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert {i: got[i] for i in want} == pytest.approx(want, rel=1e-5)
+
+
 def test_tree_is_followed_alike_in_stretches_and_alone():
     words = [[b"ab", b"abc"], [], [b"b"] * 700, [b"cab" * 300]]
     data = lm.symbols(words)

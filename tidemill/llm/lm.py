@@ -2,14 +2,18 @@
 
 The text of a document is its lower-case words joined by single spaces, with one end symbol (the new line) after them;
 it also stands before the first word. The tree's contexts are the last 0 to ``depth`` bytes, never beyond the start of
-the document. A context is a candidate when it makes up at least ``least_share`` of all training positions (so each
-depth has at most 1 / least_share candidates, whatever the corpus), and it is retained when its next-symbol counts
-diverge from those of its parent (the context without its oldest byte) by a log-likelihood gain of ``least_gain`` or
-more. Distributions are smoothed towards the parent's in proportion to the number of distinct symbols seen. The closed
-set of retained contexts becomes an automaton whose state is always the longest suffix in the tree; texts are scored by
-running it over many stretches of a batch side by side, each warmed up by ``depth`` bytes, which fixes its state.
-
-Counts of n-grams and of words come from every training document in one aggregation. The unigram base score looks the
+the document. A context is retained when it occurs ``least_count`` times or more in the training text and its
+next-symbol counts diverge from those of its parent (the context without its oldest byte) by a log-likelihood gain of
+``least_gain`` or more, and so are the parents of retained contexts. Contexts of fewer than NEAR bytes, which the
+alphabet bounds, are all retained. Distributions are smoothed towards the parent's in proportion to the number of
+distinct symbols seen. Every symbol is scored by the longest retained context before it.
+
+The tree grows with the corpus and is never in one place. Texts are dealt into blocks of some megabytes, and the distinct
+n-grams of a block into parts by the last NEAR bytes of their context, so that a part holds whole subtrees. A part adds
+up the counts of all blocks, grows its subtrees and answers each block's n-grams in their order; a block then scores its
+texts by these answers. Only the levels below NEAR bytes are broadcast.
+
+Word counts come from every training document in one aggregation. The unigram base score looks the
 frequent words up in a bounded table and joins the rest with the word counts, word by word.
 """
 
@@ -25,16 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, held_out, small_batches, written
+from .common import ARROW_ROWS, LOWER_BYTES, held_out, small_batches, written
 
 END = b"\n"
 LANES = 1024
+#: Bytes of context that choose an n-gram's part.
+NEAR = 3
+#: Bytes of text in a block.
+BLOCK = 8_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
     depth: int = 6
-    least_share: float = 2e-5
+    least_count: int = 8
+    #: A further share of all training positions, none by default: with it contexts must occur the more the larger the corpus.
+    least_share: float = 0.0
     least_gain: float = 10.0
     #: Words at least this frequent are looked up in a table of at most 1 / frequent entries.
     frequent: float = 1e-5
@@ -120,24 +130,231 @@ def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
     return written(parts.groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def candidates(counts: DataFrame, settings: Settings) -> DataFrame:
-    """(k, ctx, sym, n, total, gain) of contexts of k bytes that reach least_share; gain is null at the root."""
-    grams = counts.where("code is not null").select("code", "n")
-    everything = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    deep = grams.select(F.explode(F.sequence(F.lit(0), F.lit(settings.depth))).alias("k"), "code", "n").where("k = 0 or (shiftright(code, 8 * k) & 255) > 0")
-    deep = deep.select("k", F.expr("shiftright(code, 8) & (shiftleft(1L, 8 * k) - 1)").alias("ctx"), F.expr("cast(code & 255 as int)").alias("sym"), "n")
-    deep = deep.groupBy("k", "ctx", "sym").agg(F.sum("n").alias("n"))
-    totals = deep.groupBy("k", "ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= settings.least_share * everything)
-    kept = written(deep.join(totals, ["k", "ctx"]), "lm-contexts")
-    parent = kept.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("_up"), "sym", F.col("n").alias("up_n"), F.col("total").alias("up_total"))
-    own = kept.withColumn("_up", F.expr("if(k = 0, 0L, ctx & (shiftleft(1L, 8 * (k - 1)) - 1))")).join(parent, ["k", "_up", "sym"], "left")
-    gains = own.groupBy("k", "ctx").agg(F.sum(F.expr("n * ln((n / total) / (up_n / up_total))")).alias("gain"))
-    return kept.join(gains, ["k", "ctx"])
+def mask(size: int) -> int:
+    return (1 << 8 * size) - 1
+
+
+def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the sorted ``keys`` that are wanted, 0 for those that are not there."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+@dataclass
+class Level:
+    """The contexts of k bytes (sorted) with their counts, and the counts of each with a symbol (sorted codes)."""
+
+    k: int
+    grams: np.ndarray
+    n: np.ndarray
+    contexts: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    kept: np.ndarray
+
+    def probs(self, codes: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of n-grams by their contexts of k bytes, and whether these are retained."""
+        grams = codes & mask(self.k + 1)
+        n, total, kinds, kept = found(self.grams, self.n, grams), *(found(self.contexts, x, grams >> 8) for x in (self.total, self.kinds, self.kept))
+        if self.k == 0:  # every byte value is possible
+            return (n + 0.5) / (total + 0.5 * 256), np.ones(len(codes), bool)
+        return np.where(total > 0, (n + kinds * below) / np.maximum(total + kinds, 1), below), kept.astype(bool)
+
+
+def grow(codes: np.ndarray, n: np.ndarray, k: int, parent: Level | None, least: float, least_gain: float) -> Level:
+    """The level of k bytes from training n-grams and their counts, tested against its parents from NEAR bytes on."""
+    if k:
+        long = (codes >> 8 * k & 255) > 0
+        codes, n = codes[long], n[long]
+    grams, at = np.unique(codes & mask(k + 1), return_inverse=True)
+    count = np.bincount(at, n, len(grams))
+    contexts, first = np.unique(grams >> 8, return_index=True)
+    kinds = np.diff(first, append=len(grams))
+    total = np.add.reduceat(count, first) if len(first) else np.zeros(0)
+    kept = np.ones(len(contexts), bool)
+    if k >= NEAR and len(first):
+        up = grams & mask(k)
+        share = parent.n[np.searchsorted(parent.grams, up)] / parent.total[np.searchsorted(parent.contexts, up >> 8)]
+        gain = np.add.reduceat(count * np.log(count / np.repeat(total, kinds) / share), first)
+        kept = (total >= least) & (gain >= least_gain)
+    return Level(k, grams, count, contexts, total, kinds, kept)
+
+
+def near_levels(codes: np.ndarray, n: np.ndarray, depth: int) -> list[Level]:
+    """The levels below NEAR bytes (or below ``depth``)."""
+    return [grow(codes, n, k, None, 0, 0) for k in range(min(NEAR, depth))]
+
+
+def near_probs(near: list[Level], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By the deepest level, and by the longest context that occurs."""
+    p = best = np.zeros(len(codes))
+    for one in near:
+        p, kept = one.probs(codes, p)
+        best = np.where(kept, p, best)
+    return p, best
+
+
+def far_logs(codes: np.ndarray, n: np.ndarray, near: list[Level], settings: Settings, least: float) -> np.ndarray:
+    """log10 probabilities of the distinct n-grams of whole subtrees, not a number where no context from the last near
+    level on is retained. n is 0 for n-grams that only held-out texts have."""
+    seen, levels = n > 0, [near[-1]]
+    for k in range(len(near), settings.depth + 1):
+        levels.append(grow(codes[seen], n[seen], k, levels[-1], least, settings.least_gain))
+    for parent, child in zip(levels[-2:0:-1], levels[:1:-1], strict=True):
+        parent.kept[np.searchsorted(parent.contexts, child.contexts[child.kept] & mask(parent.k))] = True
+    p, out = near_probs(near, codes)[0], np.full(len(codes), np.nan)
+    for one in levels[1:]:
+        p, kept = one.probs(codes, p)
+        out = np.where(kept, p, out)
+    return np.log10(out).astype(np.float32)
+
+
+def keys_of(data: np.ndarray, depth: int) -> np.ndarray:
+    """For every symbol but the first its n-gram, as bytes from high to low: the NEAR nearest of the context, the symbol,
+    the rest of the context. Neighbours in this order mostly have one answer, which packs well."""
+    keys = data.astype(np.uint64) << np.uint64(24)
+    open_ = np.ones(len(data), bool)
+    for j in range(1, depth + 1):
+        back = np.zeros(len(data), np.uint64)
+        back[j:] = data[:-j]
+        keys |= np.where(open_, back, np.uint64(0)) << np.uint64(8 * (7 - j if j <= NEAR else 6 - j))
+        open_ &= back != END[0]
+    return keys[1:]
+
+
+def codes_of(keys: np.ndarray) -> np.ndarray:
+    """The same n-grams as in gram_codes."""
+    out = keys >> 24 & 255
+    for j in range(1, 7):
+        out |= (keys >> 8 * (7 - j if j <= NEAR else 6 - j) & 255) << 8 * j
+    return out
+
+
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``keys`` by part, and where each part begins."""
+    part = ((keys >> 32) * np.uint64(0x9E3779B97F4A7C15) >> 40) % parts
+    order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint64), kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where in the sorted ``keys`` each of ``wanted`` is: by a table of slots, by search where two share one."""
+    bits = np.uint64(64 - max(8, len(keys).bit_length() + 2))
+    slot = lambda x: x * np.uint64(0x9E3779B97F4A7C15) >> bits
+    slots = np.zeros(1 << 64 - int(bits), np.int32)
+    slots[slot(keys)] = np.arange(len(keys), dtype=np.int32)
+    at = slots[slot(wanted)]
+    other = np.flatnonzero(keys[at] != wanted)
+    at[other] = np.searchsorted(keys, wanted[other])
+    return at
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Compressed, with bytes of one weight together."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), codec="zstd", asbytes=True)
+
+
+def unpacked(cell: bytes, kind: type, size: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(cell, size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, size).T).view(kind).ravel()
+
+
+def block_of(rows: np.ndarray, sizes: np.ndarray, before: tuple[int, int]) -> tuple[np.ndarray, tuple[int, int]]:
+    """Block numbers of a partition's next rows, by the bytes before each, and what to go on with."""
+    part, done = int(rows[0]) >> 33, before[1] if before[0] == int(rows[0]) >> 33 else 0
+    ends = done + np.cumsum(sizes + 1)
+    return (part << 33) + (ends - sizes - 1) // BLOCK, (part, int(ends[-1]))
+
+
+def _with_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, docs): the rows of every block, compressed."""
+
+    def cell(block: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for x in rows:
+                out.write_batch(x)
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
+
+    now, before, rows = None, (-1, 0), []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.array([len(x or "") for x in batch.column("text").to_pylist()], np.int64)
+        blocks, before = block_of(batch.column("row").to_numpy(), sizes, before)
+        firsts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)])).tolist()
+        for low, high in zip(firsts, firsts[1:], strict=False):
+            if rows and blocks[low] != now:
+                yield cell(now, rows)
+                rows = []
+            now = int(blocks[low])
+            rows.append(batch.slice(low, high - low).select(["doc_id", "row", "text"]))
+    if rows:
+        yield cell(now, rows)
+
+
+def _ask(depth: int, parts: int):
+    """(part, block, size, steps, n) of every block: its distinct n-grams and how often its training texts have them."""
+
+    def cells(block: int, train: list, rest: list) -> Iterator[pa.RecordBatch]:
+        learnt, n = np.unique(keys_of(symbols(train), depth), return_counts=True)
+        keys = np.union1d(learnt, np.unique(keys_of(symbols(rest), depth)))
+        counts = np.zeros(len(keys), np.uint32)
+        counts[np.searchsorted(keys, learnt)] = n
+        order, begins = by_part(keys, parts)
+        keys, counts = keys[order], counts[order]
+        some = np.flatnonzero(np.diff(begins))
+        steps = [np.diff(keys[begins[i] : begins[i + 1]], prepend=np.uint64(0)) for i in some]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some), pa.array(np.full(len(some), block)), pa.array([len(x) for x in steps], pa.int64()), pa.array(map(packed, steps), pa.binary()), pa.array([packed(counts[begins[i] : begins[i + 1]]) for i in some], pa.binary())],
+            ["part", "block", "size", "steps", "n"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before, texts = None, (-1, 0), ([], [])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("text").to_pylist()
+            blocks, before = block_of(batch.column("row").to_numpy(), np.array([len(x or "") for x in own], np.int64), before)
+            for block, text, held in zip(blocks.tolist(), own, batch.column("held").to_pylist(), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield from cells(now, *texts)
+                    now, texts = block, ([], [])
+                texts[held].append(words_of(text))
+        if now is not None:
+            yield from cells(now, *texts)
+
+    return run
+
+
+def _answer(near, settings: Settings, least: float):
+    """(block, part, size, logs): the answers to each block's n-grams of a part, in their order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table["size"].to_pylist()
+        asked = [np.cumsum(unpacked(x, np.uint64, m), dtype=np.uint64) for x, m in zip(table["steps"].to_pylist(), sizes, strict=True)]
+        keys = np.unique(np.concatenate(asked))
+        n, at = np.zeros(len(keys)), [np.searchsorted(keys, x) for x in asked]
+        for where, x, m in zip(at, table["n"].to_pylist(), sizes, strict=True):
+            n[where] += unpacked(x, np.uint32, m)
+        codes = codes_of(keys)
+        order = np.argsort(codes)
+        logs = np.empty(len(keys), np.float32)
+        logs[order] = far_logs(codes[order], n[order], near.value[0], settings, least)
+        cells = [packed(logs[x]) for x in at]
+        return pa.table({"block": table["block"], "part": table["part"], "size": table["size"], "logs": pa.array(cells, pa.binary())})
+
+    return run
 
 
 @dataclass
 class Tree:
-    """The automaton: log10 probabilities and successors, [state * classes + class_of[byte]]; ``start`` follows an end."""
+    """A small tree in one piece, to compare with, as an automaton: log10 probabilities and successors, [state * classes + class_of[byte]]; ``start`` follows an end."""
 
     logp: np.ndarray
     next: np.ndarray
@@ -175,7 +392,7 @@ class Tree:
 
 
 def build_tree(rows: Iterable, settings: Settings) -> Tree:
-    """From rows (k, ctx, sym, n, total, gain) of the candidates, a bounded number."""
+    """From rows (k, ctx, sym, n, total, gain); closed under prefixes too."""
     seen: dict[tuple[int, int], dict[int, int]] = {}
     gain = {}
     for k, ctx, sym, n, _, g in rows:
@@ -217,23 +434,37 @@ def build_tree(rows: Iterable, settings: Settings) -> Tree:
 SCORED = "doc_id {kind}, row bigint, word binary, n bigint, n_tokens bigint, known bigint, logs double, score double"
 
 
-def _score(shared, kind: str):
-    """A row for each document, keyed by a word of its own, and one for each of its words outside the table."""
+def _score(shared, kind: str, depth: int, parts: int):
+    """A row for each document of a block, keyed by a word of its own, and one for each of its words outside the table."""
+    names = [x.split()[0] for x in SCORED.format(kind=kind).split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = shared.value
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        near, frequent = shared.value
         logs = {w: math.log10(c + 0.5) for w, c in frequent.items()}
-        for batch in batches:
-            ids, rows, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            words = [words_of(x) for x in texts]
-            scores = tree.text_scores(words)
+        own = pa.ipc.open_stream(docs["docs"][0].as_py()).read_all()
+        ids, rows = own["doc_id"].combine_chunks(), own["row"].combine_chunks()
+        words = [words_of(x) for x in own["text"].to_pylist()]
+        wanted = keys_of(symbols(words), depth)
+        distinct = np.unique(wanted)
+        order, begins = by_part(distinct, parts)
+        cells = dict(zip(answers["part"].to_pylist(), zip(answers["logs"].to_pylist(), answers["size"].to_pylist(), strict=True), strict=True))
+        if {p: m for p, (_, m) in cells.items()} != {p: m for p, m in enumerate(np.diff(begins).tolist()) if m}:
+            raise ValueError("a block's texts differ from those that were counted")
+        known_logs = np.empty(len(distinct))
+        known_logs[order] = np.concatenate([unpacked(*cells[p][:1], np.float32, cells[p][1]) for p in sorted(cells)])
+        short = np.isnan(known_logs)
+        known_logs[short] = np.log10(near_probs(near, codes_of(distinct[short]))[1])
+        sizes = np.array([sum(map(len, w)) + max(len(w), 1) for w in words])
+        scores = np.add.reduceat(known_logs[places(distinct, wanted)], np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        out = []
+        for low in range(0, len(words), ARROW_ROWS):
             at, keys, ns, tokens, known, sums, total = [], [], [], [], [], [], []
-            for i, own in enumerate(words):
-                counts = Counter(own)
+            for i in range(low, min(low + ARROW_ROWS, len(words))):
+                counts = Counter(words[i])
                 counts[END] += 1
                 hits, log, first = 0, 0.0, len(at)
                 at.append(i)
-                keys.append(b"\n%d" % rows[i])
+                keys.append(b"\n%d" % rows[i].as_py())
                 ns.append(0)
                 for w, n in counts.items():
                     if w in logs:
@@ -244,15 +475,16 @@ def _score(shared, kind: str):
                         keys.append(w)
                         ns.append(n)
                 more = len(at) - first - 1
-                tokens += [len(own) + 1, *[0] * more]
+                tokens += [len(words[i]) + 1, *[0] * more]
                 known += [hits, *[0] * more]
                 sums += [log, *[0.0] * more]
                 total += [float(scores[i]), *[0.0] * more]
             index = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(index), batch.column(1).take(index), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total, pa.float64())],
-                [x.split()[0] for x in SCORED.format(kind=kind).split(", ")],
-            )
+            out.append(pa.RecordBatch.from_arrays(
+                [ids.take(index), rows.take(index), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total, pa.float64())],
+                names,
+            ))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -267,22 +499,27 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     settings = settings or Settings()
     spark = docs.sparkSession
     small_batches(spark)
-    counts = corpus_counts(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 5)), settings.depth)
+    counts = corpus_counts(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 5)), min(NEAR, settings.depth) - 1)
     vocabulary = counts.where("word is not null").select("word", F.col("n").alias("c"))
     train, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = {bytes(w): c for w, c in vocabulary.where(F.col("c") >= max(1.0, settings.frequent * train)).collect()}  # at most 1 / frequent words
-    # at most depth / least_share contexts with their symbols, whatever the corpus
-    contexts = candidates(counts, settings).select("k", "ctx", "sym", "n", "total", "gain").toPandas()
-    tree = build_tree(zip(*(contexts[c].tolist() for c in contexts), strict=True), settings)
-    shared = spark.sparkContext.broadcast((tree, frequent))
+    grams = counts.where("code is not null").select("code", "n").toPandas()  # contexts below NEAR bytes: bounded by the alphabet
+    near = near_levels(grams["code"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64), settings.depth)
+    least = max(settings.least_count, settings.least_share * float(grams["n"].sum()))
+    shared = spark.sparkContext.broadcast((near, frequent))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_score(shared, kind), SCORED.format(kind=kind))
-    found = rows.join(vocabulary.hint("shuffle_hash"), "word", "left")
-    found = found.groupBy("doc_id", "row").agg(
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", held_out(F.col("doc_id"), 5).alias("held"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    asked = texts.mapInArrow(_ask(settings.depth, parts), "part bigint, block bigint, size bigint, steps binary, n binary")
+    answers = asked.groupBy("part").applyInArrow(_answer(shared, settings, least), "block bigint, part bigint, size bigint, logs binary")
+    blocks = texts.mapInArrow(_with_block, "block bigint, docs binary")
+    rows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, kind, settings.depth, parts), SCORED.format(kind=kind))
+    joined = rows.join(vocabulary.hint("shuffle_hash"), "word", "left")
+    scored = joined.groupBy("doc_id", "row").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("logs") + F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("logs"),
         F.sum("score").alias("score"),
     )
     whole = math.log10(train + 0.5 * (distinct + 1))
-    return found.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "n_tokens", "n_known", F.lit(int(train)).cast("bigint").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * whole).alias("base_score"), "score")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "n_tokens", "n_known", F.lit(int(train)).cast("bigint").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * whole).alias("base_score"), "score")
