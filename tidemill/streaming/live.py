@@ -16,8 +16,9 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of ticks."""
-    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    """The events table, one file or a folder of part files, as a stream of ticks."""
+    # as a pattern, since a stream takes a plain path for a folder
+    rows = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
     return rows.select("ts", F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("bigint").alias("volume"))
 
 
@@ -71,10 +72,15 @@ def quotes(ticks: DataFrame, recent: int = 200) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, first, _, volume, times = state.get if state.exists else (0, None, 0.0, 0, [])
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        n, volume, price = n + len(rows), volume + int(rows["volume"].sum()), float(rows["price"].iloc[-1])
-        first = float(rows["price"].iloc[0]) if first is None else first
-        times = deque([*times, *(rows["ts"].astype("datetime64[us]").astype("int64") / 1e6)], recent)
+        oldest, newest = None, None  # of the trigger, by (ts, seq); no more of it is held than these
+        for rows in frames:
+            n, volume = n + len(rows), volume + int(rows["volume"].sum())
+            rows = rows.sort_values(["ts", "seq"])
+            oldest = pd.concat([oldest, rows.head(1)]).sort_values(["ts", "seq"]).head(1)
+            newest = pd.concat([newest, rows.tail(recent)]).sort_values(["ts", "seq"]).tail(recent)
+        price = float(newest["price"].iloc[-1])
+        first = float(oldest["price"].iloc[0]) if first is None else first
+        times = deque([*times, *(newest["ts"].astype("datetime64[us]").astype("int64") / 1e6)], recent)
         gone = times[-1] - times[0]
         state.update((n, first, price, volume, list(times)))
         yield pd.DataFrame([(key[0], n, price, price - first, (price / first - 1) * 100 if first else None, volume, (len(times) - 1) / gone if gone > 0 else 0.0)], columns=[x.split()[0] for x in QUOTE.split(", ")])
