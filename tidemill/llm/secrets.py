@@ -5,7 +5,7 @@ partition refinement, laid out as one transition array. A batch of texts is scan
 the bytes are cut into equal stretches that advance side by side in numpy; a stretch that was started in a wrong state
 is run again from the right one until it meets what is known, so the result is that of a sequential scan.
 
-The scan reports where some match of a rule is complete. The extent of each match follows from two more automata of
+The scan reports where some match of a rule is complete, or has begun for the rules in BEGINS. The extent of each match follows from two more automata of
 the rule: the reversed one, run back from that place to the leftmost start, and the rule itself, run on to the longest
 end; the next match of the rule begins no earlier than that end. This gives leftmost, longest, non-overlapping matches
 for rules in which an earlier start never completes later than a later one, as holds for those below.
@@ -33,10 +33,27 @@ BASE_RULES = {
     "access": r"AKIA[A-Z0-9]{12,}",
     "hex": r"[0-9a-f]{32,}",
 }
+#: The further rules take a secret's whole extent. A private key reaches to its END line, or is its BEGIN line where none
+#: follows; its text holds no two dashes in a row. Lengths are least ones, with open ends.
 MORE_RULES = {
-    "slack": r"xox[abprs]-[0-9]{8,}",
-    "private_key": r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
-    "mail_key": r"SG\.[A-Za-z0-9]{8}",
+    "slack": r"xox[abprs]-[0-9]{8,}(-[A-Za-z0-9]+)*",
+    "private_key": r"-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----(([\x00-\x2C\x2E-\xFE]|-[\x00-\x2C\x2E-\xFE])*-----END (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)?",
+    "mail_key": r"SG\.[A-Za-z0-9_-]{8,}(\.[A-Za-z0-9_-]+)?",
+    "github": r"gh[pousr]_[A-Za-z0-9]{20,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+",
+    "stripe": r"[rs]k_live_[A-Za-z0-9]{16,}",
+    "gitlab": r"glpat-[A-Za-z0-9_-]{16,}",
+}
+#: What the combined automaton looks for in place of a whole further rule, so that it stays small: how a match begins.
+#: The rule's own automaton decides from there on.
+BEGINS = {
+    MORE_RULES["slack"]: r"xox[abprs]-",
+    MORE_RULES["private_key"]: r"-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----",
+    MORE_RULES["mail_key"]: r"SG\.",
+    MORE_RULES["github"]: r"gh[pousr]_",
+    MORE_RULES["jwt"]: r"eyJ[A-Za-z0-9_-]{5,}\.eyJ",
+    MORE_RULES["stripe"]: r"[rs]k_live_",
+    MORE_RULES["gitlab"]: r"glpat-",
 }
 VALUE_LENGTH = 8
 #: A byte that UTF-8 never holds; it stands between texts and takes every state back to the start.
@@ -215,7 +232,8 @@ def run(auto: Automaton, data: bytes, at: int, step: int, stop: int) -> int | No
 
 @functools.cache
 def automata(rules: tuple[str, ...]) -> tuple[Automaton, list[Automaton], list[Automaton]]:
-    return compile_rules(list(rules), True), [compile_rules([r], False) for r in rules], [compile_rules([r], False, True) for r in rules]
+    begins = [BEGINS.get(r, r) for r in rules]
+    return compile_rules(begins, True), [compile_rules([r], False) for r in rules], [compile_rules([r], False, True) for r in begins]
 
 
 def short_value(match: bytes) -> bool:
@@ -243,6 +261,8 @@ def find_all(texts: list[str | None], kinds: dict[str, str], compiled: tuple | N
                     continue
                 start += 1
                 end = run(forward[rule], data, start, 1, len(data))
+                if end is None:  # only the beginning of a match
+                    continue
                 taken[doc, rule] = end
                 out[doc].append((start, rule, end))
     names = list(kinds)
