@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 #: ASCII upper case to lower case, every other byte as it is.
 LOWER_BYTES = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
-#: Rows of documents handed to Python at once: with texts of 100 KB each a batch stays near 50 MB.
+#: Rows and bytes of documents handed to Python at once; a batch ends at whichever comes first, so it holds more than
+#: ARROW_BYTES only where a single text does.
 ARROW_ROWS = 512
+ARROW_BYTES = 32 << 20
+#: A key with a thousandth of all rows or more is one of a thousand at most.
+HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +25,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory that an Arrow batch of whole texts takes in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the rows and the bytes of an Arrow batch of whole texts. Spark reads these settings of the session when a
+    plan runs, so they stay set; smaller ones of the user are left alone."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    temporary one, and a cluster an error, as its machines would not see each other's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,12 +75,30 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == 1, F.lit(False))
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each ``key`` and in ``weight`` its number of rows.
+
+    Keys of a thousandth of all ``total`` rows or more are a thousand at most: the table's rows for them are broadcast.
+    Only the others are brought together by their key, so no task gets a hot one. ``key`` must not be null.
+    """
+    if total < HOT_SHARE:
+        return rows.join(table, key)
+    more, salt = [c for c in table.columns if c != key], "_salt" + key
+    hot = table.where(F.col(weight) * HOT_SHARE >= total).select(key, *[F.col(c).alias("_hot" + c) for c in more])
+    cold = table.where(F.col(weight) * HOT_SHARE < total).withColumn(salt, F.lit(0))
+    out = rows.join(F.broadcast(hot), key, "left")
+    # Rows that are served go through the shuffle under salts, which no row of the table has, and so evenly.
+    out = out.withColumn(salt, F.when(F.col("_hot" + weight).isNull(), 0).otherwise(1 + F.spark_partition_id() % 1009))
+    return out.join(cold, [key, salt], "left").select(*rows.columns, *[F.coalesce("_hot" + c, c).alias(c) for c in more])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row (node, root) per linked node, root its smallest node.
 
     Alternates large-star and small-star steps until the set of links stands still. Links are kept as a set of
     (larger, smaller) pairs in the shared folder between rounds; hubs only meet in aggregates with map-side minima
-    and in joins that adaptive execution can split.
+    and in joins that adaptive execution can split. A hash of the set tells that it may stand still; that it does is
+    decided by the pairs themselves.
     """
     pairs = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
@@ -75,9 +113,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")
         )
-        pairs = written(small.select("p.a", "p.b").where("a <> b").distinct(), "links")
+        before, pairs = pairs, written(small.select("p.a", "p.b").where("a <> b").distinct(), "links")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if now == state:
+        if now == state and not pairs.join(before, ["a", "b"], "left_anti").limit(1).count():  # as many, and none is new
             break
         state = now
     return pairs.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(

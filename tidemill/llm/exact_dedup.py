@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_space, written
+from .common import free_name, joined, one_space, written
 
 SALTS = 8
 
@@ -33,37 +33,48 @@ def text_classes(docs: DataFrame, digest: Callable[[Column], Column] = sha256_he
     return salted.groupBy("_digest", "_text").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
+def _classed(docs: DataFrame, digest: Callable[[Column], Column], salts: int) -> tuple[DataFrame, tuple[str, str, str]]:
+    """``docs`` with digest, keep_id and group_size under names that ``docs`` doesn't have, and these names."""
+    names = tuple(free_name(docs, x) for x in ("_digest", "_keep", "_size"))
+    classes = text_classes(docs, digest, salts).select("_digest", "keep_id", "group_size")
+    classes = written(classes.toDF(*names), "text-classes")
+    d, k, n = names
+    clashing = classes.groupBy(d).count().where("count > 1").select(d)
+    members = docs.withColumn(d, digest(one_space(F.col("text"))))
+    total = classes.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    if not clashing.limit(1).count():
+        return joined(members, classes, d, n, total), names
+    sound = classes.join(clashing, d, "left_anti")
+    text = free_name(docs, "_text")
+    again = members.withColumn(text, one_space(F.col("text"))).join(clashing, d, "left_semi")
+    found = again.groupBy(d, text).agg(F.min("doc_id").alias(k), F.count("*").alias(n))
+    return joined(members, sound, d, n, total).unionByName(again.join(found, [d, text]).drop(text)), names
+
+
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex, salts: int = SALTS) -> DataFrame:
     """Every input column plus text_digest, keep_id, group_size and kept.
 
-    * Null texts count as empty; texts are equal when identical after ``one_space``.
+    * Null texts count as empty; texts are equal when identical after ``one_space``, however long they are.
     * The row with the smallest doc_id of a group stays. Rows that repeat doc_id and text are one document and share
       its verdict. Rows without a doc_id never stay unless their whole group has none (keep_id is then null).
-    * Input columns named like an output are replaced. An empty table gives an empty result.
+    * Input columns named like an output are left out. An empty table gives an empty result.
     * Digests that stand for two different texts are found in the class table and resolved on the texts themselves.
     """
-    own = [c for c in docs.columns if c not in ("text_digest", "keep_id", "group_size", "kept")]
-    classes = written(text_classes(docs, digest, salts).drop("_text"), "text-classes")
-    clashing = classes.groupBy("_digest").count().where("count > 1").select("_digest")
-    members = docs.select(*own, digest(one_space(F.col("text"))).alias("_digest"))
-    clash = clashing.limit(1).count() > 0
-    sound = classes.join(clashing, "_digest", "left_anti") if clash else classes
-    out = members.join(sound, "_digest")
-    if clash:
-        again = members.withColumn("_text", one_space(F.col("text"))).join(clashing, "_digest", "left_semi")
-        found = again.groupBy("_digest", "_text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        out = out.unionByName(again.join(found, ["_digest", "_text"]).drop("_text"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumnRenamed("_digest", "text_digest")
+    out, (d, k, n) = _classed(docs, digest, salts)
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text_digest", "keep_id", "group_size", "kept")]
+    return out.select(*own, F.col(d).alias("text_digest"), F.col(k).alias("keep_id"), F.col(n).alias("group_size"), F.col("doc_id").eqNullSafe(F.col(k)).alias("kept"))
 
 
 def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows that stay, in the columns of ``docs``; of rows that repeat an id and a text one is kept."""
-    kept = exact_groups(docs, salts=salts).where("kept").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """The rows that stay, with the columns of ``docs`` and their own values; of rows that repeat an id and a text one is
+    kept. Nulls, empty and long texts, ties and empty tables are as in ``exact_groups``."""
+    out, (d, k, _) = _classed(docs, sha256_hex, salts)
+    kept = out.where(F.col("doc_id").eqNullSafe(F.col(k)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(k))
     if not repeated.limit(1).count():
-        return kept
-    ids = written(repeated, "repeated-ids").withColumnRenamed("doc_id", "_id")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    digest = sha256_hex(one_space(F.col("text")))
-    again = kept.join(ids, same, "left_semi").withColumn("_d", digest).dropDuplicates(["doc_id", "_d"]).drop("_d")
-    return kept.join(ids, same, "left_anti").unionByName(again)
+        return kept.select(*own)
+    ids = written(repeated, "repeated-ids").withColumnRenamed(k, "_id" + k)
+    same = F.col("doc_id").eqNullSafe(F.col("_id" + k))
+    again = kept.join(ids, same, "left_semi").dropDuplicates(["doc_id", d])
+    return kept.join(ids, same, "left_anti").unionByName(again).select(*own)

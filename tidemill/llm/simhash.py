@@ -22,13 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, small_batches, written
+from .common import LOWER_BYTES, components, joined, small_batches, written
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 MOST = 512
-HOT_SHARE = 1000
 #: Vectors m(i) of the bits: 1 to 15 in turn.
 VECTORS = [i % 15 + 1 for i in range(64)]
 MASKS = [sum(1 << i for i in range(64) if (VECTORS[i] & v).bit_count() % 2) for v in range(1, 16)]
@@ -159,8 +158,8 @@ def near_groups(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row.
 
     Null and blank texts share fingerprint zero and link like any other; repeated rows share a fingerprint; a row
-    without an id takes the component of its fingerprint, which is null if no row of the component has an id. An empty
-    table gives an empty result; only doc_id and text are read.
+    without an id takes the component of its fingerprint, which is null if no row of the component has an id. Texts are
+    read whole, however long. An empty table gives an empty result; only doc_id and text are read.
     """
     prints = written(fingerprints(docs), "fingerprints")
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "distinct-fingerprints")
@@ -169,15 +168,7 @@ def near_groups(docs: DataFrame, most: int = MOST) -> DataFrame:
     lowest = linked.groupBy("root").agg(F.min("rep").alias("low"))
     linked = linked.join(lowest, "root").select("fp", "low")
     named = written(fps.join(linked, "fp", "left").select("fp", "copies", F.coalesce("low", "rep").alias("component_id")), "named")
-    # A fingerprint of a thousandth of all rows or more is one of two thousand at most: those are sent to the rows, and only
-    # the others are brought together with theirs by a shuffle.
-    least = max(1, prints.count() // HOT_SHARE)
-    hot = F.broadcast(named.where(F.col("copies") >= least).select("fp", "component_id")) if least > 1 else None
-    if hot is None:
-        out = prints.join(named, "fp")
-    else:
-        rest = prints.join(hot, "fp", "left_anti").join(named.where(F.col("copies") < least), "fp")
-        out = rest.select("doc_id", "fp", "component_id").unionByName(prints.join(hot, "fp").select("doc_id", "fp", "component_id"))
+    out = joined(prints, named, "fp", "copies", prints.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

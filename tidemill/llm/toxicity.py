@@ -1,17 +1,20 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams and itself, hashed into ``buckets`` embedding rows; a window of ``window``
-distinct words is the mean of its words' embeddings (of ``window`` words, so that a short one says less); a linear softmax over two classes reads it. Unseen misspellings and
-inflections share n-gram rows with what was seen. Labels belong to documents: a first phase gives each window its
-document's label, a second one only the highest window of a toxic document, and of the others the highest one as much as all. A
-document's score is the softmax of its highest window, so one insult counts alike in a short and a very long text.
+distinct words is the mean of its words' embeddings (of ``window`` words, so that a short one says less); a linear
+softmax over two classes reads it. Unseen misspellings and inflections share n-gram rows with what was seen. Labels
+belong to documents: a first phase gives each window its document's label, a second one only the highest window of a
+toxic document, and of the others the highest one as much as all. A document's score is the softmax of its highest
+window, so one insult counts alike in a short and a very long text.
 Rows that fewer than ``least_docs`` documents of the sample reach stay zero: what one document has for itself can't be
 learnt by heart.
 
-Deviation from plain averaging: one average over a whole document would drown a single word among thousands, hence
-the windows.
+Deviation from plain averaging: an average over a whole document, or over wide windows, drowns a single word among many,
+hence the narrow windows (the README has figures for wider ones).
 
-The fit reads a bounded sample: ``toxic_rows`` and ``clean_rows`` labelled documents, in the order of a hash of their id.
+The fit reads a bounded sample: at most ``toxic_rows`` and ``clean_rows`` labelled documents that occur, in the order of a
+hash of their id, one row for each id, and of these as many as have ``sample_bytes`` of distinct words together. It runs in
+one task, which is repeated if its executor is lost; the driver gets the fitted rows (4 bytes a bucket).
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, held_out, small_batches
+from .common import LOWER_BYTES, free_name, held_out, small_batches
 
 #: Everything of ASCII but letters and digits separates words.
 SPLIT_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in LOWER_BYTES)
@@ -43,6 +46,7 @@ class Shape:
     window: int = 2
     toxic_rows: int = 1500
     clean_rows: int = 3000
+    sample_bytes: int = 64 << 20
     first_steps: int = 60
     steps: int = 90
     rate: float = 0.05
@@ -106,10 +110,9 @@ class Bag:
 
 
 @dataclass
-class Model:
+class Fitted:
     """Fitted embeddings E, class weights W (two columns) and bias b."""
 
-    shape: Shape
     E: np.ndarray
     W: np.ndarray
     b: np.ndarray
@@ -123,7 +126,16 @@ class Model:
         return float(self.b[1] - self.b[0])
 
 
-def fit(texts: list[str | None], labels: np.ndarray, shape: Shape | None = None, seed: int = 7) -> Model:
+@dataclass
+class Model:
+    """What a score needs of the fit: each embedding row's share of the logit, and the bias."""
+
+    shape: Shape
+    rows: np.ndarray
+    bias: float
+
+
+def fit(texts: list[str | None], labels: np.ndarray, shape: Shape | None = None, seed: int = 7) -> Fitted:
     """Joint full-batch training (Adam) of embeddings and softmax. Without both labels the model scores the prior."""
     shape = shape or Shape()
     rng = np.random.default_rng(seed)
@@ -132,7 +144,7 @@ def fit(texts: list[str | None], labels: np.ndarray, shape: Shape | None = None,
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         rate = np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99)
-        return Model(shape, np.zeros((shape.buckets, shape.dim), np.float32), W, np.array([0.0, np.log(rate / (1 - rate))]))
+        return Fitted(np.zeros((shape.buckets, shape.dim), np.float32), W, np.array([0.0, np.log(rate / (1 - rate))]))
     bag, state = Bag(texts, shape), {}
     E = rng.normal(0, 0.1, (len(bag.rows), shape.dim)).astype(np.float32)
     truth = labels[bag.doc_of]
@@ -164,17 +176,44 @@ def fit(texts: list[str | None], labels: np.ndarray, shape: Shape | None = None,
         adam("b", b, np.array([-error.sum(), error.sum()]), t)
     whole = np.zeros((shape.buckets, shape.dim), np.float32)
     whole[bag.rows] = E
-    return Model(shape, whole, W, b)
+    return Fitted(whole, W, b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, shape: Shape) -> pd.DataFrame:
-    """text and toxic of at most ``toxic_rows`` and ``clean_rows`` documents; held-out rows and rows without a label stay out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, shape: Shape) -> DataFrame:
+    """words (the distinct ones) and toxic of a bounded number of documents (see above); held-out rows and rows without a
+    label stay out. Of rows that repeat an id the smallest text is read."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marks = marks.where(~held_out(F.col("doc_id"), 3)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = marks.where("toxic = 1").orderBy(*order).limit(shape.toxic_rows).unionByName(marks.where("toxic = 0").orderBy(*order).limit(shape.clean_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # a bounded number of ids
-    return rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    chosen = [marks.where(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, shape.toxic_rows), (0, shape.clean_rows))]
+    chosen = chosen[0].unionByName(chosen[1])
+
+    def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "words": [b" ".join(words_of(x)) for x in f["text"]]})
+
+    # a bounded number of ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = rows.mapInPandas(distinct, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, words binary")
+    so_far = F.sum(F.length("words")).over(Window.orderBy(*order))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= shape.sample_bytes).select("doc_id", "words", "toxic")
+
+
+def fit_sample(sample: DataFrame, shape: Shape) -> Model:
+    """The model of a bounded sample, fitted in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        f = pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "words": [], "toxic": []})
+        f = f.sort_values(["doc_id", "words"], kind="stable")
+        made = fit([bytes(x).decode("utf-8", "replace") for x in f["words"]], f["toxic"].to_numpy(), shape)
+        yield pd.DataFrame({"rows": [made.rows().tobytes()], "bias": [made.bias]})
+
+    row = sample.coalesce(1).mapInPandas(run, "rows binary, bias double").first()
+    if not row:  # not even an empty partition
+        return Model(shape, (none := fit([], np.zeros(0), shape)).rows(), none.bias)
+    return Model(shape, np.frombuffer(row["rows"], np.float32), row["bias"])
 
 
 _CACHE: dict[object, dict[bytes, float]] = {}
@@ -211,11 +250,12 @@ def text_scores(texts: Sequence[str | None], rows: np.ndarray, bias: float, cach
     return out
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with toxicity (0 to 1); null and empty texts get the score of the bias alone."""
+def score(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
+    """The rows of ``docs`` with a column ``out`` (0 to 1); null and empty texts get the score of the bias alone. An input
+    column of that name is left out."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared: Broadcast = spark.sparkContext.broadcast((model.rows(), model.bias, model.shape))  # 4 bytes a bucket
+    shared: Broadcast = spark.sparkContext.broadcast((model.rows, model.bias, model.shape))  # 4 bytes a bucket
     name = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,20 +264,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts, found = frame["text"].tolist(), []
             for at in range(0, len(texts), 64):
                 found += text_scores(texts[at : at + 64], rows, bias, word_scores(name), shape)
-            frame["toxicity"] = found
+            frame[out] = found
             yield frame
 
-    own = [f for f in docs.schema.fields if f.name != "toxicity"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", toxicity double"
+    own = [f for f in docs.schema.fields if f.name.lower() != out.lower()]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + f", `{out}` double"
     return docs.select(*[f"`{f.name}`" for f in own]).mapInPandas(run, schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, shape: Shape | None = None) -> DataFrame:
-    """Fit on the labelled rows that are not held out, score every row of ``docs``.
+def score_documents(docs: DataFrame, labels: DataFrame, shape: Shape | None = None, out: str = "toxicity") -> DataFrame:
+    """Fit on the labelled rows that are not held out, score every row of ``docs``, each by its whole text.
 
     An empty document table gives an empty result; without labels of both kinds every row gets the prior. Repeated ids
     are scored row by row; for an id labelled twice the higher label counts.
     """
     shape = shape or Shape()
-    sample = labelled_sample(docs, labels, shape)
-    return score(docs, fit(sample["text"].tolist(), sample["toxic"].to_numpy(), shape))
+    return score(docs, fit_sample(labelled_sample(docs, labels, shape), shape), out)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, shape: Shape | None = None) -> DataFrame:
+    """The documents that score below ``threshold``, with the columns of ``docs`` and their own values; null and empty
+    texts, ties, repeats and empty tables are as in ``score_documents``."""
+    name = free_name(docs, "_toxicity")
+    return score_documents(docs, labels, shape, name).where(F.col(name) < threshold).select(*[f"`{c}`" for c in docs.columns])
