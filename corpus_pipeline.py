@@ -10,30 +10,50 @@ from tidemill.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.where("toxicity < 0.7").select(*docs.columns)
+    """Documents that score 0.7 or more go.
+
+    Null and empty texts have the model's prior, which keeps them unless most labels are toxic; rows that repeat an id are
+    judged one by one; texts are read whole. An empty table stays empty, and without labels all documents stay. All columns
+    keep their own values, whatever their names.
+    """
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays.
+
+    A null text equals an empty one; a row without an id stays only if no equal text has one; of rows that repeat id and
+    text one stays; texts are compared whole. An empty table stays empty. All columns keep their own values.
+    """
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays."""
+    """Of each group of linked fingerprints the smallest doc_id stays.
+
+    Null and blank texts have fingerprint zero and are one group; rows without an id and rows that repeat the id that
+    stays are kept; texts are read whole. An empty table stays empty. All columns keep their own values.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 0.8 or more of a test item's shingles go."""
+    """Documents that hold 0.8 or more of a test item's shingles go.
+
+    Null and empty texts hold nothing and stay; all rows of an id that matches go; texts are read whole. An empty table
+    stays empty, and without items all documents stay. All columns keep their own values.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix reads, with size, source_size, target and taken (words, repeats counted)."""
-    totals, _ = mixing.mix(docs)
-    return totals.where("taken > 0")
+    """The documents that the mix reads, with size, source_size, target, taken (words, repeats counted) and slots (what the
+    schedule reads when: slot, pass, first_word, words).
+
+    Documents without words are not read; a null source is one of its own; rows that repeat an id are documents of their
+    own; a text may fill many slots. An empty table stays empty. A column named like a figure gives way to it.
+    """
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
