@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.functions import indicators, strategies
-from tidemill.functions.windows import rolling_median, run_length, series
+from tidemill.functions import indicators, strategies, windows
+from tidemill.functions.windows import rolling_median, series
 from tidemill.operators import bars as B
 from tidemill.operators import learning as L
 from tidemill.operators import quality as Q
@@ -26,7 +26,9 @@ def walk(n=400, seed=1):
 def test_parabolic_rises_and_flips():
     f = walk()
     high, low = f["high"].to_numpy(), f["low"].to_numpy()
-    stop, side = indicators.parabolic(high, low)
+    stop, side, _ = indicators.parabolic(high, low)
+    half, _, state = indicators.parabolic(high[:150], low[:150])
+    assert np.concatenate((half, indicators.parabolic(high[150:], low[150:], state)[0])).tolist() == stop.tolist()
     s, d, af, ep = low[0], 1, 0.02, high[0]
     for i in range(1, len(high)):  # the rule spelled out for either direction
         s = s + af * (ep - s)
@@ -46,33 +48,102 @@ def test_parabolic_rises_and_flips():
     assert set(side) == {1, -1}
 
 
-def test_ewm_with_gaps_decays():
-    from tidemill.functions.windows import ewm
-
-    got = ewm(pd.Series([np.nan, 1.0, np.nan, 3.0]), alpha=0.5)
-    assert math.isnan(got[0]) and got[1] == got[2] == 1.0
-    assert math.isclose(got[3], (0.25 * 1 + 0.5 * 3) / 0.75)
+def chunked(spark, f, monkeypatch, chunk):
+    monkeypatch.setattr(windows, "CHUNK", chunk)
+    bars = spark.createDataFrame(f)
+    return bars.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, kind in bars.dtypes if kind == "double"})
+
+
+def test_exponential_means_are_those_of_a_plain_recursion(spark, monkeypatch):
+    f = walk(9000, 3)[["symbol", "bar_size", "bar_no", "close"]]
+    f["late"] = f["close"].where(f["bar_no"] >= 7)
+    f["gaps"] = f["close"].where((f["bar_no"] % 5 != 0) & ~f["bar_no"].between(4000, 4300) & (f["bar_no"] > 3)).sub(100)
+    by, book = ["symbol", "bar_size"], {}
+    for name, x, how in (("a", "close", {"span": 100}), ("b", "late", {"span": 7}), ("c", "gaps", {"alpha": 1 / 14, "gaps": True}), ("d", "a", {"span": 9})):
+        book |= windows.ewm_steps(name, x, by, **how)
+    rows = windows.in_chunks(chunked(spark, f, monkeypatch, 4096), by, windows.WARM)
+    got = windows.own_rows(windows.with_needed(rows, list("abcd"), book)).select("bar_no", *"abcd").toPandas().sort_values("bar_no")
+    mean = lambda x, **how: x.ewm(adjust=False, **how).mean()
+    want = {"a": mean(f["close"], span=100), "b": mean(f["late"], span=7), "c": mean(f["gaps"], alpha=1 / 14)}
+    want["d"] = mean(want["a"], span=9)
+    assert len(got) == len(f)
+    for k, x in want.items():
+        np.testing.assert_allclose(got[k].to_numpy(), x.to_numpy(), rtol=1e-10, atol=1e-10, err_msg=k)
+    with pytest.raises(ValueError):
+        windows.ewm_steps("e", "close", by, alpha=0.9)
+
+
+def test_chunks_change_nothing(spark, monkeypatch):
+    """A series in several chunks and in one, for two symbols one of which has no name."""
+    f = walk(9000, 4)
+    f = pd.concat([f.assign(symbol="a"), walk(300, 6).assign(symbol=None)])
+    columns, names = " ".join(indicators.INDICATORS.values()).split(), strategies.CATEGORIES["ALL"]
+    keys = ["symbol", "bar_no"]
+    made = []
+    for chunk in (4096, 1 << 20):
+        bars = chunked(spark, f, monkeypatch, chunk)
+        a = indicators.with_indicators(bars, columns).select(*keys, *columns).toPandas().sort_values(keys).reset_index(drop=True)
+        made.append((a, strategies.with_signals(bars, names).select(*keys, *names).toPandas().sort_values(keys).reset_index(drop=True)))
+    (a, s), (b, t) = made
+    assert len(a) == len(s) == len(f)
+    for c in columns:
+        np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-8, atol=1e-8, err_msg=c)
+    assert (s[names] == t[names]).all().all()
+
+
+def test_native_indicators_need_no_python(spark):
+    for columns in (["bb_pct_b"], ["roc"], ["donchian_mid"], ["macd_hist"], ["adx"], ["rvi"]):
+        plan = indicators.with_indicators(spark.createDataFrame(walk()), columns)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Pandas" not in plan and "Arrow" not in plan and "Python" not in plan, columns
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    f = pd.concat([pd.DataFrame({"k": "a", "x": rng.lognormal(0, 3, 2001)}), pd.DataFrame({"k": "b", "x": rng.integers(0, 5, 500) * 1.0}), pd.DataFrame({"k": "c", "x": [7.0]}), pd.DataFrame({"k": "d", "x": [np.nan]})])
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: (r.n, r.quantiles) for r in windows.quantiles(spark.createDataFrame(f), ["k"], "x", at, cells=16).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k, (n, q) in got.items():
+        x = f.loc[f["k"] == k, "x"]
+        assert n == len(x)
+        np.testing.assert_allclose(q, x.quantile(at).to_numpy(), rtol=1e-12)
+
+
+def test_lagged_crosses_pieces(spark):
+    rows = spark.createDataFrame([(d, i, float(i * i)) for d in (1, 2) for i in range(40)], "d int, i int, x double")
+    got = windows.lagged(rows, ["d"], F.expr("i div 7"), ["i"], {"p": "x"}).collect()
+    assert len(got) == 80 and all(r.p == (None if r.i == 0 else float((r.i - 1) ** 2)) for r in got)
+
+
+def test_day_median_leaves_out_ticks_without_price_or_with_negative_volume(spark):
+    rows = [("2024-01-02", float(p), v) for p, v in [(100, 1), (101, 1), (102, 1), (0, 5), (0, 5), (-3, 1), (900, -1), (901, -2)]]
+    ticks = spark.createDataFrame(rows, "trade_date string, price double, volume bigint").withColumn("ts", F.lit("2024-01-02 10:00:00").cast("timestamp_ntz")).withColumn("seq", F.monotonically_increasing_id())
+    assert B.day_stats(ticks).first().day_median == 101.0
+    assert sorted(r.price for r in B.median_filter(ticks).collect()) == [100.0, 101.0, 102.0]
+    counted = B.count_outliers(ticks).first()
+    assert (counted.total_ticks, counted.outliers) == (8, 5)
 
 
 def test_contrarian_holds_and_turns():
     close, mid = np.array([10, 12, 12, 12, 12, 9, 9.0]), np.array([10.0] * 7)
     short, long = np.array([0, 1, 0, 0, 0, 0, 0], bool), np.zeros(7, bool)
-    assert strategies.contrarian(close, mid, short, long, 5).tolist() == [0, -1, -1, -1, -1, 0, 0]
-    assert strategies.contrarian(close, mid, short, long, 2).tolist() == [0, -1, -1, 0, 0, 0, 0]
+    assert strategies.contrarian(close, mid, short, long, 5)[0].tolist() == [0, -1, -1, -1, -1, 0, 0]
+    assert strategies.contrarian(close, mid, short, long, 2)[0].tolist() == [0, -1, -1, 0, 0, 0, 0]
     turn = np.array([0, 0, 1, 0, 0, 0, 0], bool)
-    assert strategies.contrarian(close, mid, short, turn, 5).tolist() == [0, -1, 1, 0, 0, 0, 0]
+    assert strategies.contrarian(close, mid, short, turn, 5)[0].tolist() == [0, -1, 1, 0, 0, 0, 0]
     assert [strategies.hold(n) for n in (20, 10_000, 10_001, 30_000)] == [5, 5, 3, 2]
 
 
-def test_breakout_enters_adds_and_stops():
-    f = walk(600, 5)
-    plain, added = strategies.breakout(f, 25, 15, 3.5), strategies.breakout(f, 25, None, 3.0, add=True)
-    assert set(plain) <= {-1, 0, 1} and set(added) <= {-2, -1, 0, 1, 2} and (plain[:26] == 0).all()
-    assert np.abs(plain).sum() > 0
+def test_breakout_enters_adds_and_stops(spark):
+    names = strategies.TREND[:3]
+    f = strategies.with_signals(spark.createDataFrame(walk(600, 5)), names).toPandas().sort_values("bar_no")
+    added, plain = f[names[0]].to_numpy(), f[names[1]].to_numpy()
+    assert set(plain) <= {-1, 0, 1} and set(added) <= {-2, -1, 0, 1, 2} and (plain[:25] == 0).all()
+    assert np.abs(plain).sum() > 0 and np.abs(added).max() == 2
 
 
 def test_all_strategies_have_a_signal(spark):
-    rows = strategies.with_signals(indicators.with_indicators(spark.createDataFrame(walk())))
+    rows = strategies.with_signals(spark.createDataFrame(walk()))
     got = rows.select("bar_no", *strategies.CATEGORIES["ALL"]).toPandas()
     assert len(got) == 400 and not got.isna().any().any()
     assert len(strategies.CATEGORIES["ALL"]) == 38
@@ -83,9 +154,8 @@ def test_all_strategies_have_a_signal(spark):
 
 def test_rolling_pieces(spark):
     rows = spark.createDataFrame([(0, 1.0), (1, 5.0), (2, None), (3, 9.0)], "bar_no int, x double").withColumn("symbol", F.lit("a")).withColumn("bar_size", F.lit(1))
-    w = series()
-    got = rows.select("bar_no", rolling_median(F.col("x"), 3, w).alias("m"), run_length(F.col("x") > 2, w).alias("r")).orderBy("bar_no").collect()
-    assert [x.m for x in got] == [1.0, 3.0, 3.0, 7.0] and [x.r for x in got] == [0, 1, 0, 1]
+    got = rows.select("bar_no", rolling_median(F.col("x"), 3, series()).alias("m")).orderBy("bar_no").collect()
+    assert [x.m for x in got] == [1.0, 3.0, 3.0, 7.0]
 
 
 def test_sizes():
@@ -100,6 +170,9 @@ def test_sweep_equals_single_sizes_and_unit_volume_bars_equal_tick_bars(spark):
     from conftest import SF
 
     ticks = B.event_ticks(spark, SF).withColumn("volume", F.lit(1).cast("bigint"))
+    own = B.event_ticks(spark, SF).withColumn("bid", F.col("price"))
+    whole, plain = B.tick_bars(own, [10, 20, 50]), B.tick_bars(own, 20).withColumn("vwap", F.round("vwap", 9))  # from bars of 10
+    assert whole.where("bar_size = 20").withColumn("vwap", F.round("vwap", 9)).exceptAll(plain).count() == 0 and whole.where("bar_size = 20").count() == plain.count()
     sweep = B.tick_bars(ticks, [7, 13])
     for n in (7, 13):
         one = B.tick_bars(ticks, n)

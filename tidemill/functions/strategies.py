@@ -1,7 +1,7 @@
 """Trading signals from indicator columns: +1 long, -1 short, 0 flat (the pyramiding rule also +2 and -2).
 
-A comparison with a missing value is false. Stateless rules are column expressions. Breakout-and-hold is a window
-expression. Rules whose position depends on their own past run once per series in ``stateful_frame``.
+A comparison with a missing value is false. Stateless rules are column expressions over indicators. Rules whose position
+depends on their own past are state machines that stream along their series; what they look at is made by native columns.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .indicators import true_range
-from .windows import ewm, rolling_median, series
+from .indicators import keys_of, with_indicators
+from .windows import carried, folded, in_chunks, own_rows
 
+#: The names of the strategies and their categories.
 TREND = (
     "Genius_NQ_Pyramiding_Trend Genius_NQ_Macro_Breakout Genius_NQ_Adaptive_Ribbon EMA_Cross MACD Ichimoku Supertrend ADX_DI Donchian_Channel VWAP"
     " Parabolic_SAR Keltner_Channel TRIX"
@@ -41,43 +42,40 @@ def _if(yes: Column, no: Column | None = None) -> Column:
     return (out.when(no, -1).otherwise(0) if no is not None else out.otherwise(-1)).cast("int")
 
 
-def stateless(w: WindowSpec) -> dict[str, Column]:
-    c, col = F.col("close"), F.col
-    position = F.row_number().over(w) - 1
-    broke = F.when((position >= 20) & (c > F.lag("donchian_upper").over(w)), 1).when((position >= 20) & (c < F.lag("donchian_lower").over(w)), -1)
-    sma = F.coalesce(col("_sma_20"), c)
-    return {
-        "EMA_Cross": _if(col("ema_fast") > col("ema_slow")), "MACD": _if(col("macd_line") > col("macd_signal")),
-        "Ichimoku": _if((col("tenkan_sen") > col("kijun_sen")) & (c > F.coalesce("senkou_span_a", c)), (col("tenkan_sen") < col("kijun_sen")) & (c < F.coalesce("senkou_span_b", c))),
-        "Supertrend": col("supertrend_dir"), "Parabolic_SAR": col("psar_dir"),
-        "ADX_DI": _if((col("plus_di") > col("minus_di")) & (col("adx") > 20), (col("minus_di") > col("plus_di")) & (col("adx") > 20)),
-        "Donchian_Channel": F.coalesce(F.last(broke, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)),
-        "VWAP": _if(c > col("vwap")), "Keltner_Channel": _if(c > col("kc_mid")), "TRIX": _if(col("trix") > col("trix_signal")),
-        "RSI": _if(col("rsi") > 50), "Stochastic": _if(col("stoch_k") > col("stoch_d")), "CCI": _if(col("cci") > 0), "ROC": _if(col("roc") > 0), "MFI": _if(col("mfi") > 50),
-        "Williams_R": _if(col("williams_r") > -50), "CMO": _if(col("cmo") > 0), "Stoch_RSI": _if(col("stoch_rsi_k") > col("stoch_rsi_d")),
-        "Ultimate_Oscillator": _if(col("uo") > 50), "TSI": _if(col("tsi") > col("tsi_signal")), "Bollinger_Bands": _if(col("bb_pct_b") > 0.5),
-        "ATR_Breakout": _if(c > col("atr_upper"), c < col("atr_lower")), "Keltner_Squeeze": _if(col("squeeze_mom") > 0),
-        "Chaikin_Volatility": _if((col("chaikin_vol") > 0) & (c > sma), (col("chaikin_vol") > 0) & (c < sma)), "Historical_Volatility": _if(c > sma),
-        "Ulcer_Index": _if(col("ulcer_index") < rolling_median(col("ulcer_index"), 50, w)), "StdDev_Bands": _if(c > col("stddev_mid")),
-        "Choppiness_Index": _if((col("chop") < 50) & (c > col("ema_20")), (col("chop") < 50) & (c < col("ema_20"))),
-        "Mass_Index": _if(c < col("ema_20")), "RVI": _if(col("rvi") > 50),
-    }
-
-
-def contrarian_triggers(w: WindowSpec) -> dict[str, tuple[Column, Column]]:
-    """(short, long) entry conditions; false where a band is missing."""
-    c, o, h, lo = (F.col(x) for x in ("close", "open", "high", "low"))
-    up, down, col = F.col("bb_upper"), F.col("bb_lower"), F.col
-    over = (F.lag("high").over(w) >= F.lag("bb_upper").over(w)) | (F.row_number().over(w) == 1)
-    under = (F.lag("low").over(w) <= F.lag("bb_lower").over(w)) | (F.row_number().over(w) == 1)
-    rules = {
-        "Contrarian_BB_LargeBar": ((h >= up * 0.998) & (col("range_ratio") >= 1.25) & (c > o), (lo <= down * 1.002) & (col("range_ratio") >= 1.25) & (c < o)),
-        "Contrarian_BB_Consecutive": ((h >= up * 0.999) & (col("consec_bull") >= 2), (lo <= down * 1.001) & (col("consec_bear") >= 2)),
-        "Contrarian_Band_Reversal": (over & (c < up) & (c < o), under & (c > down) & (c > o)),
-        "Contrarian_BB_PinBar": ((h >= up) & (col("upper_wick_ratio") >= 0.35), (lo <= down) & (col("lower_wick_ratio") >= 0.35)),
-        "Contrarian_Triple_Exhaustion": ((h >= up * 0.999) & (col("consec_bull") >= 2) & (col("range_ratio") >= 1.15), (lo <= down * 1.001) & (col("consec_bear") >= 2) & (col("range_ratio") >= 1.15)),
-    }
-    return {k: tuple(F.coalesce(x, F.lit(False)) for x in v) for k, v in rules.items()}
+#: What a stateless strategy looks at, beside open, high, low, close and vwap, and its rule.
+STATELESS = {
+    "EMA_Cross": ("ema_fast ema_slow", lambda c, x: _if(x("ema_fast") > x("ema_slow"))), "MACD": ("macd_line macd_signal", lambda c, x: _if(x("macd_line") > x("macd_signal"))),
+    "Ichimoku": (
+        "tenkan_sen kijun_sen senkou_span_a senkou_span_b",
+        lambda c, x: _if((x("tenkan_sen") > x("kijun_sen")) & (c > F.coalesce("senkou_span_a", c)), (x("tenkan_sen") < x("kijun_sen")) & (c < F.coalesce("senkou_span_b", c))),
+    ),
+    "Supertrend": ("supertrend_dir", lambda c, x: x("supertrend_dir")), "Parabolic_SAR": ("psar_dir", lambda c, x: x("psar_dir")),
+    "ADX_DI": ("plus_di minus_di adx", lambda c, x: _if((x("plus_di") > x("minus_di")) & (x("adx") > 20), (x("minus_di") > x("plus_di")) & (x("adx") > 20))),
+    "Donchian_Channel": ("_last_broke", lambda c, x: F.coalesce("_last_broke", F.lit(0))),
+    "VWAP": ("", lambda c, x: _if(c > x("vwap"))), "Keltner_Channel": ("kc_mid", lambda c, x: _if(c > x("kc_mid"))), "TRIX": ("trix trix_signal", lambda c, x: _if(x("trix") > x("trix_signal"))),
+    "RSI": ("rsi", lambda c, x: _if(x("rsi") > 50)), "Stochastic": ("stoch_k stoch_d", lambda c, x: _if(x("stoch_k") > x("stoch_d"))), "CCI": ("cci", lambda c, x: _if(x("cci") > 0)),
+    "ROC": ("roc", lambda c, x: _if(x("roc") > 0)), "MFI": ("mfi", lambda c, x: _if(x("mfi") > 50)), "Williams_R": ("williams_r", lambda c, x: _if(x("williams_r") > -50)), "CMO": ("cmo", lambda c, x: _if(x("cmo") > 0)),
+    "Stoch_RSI": ("stoch_rsi_k stoch_rsi_d", lambda c, x: _if(x("stoch_rsi_k") > x("stoch_rsi_d"))), "Ultimate_Oscillator": ("uo", lambda c, x: _if(x("uo") > 50)), "TSI": ("tsi tsi_signal", lambda c, x: _if(x("tsi") > x("tsi_signal"))),
+    "Bollinger_Bands": ("bb_pct_b", lambda c, x: _if(x("bb_pct_b") > 0.5)), "ATR_Breakout": ("atr_upper atr_lower", lambda c, x: _if(c > x("atr_upper"), c < x("atr_lower"))), "Keltner_Squeeze": ("squeeze_mom", lambda c, x: _if(x("squeeze_mom") > 0)),
+    "Chaikin_Volatility": ("chaikin_vol _sma_20", lambda c, x: _if((x("chaikin_vol") > 0) & (c > F.coalesce("_sma_20", c)), (x("chaikin_vol") > 0) & (c < F.coalesce("_sma_20", c)))),
+    "Historical_Volatility": ("_sma_20", lambda c, x: _if(c > F.coalesce("_sma_20", c))), "Ulcer_Index": ("ulcer_index _ulcer_mid", lambda c, x: _if(x("ulcer_index") < x("_ulcer_mid"))),
+    "StdDev_Bands": ("stddev_mid", lambda c, x: _if(c > x("stddev_mid"))), "Choppiness_Index": ("chop ema_20", lambda c, x: _if((x("chop") < 50) & (c > x("ema_20")), (x("chop") < 50) & (c < x("ema_20")))),
+    "Mass_Index": ("ema_20", lambda c, x: _if(c < x("ema_20"))), "RVI": ("rvi", lambda c, x: _if(x("rvi") > 50)),
+}
+#: What a contrarian strategy looks at, and its (short, long) entry conditions; false where a band is missing.
+TRIGGERS = {
+    "Contrarian_BB_LargeBar": ("range_ratio", lambda x: ((x("high") >= x("bb_upper") * 0.998) & (x("range_ratio") >= 1.25) & (x("close") > x("open")), (x("low") <= x("bb_lower") * 1.002) & (x("range_ratio") >= 1.25) & (x("close") < x("open")))),
+    "Contrarian_BB_Consecutive": ("consec_bull consec_bear", lambda x: ((x("high") >= x("bb_upper") * 0.999) & (x("consec_bull") >= 2), (x("low") <= x("bb_lower") * 1.001) & (x("consec_bear") >= 2))),
+    "Contrarian_Band_Reversal": ("_was_over _was_under", lambda x: (x("_was_over") & (x("close") < x("bb_upper")) & (x("close") < x("open")), x("_was_under") & (x("close") > x("bb_lower")) & (x("close") > x("open")))),
+    "Contrarian_BB_PinBar": ("upper_wick_ratio lower_wick_ratio", lambda x: ((x("high") >= x("bb_upper")) & (x("upper_wick_ratio") >= 0.35), (x("low") <= x("bb_lower")) & (x("lower_wick_ratio") >= 0.35))),
+    "Contrarian_Triple_Exhaustion": (
+        "consec_bull consec_bear range_ratio",
+        lambda x: ((x("high") >= x("bb_upper") * 0.999) & (x("consec_bull") >= 2) & (x("range_ratio") >= 1.15), (x("low") <= x("bb_lower") * 1.001) & (x("consec_bear") >= 2) & (x("range_ratio") >= 1.15)),
+    ),
+}
+#: Breakouts: bars of the channel, bars of the opposite channel that is an exit (or none), width of the stop in mean true
+#: ranges, whether the 20-bar mean must stand beyond the 50-bar one, whether a second unit is added.
+BREAKOUTS = {TREND[0]: (25, None, 3.0, False, True), TREND[1]: (25, 15, 3.5, False, False), TREND[2]: (20, 12, 3.2, True, False)}
 
 
 def hold(bar_size: int) -> int:
@@ -85,10 +83,15 @@ def hold(bar_size: int) -> int:
     return 5 if bar_size <= 10_000 else 3 if bar_size <= 20_000 else 2
 
 
-def contrarian(close: np.ndarray, mid: np.ndarray, short: np.ndarray, long: np.ndarray, most: int) -> np.ndarray:
-    """Enter against a trigger, leave at the middle band, after ``most`` bars, or into the opposite trigger."""
-    out, now, age = np.zeros(len(close), int), 0, 0
-    for i in range(1, len(close)):
+def contrarian(close: np.ndarray, mid: np.ndarray, short: np.ndarray, long: np.ndarray, most: int, state: tuple[int, int] | None = None) -> tuple[np.ndarray, tuple[int, int]]:
+    """Enter against a trigger, leave at the middle band, after ``most`` bars, or into the opposite trigger. A series' first
+    bar is flat. The state is the position and its age."""
+    out = np.zeros(len(close), int)
+    for i in range(len(close)):
+        if state is None:
+            state = (0, 0)
+            continue
+        now, age = state
         if not now:
             now, age = (-1 if short[i] else 1 if long[i] else 0), 0
         else:
@@ -99,29 +102,25 @@ def contrarian(close: np.ndarray, mid: np.ndarray, short: np.ndarray, long: np.n
                 now, age = -now, 0
             elif home or age >= most:
                 now = 0
-        out[i] = now
-    return out
-
-
-def breakout(f: pd.DataFrame, reach: int, out_reach: int | None, width: float, ribbon: bool = False, add: bool = False) -> np.ndarray:
-    """Channel breakout with a trend filter and a trailing stop of ``width`` mean true ranges from the extreme.
-
-    out_reach: also leave when the close breaks the opposite channel of so many bars. ribbon: the 20-bar mean must stand
-    beyond the 50-bar mean. add: a second unit once the price has run 1.5 ranges beyond a new 10-bar extreme.
-    """
-    close, high, low = (f[x].to_numpy(float) for x in ("close", "high", "low"))
-    past = lambda x, n, fn: getattr(f[x].rolling(n), fn)().shift().to_numpy(float)
-    top, bottom, slow = past("high", reach, "max"), past("low", reach, "min"), ewm(f["close"], span=100).to_numpy()
-    span = true_range(f).rolling(20, min_periods=1).mean().to_numpy()
-    rising, falling = (close > top) & (close > slow), (close < bottom) & (close < slow)
-    if ribbon:
-        fast, mid = ewm(f["close"], span=20).to_numpy(), ewm(f["close"], span=50).to_numpy()
-        rising, falling = rising & (fast > mid), falling & (fast < mid)
-    exits = {1: past("low", out_reach, "min"), -1: past("high", out_reach, "max")} if out_reach else None
-    more = {1: past("high", 10, "max"), -1: past("low", 10, "min")}
-    out, side, units, extreme, last = np.zeros(len(f), int), 0, 0, 0.0, 0.0
-    for i in range(1, len(f)):
-        turn = 1 if rising[i] else -1 if falling[i] else 0
+        out[i], state = now, (now, age)
+    return out, state
+
+
+def breakout(f: pd.DataFrame, name: str, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """Channel breakout with a trend filter and a trailing stop from the extreme, on bars with _tr_mean, _turn (the side to
+    which the bar breaks out), and the columns of the exit channel and of the 10 bars before. The state is the side, the
+    units, the extreme and the price of the last entry."""
+    _, out_reach, width, _, add = BREAKOUTS[name]
+    close, high, low, span, turns = (f[x].to_numpy(float) for x in ("close", "high", "low", "_tr_mean", f"_turn_{name}"))
+    exits = {1: f[f"_low_{out_reach}"].to_numpy(float), -1: f[f"_high_{out_reach}"].to_numpy(float)} if out_reach else None
+    more = {1: f["_high_10"].to_numpy(float), -1: f["_low_10"].to_numpy(float)} if add else None
+    out = np.zeros(len(f), int)
+    for i in range(len(f)):
+        if state is None:
+            state = (0, 0, 0.0, 0.0)
+            continue
+        side, units, extreme, last = state
+        turn = int(turns[i])
         if side:
             edge = high[i] if side > 0 else low[i]
             extreme = max(extreme * side, edge * side) * side
@@ -135,37 +134,55 @@ def breakout(f: pd.DataFrame, reach: int, out_reach: int | None, width: float, r
                 side = units = 0
             elif add and units < 2 and (close[i] - more[side][i]) * side > 0 and (close[i] - last) * side >= 1.5 * span[i]:
                 units, last = 2, close[i]
-        out[i] = side * units
-    return out
-
-
-def stateful_frame(f: pd.DataFrame, names: Iterable[str]) -> pd.DataFrame:
-    f = f.sort_values("bar_no").reset_index(drop=True)
-    close, mid = f["close"].to_numpy(float), f["bb_mid"].to_numpy(float)
-    most = hold(int(f["bar_size"].iloc[0])) if "bar_size" in f else 5
-    made = {
-        TREND[0]: lambda: breakout(f, 25, None, 3.0, add=True), TREND[1]: lambda: breakout(f, 25, 15, 3.5), TREND[2]: lambda: breakout(f, 20, 12, 3.2, ribbon=True),
-        **{n: (lambda n=n: contrarian(close, mid, f[f"{n}_short"].to_numpy(bool), f[f"{n}_long"].to_numpy(bool), most)) for n in CONTRARIAN},
-    }
-    return f.assign(**{n: made[n]() for n in names})
-
-
-def with_signals(rows: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """One int column per strategy on the output of ``with_indicators``."""
-    names = [canonical(n) for n in (names or CATEGORIES["ALL"])]
-    by = [k for k in ("symbol", "bar_size") if k in rows.columns]
-    w, plain = series(by), None
-    plain = stateless(w)
-    out = rows.withColumns({n: plain[n] for n in names if n in plain})
-    looped = [n for n in names if n in STATEFUL]
+        out[i], state = side * units, (side, units, extreme, last)
+    return out, state
+
+
+def fold_all(names: list[str]):
+    """The fold of several state machines side by side."""
+
+    def fold(f: pd.DataFrame, state: dict | None) -> tuple[dict, dict]:
+        state, out = dict(state or {}), {}
+        most = hold(int(f["bar_size"].iloc[0])) if "bar_size" in f else 5
+        for n in names:
+            if n in BREAKOUTS:
+                out[n], state[n] = breakout(f, n, state.get(n))
+            else:
+                short, long = (f[f"_{n}_{k}"].to_numpy(bool) for k in ("short", "long"))
+                out[n], state[n] = contrarian(f["close"].to_numpy(float), f["bb_mid"].to_numpy(float), short, long, most, state.get(n))
+        return out, state
+
+    return fold
+
+
+def _turn(name: str) -> tuple[list[str], Column]:
+    """Columns that a breakout needs, and the side to which a bar breaks out."""
+    reach, out_reach, _, ribbon, add = BREAKOUTS[name]
+    x, top, bottom = F.col, F.col(f"_high_{reach}"), F.col(f"_low_{reach}")
+    rising, falling = (x("close") > top) & (x("close") > x("ema_100")), (x("close") < bottom) & (x("close") < x("ema_100"))
+    needs = ["ema_100", "_tr_mean", f"_high_{reach}", f"_low_{reach}", *([f"_high_{out_reach}", f"_low_{out_reach}"] if out_reach else []), *(["_high_10", "_low_10"] if add else [])]
+    if ribbon:
+        rising, falling, needs = rising & (x("ema_20") > x("ema_50")), falling & (x("ema_20") < x("ema_50")), [*needs, "ema_20", "ema_50"]
+    return needs, F.when(rising, 1).when(falling, -1).otherwise(0)
+
+
+def with_signals(bars: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """Bars (with bar_no) with one int column per strategy; indicators are made as far as the strategies need them."""
+    names = list(dict.fromkeys(canonical(n) for n in (names or CATEGORIES["ALL"])))
+    by, looped = keys_of(bars), [n for n in names if n in STATEFUL]
+    turns = {n: _turn(n) for n in looped if n in BREAKOUTS}
+    needs = [x for n in names if n in STATELESS for x in STATELESS[n][0].split()] + [x for n in turns for x in turns[n][0]]
+    needs += [x for n in looped if n in TRIGGERS for x in ("bb_mid", "bb_upper", "bb_lower", *TRIGGERS[n][0].split())]
+    donchian = "_last_broke" in needs
+    out = with_indicators(bars, ["_broke" if x == "_last_broke" else x for x in needs]) if needs else bars
+    if donchian:
+        out = own_rows(carried(in_chunks(out, by, 0), by, {"_last_broke": F.col("_broke")}))
+    out = out.withColumns({n: STATELESS[n][1](F.col("close"), F.col) for n in names if n in STATELESS} | {f"_turn_{n}": t for n, (_, t) in turns.items()})
     if looped:
-        triggers = {f"{n}_{k}": x for n, pair in contrarian_triggers(w).items() if n in looped for k, x in zip(("short", "long"), pair, strict=True)}
-        keep = [*by, "bar_no", "open", "high", "low", "close", "bb_mid", *triggers]
-        base = out.withColumns(triggers).select(*keep)
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in (*by, "bar_no")), *(f"{n} int" for n in looped)])
-        held = base.groupBy(*by).applyInPandas(lambda f: stateful_frame(f, looped)[[*by, "bar_no", *looped]], schema)
-        out = out.join(held, [*by, "bar_no"])
-    return out
+        pairs = {n: TRIGGERS[n][1](F.col) for n in looped if n in TRIGGERS}
+        out = out.withColumns({f"_{n}_{k}": F.coalesce(x, F.lit(False)) for n, pair in pairs.items() for k, x in zip(("short", "long"), pair, strict=True)})
+        out = folded(out, by, fold_all(looped), {n: "int" for n in looped})
+    return out.select(*bars.columns, *[n for n in names if n not in bars.columns])
 
 
 def vote(names: Iterable[str]) -> Column:

@@ -1,18 +1,57 @@
-"""Window building blocks: rolling frames with minimum counts, exponential means, runs and distributed numbering."""
+"""Window building blocks: rolling frames with minimum counts, exponential means, runs, carries and distributed numbering.
+
+A series (the bars of a symbol and size) may be longer than a task should hold, so its windows run over chunks of bars
+(``in_chunks``): each chunk is led by copies of the bars before it, as many as the longest window looks back, and followed
+by as many as the longest looks ahead. One shuffle and one sort serve all windows of a chunk.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Bars of a chunk, and bars that lead it where exponential means need them: what is older has less weight than the last
+#: digit of a double (a mean of span 100 keeps 1e-35 of it).
+CHUNK = 16384
+WARM = 4096
+#: Bars of a block, within which an exponential mean is a prefix sum of scaled terms.
+BLOCK = 512
+
 
 def series(by: Sequence[str] = ("symbol", "bar_size"), order: str = "bar_no") -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
 
 
+def in_chunks(bars: DataFrame, by: Sequence[str], back: int, ahead: int = 0, chunk: int | None = None) -> DataFrame:
+    """``bars`` (with bar_no, from 0 without gaps) in chunks with their leading and following bars, dealt by chunk.
+
+    Adds _chunk, _block, _at (place in the block) and _own (not a copy).
+    """
+    chunk = chunk or CHUNK
+    if back > chunk or ahead > chunk:
+        raise ValueError("a chunk must be as long as its lead and its tail")
+    own, place = F.expr(f"bar_no div {chunk}"), F.col("bar_no") % chunk
+    copies = F.array(own, F.when(place >= chunk - back, own + 1), F.when((place < ahead) & (own > 0), own - 1))
+    rows = bars.withColumn("_chunk", F.explode(F.array_compact(copies))).withColumns({
+        "_own": F.col("_chunk") == own, "_block": F.expr(f"bar_no div {BLOCK}"), "_at": F.col("bar_no") % BLOCK,
+    })
+    return rows.repartition(*by, "_chunk")
+
+
+def own_rows(rows: DataFrame) -> DataFrame:
+    return rows.where("_own").drop("_chunk", "_own", "_block", "_at")
+
+
+def chunk_window(by: Sequence[str]) -> WindowSpec:
+    """A chunk in the order of its bars. Blocks come first in the order so that windows of blocks need no sort of their own."""
+    return Window.partitionBy(*by, "_chunk").orderBy("_block", "bar_no")
+
+
 def frame(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
@@ -49,35 +88,174 @@ def rolling_mad(x: Column, n: int, w: WindowSpec) -> Column:
     return F.when(F.size(xs) >= n, F.aggregate(F.transform(xs, lambda v: F.abs(v - mean)), F.lit(0.0), lambda a, v: a + v) / n)
 
 
-def run_length(condition: Column, w: WindowSpec, order: str = "bar_no") -> Column:
-    """Rows since the condition last failed; a series' first row counts as a failure."""
-    position = F.row_number().over(w)
-    miss = F.when(F.coalesce(~condition, F.lit(True)) | (position == 1), position)
-    return (position - F.max(miss).over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("int")
+def ewm_steps(name: str, x: str, by: Sequence[str], *, span: float | None = None, alpha: float | None = None, gaps: bool = False) -> dict[str, tuple[tuple[str, ...], Callable[[], Column]]]:
+    """The exponential mean ``name`` of the column ``x`` (recursion from its first value) as columns {name: (needed, make)}.
+
+    It is the first value plus the mean of what the others are off it, so a constant's mean is that constant exactly.
+    Within a block the mean is the prefix sum of terms scaled up by their age, scaled down again; the means at the ends of
+    the blocks before it are folded into one carry. The first values of x may be missing; with ``gaps`` any may, and while
+    one is missing the weight of the old mean decays.
+    """
+    alpha = alpha if alpha is not None else 2 / (span + 1)
+    keep = 1 - alpha
+    if keep**BLOCK < 1e-300:
+        raise ValueError("the mean forgets too fast for its block; use a wider span")
+    w, block = chunk_window(by), Window.partitionBy(*by, "_chunk", "_block").orderBy("bar_no")
+    so_far = block.rowsBetween(Window.unboundedPreceding, 0)
+    reach = WARM // BLOCK if gaps else max(1, math.ceil(40 / (-math.log(keep) * BLOCK)))
+    earlier = Window.partitionBy(*by, "_chunk").orderBy("_block").rangeBetween(-reach, -1)
+    at_end, c = F.col("_at") == BLOCK - 1, F.col
+    base, part, ends = f"_{x}_base", f"_{name}_part", f"_{name}_ends"
+    first = {base: ((x,), lambda: F.first(x, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))}
+    off = F.coalesce(c(x) - c(base), F.lit(0.0))
+    if gaps:
+        seen, held, scale = (f"_{name}_{k}" for k in ("seen", "held", "scale"))
+        faded = F.pow(F.lit(keep), c("bar_no") - c(seen))
+        return first | {
+            seen: ((x,), lambda: F.last(F.when(c(x).isNotNull(), c("bar_no")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))),
+            held: ((x, seen), lambda: F.when(c(x).isNull() | c(seen).isNull(), 1.0).otherwise(faded / (faded + alpha))),
+            scale: ((held,), lambda: F.sum(F.log(c(held))).over(so_far)),
+            part: ((x, base, held, scale), lambda: F.exp(c(scale)) * F.sum((1 - c(held)) * off * F.exp(-c(scale))).over(so_far)),
+            ends: ((part, scale), lambda: F.collect_list(F.when(at_end, F.struct(F.exp(c(scale)).alias("d"), c(part).alias("p")))).over(earlier)),
+            name: ((base, part, scale, ends), lambda: c(base) + c(part) + F.exp(c(scale)) * F.aggregate(ends, F.lit(0.0), lambda a, e: a * e["d"] + e["p"])),
+        }
+    down = lambda shift=0: F.pow(F.lit(keep), c("_at") + shift)
+    mean = lambda: c(base) + c(part) + down(1) * F.aggregate(ends, F.lit(0.0), lambda a, p: a * (keep**BLOCK) + p)
+    return first | {
+        part: ((x, base), lambda: down() * F.sum(alpha * off * F.pow(F.lit(keep), -c("_at"))).over(so_far)),
+        ends: ((part,), lambda: F.collect_list(F.when(at_end, c(part))).over(earlier)),
+        name: ((x, base, part, ends), lambda: F.when(c(x).isNotNull(), mean())),
+    }
+
+
+def with_needed(rows: DataFrame, wanted: Sequence[str], recipes: dict[str, tuple[tuple[str, ...], Callable[[], Column]]]) -> DataFrame:
+    """``rows`` with the ``wanted`` columns and what they need, level by level; columns that are there are not made again."""
+    depth: dict[str, int] = {}
+    there = set(rows.columns)
+
+    def level(name: str) -> int:
+        if name in there:
+            return 0
+        if name not in depth:
+            depth[name] = 1 + max((level(x) for x in recipes[name][0]), default=0)
+        return depth[name]
 
+    for name in wanted:
+        level(name)
+    for n in sorted(set(depth.values())):
+        rows = rows.withColumns({k: recipes[k][1]() for k, v in depth.items() if v == n})
+    return rows
 
-def ewm(x: pd.Series, *, span: float | None = None, alpha: float | None = None) -> pd.Series:
-    """Exponential mean by recursion from the first value; gaps let the old weight decay."""
-    return x.ewm(span=span, alpha=alpha, adjust=False).mean()
 
+def carried(rows: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """Chunked ``rows`` with each name's last value so far over the whole series (missing ones are skipped): the last one of
+    the chunk, or else of the chunks before."""
+    w, marked = chunk_window(by), rows.withColumns({f"_v_{k}": v for k, v in columns.items()})
+    last = [F.max_by(f"_v_{k}", F.when(F.col(f"_v_{k}").isNotNull(), F.col("bar_no"))).alias(f"_e_{k}") for k in columns]
+    ends = marked.where("_own").groupBy(*by, "_chunk").agg(*last)
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias("_k_" + k) for k in (*by, "_chunk")], *[F.last(f"_e_{k}", True).over(before).alias(f"_c_{k}") for k in columns])
+    on = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in (*by, "_chunk")]
+    out = marked.join(ends, on, "left").drop(*["_k_" + k for k in (*by, "_chunk")])
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({k: F.coalesce(F.last(f"_v_{k}", True).over(so_far), f"_c_{k}") for k in columns})
+    return out.drop(*[f"_v_{k}" for k in columns], *[f"_c_{k}" for k in columns])
 
-def numbered(df: DataFrame, by: Sequence[str], piece: Column, order: Sequence[str], out: str = "rn", add: str | None = None, total: str = "running") -> DataFrame:
-    """Row numbers (from 1) in the order (piece, *order) within ``by``, and with ``add`` the running sum of a column.
 
-    ``piece`` must be monotone in the order (an hour, a day). Only rows of one piece meet in a window; pieces are put
-    one after another by prefix sums over their counts, so a whole day or a whole history is never sorted in one task.
+def folded(rows: DataFrame, by: Sequence[str], fold: Callable, outputs: dict[str, str]) -> DataFrame:
+    """``rows`` with the ``outputs`` (name: type) of a state machine that runs along each series.
+
+    ``fold(frame, state)`` gives the arrays of the outputs for consecutive bars and the state after them (None before the
+    first). A series streams through its task batch by batch; only the state is held.
+    """
+    by = list(by)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for f in frames:
+            if not len(f):
+                continue
+            cuts = [0, *(np.flatnonzero((f[by] != f[by].shift()).any(axis=1).to_numpy()[1:]) + 1).tolist(), len(f)] if by else [0, len(f)]
+            made: dict[str, list] = {k: [] for k in outputs}
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                now = tuple(None if pd.isna(x) else x for x in f[by].iloc[s])
+                if now != key:
+                    key, state = now, None
+                columns, state = fold(f.iloc[s:e], state)
+                for k in outputs:
+                    made[k].append(np.asarray(columns[k]))
+            yield f.assign(**{k: np.concatenate(v) for k, v in made.items()})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"`{k}` {t}" for k, t in outputs.items())])
+    dealt = rows.repartition(*by) if by else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*by, "bar_no").mapInPandas(run, schema)
+
+
+def numbered(df: DataFrame, by: Sequence[str], piece: Column, order: Sequence[str], out: str = "rn", add: str | Sequence[str] | None = None, total: str | Sequence[str] = "running") -> DataFrame:
+    """Row numbers (from 1) in the order (piece, *order) within ``by``, and with ``add`` the running sums of columns.
+
+    ``piece`` must be monotone in the order (a minute, a day, a stretch of ids). Only rows of one piece meet in a window;
+    pieces are put one after another by prefix sums over their counts.
     """
+    add = [add] if isinstance(add, str) else list(add or ())
+    total = [total] if isinstance(total, str) else list(total)
     keyed = df.withColumn("_piece", piece)
-    sums = [F.count(F.lit(1)).alias("_n"), *([F.sum(add).alias("_s")] if add else [])]
+    sums = [F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(add)]]
     sizes = keyed.groupBy(*by, "_piece").agg(*sums)
     earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), *([F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0")] if add else [])]
-    starts = sizes.select(*by, "_piece", *firsts)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias("_0" + c)
+    starts = sizes.select(*by, "_piece", before("_n"), *[before(f"_s{i}") for i in range(len(add))])
     inside = Window.partitionBy(*by, "_piece").orderBy(*order)
-    rows = keyed.withColumn(out, F.row_number().over(inside))
-    if add:
-        rows = rows.withColumn(total, F.sum(add).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(starts, [*by, "_piece"]).withColumn(out, F.col(out) + F.col("_n0"))
-    if add:
-        rows = rows.withColumn(total, F.col(total) + F.col("_s0"))
-    return rows.drop("_piece", "_n0", "_s0")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = keyed.withColumns({out: F.row_number().over(inside)} | {t: F.sum(x).over(so_far) for t, x in zip(total, add, strict=False)})
+    rows = rows.join(starts, [*by, "_piece"]).withColumn(out, F.col(out) + F.col("_0_n"))
+    rows = rows.withColumns({t: F.col(t) + F.col(f"_0_s{i}") for i, t in enumerate(total[: len(add)])}) if add else rows
+    return rows.drop("_piece", "_0_n", *[f"_0_s{i}" for i in range(len(add))])
+
+
+def lagged(df: DataFrame, by: Sequence[str], piece: Column, order: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Adds, for each {out: column}, the value in the row before in the order (piece, *order) within ``by``. Only rows of one
+    piece meet in a window; a piece's first row takes what the last piece before it ends with."""
+    keyed = df.withColumn("_piece", piece)
+    place = F.struct(*order)
+    ends = keyed.groupBy(*by, "_piece").agg(*[F.max_by(F.struct(F.col(c).alias("x")), place).alias(f"_e{i}") for i, c in enumerate(columns.values())])
+    earlier = Window.partitionBy(*by).orderBy("_piece")
+    ends = ends.select(*by, "_piece", *[F.lag(f"_e{i}").over(earlier).alias(f"_b{i}") for i in range(len(columns))])
+    inside = Window.partitionBy(*by, "_piece").orderBy(*order)
+    rows = keyed.withColumns({"_n": F.row_number().over(inside)} | {k: F.lag(c).over(inside) for k, c in columns.items()})
+    rows = rows.join(ends, [*by, "_piece"])
+    rows = rows.withColumns({k: F.when(F.col("_n") == 1, F.col(f"_b{i}.x")).otherwise(F.col(k)) for i, k in enumerate(columns)})
+    return rows.drop("_piece", "_n", *[f"_b{i}" for i in range(len(columns))])
+
+
+def quantiles(df: DataFrame, by: Sequence[str], x: str, at: Sequence[float], cells: int = 4096) -> DataFrame:
+    """by, n (values) and quantiles (array of double): exact quantiles with linear interpolation; groups without values are
+    left out.
+
+    Values are counted by cell, a cell being one of so many equal stretches of the group's range; running counts say which
+    cells hold the wanted ranks, and only the values of these are numbered. Nothing holds a group: the counts have a row
+    for each cell, and values of a cell that are alike are one row.
+    """
+    by = list(by)
+    rows = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(*by, F.col(x).cast("double").alias("_x"))
+    ends = rows.groupBy(*by).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count("*").alias("n"))
+    share = F.try_divide(F.col("_x") - F.col("_low"), F.col("_high") - F.col("_low"))
+    rows = rows.join(ends, by)
+    values = rows.groupBy(*by, F.least(F.floor(F.coalesce(share, F.lit(0.0)) * cells), F.lit(cells - 1)).alias("_cell"), "_x").agg(F.count("*").alias("_k"), F.first("n").alias("n"))
+    counts = values.groupBy(*by, "_cell").agg(F.sum("_k").alias("_m"), F.first("n").alias("n"))
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_c", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("n") - 1)).alias("r")) for i, q in enumerate(at)])
+    wanted = counts.select(*by, "_cell", "_c", "_m", F.explode(ranks).alias("_q"))
+    wanted = wanted.where((F.floor("_q.r") < F.col("_c") + F.col("_m")) & (F.ceil("_q.r") >= F.col("_c"))).select(*by, "_cell", "_c", "_q")
+    cells_wanted = wanted.select(*by, "_cell", "_c").distinct()
+    inside = Window.partitionBy(*by, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    held = values.join(cells_wanted, [*by, "_cell"]).withColumn("_to", F.col("_c") + F.sum("_k").over(inside))
+    held = held.withColumn("_from", F.col("_to") - F.col("_k")).drop("_c", "n")
+    met = held.join(wanted.drop("_c"), [*by, "_cell"]).where((F.floor("_q.r") < F.col("_to")) & (F.ceil("_q.r") >= F.col("_from")))
+    low = F.max(F.when((F.floor("_q.r") >= F.col("_from")) & (F.floor("_q.r") < F.col("_to")), F.col("_x")))
+    high = F.max(F.when((F.ceil("_q.r") >= F.col("_from")) & (F.ceil("_q.r") < F.col("_to")), F.col("_x")))
+    found = met.groupBy(*by, F.col("_q.i").alias("_i"), F.col("_q.r").alias("_r")).agg(low.alias("_l"), high.alias("_h"))
+    value = F.col("_l") + (F.col("_r") - F.floor("_r")) * (F.col("_h") - F.col("_l"))
+    found = found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", value.alias("v")))), lambda e: e["v"]).alias("quantiles"))
+    return found.join(ends.select(*by, "n"), by)

@@ -6,12 +6,13 @@ symbol), trade_date, bar_size, bar_idx, open_time, close_time, open, high, low,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import mean_without_current, numbered
+from ..functions.windows import mean_without_current, numbered, quantiles
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +46,10 @@ def static_filter(ticks: DataFrame, low: float = 50.0, high: float = 2000.0) ->
 
 
 def day_stats(ticks: DataFrame, reach: int = 3) -> DataFrame:
-    """Exact median price of each day and the mean of its neighbouring days' medians (the day itself left out)."""
-    # Ticks share prices: counts per price come first, so the exact median reads a row per price and not per tick.
-    prices = ticks.groupBy("trade_date", "price").agg(F.count("*").alias("_n"))
-    days = prices.groupBy("trade_date").agg(F.expr("percentile(price, 0.5, _n)").alias("day_median"))
+    """Exact median price of each day's ticks with a positive price and no negative volume, and the mean of its neighbouring
+    days' medians (the day itself left out)."""
+    good = ticks.where((F.col("price") > 0) & (F.col("volume") >= 0))
+    days = quantiles(good, ["trade_date"], "price", [0.5]).select("trade_date", F.col("quantiles")[0].alias("day_median"))
     return days.withColumn("neighbor_avg", mean_without_current(F.col("day_median"), Window.orderBy("trade_date"), reach))
 
 
@@ -91,16 +92,32 @@ def _quotes(ticks: DataFrame) -> list[str]:
 
 
 def _indexed(ticks: DataFrame, by: Sequence[str]) -> DataFrame:
-    return numbered(ticks, by, F.date_trunc("hour", "ts"), ("ts", "seq"), add="volume", total="cum_volume")
+    return numbered(ticks, by, F.date_trunc("minute", "ts"), ("ts", "seq"), add="volume", total="cum_volume")
 
 
-def tick_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = False) -> DataFrame:
-    """Bars of N ticks that start anew every day; the day's last bar may be short. All sizes come from one numbering."""
+def tick_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = False, piece: Column | None = None) -> DataFrame:
+    """Bars of N ticks that start anew every day; the day's last bar may be short.
+
+    All sizes come from one numbering, and bars whose sizes have a common divisor of 8 or more from its bars, so that a
+    sweep does not repeat every tick for every size. ``piece`` (default: the minute) cuts the order of a day's ticks into
+    what one task sorts; it must be monotone in (ts, seq).
+    """
     by = (["symbol"] if per_symbol else []) + ["trade_date"]
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
-    rows = numbered(ticks, by, F.date_trunc("hour", "ts"), ("ts", "seq"))
-    rows = rows.withColumn("bar_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("bar_idx", F.expr("(rn - 1) div bar_size"))
-    return rows.groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn"), _quotes(ticks)))
+    rows = numbered(ticks, by, piece if piece is not None else F.date_trunc("minute", "ts"), ("ts", "seq"))
+    each, unit = F.array(*map(F.lit, sizes)), math.gcd(*sizes)
+    if len(sizes) == 1 or unit < 8:
+        rows = rows.withColumn("bar_size", F.explode(each)).withColumn("bar_idx", F.expr("(rn - 1) div bar_size"))
+        return rows.groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn"), _quotes(ticks)))
+    quotes = _quotes(ticks)
+    parts = rows.withColumn("unit_no", F.expr(f"(rn - 1) div {unit}")).groupBy(*by, "unit_no").agg(*bar_columns(F.col("rn"), quotes), F.sum(F.col("price") * F.col("volume")).alias("money"))
+    parts = parts.withColumn("bar_size", F.explode(each)).withColumn("bar_idx", F.expr(f"unit_no div (bar_size div {unit})"))
+    first, last = (lambda c: F.min_by(c, "unit_no").alias(c)), (lambda c: F.max_by(c, "unit_no").alias(c))
+    volume = F.sum("volume")
+    return parts.groupBy(*by, "bar_size", "bar_idx").agg(
+        F.min("open_time").alias("open_time"), F.max("close_time").alias("close_time"), first("open"), F.max("high").alias("high"), F.min("low").alias("low"), last("close"),
+        volume.alias("volume"), F.sum("tick_count").alias("tick_count"), F.when(volume > 0, F.sum("money") / volume).otherwise(F.max_by("close", "unit_no")).alias("vwap"), *map(last, quotes),
+    )
 
 
 def volume_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = False) -> DataFrame:
@@ -114,7 +131,7 @@ def volume_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool =
 def continuous_bars(ticks: DataFrame, size: int) -> DataFrame:
     """Bars of N ticks across days, without the unfinished last one; ticks need a side (1 buys). Days are numbered apart
     and put together by the counts of the days before."""
-    rows = numbered(ticks.withColumn("_all", F.lit(0)), ["_all"], F.date_trunc("hour", "ts"), ("ts", "seq"))
+    rows = numbered(ticks.withColumn("_all", F.lit(0)), ["_all"], F.date_trunc("minute", "ts"), ("ts", "seq"))
     rows = rows.withColumn("bar_idx", F.expr(f"(rn - 1) div {int(size)}"))
     order, volume = F.col("rn"), F.sum("volume")
     units = F.when(volume == 0, 1).otherwise(volume)
@@ -130,7 +147,7 @@ def continuous_bars(ticks: DataFrame, size: int) -> DataFrame:
 def with_bar_no(bars: DataFrame) -> DataFrame:
     """bar_no counts a series' bars from 0 over all days."""
     by = [c for c in ("symbol", "bar_size") if c in bars.columns]
-    return bars.withColumn("bar_no", F.row_number().over(Window.partitionBy(*by).orderBy("trade_date", "bar_idx")).cast("bigint") - 1)
+    return numbered(bars, by, F.col("trade_date"), ["bar_idx"], "bar_no").withColumn("bar_no", F.col("bar_no").cast("bigint") - 1)
 
 
 def sweep_sizes(start: int, end: int, step: int, least: int = 10) -> list[int]:

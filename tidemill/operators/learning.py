@@ -4,86 +4,87 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ewm, numbered, rolling, series
+from ..functions.indicators import with_indicators
+from ..functions.windows import chunk_window, in_chunks, numbered, own_rows, quantiles, rolling
+from ..sources.shared import stored
 
+#: The names of the features.
 FEATURES = (
     "ret_1 ret_3 ret_5 ret_10 atr_14 atr_pct ema_diff_10 ema_diff_30 ema_ratio_10_30 rsi_14 macd_hist bb_pct_b bb_bandwidth vol_surge_ratio vwap_disparity"
     " buy_ratio buy_ratio_ma5 session_progress is_open_hour is_close_hour day_of_week ticks_per_sec ticks_per_sec_log"
 ).split()
-_EMAS = {"_e10": 10, "_e30": 30}
 
 
 def _keys(bars: DataFrame) -> list[str]:
     return [k for k in ("symbol", "bar_size") if k in bars.columns]
 
 
-def _means(bars: DataFrame) -> DataFrame:
-    """The exponential means that features need, one grouped pass over each series."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("bar_no").reset_index(drop=True)
-        line = ewm(f["close"], span=12) - ewm(f["close"], span=26)
-        return f.assign(**{k: ewm(f["close"], span=n) for k, n in _EMAS.items()}, _hist=line - ewm(line, span=9))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields) + ", _e10 double, _e30 double, _hist double"
-    return bars.groupBy(*_keys(bars)).applyInPandas(run, schema)
-
-
 def features(bars: DataFrame) -> DataFrame:
     """Keys, bar_no, datetime, close_raw and the FEATURES, each from the bar before; rows with a missing one are dropped.
 
     Bars need datetime, buy_ratio and bar_duration_sec beside the usual columns.
     """
     by = _keys(bars)
-    w, c, col = series(by), F.col("close"), F.col
-    lag = lambda k=1: F.lag("close", k).over(w)
-    mean = lambda x, n: rolling(F.avg, x, n, w)
-    prior = F.coalesce(lag(), c)
-    step = F.coalesce(c - lag(), F.lit(0.0))
-    rows = _means(bars).withColumns({"_tr": F.greatest(col("high") - col("low"), F.abs(col("high") - prior), F.abs(col("low") - prior)), "_up": F.greatest(step, F.lit(0.0)), "_down": F.greatest(-step, F.lit(0.0))})
-    rows = rows.withColumns({"_atr": mean(col("_tr"), 14), "_m20": mean(c, 20), "_s20": rolling(F.stddev_samp, c, 20, w), "_minute": F.hour("datetime") * 60 + F.minute("datetime") - 540})
-    unit = col("_atr") + 1e-6
-    made = {f"ret_{n}": F.try_divide(c - lag(n), lag(n)) for n in (1, 3, 5, 10)} | {
-        "atr_14": col("_atr"), "atr_pct": col("_atr") / (c + 1e-6), "ema_diff_10": (c - col("_e10")) / unit, "ema_diff_30": (c - col("_e30")) / unit, "ema_ratio_10_30": (col("_e10") - col("_e30")) / unit,
-        "rsi_14": 100 - 100 / (1 + mean(col("_up"), 14) / (mean(col("_down"), 14) + 1e-8)), "macd_hist": col("_hist") / unit,
-        "bb_pct_b": (c - col("_m20") + 2 * col("_s20")) / (4 * col("_s20") + 1e-8), "bb_bandwidth": 4 * col("_s20") / (col("_m20") + 1e-8),
-        "vol_surge_ratio": col("volume") / (mean(col("volume").cast("double"), 20) + 1e-6), "vwap_disparity": (c - col("vwap")) / unit, "buy_ratio": col("buy_ratio"), "buy_ratio_ma5": mean(col("buy_ratio"), 5),
-        "session_progress": F.least(F.greatest(col("_minute"), F.lit(0)), F.lit(405)) / 405.0, "is_open_hour": (col("_minute") <= 60).cast("double"), "is_close_hour": (col("_minute") >= 360).cast("double"),
-        "day_of_week": F.weekday("datetime") / 4.0, "ticks_per_sec": col("tick_count") / col("bar_duration_sec"), "ticks_per_sec_log": F.log1p(col("tick_count") / col("bar_duration_sec")),
+    w, c, col = chunk_window(by), F.col("close"), F.col
+    mean = lambda x, n: rolling(F.avg, col(x), n, w)
+    prior = lambda n: F.lag("close", n).over(w)
+    more = {
+        "_rise_or_0": (("_move",), lambda: F.greatest(F.coalesce("_move", F.lit(0.0)), F.lit(0.0))), "_fall_or_0": (("_move",), lambda: F.greatest(-F.coalesce("_move", F.lit(0.0)), F.lit(0.0))),
+        "_atr_14": (("_tr",), lambda: mean("_tr", 14)), "_volume": (("volume",), lambda: col("volume").cast("double")), "_volume_20": (("_volume",), lambda: mean("_volume", 20)),
+        "_minute": (("datetime",), lambda: F.hour("datetime") * 60 + F.minute("datetime") - 540), "_unit": (("_atr_14",), lambda: col("_atr_14") + 1e-6),
+        "_rate": (("tick_count", "bar_duration_sec"), lambda: col("tick_count") / col("bar_duration_sec")),
+    }
+    made = {f"ret_{n}": (("close",), lambda n=n: F.try_divide(c - prior(n), prior(n))) for n in (1, 3, 5, 10)} | {
+        "atr_14": (("_atr_14",), lambda: col("_atr_14")), "atr_pct": (("_atr_14",), lambda: col("_atr_14") / (c + 1e-6)),
+        "ema_diff_10": (("_ema_10", "_unit"), lambda: (c - col("_ema_10")) / col("_unit")), "ema_diff_30": (("_ema_30", "_unit"), lambda: (c - col("_ema_30")) / col("_unit")),
+        "ema_ratio_10_30": (("_ema_10", "_ema_30", "_unit"), lambda: (col("_ema_10") - col("_ema_30")) / col("_unit")),
+        "rsi_14": (("_rise_or_0", "_fall_or_0"), lambda: 100 - 100 / (1 + mean("_rise_or_0", 14) / (mean("_fall_or_0", 14) + 1e-8))),
+        "macd_hist": (("_hist", "_unit"), lambda: col("_hist") / col("_unit")),
+        "bb_pct_b": (("bb_mid", "_sd_20"), lambda: (c - col("bb_mid") + 2 * col("_sd_20")) / (4 * col("_sd_20") + 1e-8)), "bb_bandwidth": (("bb_mid", "_sd_20"), lambda: 4 * col("_sd_20") / (col("bb_mid") + 1e-8)),
+        "vol_surge_ratio": (("_volume_20",), lambda: col("volume") / (col("_volume_20") + 1e-6)), "vwap_disparity": (("_unit",), lambda: (c - col("vwap")) / col("_unit")),
+        "buy_ratio": ((), lambda: col("buy_ratio")), "buy_ratio_ma5": ((), lambda: mean("buy_ratio", 5)),
+        "session_progress": (("_minute",), lambda: F.least(F.greatest(col("_minute"), F.lit(0)), F.lit(405)) / 405.0), "is_open_hour": (("_minute",), lambda: (col("_minute") <= 60).cast("double")),
+        "is_close_hour": (("_minute",), lambda: (col("_minute") >= 360).cast("double")), "day_of_week": ((), lambda: F.weekday("datetime") / 4.0),
+        "ticks_per_sec": (("_rate",), lambda: col("_rate")), "ticks_per_sec_log": (("_rate",), lambda: F.log1p("_rate")),
     }
-    rows = rows.select(*by, "bar_no", "datetime", c.alias("close_raw"), *[made[k].alias(k) for k in FEATURES])
-    return rows.withColumns({k: F.lag(k).over(w) for k in FEATURES}).dropna(subset=FEATURES)
+    made = {f"_f_{k}": v for k, v in made.items()}
+    hist = {"_hist": (("macd_line", "macd_signal"), lambda: col("macd_line") - col("macd_signal"))}
+    before = {f"_b_{k}": ((f"_f_{k}",), lambda k=k: F.lag(f"_f_{k}").over(w)) for k in FEATURES}
+    rows = with_indicators(bars, list(before), more | hist | made | before)
+    return rows.select(*by, "bar_no", "datetime", c.alias("close_raw"), *[col(f"_b_{k}").alias(k) for k in FEATURES]).dropna(subset=FEATURES)
 
 
 def triple_barrier(bars: DataFrame, up: float = 2.0, down: float = 1.5, ahead: int = 15) -> DataFrame:
     """label and ret: which barrier the next ``ahead`` bars meet first (the upper one is looked at first in a bar)."""
     by = _keys(bars)
-    w, c = series(by), F.col("close")
+    w, c = chunk_window(by), F.col("close")
     prior = F.coalesce(F.lag("close").over(w), c)
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prior), F.abs(F.col("low") - prior))
-    rows = bars.withColumn("_tr", tr).withColumn("_atr", F.avg("_tr").over(w.rowsBetween(-13, 0)))
+    rows = in_chunks(bars, by, 16, ahead).withColumn("_tr", tr).withColumn("_atr", F.avg("_tr").over(w.rowsBetween(-13, 0)))
     nexts = F.collect_list(F.struct("high", "low", "close")).over(w.rowsBetween(1, ahead))
     rows = rows.withColumn("_top", c + up * F.col("_atr")).withColumn("_floor", c - down * F.col("_atr")).withColumn("_next", nexts)
     hit = F.filter(F.transform("_next", lambda b: F.when(b["high"] >= F.col("_top"), 1).when(b["low"] <= F.col("_floor"), -1)), lambda x: x.isNotNull())
     rows = rows.withColumn("label", F.coalesce(F.get(hit, F.lit(0)), F.lit(0)))
     end = F.when(F.size("_next") > 0, F.col("_next")[F.size("_next") - 1]["close"]).otherwise(c)
     exit_ = F.when(F.col("label") == 1, F.col("_top")).when(F.col("label") == -1, F.col("_floor")).otherwise(end)
-    return rows.withColumn("ret", F.coalesce(F.try_divide(exit_ - c, c), F.lit(0.0))).drop("_tr", "_atr", "_top", "_floor", "_next")
+    rows = own_rows(rows.withColumn("ret", F.coalesce(F.try_divide(exit_ - c, c), F.lit(0.0))))
+    return rows.drop("_tr", "_atr", "_top", "_floor", "_next")
 
 
 def forward_return(bars: DataFrame, n: int = 5) -> DataFrame:
-    ahead = F.lead("close", n).over(series(_keys(bars)))
-    return bars.withColumn("fwd_ret", F.try_divide(ahead - F.col("close"), F.col("close")))
+    by = _keys(bars)
+    ahead = F.lead("close", n).over(chunk_window(by))
+    return own_rows(in_chunks(bars, by, 0, n).withColumn("fwd_ret", F.try_divide(ahead - F.col("close"), F.col("close"))))
 
 
 def sequences(rows: DataFrame, columns: Sequence[str], length: int) -> DataFrame:
-    """For each row with ``length`` rows before it: their values as an array of vectors, oldest first."""
-    w = series(_keys(rows)).rowsBetween(-length, -1)
-    return rows.withColumn("sequence", F.collect_list(F.array(*columns)).over(w)).where(F.size("sequence") == length)
+    """For each row (with bar_no) with ``length`` rows before it: their values as an array of vectors, oldest first."""
+    by = _keys(rows)
+    w = chunk_window(by).rowsBetween(-length, -1)
+    return own_rows(in_chunks(rows, by, length).withColumn("sequence", F.collect_list(F.array(*columns)).over(w)).where(F.size("sequence") == length))
 
 
 def patches(sequence: Column, length: int = 4, stride: int = 2) -> Column:
@@ -128,7 +129,8 @@ def psi(expected: DataFrame, actual: DataFrame, columns: Sequence[str], buckets:
     """Population stability index per column, over the deciles of ``expected``."""
     at = [i / buckets for i in range(1, buckets)]
     long = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))).where("x is not null")
-    cuts = long(expected).groupBy("feature").agg(F.percentile("x", F.array(*map(F.lit, at))).alias("cuts"))
+    cuts = quantiles(long(expected), ["feature"], "x", at).select("feature", F.col("quantiles").alias("cuts"))
+    cuts = stored(cuts, "cuts")  # a row for each column; both sides read it
     shares = []
     for side, df in (("e", expected), ("a", actual)):
         rows = long(df).join(F.broadcast(cuts), "feature")

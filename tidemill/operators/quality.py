@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import lagged, quantiles
+
 
 def tick_sides(ticks: DataFrame, by: tuple[str, ...] = ("trade_date",)) -> DataFrame:
     """side by the tick rule: 1 after a rise, -1 after a fall, 0 otherwise and on a day's first tick."""
-    move = F.col("price") - F.lag("price").over(Window.partitionBy(*by).orderBy("ts", "seq"))
-    return ticks.withColumn("side", F.coalesce(F.signum(move).cast("int"), F.lit(0)))
+    rows = lagged(ticks, by, F.date_trunc("minute", "ts"), ("ts", "seq"), {"_last": "price"})
+    return rows.withColumn("side", F.coalesce(F.signum(F.col("price") - F.col("_last")).cast("int"), F.lit(0))).drop("_last")
 
 
 def side_of_text(text: Column) -> Column:
@@ -30,8 +32,8 @@ def first_of(ticks: DataFrame, *columns: str, order: tuple[str, ...] = ("seq",))
 
 def halts(ticks: DataFrame, seconds: int = 900, opens: str = "09:00:00", closes: str = "15:30:00") -> DataFrame:
     """Gaps of more than ``seconds`` within a day that begin during the session."""
-    w = Window.partitionBy("trade_date").orderBy("ts", "seq")
-    rows = ticks.select("trade_date", F.lag("ts").over(w).alias("halt_from"), F.col("ts").alias("halt_to"))
+    rows = lagged(ticks.select("trade_date", "ts", "seq"), ["trade_date"], F.date_trunc("minute", "ts"), ("ts", "seq"), {"halt_from": "ts"})
+    rows = rows.select("trade_date", "halt_from", F.col("ts").alias("halt_to"))
     at = F.date_format("halt_from", "HH:mm:ss")
     return rows.where((F.expr("timestampdiff(MICROSECOND, halt_from, halt_to)") > seconds * 1_000_000) & at.between(opens, closes))
 
@@ -125,9 +127,9 @@ def in_period(rows: DataFrame, column: str, kind: str, value: str = "", end: str
 
 
 def close_filter(bars: DataFrame, least: int = 10) -> DataFrame:
-    """Of series with more than ``least`` bars, those whose close is within 0.2 to 5 times the series' median."""
+    """Of series with more than ``least`` bars (with a close), those whose close is within 0.2 to 5 times the series' median."""
     by = [c for c in ("symbol", "bar_size") if c in bars.columns]
-    mid = bars.groupBy(*by).agg(F.median("close").alias("_median"), F.count("*").alias("_n"))
+    mid = quantiles(bars, by, "close", [0.5]).select(*by, F.col("quantiles")[0].alias("_median"), F.col("n").alias("_n"))
     near = (F.col("close") > 0.2 * F.col("_median")) & (F.col("close") < 5 * F.col("_median"))
     return bars.join(mid, by).where((F.col("_n") <= least) | near).drop("_median", "_n")
 

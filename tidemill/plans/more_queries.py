@@ -44,7 +44,7 @@ SELECT {BARS_OUT} FROM b"""
 
 
 RANKED = ", k AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY ts, seq) AS rn, sum(volume) OVER (PARTITION BY trade_date ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS cv FROM {0})"
-STATS = """, d AS (SELECT trade_date, median(price) AS day_median FROM t GROUP BY trade_date),
+STATS = """, d AS (SELECT trade_date, median(price) AS day_median FROM t WHERE price > 0 AND volume >= 0 GROUP BY trade_date),
 ds AS (SELECT *, avg(day_median) OVER (ORDER BY trade_date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS neighbor_avg FROM d)"""
 GOOD = """, g AS (SELECT t.* FROM t JOIN ds USING (trade_date) WHERE price > 0 AND volume >= 0 AND abs(price - day_median) <= 0.15 * day_median
   AND (neighbor_avg IS NULL OR abs(day_median - neighbor_avg) <= 0.15 * neighbor_avg))"""
@@ -101,7 +101,7 @@ SELECT {DAY}, bar_idx, first(l_extendedprice ORDER BY l_shipdate, {ORDER_SEQ}) A
   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume, count(*) AS tick_count FROM n GROUP BY trade_date, bar_idx""",
 )
 def order_bars(spark, sf_dir):
-    return text_dates(B.tick_bars(B.order_ticks(spark, sf_dir), 10).select("trade_date", "bar_idx", "open", "high", "low", "close", "volume", "tick_count"))
+    return text_dates(B.tick_bars(B.order_ticks(spark, sf_dir), 10, piece=F.struct("ts", F.expr("seq.l_orderkey div 65536"))).select("trade_date", "bar_idx", "open", "high", "low", "close", "volume", "tick_count"))
 
 
 SIDES = ", sd AS (SELECT *, CAST(coalesce(sign(price - lag(price) OVER (PARTITION BY trade_date ORDER BY ts, seq)), 0) AS INTEGER) AS side FROM t)"
@@ -270,7 +270,7 @@ SINGLE = ["EMA_Cross", "RSI", "Bollinger_Bands"]
 
 
 def signal_rows(spark, sf_dir, names=tuple(SINGLE)):
-    rows = strategies.with_signals(indicators.with_indicators(series(spark, sf_dir)), names)
+    rows = strategies.with_signals(series(spark, sf_dir), names)
     return stored(T.long_signals(rows, list(names)), "signals")
 
 
@@ -377,13 +377,13 @@ VOLS = tuple(n for n in strategies.VOLATILITY if n != "RVI")
 
 @query("vote_momentum", _signals_sql(tuple(strategies.MOMENTUM)) + " SELECT symbol, bar_no, CAST(CASE WHEN avg(signal) > 0.2 THEN 1 WHEN avg(signal) < -0.2 THEN -1 ELSE 0 END AS INTEGER) AS signal FROM sg GROUP BY symbol, bar_no")
 def vote_momentum(spark, sf_dir):
-    rows = strategies.with_signals(indicators.with_indicators(series(spark, sf_dir)), strategies.MOMENTUM)
+    rows = strategies.with_signals(series(spark, sf_dir), strategies.MOMENTUM)
     return T.ensembles(rows, ["MOMENTUM"]).select("symbol", "bar_no", F.col("MOMENTUM_Ensemble").alias("signal"))
 
 
 @query("vote_custom", _signals_sql(VOLS) + " SELECT symbol, bar_no, CAST(CASE WHEN avg(signal) > 0.2 THEN 1 WHEN avg(signal) < -0.2 THEN -1 ELSE 0 END AS INTEGER) AS signal FROM sg GROUP BY symbol, bar_no")
 def vote_custom(spark, sf_dir):
-    rows = strategies.with_signals(indicators.with_indicators(series(spark, sf_dir)), VOLS)
+    rows = strategies.with_signals(series(spark, sf_dir), VOLS)
     return rows.select("symbol", "bar_no", strategies.vote(VOLS).cast("int").alias("signal"))
 
 
@@ -392,7 +392,7 @@ def grid_all(spark, sf_dir):
     """Every strategy, category votes and the votes of the best, on bars of three sizes."""
     bars = B.with_bar_no(B.tick_bars(B.event_ticks(spark, sf_dir), [20, 40, 80], per_symbol=True))
     names = strategies.CATEGORIES["ALL"]
-    rows = T.ensembles(strategies.with_signals(indicators.with_indicators(bars), names))
+    rows = T.ensembles(strategies.with_signals(bars, names))
     done = T.grid(rows, [*names, *[f"{c}_Ensemble" for c in strategies.CATEGORIES]])
     return done.select("symbol", "bar_size", "strategy", "bars", "total_trades", *[F.round(c, 4).alias(c) for c in FIGURES])
 

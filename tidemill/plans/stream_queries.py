@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import indicators, strategies
+from ..functions import strategies
 from ..operators import bars as B
 from ..sources import cdt, csv_ticks
 from ..sources.shared import shared_path
@@ -57,7 +57,7 @@ def stream_windows(spark, sf_dir):
     + f"SELECT symbol, bar_no, action, CAST(CASE WHEN label <> 0 THEN label ELSE held END AS INTEGER) AS target_pos, round(close + way * 2.0 * span, 6) AS take_profit, round(close - way * 1.5 * span, 6) AS stop_loss FROM s{len(SIGNALS['ATR_Breakout'][0]) + 4}",
 )
 def live_actions(spark, sf_dir):
-    rows = strategies.with_signals(indicators.with_indicators(series(spark, sf_dir)), ["ATR_Breakout"])
+    rows = strategies.with_signals(series(spark, sf_dir), ["ATR_Breakout"])
     done = live.actions(rows.withColumn("label", F.col("ATR_Breakout")))
     return done.select("symbol", "bar_no", "action", "target_pos", F.round("take_profit", 6).alias("take_profit"), F.round("stop_loss", 6).alias("stop_loss"))
 

@@ -41,12 +41,12 @@ for _name, _columns in indicators.INDICATORS.items():
     if _name == "adx_di":  # adx has gaps where both directions are flat and is a query of its own
         _kept = ["plus_di", "minus_di"]
     query(f"ind_{_name}", indicator_sql.indicator_sql(_name) or recursive_sql.INDICATORS.get(_name))(
-        lambda spark, sf_dir, kept=tuple(_kept): indicators.with_indicators(series(spark, sf_dir)).select("symbol", "bar_no", *rounded(list(kept), EXACT))
+        lambda spark, sf_dir, kept=tuple(_kept): indicators.with_indicators(series(spark, sf_dir), kept).select("symbol", "bar_no", *rounded(list(kept), EXACT))
     )
 
-query("ind_adx", recursive_sql.INDICATORS["adx"])(lambda spark, sf_dir: indicators.with_indicators(series(spark, sf_dir)).select("symbol", "bar_no", F.round("adx", 6).alias("adx")))
+query("ind_adx", recursive_sql.INDICATORS["adx"])(lambda spark, sf_dir: indicators.with_indicators(series(spark, sf_dir), ["adx"]).select("symbol", "bar_no", F.round("adx", 6).alias("adx")))
 
 for _name in strategies.CATEGORIES["ALL"]:
     query(f"sig_{_name.lower()}", indicator_sql.signal_sql(_name) or recursive_sql.SIGNALS.get(_name))(
-        lambda spark, sf_dir, name=_name: strategies.with_signals(indicators.with_indicators(series(spark, sf_dir)), [name]).select("symbol", "bar_no", F.col(name).alias("signal"))
+        lambda spark, sf_dir, name=_name: strategies.with_signals(series(spark, sf_dir), [name]).select("symbol", "bar_no", F.col(name).alias("signal"))
     )

@@ -6,10 +6,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.windows import carried, chunk_window, in_chunks, own_rows
 from ..sources.shared import shared_path
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -22,19 +23,6 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ts", F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("bigint").alias("volume"))
 
 
-def simulated_ticks(spark: SparkSession, per_second: int = 20, start: float = 345.0, step: float = 0.05, seed: int = 42) -> DataFrame:
-    """An endless feed: steps of -1, 0 or 1 (44, 12 and 44 %) around ``start``, from the row's number alone, so that a
-    restarted stream repeats itself. The walk's position is a sum of slow waves, which keeps it near the start."""
-    rows = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
-    draw = F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(100))
-    move = F.when(draw < 44, -1).when(draw < 56, 0).otherwise(1)
-    wave = F.round(F.sin(F.col("value") / 97.0) * 12 + F.sin(F.col("value") / 11.0) * 3)
-    return rows.select(
-        F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.col("value").alias("seq"), F.lit("SIM").alias("symbol"),
-        F.round(F.lit(start) + step * (wave + move), 2).alias("price"), (1 + F.pmod(F.xxhash64("value", F.lit(seed + 1)), F.lit(19))).cast("bigint").alias("volume"),
-    )
-
-
 BAR = "symbol string, bar_no bigint, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume bigint, ticks int, complete boolean"
 HELD = "bar_no bigint, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume bigint, ticks int"
 
@@ -114,11 +102,14 @@ def actions(rows: DataFrame) -> DataFrame:
     ranges of the last 14 bars away.
     """
     by = [k for k in ("symbol", "bar_size") if k in rows.columns]
-    w = Window.partitionBy(*by).orderBy("bar_no")
+    w = chunk_window(by)
     turned = F.when(F.col("label") != 0, F.col("label"))
-    held = F.coalesce(F.last(turned, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    span = F.avg(F.col("high") - F.col("low")).over(w.rowsBetween(-13, 0))
+    rows = carried(in_chunks(rows, by, 16), by, {"_so_far": turned})
+    held = F.coalesce(F.lag("_so_far").over(w), F.lit(0))
+    rows = own_rows(rows.withColumns({"_held": held, "_range": F.avg(F.col("high") - F.col("low")).over(w.rowsBetween(-13, 0))}))
+    held, span = F.col("_held"), F.col("_range")
     out = rows.withColumn("action", F.when((F.col("label") == 1) & (held <= 0), "BUY").when((F.col("label") == -1) & (held >= 0), "SELL").otherwise("HOLD"))
     out = out.withColumn("target_pos", F.coalesce(turned, held).cast("int"))
     way = F.when(F.col("action") == "BUY", 1).when(F.col("action") == "SELL", -1)
-    return out.withColumn("take_profit", F.col("close") + way * 2.0 * span).withColumn("stop_loss", F.col("close") - way * 1.5 * span)
+    out = out.withColumn("take_profit", F.col("close") + way * 2.0 * span).withColumn("stop_loss", F.col("close") - way * 1.5 * span)
+    return out.drop("_so_far", "_held", "_range")
