@@ -1,17 +1,19 @@
 """WARC archives: writing with revisit records, and reading in parallel by boundary-chain verification.
 
 Archives are UTF-8 text to Spark's text writer (one record per row, the blank lines after a record as line separator),
-so they can be written to and read from any store that Spark reaches. Reading cuts files at the magic line
-``WARC/1.0``, wherever it stands, also inside payloads. Every cut is a candidate record: its task reads the header and
-emits the offset of the candidate and of its successor (header + Content-Length + blank lines). Within a split the
-chains are followed at once, so that a candidate's pointer leads out of its split; pointer jumping over the splits then
-finds which candidates can be reached from the start of each file, and only those are records. The magic inside a
-payload has no such chain. Payloads that hold the magic are put together from their pieces.
+so they can be written to and read from any store that Spark reaches; uncompressed ones are read in splits. Reading cuts
+files at the magic line ``WARC/1.0``, wherever it stands, also inside payloads. Every cut is a candidate record: its task
+reads the header and emits the offset of the candidate and of its successor (header + Content-Length + blank lines).
+Tasks cut what they read into stretches of some megabytes, which bounds what they hold. Within a stretch the chains are
+followed at once, so that a candidate's pointer leads out of its stretch; pointer jumping over the stretches then finds
+which candidates can be reached from the start of each file, and only those are records. The magic inside a payload has no
+such chain. Payloads that hold the magic are put together from their pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +28,13 @@ BLANK = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
+#: Bytes that a task reads before it passes on its candidates: chains are followed within such a stretch at once, and from
+#: stretch to stretch by pointer jumping.
+STRETCH = 2 << 20
+#: Records of an archive; a larger task writes several archives.
+FILE_RECORDS = 100_000
+#: Revisits (about 100 bytes each) that may be sent to the pages; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _line(name: str, value: Column) -> Column:
@@ -40,7 +49,8 @@ def archive_rows(pages: DataFrame) -> DataFrame:
     leaders = prints.groupBy("digest", "full").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies")).where("copies > 1")
     # Few columns and no payload pass through the join on digests, where a popular page is a hot key.
     later = prints.join(leaders.select("digest", "full", "leader"), ["digest", "full"]).where("not page_id <=> leader")
-    later = later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "leader").distinct()
+    later = written(later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "leader").distinct(), "warc-revisits")
+    later = F.broadcast(later) if later.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else later
     rows = pages.join(later, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("n") >= REVISIT_BYTES), "left")
     again = F.col("leader").isNotNull()
     block = F.concat(F.lit(HTTP), F.when(again, F.lit("")).otherwise(F.col("html")))
@@ -62,15 +72,16 @@ def archive_rows(pages: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write one archive per task. Null html is an empty payload, null urls and ids are empty fields; an empty table
+def write_archives(pages: DataFrame, path: str, compression: str = "none") -> None:
+    """Write one archive per task and FILE_RECORDS pages. Null html is an empty payload, null urls and ids are empty fields; an empty table
     writes no record. Of equal payloads of REVISIT_BYTES or more the largest page_id is the response and the others
-    revisit it; rows that repeat an id and a payload are alike."""
-    archive_rows(pages).write.option("lineSep", BLANK).option("compression", compression).text(path)
+    revisit it; rows that repeat an id and a payload are alike. Payloads may be of any length that a row may have; other
+    columns are not read. Uncompressed archives can be read in splits, gzip ones a file by one task."""
+    archive_rows(pages).write.option("lineSep", BLANK).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 CANDIDATE = (
-    "file string, block bigint, idx bigint, rel bigint, size bigint, next bigint, leaves bigint, complete boolean, type string, record string, uri string,"
+    "file string, block bigint, stretch bigint, idx bigint, rel bigint, size bigint, next bigint, leaves bigint, complete boolean, type string, record string, uri string,"
     " refers string, payload_bytes bigint, payload_digest string"
 )
 
@@ -92,45 +103,50 @@ def describe(block: bytes, fields: dict[str, str]) -> tuple[int | None, str | No
     return len(payload), hashlib.sha1(payload).hexdigest()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (file, block, piece) in file order; a split's candidates go out when the split ends."""
+def _candidates(stretch: int):
+    """From rows (file, block, piece) in file order, the candidates of each stretch when it ends."""
     names = [x.split()[0] for x in CANDIDATE.split(", ")]
-    split, rows, rel = None, [], 0
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        # Chains within the split, last candidate first. A record's magic stands len(MAGIC) before its piece.
-        at = {r[3] - len(MAGIC): i for i, r in enumerate(rows) if r[2] or r[1]}
-        edge = rows[-1][3] + rows[-1][4]
+
+    def followed(rows: list[list]) -> Iterator[pa.RecordBatch]:
+        # Chains within the stretch, last candidate first. A record's magic stands len(MAGIC) before its piece.
+        at = {r[4] - len(MAGIC): i for i, r in enumerate(rows) if r[3] or r[1]}
+        edge = rows[-1][4] + rows[-1][5]
         for r in reversed(rows):
-            if r[5] is not None:
-                r[6] = rows[at[r[5]]][6] if r[5] in at else r[5] if r[5] >= edge else None
+            if r[6] is not None:
+                r[7] = rows[at[r[6]]][7] if r[6] in at else r[6] if r[6] >= edge else None
         for s in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_pydict(
                 {n: pa.array(c, t) for n, c, t in zip(names, zip(*rows[s : s + 20_000], strict=True), TYPES, strict=True)}
             )
 
-    for batch in batches:
-        for file, block, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (file, block) != split:
-                yield from close()
-                split, rows, rel = (file, block), [], 0
-            size, fields = header_of(piece)
-            length = fields.get("content-length", "")
-            row = [file, block, len(rows), rel, len(piece), None, None, False, None, None, None, None, None, None]
-            if size and length.isdigit() and (rows or block):  # what stands before a file's first magic is no record
-                row[5] = rel + size + int(length) + len(BLANK)
-                row[7] = row[5] == rel + len(piece)
-                row[8:12] = fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to")
-                if row[7]:
-                    row[12:14] = describe(piece[size : size + int(length)], fields)
-            rows.append(row)
-            rel += len(piece) + len(MAGIC)
-    yield from close()
-
-
-TYPES = [pa.string(), *[pa.int64()] * 6, pa.bool_(), *[pa.string()] * 4, pa.int64(), pa.string()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, rows, rel, idx = None, [], 0, 0
+        for batch in batches:
+            for file, block, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and ((file, block) != split or rel // stretch != rows[0][2]):
+                    yield from followed(rows)
+                    rows = []
+                if (file, block) != split:
+                    split, rel, idx = (file, block), 0, 0
+                size, fields = header_of(piece)
+                length = fields.get("content-length", "")
+                row = [file, block, rel // stretch, idx, rel, len(piece), None, None, False, None, None, None, None, None, None]
+                if size and length.isdigit() and (idx or block):  # what stands before a file's first magic is no record
+                    row[6] = rel + size + int(length) + len(BLANK)
+                    row[8] = row[6] == rel + len(piece)
+                    row[9:13] = fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to")
+                    if row[8]:
+                        row[13:15] = describe(piece[size : size + int(length)], fields)
+                rows.append(row)
+                rel += len(piece) + len(MAGIC)
+                idx += 1
+        if rows:
+            yield from followed(rows)
+
+    return run
+
+
+TYPES = [pa.string(), *[pa.int64()] * 7, pa.bool_(), *[pa.string()] * 4, pa.int64(), pa.string()]
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -139,7 +155,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """Of a split's candidates, those on the chain from its entry."""
+    """Of a stretch's candidates, those on the chain from its entry."""
     group = group.sort_values("start")
     at, entry = dict(zip(group["start"], group["next"], strict=True)), group.loc[group["entry"], "start"]
     kept, now = [], entry.iloc[0] if len(entry) else None
@@ -149,33 +165,38 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": group["file"].iloc[0], "start": kept}).astype({"start": "int64"})
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def reached(chain: DataFrame) -> DataFrame:
+    """(file, start) of the candidates at which a stretch is entered on the way from the start of its file. The pointers'
+    reach doubles with every round, so there are as many rounds as a file's stretches have binary digits."""
+    jumps = chain.where("leaves is not null").select("file", "start", F.col("leaves").alias("to"))
+    entries, size = written(chain.select("file").distinct().withColumn("start", F.lit(0).cast("bigint")), "warc-entries"), -1
+    while (now := entries.count()) != size:
+        size = now
+        more = entries.join(jumps, ["file", "start"]).select("file", F.col("to").alias("start"))
+        entries = written(entries.unionByName(more).distinct(), "warc-entries")
+        further = jumps.select(F.col("file"), F.col("start").alias("to"), F.col("to").alias("end"))
+        jumps = written(jumps.join(further, ["file", "to"], "left").select("file", "start", F.coalesce("end", "to").alias("to")), "warc-jumps")
+    return entries
+
+
+def read_archives(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
     """One row per record: file, start, type, record, uri, refers, payload_bytes, payload_digest."""
-    found = written(pieces(spark, path).mapInArrow(_candidates, CANDIDATE), "warc-candidates")
+    found = written(pieces(spark, path).mapInArrow(_candidates(stretch), CANDIDATE), "warc-candidates")
     splits = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     absolute = lambda c, back=0: (F.col(c) + F.col("base") - back).alias
     chain = found.join(splits, ["file", "block"]).where("next is not null")
-    chain = chain.select("file", "block", "idx", absolute("rel", len(MAGIC))("start"), absolute("next")("next"), absolute("leaves")("leaves"), "complete", "type", "record", "uri", "refers", "payload_bytes", "payload_digest")
-    several = found.where("block > 0").limit(1).count() > 0
-    entries = found.select("file").distinct().withColumn("start", F.lit(0).cast("bigint"))
-    if several:  # pointer jumping: the pointers' reach doubles, so rounds grow with the logarithm of a file's splits
-        chain = written(chain, "warc-chain")
-        jumps = chain.where("leaves is not null").select("file", "start", F.col("leaves").alias("to"))
-        entries, size = written(entries, "warc-entries"), -1
-        while (now := entries.count()) != size:
-            size = now
-            reached = entries.join(jumps, ["file", "start"]).select("file", F.col("to").alias("start"))
-            entries = written(entries.unionByName(reached).distinct(), "warc-entries")
-            further = jumps.select(F.col("file"), F.col("start").alias("to"), F.col("to").alias("end"))
-            jumps = written(jumps.join(further, ["file", "to"], "left").select("file", "start", F.coalesce("end", "to").alias("to")), "warc-jumps")
-    marked = chain.join(entries.withColumn("entry", F.lit(True)), ["file", "start"], "left")
-    marked = marked.select("file", "block", "start", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
-    kept = marked.groupBy("file", "block").applyInPandas(_walk, "file string, start bigint")
+    chain = chain.select(
+        "file", "block", "stretch", "idx", absolute("rel", len(MAGIC))("start"), absolute("next")("next"), absolute("leaves")("leaves"), "complete", "type", "record", "uri", "refers", "payload_bytes", "payload_digest",
+    )
+    chain = written(chain, "warc-chain")
+    marked = chain.join(reached(chain).withColumn("entry", F.lit(True)), ["file", "start"], "left")
+    marked = marked.select("file", "block", "stretch", "start", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
+    kept = marked.groupBy("file", "block", "stretch").applyInPandas(_walk, "file string, start bigint")
     records = written(chain.join(kept, ["file", "start"]), "warc-records")
-    cut = records.where("not complete").select("file", "start", "next")
-    whole = records.where("complete").drop("block", "idx", "next", "leaves", "complete")
+    cut = records.where("not complete").select("file", "block", "stretch", "start", "next")
+    whole = records.where("complete").drop("block", "stretch", "idx", "next", "leaves", "complete")
     if not cut.limit(1).count():
         return whole
     return whole.unionByName(_joined(spark, path, cut, found.join(splits, ["file", "block"]), absolute))
@@ -183,12 +204,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def _joined(spark: SparkSession, path: str, cut: DataFrame, found: DataFrame, absolute) -> DataFrame:
     """Records whose payload holds the magic, from all pieces between their start and their successor."""
-    places = found.select("file", "block", "idx", absolute("rel", len(MAGIC))("at"))
-    # Records don't overlap: a piece belongs to the last record that starts at or before it.
-    both = places.join(cut.select("file").distinct(), "file", "left_semi").withColumn("start", F.lit(None).cast("bigint")).withColumn("next", F.lit(None).cast("bigint"))
-    both = both.unionByName(cut.select("file", F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("idx"), F.col("start").alias("at"), "start", "next"))
-    last = Window.partitionBy("file").orderBy("at", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    held = both.select("file", "block", "idx", "at", F.last("start", True).over(last).alias("start"), F.last("next", True).over(last).alias("next"))
+    places = found.select("file", "block", "stretch", "idx", absolute("rel", len(MAGIC))("at"))
+    # Records don't overlap: a piece belongs to the last record that starts at or before it, in its stretch or before that.
+    key, none = ["file", "block", "stretch"], lambda c: F.lit(None).cast("bigint").alias(c)
+    both = places.join(F.broadcast(cut.select("file").distinct()) if cut.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else cut.select("file").distinct(), "file", "left_semi")
+    both = both.select(*key, "idx", "at", none("start"), none("next")).unionByName(cut.select(*key, none("idx"), F.col("start").alias("at"), "start", "next"))
+    ends = both.groupBy(*key).agg(F.max_by(F.struct("start", "next"), "start").alias("end"))
+    ends = ends.select(*key, F.last("end", True).over(Window.partitionBy("file").orderBy("block", "stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("end"))
+    last = Window.partitionBy(*key).orderBy("at", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumns({"start": F.last("start", True).over(last), "next": F.last("next", True).over(last)}).join(ends, key)
+    held = held.withColumns({"start": F.coalesce("start", "end.start"), "next": F.coalesce("next", "end.next")})
     held = held.where("idx is not null and start is not null and at < next").select("file", "block", "idx", "at", "start")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +246,6 @@ def page_number(record: str) -> Column:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
-    import uuid
-
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path)
