@@ -1,11 +1,12 @@
 """Benchmark decontamination: which documents contain a test item (DataFrame operations only).
 
-Size-partitioned MinHash containment search. Items are partitioned by the number q of their distinct five-word
-shingles; a partition of sizes (lo, hi] gives each of its items the floor((1 - t) * q) + 1 smallest shingle hashes as
-its MinHash sketch. A document that holds at least t * q of the item's shingles lacks at most (1 - t) * q of them, so
-it must hold one of the sketch: the search has full recall at a sketch width that follows the partition's sizes, where
-symmetric MinHash between a short item and a long document would need thousands of rows. Documents take part in the
-partitions whose smallest item they are long enough to hold. Candidates are then verified by exact containment of the
+Size-partitioned MinHash containment search. Items are partitioned by the number q of their distinct five-word shingles:
+partition c has those with 2**(c-1) < q <= 2**c. It has a width of its own, floor((1 - t) * 2**c) + 1, and gives each of
+its items so many smallest shingle hashes as its MinHash sketch; and it has a least size of documents, t times its smallest
+q, below which a document can't hold any of its items. A document that holds at least t * q of an item's shingles lacks at
+most (1 - t) * q of them, fewer than the width, so it must hold one of the sketch: the search has full recall, where
+symmetric MinHash between a short item and a long document would need thousands of rows. A document's shingles are looked
+up partition by partition, in those that it is long enough for. Candidates are then verified by exact containment of the
 shingle texts.
 """
 
@@ -20,7 +21,7 @@ from .common import written
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: Sketch rows (24 bytes each) that may be broadcast; beyond it candidates are found by a shuffled join.
+#: Sketch rows (40 bytes each) that are broadcast at once; more are looked up in as many blocks as it takes.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -59,12 +60,30 @@ def shingle_hashes(words: Column, width: int = WIDTH) -> Column:
 
 
 def item_sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """item_id, q, size_class and hash: the q-dependent bottom of each item's distinct shingle hashes."""
+    """item_id, q, the item's partition (size_class), the least shingles of a document there, and a row for each hash of the
+    sketch, whose width is that of the partition."""
     rows = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(words_of(F.col("text")), width))).alias("distinct"))
-    rows = rows.withColumn("q", F.size("distinct")).where("q > 0")
-    rows = rows.withColumn("size_class", F.ceil(F.log2("q")).cast("int"))
-    rows = rows.withColumn("k", F.floor((1 - threshold) * F.col("q") + 1e-9).cast("int") + 1)
-    return rows.select("item_id", "q", "size_class", F.explode(F.slice("distinct", 1, F.col("k"))).alias("hash"))
+    rows = rows.withColumn("q", F.size("distinct")).where("q > 0").withColumn("size_class", F.ceil(F.log2("q")).cast("int"))
+    smallest = F.when(F.col("size_class") == 0, 1).otherwise(F.pow(F.lit(2.0), F.col("size_class") - 1) + 1)
+    rows = rows.withColumn("least", F.ceil(threshold * smallest - 1e-9).cast("int"))
+    rows = rows.withColumn("k", F.floor((1 - threshold) * F.pow(F.lit(2.0), "size_class") + 1e-9).cast("int") + 1)
+    return rows.select("item_id", "q", "size_class", "least", F.explode(F.slice("distinct", 1, F.col("k"))).alias("hash"))
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, threshold: float, width: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, item_id) of documents that hold a hash of an item's sketch and are long enough for the item."""
+    total, least = sketch.agg(F.count("*"), F.coalesce(F.min("least"), F.lit(1))).first()
+    own = docs.select("doc_id", shingle_hashes(words_of(F.col("text")), width).alias("hashes")).where(F.size("hashes") >= least)
+    own = own.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    blocks, out = max(1, -(-total // rows)), None
+    for b in range(blocks):
+        mine = lambda df: df.where(F.pmod("hash", F.lit(blocks)) == b) if blocks > 1 else df  # noqa: B023, E731
+        part = mine(sketch)
+        keys = part.select("hash", "size_class", "least").distinct()
+        hits = mine(own).join(F.broadcast(keys), "hash").where("n >= least").select("doc_id", "n", "size_class", "hash").distinct()
+        found = hits.join(F.broadcast(part), ["size_class", "hash"]).where(f"n >= {threshold} * q - 1e-9").select("doc_id", "item_id")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -72,22 +91,21 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
     Null and empty texts have no shingles and match nothing. Texts of fewer than ``width`` words have all their words as
     one shingle, so such an item is found only in a document that consists of it. Rows that repeat an id count as one
-    document or item with the shingles of each row tested apart. Only doc_id, item_id and text are read.
+    document or item with the shingles of each row tested apart. Texts are read whole, however long. Only doc_id, item_id
+    and text are read.
     """
     items = items.select("item_id", "text").distinct()
     sketch = written(item_sketches(items, threshold, width), "sketches")
-    bounds = sketch.agg(F.count("*").alias("n"), F.coalesce(F.min("q"), F.lit(1)).alias("q")).first()
-    least = max(1, int(-(-(threshold * bounds["q"] - 1e-9) // 1)))
-    rows = docs.select("doc_id", shingle_hashes(words_of(F.col("text")), width).alias("hashes")).where(F.size("hashes") >= least)
-    found = rows.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
-    sketch = F.broadcast(sketch) if bounds["n"] <= BROADCAST_ROWS else sketch
-    candidates = written(found.join(sketch, "hash").where(f"n >= {threshold} * q - 1e-9").select("doc_id", "item_id").distinct(), "candidates")
-    texts = docs.select("doc_id", "text").join(candidates, "doc_id")
+    pairs = written(candidates(docs, sketch, threshold, width), "candidates")
+    texts = docs.select("doc_id", "text").join(pairs, "doc_id")
     wanted = items.select("item_id", shingle_texts(words_of(F.col("text")), width).alias("wanted"))
     pairs = texts.join(wanted, "item_id").withColumn("n_item", F.size("wanted"))
     pairs = pairs.withColumn("n_shared", F.size(F.array_intersect(F.col("wanted"), shingle_texts(words_of(F.col("text")), width))))
     pairs = pairs.where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), F.col("n_shared").cast("bigint").alias("n_shared"), F.col("n_item").cast("bigint").alias("n_item"))).alias("x"))
+    figures = F.struct(
+        (F.col("n_shared") / F.col("n_item")).alias("containment"), F.col("n_shared").cast("bigint").alias("n_shared"), F.col("n_item").cast("bigint").alias("n_item")
+    )
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max(figures).alias("x"))
     return best.select("doc_id", "item_id", "x.n_shared", "x.n_item", "x.containment")
 
 
