@@ -5,10 +5,11 @@ partition refinement, laid out as one transition array. A batch of texts is scan
 the bytes are cut into equal stretches that advance side by side in numpy; a stretch that was started in a wrong state
 is run again from the right one until it meets what is known, so the result is that of a sequential scan.
 
-The scan reports where some match of a rule is complete, or has begun for the rules in BEGINS. The extent of each match follows from two more automata of
-the rule: the reversed one, run back from that place to the leftmost start, and the rule itself, run on to the longest
-end; the next match of the rule begins no earlier than that end. This gives leftmost, longest, non-overlapping matches
-for rules in which an earlier start never completes later than a later one, as holds for those below.
+The scan reports where some match of a rule is complete, or has begun for the rules in BEGINS. The extent of each match
+follows from two more automata of the rule: the reversed one, run back from that place to the leftmost start, and the rule
+itself, run on to the longest end; the next match of the rule begins no earlier than that end. This gives leftmost, longest,
+non-overlapping matches for rules in which an earlier start never completes later than a later one, as holds for those
+below.
 """
 
 from __future__ import annotations
@@ -37,12 +38,19 @@ BASE_RULES = {
 #: follows; its text holds no two dashes in a row. Lengths are least ones, with open ends.
 MORE_RULES = {
     "slack": r"xox[abprs]-[0-9]{8,}(-[A-Za-z0-9]+)*",
-    "private_key": r"-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----(([\x00-\x2C\x2E-\xFE]|-[\x00-\x2C\x2E-\xFE])*-----END (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+    r"(([\x00-\x2C\x2E-\xFE]|-[\x00-\x2C\x2E-\xFE])*-----END (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)?",
     "mail_key": r"SG\.[A-Za-z0-9_-]{8,}(\.[A-Za-z0-9_-]+)?",
     "github": r"gh[pousr]_[A-Za-z0-9]{20,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+",
     "stripe": r"[rs]k_live_[A-Za-z0-9]{16,}",
     "gitlab": r"glpat-[A-Za-z0-9_-]{16,}",
+    "google": r"AIza[A-Za-z0-9_-]{35,}",
+    "npm": r"npm_[A-Za-z0-9]{30,}",
+    "pypi": r"pypi-[A-Za-z0-9_-]{50,}",
+    "twilio": r"SK[0-9a-f]{32}",
+    "sk_key": r"sk-[A-Za-z0-9_-]{32,}",
+    "url_login": r"[a-z]+://[A-Za-z0-9._%~-]+:[A-Za-z0-9._%~!$&*+=-]+@",
 }
 #: What the combined automaton looks for in place of a whole further rule, so that it stays small: how a match begins.
 #: The rule's own automaton decides from there on.
@@ -51,9 +59,15 @@ BEGINS = {
     MORE_RULES["private_key"]: r"-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----",
     MORE_RULES["mail_key"]: r"SG\.",
     MORE_RULES["github"]: r"gh[pousr]_",
-    MORE_RULES["jwt"]: r"eyJ[A-Za-z0-9_-]{5,}\.eyJ",
+    MORE_RULES["jwt"]: r"eyJ",
     MORE_RULES["stripe"]: r"[rs]k_live_",
     MORE_RULES["gitlab"]: r"glpat-",
+    MORE_RULES["google"]: r"AIza",
+    MORE_RULES["npm"]: r"npm_",
+    MORE_RULES["pypi"]: r"pypi-",
+    MORE_RULES["twilio"]: r"SK[0-9a-f]",
+    MORE_RULES["sk_key"]: r"sk-",
+    MORE_RULES["url_login"]: r"[a-z]+://",
 }
 VALUE_LENGTH = 8
 #: A byte that UTF-8 never holds; it stands between texts and takes every state back to the start.
@@ -277,8 +291,8 @@ def find_all(texts: list[str | None], kinds: dict[str, str], compiled: tuple | N
 
 
 def scan_documents(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, spans (kind, start, end in code points) of every row; null and empty texts have none. Repeated rows are
-    scanned apart, an empty table gives an empty result, other columns are not read."""
+    """doc_id, spans (kind, start, end in code points) of every row; null and empty texts have none. Texts are read whole,
+    however long; repeated rows are scanned apart, an empty table gives an empty result, other columns are not read."""
     kinds = rules or BASE_RULES | MORE_RULES
     small_batches(docs.sparkSession)
     compiled = docs.sparkSession.sparkContext.broadcast(automata(tuple(kinds.values())))  # transition arrays: under 1 MB
