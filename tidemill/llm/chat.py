@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TURN, CONTENT, END = "<|turn|>", "<|content|>", "<|end|>"
 ASSISTANT = "assistant"
 #: tiktoken's splitting pattern for the vocabulary below (fixed value, as published with it).
@@ -27,7 +30,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def default_ranks() -> str:
-    return "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    """The vocabulary where the caller names none: each machine has it at TOKENIZER_RANKS, or at the usual place."""
+    return os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 @functools.cache
@@ -97,15 +101,17 @@ def read_back(tokens: list[int], mask: list[bool], ranks_path: str) -> tuple[lis
 
 def conversations(rows: DataFrame) -> DataFrame:
     """conv_id and turns (ordered structs of turn, role, text). Null roles and texts are empty; rows without a turn
-    number come first; rows that repeat a number stand in the order of role and text."""
+    number come first; rows that repeat a number stand in the order of role and text; rows without a conv_id are one
+    conversation. A conversation is gathered whole, as it is one training example: the longest must fit into a task."""
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
 
 
 def format_conversations(rows: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """conv_id, tokens and loss_mask, one row per conversation; an empty table gives an empty result. A conversation is
-    one training example and is assembled whole, in one row."""
+    """conv_id, tokens and loss_mask, one row per conversation, as in ``conversations``; an empty table gives an empty
+    result; texts may be of any length; other columns are not read."""
     path = ranks_path or default_ranks()
+    small_batches(rows.sparkSession)
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -118,6 +124,7 @@ def format_conversations(rows: DataFrame, ranks_path: str | None = None) -> Data
 def digests(formatted: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """What the formatted conversations say when they are read back."""
     path = ranks_path or default_ranks()
+    small_batches(formatted.sparkSession)
     sha = lambda x: hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
