@@ -5,7 +5,8 @@ A template is license wording with ``<<optional>> ... <<end>>`` regions, which a
 together into one automaton over word tokens: optional regions become empty steps, replaceable ones become steps on any
 word. It runs over a text's words from each place where some template can begin; a template is accepted where all its
 mandatory words have been read in order, exactly. Matching goes by words, so case, punctuation and line breaks of the
-wording don't count. Phrases are templates without markup.
+wording don't count. A run that ends early tells what share of a template's mandatory words the text holds. Phrases are
+templates without markup. The wording is in ``license_texts``.
 """
 
 from __future__ import annotations
@@ -19,24 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import LOWER_BYTES, small_batches
+from .license_texts import all_templates
 
 #: Phrases and labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Wording of common notices with its optional and replaceable regions.
-TEMPLATES = {
-    "mit-notice": "<<optional>>this <<var 2>> is<<end>> released under <<optional>>the terms of<<end>> the mit license",
-    "apache-2.0-notice": "licensed under the apache license <<optional>>version<<end>> 2 0",
-    "gpl-3.0-notice": "<<optional>>this <<var 2>> is<<end>> licensed under the <<optional>>gnu<<end>> general public license <<optional>>version<<end>> 3",
-    "gpl-2.0-notice": "<<optional>>this <<var 2>> is<<end>> licensed under the <<optional>>gnu<<end>> general public license <<optional>>version<<end>> 2",
-    "cc-by-nc-4.0-notice": "licensed under <<optional>>the<<end>> cc by nc 4 0",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
-    " <<optional>>the software<<end>> to deal in the software without restriction",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "apache-2.0-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "gpl-text": "is free software <<optional>>you can redistribute it<<end>> <<var 4>> under the terms of the gnu <<optional>>lesser<<end>> general public license",
-    "all-rights": "copyright <<optional>>c<<end>> <<var 6>> all rights reserved",
-}
-
 #: Lower-case letters, digits and everything beyond ASCII stay, the rest separates words.
 WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in LOWER_BYTES)
 
@@ -45,49 +32,62 @@ WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in LOWER_BYTES
 class TokenAutomaton:
     """Deterministic: ``steps[state]`` maps a word to a state, ``other[state]`` is the state for words not named there.
 
-    ``accepts[state]`` holds the labels of the templates complete in it; -1 is no state.
+    ``accepts[state]`` holds the labels of the templates complete in it, ``share[state]`` the greatest share of a template's
+    mandatory words that has been read in it; -1 is no state.
     """
 
     steps: list[dict[bytes, int]] = field(default_factory=list)
     other: list[int] = field(default_factory=list)
     accepts: list[tuple[str, ...]] = field(default_factory=list)
+    share: list[float] = field(default_factory=list)
 
-    def matches(self, words: list[bytes]) -> list[tuple[str, int, int]]:
-        """(label, first word, words) of every accepted place; of one label and start the longest."""
-        begins, out = self.steps[0], {}
+    def matches(self, words: list[bytes]) -> tuple[list[tuple[str, int, int]], float]:
+        """(label, first word, words) of every accepted place, of one label and start the longest; and the greatest share
+        of a template's mandatory words that stands anywhere."""
+        begins, out, best = self.steps[0], {}, 0.0
         if begins.keys().isdisjoint(words):
-            return []
+            return [], 0.0
         for start in [i for i, w in enumerate(words) if w in begins]:
             state, at = 0, start
-            while state >= 0 and at < len(words):
+            while at < len(words):
                 state = self.steps[state].get(words[at], self.other[state])
+                if state < 0:
+                    break
                 at += 1
-                if state >= 0:
-                    for label in self.accepts[state]:
-                        out[label, start] = at - start
-        return [(label, start, n) for (label, start), n in out.items()]
-
-
-def compile_templates(templates: dict[str, str]) -> TokenAutomaton:
-    """Subset construction over (template, place); empty steps lead over optional and replaceable regions."""
-    words: list[list[tuple[str | None, list[int]]]] = []  # of each template: places as (word, places that may follow too)
-    for text in templates.values():
-        places: list[tuple[str | None, list[int]]] = []
-        opened = []
-        for part in re.findall(r"<<[^>]*>>|[^<\s]+", text):
-            if part == "<<optional>>":
-                opened.append(len(places))
-                places.append(("", []))
-            elif part == "<<end>>":
-                places[opened.pop()][1].append(len(places))
-            elif part.startswith("<<var"):
-                n = int(part[5:-2])
-                for i in range(n):
-                    places.append((None, [len(places) - i + n]))
-            else:
-                places.append((part, []))
-        words.append(places)
-    labels = list(templates)
+                best = max(best, self.share[state])
+                for label in self.accepts[state]:
+                    out[label, start] = at - start
+        return [(label, start, n) for (label, start), n in out.items()], best
+
+
+def places_of(template: str) -> list[tuple[bytes | None, list[int], int]]:
+    """The places of a template: (word, places that may follow at once, mandatory words before). None is any word, the empty
+    word begins an optional region."""
+    places: list[tuple[bytes | None, list[int], int]] = []
+    opened, mandatory = [], 0
+    for part in re.findall(r"<<[^<>]*>>|(?:(?!<<[^<>]*>>).)+", template, re.DOTALL):
+        if part == "<<optional>>":
+            opened.append(len(places))
+            places.append((b"", [], mandatory))
+        elif part == "<<end>>":
+            places[opened.pop()][1].append(len(places))
+        elif part.startswith("<<var "):
+            n = int(part[6:-2])
+            for i in range(n):
+                places.append((None, [len(places) - i + n], mandatory))
+        else:
+            for word in words_of(part):
+                places.append((word, [], mandatory))
+                mandatory += not opened
+    places.append((b"", [], mandatory))
+    return places
+
+
+def compile_templates(templates: dict[str, str], phrases: dict[str, str] | None = None) -> TokenAutomaton:
+    """Subset construction over (template, place); empty steps lead over optional and replaceable regions. Templates and
+    ``phrases`` are accepted alike; only templates have shares."""
+    labels = [*templates, *(phrases or {})]
+    places = [places_of(t) for t in [*templates.values(), *(phrases or {}).values()]]
 
     def closed(points: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         todo, done = list(points), set()
@@ -96,15 +96,21 @@ def compile_templates(templates: dict[str, str]) -> TokenAutomaton:
             if (t, i) in done:
                 continue
             done.add((t, i))
-            if i < len(words[t]):
-                todo += [(t, j) for j in words[t][i][1]] + ([(t, i + 1)] if words[t][i][0] == "" else [])
+            word, follow, _ = places[t][i]
+            todo += [(t, j) for j in follow] + ([(t, i + 1)] if word == b"" and i + 1 < len(places[t]) else [])
         return frozenset(done)
 
-    sets = [closed({(t, 0) for t in range(len(words))})]
+    sets = [closed({(t, 0) for t in range(len(places))})]
     ids, out = {sets[0]: 0}, TokenAutomaton()
-    for now in sets:
-        open_ = [(t, i, words[t][i][0]) for t, i in now if i < len(words[t]) and words[t][i][0] != ""]
-        anything = {(t, i + 1) for t, i, w in open_ if w is None}
+    for now in sets:  # grows while it is read
+        by_word: dict[bytes, set[tuple[int, int]]] = {}
+        anything: set[tuple[int, int]] = set()
+        for t, i in now:
+            word = places[t][i][0]
+            if word is None:
+                anything.add((t, i + 1))
+            elif word:
+                by_word.setdefault(word, set()).add((t, i + 1))
 
         def state(points: set[tuple[int, int]]) -> int:
             if not points:
@@ -116,8 +122,9 @@ def compile_templates(templates: dict[str, str]) -> TokenAutomaton:
             return ids[key]
 
         out.other.append(state(anything))
-        out.steps.append({w.encode(): state(anything | {(t, i + 1) for t, i, x in open_ if x == w}) for w in sorted({x for *_, x in open_ if x})})
-        out.accepts.append(tuple(sorted(labels[t] for t, i in now if i == len(words[t]))))
+        out.steps.append({w: state(anything | by_word[w]) for w in sorted(by_word)})
+        out.accepts.append(tuple(sorted(labels[t] for t, i in now if i == len(places[t]) - 1)))
+        out.share.append(max((places[t][i][2] / max(places[t][-1][2], 1) for t, i in now if t < len(templates)), default=0.0))
     return out
 
 
@@ -126,23 +133,27 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, n_words, places (label, start, words; templates and phrases) of every row.
+    """doc_id, n_words, places (label, start, words; templates and phrases) and share (of the mandatory words of the template
+    of which most stands in the text; 1 where one is accepted) of every row.
 
-    Null and empty texts have no word and no place; repeated rows are scanned apart; an empty table gives an empty
-    result; other columns are not read.
+    Null and empty texts have no word and no place; texts are read whole, however long; repeated rows are scanned apart; an
+    empty table gives an empty result; other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    phrases = {f"phrase {p}": p for p in PHRASES}
-    auto = compile_templates(phrases | (TEMPLATES if templates is None else templates))
+    spark = docs.sparkSession
+    small_batches(spark)
+    compiled = compile_templates(all_templates() if templates is None else templates, {f"phrase {p}": p for p in PHRASES})
+    shared = spark.sparkContext.broadcast(compiled)  # a few megabytes
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        auto = shared.value
         for frame in frames:
-            counts, places = np.zeros(len(frame), np.int64), []
+            counts, places, shares = np.zeros(len(frame), np.int64), [], np.zeros(len(frame))
             for i, text in enumerate(frame["text"].tolist()):
                 words = words_of(text)
                 counts[i] = len(words)
-                places.append(auto.matches(words))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_words": counts, "places": places})
+                found, shares[i] = auto.matches(words)
+                places.append(found)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_words": counts, "places": places, "share": shares})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(find, f"doc_id {kind}, n_words bigint, places array<struct<label:string,start:bigint,words:bigint>>")
+    return docs.select("doc_id", "text").mapInPandas(find, f"doc_id {kind}, n_words bigint, places array<struct<label:string,start:bigint,words:bigint>>, share double")

@@ -494,7 +494,7 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     Learns from the rows that are not held out (null ids train). Null and empty texts are the end token alone; repeated
     rows train and are scored each; an empty table gives an empty result; without training rows nothing is known and
-    all symbols are alike.
+    all symbols are alike. Texts are read whole, however long; other columns are not read.
     """
     settings = settings or Settings()
     spark = docs.sparkSession
@@ -514,7 +514,7 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     answers = asked.groupBy("part").applyInArrow(_answer(shared, settings, least), "block bigint, part bigint, size bigint, logs binary")
     blocks = texts.mapInArrow(_with_block, "block bigint, docs binary")
     rows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, kind, settings.depth, parts), SCORED.format(kind=kind))
-    joined = rows.join(vocabulary.hint("shuffle_hash"), "word", "left")
+    joined = rows.join(vocabulary, "word", "left")
     scored = joined.groupBy("doc_id", "row").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),

@@ -109,11 +109,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(line(own), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
-def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_chat_format(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
-    return chat.digests(chat.format_conversations(rows.unionByName(added)))
+    return chat.digests(chat.format_conversations(rows.unionByName(added), ranks_path), ranks_path)
 
 
 OP9_SQL = r"""
@@ -141,7 +141,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         join(base_labels).alias("base_labels"), join(F.concat(base_labels, own)).alias("labels"),
-        F.when(F.size(own) > 0, 1.0).when(F.size(base) > 0, 0.5).otherwise(0.0).alias("score"),
+        F.greatest("share", F.when(F.size(base) > 0, 0.5).otherwise(0.0)).alias("score"),
     )
 
 
