@@ -203,11 +203,17 @@ def test_sync_loads_new_and_changed_files(spark, tmp_path):
     csv_ticks.sync(spark, f"file://{src}", table, manifest)
     (src / "20240103.csv").write_text("time,price,volume\n09:00:00,11,1\n09:00:01,12,1\n")
     (src / "20240102.csv").write_text("time,price,volume\n09:00:00,99,1\n")
-    known = spark.read.parquet(manifest)
-    assert csv_ticks.to_sync(csv_ticks.fingerprints(spark, f"file://{src}"), known).count() == 2
+    known = csv_ticks.read_manifest(spark, manifest)
+    assert csv_ticks.to_sync(csv_ticks.listed(spark, f"file://{src}"), known).count() == 2
     csv_ticks.sync(spark, f"file://{src}", table, manifest)
     assert sorted(r.price for r in spark.read.parquet(table).collect()) == [11.0, 12.0, 99.0]
-    assert csv_ticks.to_sync(csv_ticks.fingerprints(spark, f"file://{src}"), spark.read.parquet(manifest)).count() == 0
+    assert csv_ticks.to_sync(csv_ticks.listed(spark, f"file://{src}"), csv_ticks.read_manifest(spark, manifest)).count() == 0
+    assert csv_ticks.sync_status(spark, table, manifest).first().asDict() == {"total_files": 2, "total_ticks": 3}
+    suspects = spark.createDataFrame([("20240103.csv",)], "file_name string")
+    assert [r.file_name for r in csv_ticks.to_sync(csv_ticks.listed(spark, f"file://{src}/20240102.csv;file://{src}/20240103.csv"), csv_ticks.read_manifest(spark, manifest), suspects).collect()] == ["20240103.csv"]
+    (src / "20240102.csv").unlink()
+    csv_ticks.sync(spark, f"file://{src}", table, manifest, full=True)
+    assert csv_ticks.sync_status(spark, table, manifest).first().total_files == 1 and spark.read.parquet(table).count() == 2
 
 
 def test_cdt_widths():
@@ -253,3 +259,51 @@ def test_quotes_are_the_last_ones(spark):
 
     ticks = B.event_ticks(spark, SF).withColumn("bid", F.col("price") - 1).withColumn("ask", F.col("price") + 1)
     assert B.tick_bars(ticks, 7).where((F.abs(F.col("bid") + 1 - F.col("close")) > 1e-9) | (F.abs(F.col("ask") - 1 - F.col("close")) > 1e-9)).count() == 0
+
+
+def test_bar_cache_keeps_other_series(spark, tmp_path):
+    from conftest import SF
+
+    from tidemill.sources import bar_cache
+
+    root = f"file://{tmp_path}/bars"
+    assert bar_cache.read(spark, root) is None and bar_cache.clear(spark, root) == 0
+    bars = B.tick_bars(B.event_ticks(spark, SF), [20, 50], per_symbol=True)
+    bar_cache.write(bars, root)
+    bar_cache.write(bars.where("bar_size = 20 and symbol = 'click'").limit(3), root)
+    assert bar_cache.read(spark, root, "click", 20).count() == 3 and bar_cache.read(spark, root, size=50).count() == bars.where("bar_size = 50").count()
+    assert bar_cache.read(spark, root, "click", 50, ["close"]).columns == ["close"]
+    assert bar_cache.clear(spark, root) == 10 and bar_cache.read(spark, root) is None
+
+
+def test_series_of_one_bar_have_zeros(spark):
+    from tidemill.operators import backtest as T
+
+    rows = spark.createDataFrame([("a", "s", 0, 10.0, 5, 1)], "symbol string, strategy string, bar_no bigint, close double, volume bigint, signal int").withColumn("open_time", F.lit("2024-01-02 10:00:00").cast("timestamp_ntz"))
+    one = T.summary(T.equity(rows)).first().asDict()
+    assert all(one[k] == 0 for k in one if k not in ("symbol", "strategy", "bars")) and one["bars"] == 1
+    one = T.return_backtest(rows).first().asDict()
+    assert all(one[k] == 0 for k in one if k not in ("symbol", "strategy", "bars"))
+
+
+def test_whole_signals_keep_two_units_and_no_loss_means_one(spark):
+    from tidemill.operators import backtest as T
+
+    rows = spark.createDataFrame([("s", i, 100.0 + i, 5, 2) for i in range(4)], "strategy string, bar_no bigint, close double, volume bigint, signal int")
+    got = T.return_backtest(rows, mode="none", rate=0.0).first()
+    want = (1 + 2 / 100) * (1 + 2 / 101) * (1 + 2 / 102)
+    assert got.profit_factor == 1.0 and math.isclose(got.return_pct, (want - 1) * 100) and got.trades == 1
+
+
+def test_settings(tmp_path):
+    import json
+
+    from tidemill.operators import config
+
+    good = {k: {} for k in config.REQUIRED} | {"tick_window": {"start": 1, "end": 2, "step": 1}}
+    (tmp_path / "a.json").write_text(json.dumps(good))
+    got = config.load(tmp_path / "a.json", {"tick_window": {"end": 9}, "data_dir": None, "more": 1})
+    assert got["tick_window"] == {"start": 1, "end": 9, "step": 1} and got["more"] == 1 and got["data_dir"] == {}
+    (tmp_path / "b.json").write_text(json.dumps(good | {"tick_window": {"start": 1}}))
+    with pytest.raises(ValueError):
+        config.load(tmp_path / "b.json")

@@ -167,7 +167,8 @@ def _turn(name: str) -> tuple[list[str], Column]:
 
 
 def with_signals(bars: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """Bars (with bar_no) with one int column per strategy; indicators are made as far as the strategies need them."""
+    """Bars (with bar_no) with one int column per strategy; indicators are made as far as the strategies need them. A column
+    named like a strategy in any case of letters (vwap) gives way to it."""
     names = list(dict.fromkeys(canonical(n) for n in (names or CATEGORIES["ALL"])))
     by, looped = keys_of(bars), [n for n in names if n in STATEFUL]
     turns = {n: _turn(n) for n in looped if n in BREAKOUTS}
@@ -182,7 +183,8 @@ def with_signals(bars: DataFrame, names: Iterable[str] | None = None) -> DataFra
         pairs = {n: TRIGGERS[n][1](F.col) for n in looped if n in TRIGGERS}
         out = out.withColumns({f"_{n}_{k}": F.coalesce(x, F.lit(False)) for n, pair in pairs.items() for k, x in zip(("short", "long"), pair, strict=True)})
         out = folded(out, by, fold_all(looped), {n: "int" for n in looped})
-    return out.select(*bars.columns, *[n for n in names if n not in bars.columns])
+    own = {n.lower() for n in names}
+    return out.select(*[c for c in bars.columns if c.lower() not in own], *names)
 
 
 def vote(names: Iterable[str]) -> Column:

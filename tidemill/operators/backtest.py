@@ -194,32 +194,39 @@ def trade_cost(entry: Column, exit_: Column, quantity: float = 1.0, volume: Colu
     return out
 
 
-def return_backtest(rows: DataFrame, threshold: float = 0.0005, **cost) -> DataFrame:
-    """Multiplicative backtest of real-valued signals (columns symbol, bar_no, close, volume, signal); one row per series.
+def return_backtest(rows: DataFrame, threshold: float = 0.0005, money_per_point: float = 250_000.0, **cost) -> DataFrame:
+    """Multiplicative backtest of signals (columns symbol, bar_no, close, volume, signal); one row per series.
 
-    Costs are the round-trip points of each change over the price; annual figures scale by the number of bars.
+    Whole-number signals are positions as they are; real ones are long or short beyond the threshold. Costs are the
+    round-trip points of each change over the price; annual figures scale by the number of bars. A series of fewer than two
+    bars has zeros throughout.
     """
     keys = _keys(rows)
     w = Window.partitionBy(*keys).orderBy("bar_no")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    side = F.when(F.col("signal") > threshold, 1).when(F.col("signal") < -threshold, -1).otherwise(0)
+    whole = dict(rows.dtypes)["signal"] in ("tinyint", "smallint", "int", "bigint")
+    side = F.col("signal") if whole else F.when(F.col("signal") > threshold, 1).when(F.col("signal") < -threshold, -1).otherwise(0)
     out = rows.withColumn("side", side).withColumn("held", F.lag("side", 1, 0).over(w))
     turn = F.abs(F.col("held") - F.lag("held", 1, 0).over(w))
-    gross = F.coalesce(F.try_divide(F.col("close") - F.lag("close").over(w), F.lag("close").over(w)), F.lit(0.0)) * F.col("held")
-    points = trade_cost(F.col("close"), F.col("close"), volume=F.col("volume"), **cost)
-    out = out.withColumn("turn", turn).withColumn("net", gross - F.when(turn > 0, points / F.greatest(F.lit(1.0), F.col("close"))).otherwise(0.0))
+    prior = F.lag("close").over(w)
+    gross = F.coalesce((F.col("close") - prior) / F.greatest(prior, F.lit(1e-6)), F.lit(0.0)) * F.col("held")
+    out = out.withColumn("turn", turn).withColumn("gross", gross)
+    out = out.withColumn("points", F.when(F.col("turn") > 0, trade_cost(F.col("close"), F.col("close"), volume=F.col("volume"), **cost)).otherwise(0.0))
+    out = out.withColumn("net", F.col("gross") - F.col("points") / F.greatest(F.lit(1.0), F.col("close")))
     out = out.withColumn("curve", F.exp(F.sum(F.log1p(F.greatest("net", F.lit(-0.999999)))).over(so_far)))
     out = out.withColumn("dd", F.col("curve") / F.max("curve").over(so_far) - 1)
     n, up, down = F.count("*"), F.sum(F.when(F.col("net") > 0, F.col("net"))), F.abs(F.sum(F.when(F.col("net") < 0, F.col("net"))))
     agg = out.groupBy(*keys).agg(
         n.alias("bars"), F.max_by("curve", "bar_no").alias("final"), F.min("dd").alias("dd"), F.avg("net").alias("mean"), F.stddev_pop("net").alias("sd"),
-        F.stddev_pop(F.when(F.col("net") < 0, F.col("net"))).alias("down"), F.count_if(F.col("turn") > 0).alias("changes"), up.alias("up"), down.alias("loss"),
-        F.count_if(F.col("net") > 0).alias("wins"), F.count_if(F.col("net") < 0).alias("losses"),
+        F.stddev_pop(F.when(F.col("net") < 0, F.col("net"))).alias("down"), F.count_if(F.col("turn") > 0).alias("changes"), F.coalesce(up, F.lit(0.0)).alias("up"), down.alias("loss"),
+        F.count_if(F.col("net") > 0).alias("wins"), F.count_if(F.col("net") < 0).alias("losses"), F.avg("close").alias("price"), F.sum("points").alias("points"),
     )
     root = F.sqrt("bars")
     ratio = lambda c: F.when(F.col(c) > 0, F.col("mean") / (F.col(c) + 1e-8) * root).otherwise(0.0)
-    return agg.select(
-        *keys, "bars", ((F.col("final") - 1) * 100).alias("return_pct"), (F.col("dd") * 100).alias("mdd_pct"), ratio("sd").alias("sharpe"), ratio("down").alias("sortino"),
-        F.coalesce(F.try_divide(F.col("wins"), F.col("wins") + F.col("losses")) * 100, F.lit(0.0)).alias("win_rate"), F.coalesce(F.try_divide("up", "loss"), F.lit(0.0)).alias("profit_factor"),
-        F.greatest(F.lit(1).cast("bigint"), F.expr("changes div 2")).alias("trades"),
-    )
+    figures = {
+        "return_pct": (F.col("final") - 1) * 100, "annual_return_pct": F.when(F.col("mean") > -0.99, (F.pow(1 + F.col("mean"), F.col("bars")) - 1) * 100).otherwise(-99.9),
+        "mdd_pct": F.abs(F.col("dd") * 100), "sharpe": ratio("sd"), "sortino": ratio("down"), "win_rate": F.coalesce(F.try_divide(F.col("wins"), F.col("wins") + F.col("losses")) * 100, F.lit(0.0)),
+        "profit_factor": F.when(F.col("losses") > 0, F.col("up") / F.greatest(F.lit(1e-8), F.col("loss"))).otherwise(1.0), "expectancy_pts": F.col("mean") * F.col("price"),
+        "total_cost": F.col("points") * money_per_point, "trades": F.greatest(F.lit(1).cast("bigint"), F.expr("changes div 2")),
+    }
+    return agg.select(*keys, "bars", *[F.when(F.col("bars") < 2, F.lit(0)).otherwise(x).cast("bigint" if k == "trades" else "double").alias(k) for k, x in figures.items()])

@@ -10,7 +10,9 @@ from ..operators import backtest as T
 from ..operators import bars as B
 from ..operators import learning as L
 from ..operators import quality as Q
-from ..sources.shared import stored
+from ..operators import selection as S
+from ..sources import bar_cache as cache
+from ..sources.shared import shared_path, stored
 from .indicator_sql import SIGNALS
 from .sql import BAR, SERIES, TICKS, W, roll, span, stages
 from .tick_queries import query, series
@@ -414,18 +416,51 @@ def trade_cost(spark, sf_dir):
 
 RET = f""",
 f1 AS (SELECT *, lag(signal, 1, 0) OVER {P} AS held FROM sg),
-f2 AS (SELECT *, abs(held - lag(held, 1, 0) OVER {P}) AS turn, coalesce((close - lag(close) OVER {P}) / nullif(lag(close) OVER {P}, 0), 0) * held AS gross FROM f1),
-f3 AS (SELECT *, gross - CASE WHEN turn > 0 THEN (2 * close * 0.00003 + 0.1 + 2 * (1.0 / greatest(1.0, volume)) * 0.00001 * close) / greatest(1.0, close) ELSE 0 END AS net FROM f2),
-f4 AS (SELECT *, exp(sum(ln(1 + greatest(net, -0.999999))) OVER {UP}) AS curve FROM f3),
-f5 AS (SELECT *, curve / max(curve) OVER {UP} - 1 AS dd FROM f4)
-SELECT symbol, strategy, count(*) AS bars, round((arg_max(curve, bar_no) - 1) * 100, 4) AS return_pct, round(min(dd) * 100, 4) AS mdd_pct, round(CASE WHEN stddev_pop(net) > 0 THEN avg(net) / (stddev_pop(net) + 1e-8) * sqrt(count(*)) ELSE 0 END, 4) AS sharpe,
-  round(coalesce(count(*) FILTER (net > 0) / nullif(count(*) FILTER (net <> 0), 0) * 100, 0), 4) AS win_rate, greatest(1, count(*) FILTER (turn > 0) // 2) AS trades FROM f5 GROUP BY symbol, strategy"""
-
-
-@query("return_backtest", _signals_sql() + RET)
+f2 AS (SELECT *, abs(held - lag(held, 1, 0) OVER {P}) AS turn, coalesce((close - lag(close) OVER {P}) / greatest(lag(close) OVER {P}, 1e-6), 0) * held AS gross FROM f1),
+f3 AS (SELECT *, CASE WHEN turn > 0 THEN 2 * close * 0.00003 + 0.1 + 2 * (1.0 / greatest(1.0, volume)) * 0.00001 * close ELSE 0 END AS points FROM f2),
+f4 AS (SELECT *, gross - points / greatest(1.0, close) AS net FROM f3),
+f5 AS (SELECT *, exp(sum(ln(1 + greatest(net, -0.999999))) OVER {UP}) AS curve FROM f4),
+f6 AS (SELECT *, curve / max(curve) OVER {UP} - 1 AS dd FROM f5),
+rb AS (SELECT symbol, strategy, count(*) AS bars, (arg_max(curve, bar_no) - 1) * 100 AS return_pct, abs(min(dd) * 100) AS mdd_pct, CASE WHEN stddev_pop(net) > 0 THEN avg(net) / (stddev_pop(net) + 1e-8) * sqrt(count(*)) ELSE 0 END AS sharpe,
+  coalesce(count(*) FILTER (net > 0) / nullif(count(*) FILTER (net <> 0), 0) * 100, 0) AS win_rate, greatest(1, count(*) FILTER (turn > 0) // 2) AS trades,
+  CASE WHEN avg(net) > -0.99 THEN (pow(1 + avg(net), count(*)) - 1) * 100 ELSE -99.9 END AS annual_return_pct, CASE WHEN count(*) FILTER (net < 0) > 0 THEN coalesce(sum(net) FILTER (net > 0), 0) / greatest(1e-8, abs(sum(net) FILTER (net < 0))) ELSE 1.0 END AS profit_factor,
+  avg(net) * avg(close) AS expectancy_pts, sum(points) * 250000.0 AS total_cost FROM f6 GROUP BY symbol, strategy)"""
+RETURNS = ("return_pct", "mdd_pct", "sharpe", "win_rate", "annual_return_pct", "profit_factor", "expectancy_pts", "total_cost")
+
+
+@query("return_backtest", _signals_sql() + RET + " SELECT symbol, strategy, bars, trades, " + ", ".join(f"round({c}, 4) AS {c}" for c in RETURNS) + " FROM rb")
 def return_backtest(spark, sf_dir):
     done = T.return_backtest(signal_rows(spark, sf_dir))
-    return done.select("symbol", "strategy", "bars", *[F.round(c, 4).alias(c) for c in ("return_pct", "mdd_pct", "sharpe", "win_rate")], "trades")
+    return done.select("symbol", "strategy", "bars", "trades", *[F.round(c, 4).alias(c) for c in RETURNS])
+
+
+RANKED_RESULTS = RET + """,
+m AS (SELECT strategy AS model, avg(sharpe) AS sharpe, avg(mdd_pct) AS mdd_pct, avg(win_rate) AS win_rate, avg(return_pct) AS return_pct, CAST(sum(trades) AS BIGINT) AS trades FROM rb GROUP BY strategy),
+k AS (SELECT *, sharpe > 5.0 OR trades < 10 AS overfitting, row_number() OVER (ORDER BY sharpe DESC, model) AS place FROM m)"""
+
+
+def ranked_results(spark, sf_dir):
+    done = T.return_backtest(signal_rows(spark, sf_dir)).withColumnRenamed("strategy", "model")
+    return S.comparison(S.fold_means(done, "model"), "model")
+
+
+@query("result_summary", _signals_sql() + RANKED_RESULTS + " SELECT model, place, overfitting, trades, round(sharpe, 4) AS sharpe, round(mdd_pct, 4) AS mdd_pct, round(win_rate, 4) AS win_rate, round(return_pct, 4) AS return_pct FROM k")
+def result_summary(spark, sf_dir):
+    """Strategies as models, symbols as folds."""
+    return ranked_results(spark, sf_dir).select("model", "place", "overfitting", "trades", *[F.round(c, 4).alias(c) for c in S.MEANS])
+
+
+@query("chosen_result", _signals_sql() + RANKED_RESULTS + " SELECT model, place, trades >= 30 AND mdd_pct <= 60 AND NOT overfitting AS candidate FROM k ORDER BY candidate DESC, place LIMIT 1")
+def chosen_result(spark, sf_dir):
+    return S.chosen(ranked_results(spark, sf_dir), 30, 60.0).select("model", "place", "candidate")
+
+
+@query("bar_cache", bars_sql(BY_TICK, (50,), "k", RANKED.format("t")).replace(DAY, f"'ALL' AS symbol, {DAY}", 1))
+def bar_cache(spark, sf_dir):
+    """Bars of two sizes written to the cache and those of one read back."""
+    path = shared_path(spark, "bar-cache")
+    cache.write(B.tick_bars(B.event_ticks(spark, sf_dir), [20, 50]).withColumn("symbol", F.lit("ALL")), path)
+    return out(cache.read(spark, path, "ALL", 50), "symbol", *BAR_COLUMNS)
 
 
 # --- learning ----------------------------------------------------------------------------------------------------

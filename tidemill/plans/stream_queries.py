@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import strategies
+from ..operators import backtest as T
 from ..operators import bars as B
 from ..sources import cdt, csv_ticks
 from ..sources.shared import shared_path
 from ..streaming import live
 from .indicator_sql import SIGNALS
+from .more_queries import CURVE_SQL, DEALS, signal_rows
 from .sql import SERIES, TICKS, stages
 from .tick_queries import query, series
 
@@ -74,10 +76,46 @@ def csv_round_trip(spark, sf_dir):
     return back.groupBy("ts").agg(F.count("*").alias("ticks"), F.round(F.sum("price"), 4).alias("price"), F.sum("volume").alias("volume"))
 
 
-@query("cdt_round_trip", f"WITH {SERIES} SELECT symbol, strftime(open_time, '%Y-%m-%d %H:%M:%S') AS timestamp, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close, CAST(volume AS DOUBLE) AS volume, round(close * volume, 4) AS trading_value FROM bars")
+@query("sync_ticks", f"WITH {TICKS} SELECT count(*) AS total_ticks, count(DISTINCT trade_date) AS days FROM t")
+def sync_ticks(spark, sf_dir):
+    """The ticks written as CSV, loaded by a first sync, and by a second one that finds only suspect files to load again."""
+    path, table, manifest = (shared_path(spark, f"sync-{x}") for x in ("csv", "table", "manifest"))
+    rows = B.event_ticks(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "price", "volume", F.to_date("ts").alias("day"), "seq")
+    rows.repartition("day").sortWithinPartitions("day", "seq").select("time", "price", "volume").write.option("header", "true").csv(path)
+    csv_ticks.sync(spark, path, table, manifest)
+    csv_ticks.sync(spark, path, table, manifest)
+    days = spark.read.parquet(table).agg(F.countDistinct(F.to_date("ts")).alias("days"))
+    return csv_ticks.sync_status(spark, table, manifest).select("total_ticks").crossJoin(days)  # a row each
+
+
+CDT_OUT = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS timestamp, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close, CAST(volume AS DOUBLE) AS volume, {1} AS trading_value"
+
+
+@query("cdt_round_trip", f"WITH {SERIES} SELECT symbol, {CDT_OUT.format('open_time', 'round(close * volume, 4)')} FROM bars")
 def cdt_round_trip(spark, sf_dir):
-    rows = cdt.decode(cdt.encode(series(spark, sf_dir), "symbol"), "symbol")
+    """One CDT file for each symbol, written and read back."""
+    path = shared_path(spark, "cdt")
+    cdt.write(series(spark, sf_dir), "symbol", path).count()
+    rows = cdt.read(spark, path).withColumn("symbol", F.regexp_replace("file", r"\.cdt$", ""))
     return rows.select("symbol", "timestamp", "open", "high", "low", "close", "volume", F.round("trading_value", 4).alias("trading_value"))
 
 
-
+@query("csv_to_cdt", f"WITH {TICKS} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, count(*) AS ticks, round(sum(price), 2) AS price, CAST(sum(volume) AS DOUBLE) AS volume FROM t GROUP BY 1")
+def csv_to_cdt(spark, sf_dir):
+    """The ticks written as CSV, every file turned into a CDT file, and these read."""
+    path, to = shared_path(spark, "ticks-csv"), shared_path(spark, "ticks-cdt")
+    rows = B.event_ticks(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "price", "volume", F.to_date("ts").alias("day"), "seq")
+    rows.repartition("day").sortWithinPartitions("day", "seq").select("time", "price", "volume").write.option("header", "true").csv(path)
+    cdt.csv_to_cdt(spark, path, to).count()
+    back = cdt.read(spark, to)
+    return back.groupBy("timestamp").agg(F.count("*").alias("ticks"), F.round(F.sum("close"), 2).alias("price"), F.sum("volume").alias("volume"))
+
+
+@query("trade_log", CURVE_SQL + DEALS + " SELECT symbol, strategy, trade_no, side, bars_held, round(entry_price, 4) AS entry_price, round(exit_price, 4) AS exit_price FROM tr")
+def trade_log(spark, sf_dir):
+    """The trades as CSV files by series, read back."""
+    path = shared_path(spark, "trade-log")
+    log = T.trades(T.equity(signal_rows(spark, sf_dir)))
+    csv_ticks.write_trades(log, path)
+    back = spark.read.schema(log.schema).option("header", "true").csv(path)
+    return back.select("symbol", "strategy", "trade_no", "side", "bars_held", *[F.round(c, 4).alias(c) for c in ("entry_price", "exit_price")])

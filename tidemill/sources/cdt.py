@@ -1,33 +1,34 @@
-"""CDT bar files: a header of two 32-bit numbers (kind, count) and records of 8 or 10 doubles."""
+"""CDT bar files: a header of two 32-bit numbers (kind, count) and records of 8 or 10 doubles.
+
+Files are written and read by the tasks themselves through pyarrow's file systems, a batch or a stretch of records at a
+time, so neither a file nor a series is ever held whole.
+"""
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .csv_ticks import decoded
+from .csv_ticks import decoded, read_ticks
 
 FIELDS = ("stamp", "open", "high", "low", "close", "volume", "trading_value", "open_interest")
 
 
 def parse(data: bytes) -> pd.DataFrame:
-    """Bars of one file; the record width is that of the kind, else what the count and the size say."""
-    empty = pd.DataFrame({f: pd.Series(dtype=float) for f in FIELDS})
+    """Bars of one small file; the record width is that of the kind, else what the count and the size say."""
     if len(data) < 8:
-        return empty
-    kind, count = struct.unpack_from("<2i", data)
-    body = len(data) - 8
-    width = {1: 64, 3: 80}.get(kind)
-    if width is None or count <= 0 or body % width or body // width != count:
-        width = body // count if count > 0 and body % count == 0 and body // count % 8 == 0 and body // count >= 64 else 64
-    rows = np.frombuffer(data, "<f8", body // width * (width // 8), 8).reshape(-1, width // 8)[:, :8]
+        return pd.DataFrame({f: pd.Series(dtype=float) for f in FIELDS})
+    width, count = layout(*struct.unpack_from("<2i", data), len(data) - 8)
+    rows = np.frombuffer(data, "<f8", count * (width // 8), 8).reshape(-1, width // 8)[:, :8]
     return pd.DataFrame(rows, columns=list(FIELDS))
 
 
@@ -73,17 +74,54 @@ def read_bar_csv(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "timestamp string, " + ", ".join(f"{f} double" for f in FIELDS[1:]) + ", file string")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """file and bars of every .cdt file; timestamps stay text, prices have two decimals. A file is read by one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cdt").option("recursiveFileLookup", "true").load(path)
+#: Records that a task reads at once.
+STRETCH = 65_536
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path_, content in zip(frame["path"], frame["content"], strict=True):
-                yield parse(bytes(content)).assign(file=path_.rsplit("/", 1)[-1])
 
-    rows = files.select("path", "content").mapInPandas(run, ", ".join(f"{f} double" for f in FIELDS) + ", file string")
-    return with_timestamps(rows)
+def layout(kind: int, count: int, body: int) -> tuple[int, int]:
+    """Bytes of a record and number of records of a file with so many bytes after its header."""
+    width = {1: 64, 3: 80}.get(kind)
+    if width is None or count <= 0 or body % width or body // width != count:
+        width = body // count if count > 0 and body % count == 0 and body // count % 8 == 0 and body // count >= 64 else 64
+    return width, body // width
+
+
+def read(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
+    """file and bars of every .cdt file; timestamps stay text, prices have two decimals. Files are listed, their headers
+    read, and their records dealt to tasks in stretches."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cdt").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for name, length in zip(f["path"], f["length"], strict=True):
+                if length >= 8:
+                    width, count = layout(*struct.unpack("<2i", read_bytes(name, 0, 8)), length - 8)
+                    rows += [(name, width, at, min(stretch, count - at)) for at in range(0, count, stretch)]
+            yield pd.DataFrame(rows, columns=["path", "width", "at", "n"])
+
+    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, width, at, n in zip(f["path"], f["width"], f["at"], f["n"], strict=True):
+                cells = np.frombuffer(read_bytes(name, 8 + int(at) * int(width), int(n) * int(width)), "<f8").reshape(int(n), -1)[:, :8]
+                yield pd.DataFrame(cells, columns=list(FIELDS)).assign(file=name.rsplit("/", 1)[-1])
+
+    parts = files.mapInPandas(heads, "path string, width bigint, at bigint, n bigint").repartition("path", "at")
+    return with_timestamps(parts.mapInPandas(records, ", ".join(f"{f} double" for f in FIELDS) + ", file string"))
+
+
+def _file_system(path: str):
+    """The file system of a path and the path within it."""
+    from pyarrow import fs
+
+    path = re.sub("^file:/(?=[^/])", "file:///", path)
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def read_bytes(path: str, at: int, n: int) -> bytes:
+    files, name = _file_system(path)
+    with files.open_input_file(unquote(name)) as f:
+        return f.read_at(n, at)
 
 
 def with_timestamps(rows: DataFrame) -> DataFrame:
@@ -92,24 +130,44 @@ def with_timestamps(rows: DataFrame) -> DataFrame:
     return rows.withColumn("timestamp", stamp).withColumns({c: F.round(c, 2) for c in FIELDS[1:5]}).drop("stamp")
 
 
-def encode(bars: DataFrame, by: str) -> DataFrame:
-    """(by, content): one file body per value of ``by`` from its bars in order of time, a bar series each."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("open_time")
-        stamps = f["open_time"].dt.strftime("%Y%m%d%H%M%S").fillna("20240101090000").astype(float)
-        cells = np.column_stack([stamps, *(f[c].astype(float) for c in ("open", "high", "low", "close", "volume")), f["close"].astype(float) * f["volume"].astype(float), np.zeros(len(f))])
-        return pd.DataFrame({by: [f[by].iloc[0]], "content": [struct.pack("<2i", 1, len(f)) + cells.astype("<f8").tobytes()]})
-
-    return bars.select(by, "open_time", "open", "high", "low", "close", "volume").groupBy(by).applyInPandas(run, f"{by} string, content binary")
+def write(bars: DataFrame, by: str, path: str, at: str = "open_time") -> DataFrame:
+    """One file <value>.cdt below ``path`` for each value of ``by``, its bars in order of time; (by, file, records).
 
-
-def decode(bodies: DataFrame, by: str) -> DataFrame:
-    """The bars of file bodies (by, content)."""
+    Bars without a time have the fixed one of the format; missing prices and volumes are 0; trading value is close times
+    volume unless there is a column for it. Rows stream into the files; a repeated task writes its files anew.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in bars.columns else F.lit(0.0)
+    value = number("trading_value") if "trading_value" in bars.columns else number("close") * number("volume")
+    rows = bars.select(
+        by, F.col(at).alias("_at"), F.coalesce(F.date_format(at, "yyyyMMddHHmmss"), F.lit("20240101090000")).cast("double").alias("stamp"),
+        *[number(c).alias(c) for c in FIELDS[1:6]], value.alias("trading_value"), number("open_interest").alias("open_interest"),
+    )
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    rows = rows.join(counts, by).repartition(by).sortWithinPartitions(by, "_at").drop("_at")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, content in zip(frame[by], frame["content"], strict=True):
-                yield parse(bytes(content)).assign(**{by: key})
-
-    return with_timestamps(bodies.mapInPandas(run, ", ".join(f"{f} double" for f in FIELDS) + f", {by} string"))
+        key, out, done = None, None, []
+        for f in frames:
+            for now, own in f.groupby(by, sort=False):
+                if now != key:
+                    if out:
+                        out.close()
+                    key, n = now, int(own["_n"].iloc[0])
+                    files, folder = _file_system(path)
+                    files.create_dir(folder, recursive=True)
+                    out = files.open_output_stream(f"{folder}/{now}.cdt")
+                    out.write(struct.pack("<2i", 1, n))
+                    done.append((now, f"{now}.cdt", n))
+                out.write(own[list(FIELDS)].to_numpy("<f8").tobytes())
+        if out:
+            out.close()
+        yield pd.DataFrame(done, columns=[by, "file", "records"])
+
+    return rows.mapInPandas(run, f"{by} string, file string, records bigint")
+
+
+def csv_to_cdt(spark: SparkSession, source: str | list[str], path: str) -> DataFrame:
+    """Every tick CSV of ``source`` (a file, a folder, several) as a CDT file of its own name; (name, file, records)."""
+    ticks = read_ticks(spark, source)
+    rows = ticks.select(F.regexp_replace("file_source", r"\.[^.]*$", "").alias("name"), "ts", *[F.col("price").alias(c) for c in FIELDS[1:5]], "volume", F.lit(0.0).alias("trading_value"), F.lit(0.0).alias("open_interest"))
+    return write(rows, "name", path, "ts")

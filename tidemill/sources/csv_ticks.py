@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.quality import suspect_files
+from .shared import stored
+
 ENCODINGS = ("cp949", "euc-kr", "utf-8", "utf-8-sig", "latin1")
 #: Header words of the source files.
 WORDS = {
@@ -71,8 +74,8 @@ def clock(time: Column) -> Column:
     return F.when(time.contains(":"), short).otherwise(packed)
 
 
-def read_ticks(spark: SparkSession, path: str, symbol: str = "DEFAULT") -> DataFrame:
-    """Ticks of all files below ``path``. Files in falling order of time are turned round; seq follows the file's order.
+def read_ticks(spark: SparkSession, path: str | list[str], symbol: str = "DEFAULT") -> DataFrame:
+    """Ticks of all files below ``path`` (one or several). Files in falling order of time are turned round; seq follows the file's order.
 
     A file is read whole by one task (a day of ticks is some megabytes). Rows without a price or a date are dropped,
     missing volumes are 1. An empty file gives no rows.
@@ -94,37 +97,81 @@ def read_ticks(spark: SparkSession, path: str, symbol: str = "DEFAULT") -> DataF
     )
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, file_size and file_hash of the files below ``path``: MD5 of size, first and last 8 KB."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path)
-    head = F.substring("content", 1, 8192)
-    tail = F.when(F.col("length") > 16384, F.expr("substring(content, -8192, 8192)")).otherwise(F.lit("").cast("binary"))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.md5(F.concat(F.col("length").cast("string").cast("binary"), head, tail)).alias("file_hash"))
+FILES = "file_name string, file_path string, file_size bigint, modified timestamp"
+MANIFEST = FILES + ", file_hash string, row_count bigint, synced_at timestamp"
+
 
+def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """name, path, size and time of the CSV files below ``path`` (one or several, or joined by semicolons), without reading
+    them; of names that differ in case only one stays."""
+    paths = [x.strip() for x in path.split(";") if x.strip()] if isinstance(path, str) else list(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", "true").load(paths)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    last = F.row_number().over(Window.partitionBy(F.lower("file_name")).orderBy(F.desc("file_path")))
+    return files.withColumn("_n", last).where("_n = 1").drop("_n")
 
-def to_sync(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files that are new or whose hash has changed; of names that differ in case one stays."""
-    one = found.withColumn("_k", F.lower("file_name"))
-    one = one.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("file_name"))).where("_n = 1").drop("_n", "_k")
-    return one.join(manifest.select("file_name", "file_hash"), ["file_name", "file_hash"], "left_anti")
+
+def fingerprints(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file_path and file_hash of files: MD5 of size, first and last 8 KB."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", "true").load(path)
+    head = F.substring("content", 1, 8192)
+    tail = F.when(F.col("length") > 16384, F.expr("substring(content, -8192, 8192)")).otherwise(F.lit("").cast("binary"))
+    return files.select(F.col("path").alias("file_path"), F.md5(F.concat(F.col("length").cast("string").cast("binary"), head, tail)).alias("file_hash"))
 
 
-def sync(spark: SparkSession, path: str, table: str, manifest: str) -> DataFrame:
-    """Load new and changed files into the Parquet table (one partition per file, replaced whole) and renew the manifest."""
-    found = fingerprints(spark, path)
+def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
+    """What has been loaded; empty where nothing has."""
     try:
-        known = spark.read.parquet(manifest)
-    except Exception as e:  # no manifest yet
+        return spark.read.schema(MANIFEST).parquet(manifest)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = spark.createDataFrame([], found.schema)
-    new = to_sync(found, known)
-    ticks = read_ticks(spark, path).withColumn("seq", F.col("seq.n"))
-    rows = ticks.join(new.select(F.col("file_name").alias("file_source")), "file_source", "left_semi")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_source").parquet(table)
-    found.write.mode("overwrite").parquet(manifest + ".new")
-    spark.read.parquet(manifest + ".new").write.mode("overwrite").parquet(manifest)
-    return spark.read.parquet(manifest)
+        return spark.createDataFrame([], MANIFEST)
+
+
+def to_sync(found: DataFrame, manifest: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
+    """The listed files that are new, whose size or time differs from the manifest's, or whose ticks are suspect."""
+    same = manifest.select("file_name", "file_size", "modified")
+    if suspects is not None:
+        same = same.join(suspects, "file_name", "left_anti")
+    return found.join(same, ["file_name", "file_size", "modified"], "left_anti")
+
+
+def sync(spark: SparkSession, path: str | list[str], table: str, manifest: str, full: bool = False) -> DataFrame:
+    """Load new, changed and suspect files into the Parquet table (one partition per file, replaced whole) and renew the
+    manifest; ``full`` loads all files anew and forgets those that are gone. Only the files that are loaded are read: of
+    the others size and time are compared, and of those that differ the hash. Files without ticks are tried again."""
+    found, known = listed(spark, path), read_manifest(spark, manifest)
+    if full:
+        known = known.limit(0)
+    suspects = None
+    if not known.isEmpty():
+        suspects = suspect_files(known.select("file_name", "file_size"), spark.read.parquet(table))
+    new = stored(to_sync(found, known, suspects), "to-sync")
+    names = [r.file_path for r in new.select("file_path").collect()]  # a name for each file to load
+    if names:
+        hashes = fingerprints(spark, names)
+        new = new.join(hashes, "file_path")
+        if suspects is not None:  # touched, but the same
+            same = known.join(suspects, "file_name", "left_anti").select("file_name", "file_hash")
+            new = new.join(same, ["file_name", "file_hash"], "left_anti")
+        new = stored(new, "to-load")
+        names = [r.file_path for r in new.select("file_path").collect()]
+    if names:
+        ticks = read_ticks(spark, names).withColumn("seq", F.col("seq.n"))
+        writer = ticks.write.mode("overwrite").partitionBy("file_source")
+        (writer if full else writer.option("partitionOverwriteMode", "dynamic")).parquet(table)
+        counts = spark.read.parquet(table).groupBy(F.col("file_source").alias("file_name")).agg(F.count("*").alias("row_count"))
+        loaded = new.join(counts, "file_name").withColumn("synced_at", F.current_timestamp())
+        kept = known.join(new, "file_name", "left_anti")
+        columns = [x.split()[0] for x in MANIFEST.split(", ")]
+        stored(kept.select(*columns).unionByName(loaded.select(*columns)), "manifest").write.mode("overwrite").parquet(manifest)
+    return read_manifest(spark, manifest)
+
+
+def sync_status(spark: SparkSession, table: str, manifest: str) -> DataFrame:
+    """One row: files loaded and ticks they have."""
+    return read_manifest(spark, manifest).agg(F.count("*").alias("total_files"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_ticks"))
 
 
 def write_csv(ticks: DataFrame, path: str) -> None:
@@ -132,3 +179,9 @@ def write_csv(ticks: DataFrame, path: str) -> None:
     rows = ticks.select(F.date_format("ts", "HH:mm:ss").alias("time"), "price", "volume", F.date_format("ts", "yyyyMMdd").alias("day"), "ts", "seq")
     rows = rows.repartition("day").sortWithinPartitions("day", "ts", "seq").drop("ts", "seq")
     rows.write.partitionBy("day").option("header", "true").mode("overwrite").csv(path)
+
+
+def write_trades(trades: DataFrame, path: str, *by: str) -> None:
+    """A trade log as CSV with a header, a folder for each series, in the order of the trades."""
+    by = by or tuple(c for c in ("symbol", "bar_size", "strategy") if c in trades.columns)
+    trades.repartition(*by).sortWithinPartitions(*by, "trade_no").write.partitionBy(*by).mode("overwrite").option("header", "true").csv(path)

@@ -1,5 +1,6 @@
 """The folder that driver and executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir; where that is unset (tests), below a temporary folder of its own."""
+    """A new place below spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder, and a
+    cluster an error, as its machines would not see each other's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
