@@ -37,6 +37,7 @@ def test_exact_groups_on_odd_rows(odd, none):
     assert exact_dedup.exact_groups(none).count() == 0
     kept = exact_dedup.drop_exact_copies(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6]
+    assert {r.doc_id: (r.kept, r.hash) for r in kept.collect()} == {1: ("x", 1), 3: (None, None), 4: ("x", 2), 6: ("y", 3)}  # the input's own
 
 
 def test_exact_groups_tell_texts_of_one_digest_apart(spark):
@@ -115,6 +116,24 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_hot_keys_are_joined_like_others(spark):
+    from tidemill.llm.common import joined
+
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(4000)], "k string, i bigint")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("low"))
+    want = {(r.k, r.i, r.n, r.low) for r in rows.join(table, "k").select("k", "i", "n", "low").collect()}
+    got = joined(rows, table, "k", "n", 4000)
+    assert got.columns == ["k", "i", "n", "low"] and {tuple(r) for r in got.collect()} == want and got.count() == 4000
+
+
+def test_sources_in_ranges_give_the_same_targets(spark, monkeypatch):
+    rnd = random.Random(12)
+    sizes = spark.createDataFrame([(s is None, s or "", rnd.randint(0, 900)) for s in [None, *[f"s{i}" for i in range(70)]] for _ in range(3)], "_none boolean, _src string, size bigint")
+    few = {tuple(r) for r in mixing.targets(sizes).collect()}
+    monkeypatch.setattr(mixing, "_few", lambda goal, most=0: False)
+    assert {tuple(r) for r in mixing.targets(sizes).collect()} == few and len(few) == 71
+
+
 def toxic_tables(spark, n=400):
     rnd = random.Random(2)
     plain = ["".join(rnd.choices("abcdeimnorst", k=rnd.randint(2, 7))) for _ in range(300)]
