@@ -24,3 +24,34 @@ def test_quotes_fold_frames_of_a_few_rows(spark):
         assert got[symbol].ticks == len(own) and got[symbol].price == own["value"].iloc[-1]
         assert got[symbol].change == pytest.approx(own["value"].iloc[-1] - own["value"].iloc[0], abs=1e-5)
         assert got[symbol].tps == pytest.approx((min(200, len(own)) - 1) / gone, abs=1e-5)
+
+
+def test_streams_carry_their_state_over_triggers(spark, tmp_path):
+    """The ticks in twelve files of some hours each, one a trigger, against all of them at once."""
+    from pyspark.sql import functions as F
+
+    from tidemill.plans import stream_queries
+    from tidemill.streaming import live
+
+    rows = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").toPandas()
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(12):
+        part = rows.iloc[len(rows) * i // 12 : len(rows) * (i + 1) // 12]
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/one")
+    files = sorted((tmp_path / "one").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    for i, f in enumerate(files):
+        f.rename(tmp_path / "events.parquet" / f"part-{i:02d}.parquet")
+    ticks = lambda: live.tick_stream(spark, f"file://{tmp_path}", 1)
+    bars = live.run_once(live.live_bars(ticks(), 7), "bars")
+    want = live.rebuild(stream_queries.B.event_ticks(spark, SF), 7)
+    columns = ["symbol", "bar_no", "open_time", "close_time", "open", "high", "low", "close", "volume", "ticks"]
+    assert sorted(map(str, bars.select(*columns).collect())) == sorted(map(str, want.where("complete").select(*columns).collect()))
+    shown = live.run_once(live.live_bars(ticks(), 7, forming=True), "forming", "update", ["symbol", "bar_no"])
+    assert sorted(map(str, shown.select(*columns, "complete").collect())) == sorted(map(str, want.select(*columns, "complete").collect()))
+    assert {r.symbol: r.ticks for r in live.run_once(live.quotes(ticks()), "quotes", "update", ["symbol"]).collect()} == rows.groupby("event_type").size().to_dict()
+    made = []
+    for stream in (ticks(), live.tick_stream(spark, SF)):
+        path = f"file://{tmp_path}/decisions-{len(made)}"
+        live.decide(live.live_bars(stream, 2), path, stream_queries.rule, warm=30, keep=60).awaitTermination()
+        made.append(spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/decisions").withColumn("take_profit", F.round("take_profit", 6)).withColumn("stop_loss", F.round("stop_loss", 6)).drop("trigger"))
+    assert made[0].count() > 50 and sorted(map(str, made[0].collect())) == sorted(map(str, made[1].collect()))

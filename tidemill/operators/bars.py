@@ -120,12 +120,13 @@ def tick_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = F
     )
 
 
-def volume_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = False) -> DataFrame:
-    """Bars of V traded units a day; a tick belongs to the bar in which its cumulative volume ends."""
+def volume_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = False, apart: bool = False) -> DataFrame:
+    """Bars of V traded units a day; a tick belongs to the bar in which its cumulative volume ends. Leading ticks without
+    volume belong to bar 0, or with ``apart`` to a bar -1 of their own."""
     by = (["symbol"] if per_symbol else []) + ["trade_date"]
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
     rows = _indexed(ticks, by).withColumn("bar_size", F.explode(F.array(*map(F.lit, sizes))))
-    return rows.withColumn("bar_idx", F.expr("(cum_volume - 1) div bar_size")).groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn"), _quotes(ticks)))
+    return rows.withColumn("bar_idx", F.expr("floor((cum_volume - 1) / bar_size)" if apart else "(cum_volume - 1) div bar_size")).groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn"), _quotes(ticks)))
 
 
 def continuous_bars(ticks: DataFrame, size: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,26 +167,33 @@ def models(columns: Sequence[str], label: str = "label", seed: int = 42) -> dict
 
 
 def train_and_predict(folds: DataFrame, columns: Sequence[str], model: str = "forest", seed: int = 42) -> DataFrame:
-    """Predictions for each fold's test rows by a model of its training rows; labels -1, 0, 1."""
-    out, folds = None, folds.persist()  # fitting passes over the rows many times
-    for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):
+    """Predictions for each fold's test rows by a model of its training rows; labels -1, 0, 1. Fitting passes over the rows
+    many times, so they are stored, and so are each fold's predictions."""
+    folds, parts = stored(folds, "folds"), []
+    for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):  # a number for each fold
         rows = folds.where(F.col("fold") == fold).withColumn("_label", (F.col("label") + 1).cast("double"))
         fitted = models(columns, "_label", seed)[model].fit(rows.where("part = 'train'"))
         part = fitted.transform(rows.where("part = 'test'")).withColumn("predicted", (F.col("prediction") - 1).cast("int")).drop("_raw", "_x", "rawPrediction", "probability", "prediction", "_label")
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(stored(part, "predictions"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-def tuned(rows: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 42, folds: int = 3):
-    """The forest whose depth and number of trees do best in cross-validation."""
+def tuned(rows: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 42, folds: int = 3, model: str = "forest"):
+    """The forest, or the boosted trees, whose depth and number of trees do best in cross-validation."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    pipeline = models(columns, label, seed)["forest"]
-    forest = pipeline.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(forest.maxDepth, [4, 6]).addGrid(forest.numTrees, [40, 100]).build()
+    pipeline = models(columns, label, seed)[model]
+    last = pipeline.getStages()[-1]
+    tree = last.getClassifier() if model == "boosted" else last
+    number = {"forest": ("numTrees", [40, 100]), "boosted": ("maxIter", [10, 20])}[model]
+    grid = ParamGridBuilder().addGrid(tree.maxDepth, [4, 6]).addGrid(getattr(tree, number[0]), number[1]).build()
     judge = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed).fit(rows.persist()).bestModel
+    kept = rows.persist()
+    try:
+        return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed).fit(kept).bestModel
+    finally:
+        kept.unpersist()
 
 
 def save_model(model, path: str, columns: Sequence[str], **facts: str) -> None:

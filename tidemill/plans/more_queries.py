@@ -13,7 +13,8 @@ from ..operators import quality as Q
 from ..operators import selection as S
 from ..sources import bar_cache as cache
 from ..sources.shared import shared_path, stored
-from .indicator_sql import SIGNALS
+from . import recursive_sql
+from .indicator_sql import SIGNALS, signal_sql
 from .sql import BAR, SERIES, TICKS, W, roll, span, stages
 from .tick_queries import query, series
 
@@ -88,6 +89,11 @@ def volume_bars_filtered(spark, sf_dir):
     return out(B.volume_bars(B.median_filter(B.event_ticks(spark, sf_dir)), 200), *BAR_COLUMNS)
 
 
+@query("volume_bars_apart", bars_sql(BY_VOLUME.replace("ELSE 0", "ELSE -1"), (300,), "k", ", g AS (SELECT * FROM t WHERE price BETWEEN 50 AND 2000 AND volume >= 0)" + RANKED.format("g")))
+def volume_bars_apart(spark, sf_dir):
+    return out(B.volume_bars(B.static_filter(B.event_ticks(spark, sf_dir)), 300, apart=True), *BAR_COLUMNS)
+
+
 @query("tick_bars_by_symbol", f"WITH {SERIES} SELECT symbol, bar_no, {DAY}, bar_idx, open_time, close_time, volume, tick_count, {r6(*PRICES)} FROM bars")
 def tick_bars_by_symbol(spark, sf_dir):
     return out(series(spark, sf_dir), "symbol", "bar_no", "trade_date", "bar_idx", "open_time", "close_time", "volume", "tick_count")
@@ -389,6 +395,30 @@ def vote_custom(spark, sf_dir):
     return rows.select("symbol", "bar_no", strategies.vote(VOLS).cast("int").alias("signal"))
 
 
+def _all_signals_sql(names) -> str:
+    """The signals of the named strategies, each by its own SQL, as sg(symbol, bar_no, signal)."""
+    return "WITH RECURSIVE sg AS (" + " UNION ALL ".join(f"SELECT symbol, bar_no, signal FROM ({sql_of(n)})" for n in names) + ")"
+
+
+def sql_of(name: str) -> str:
+    return signal_sql(name) or recursive_sql.SIGNALS[name]
+
+
+VOTE = " SELECT symbol, bar_no, CAST(CASE WHEN avg(signal) > 0.2 THEN 1 WHEN avg(signal) < -0.2 THEN -1 ELSE 0 END AS INTEGER) AS signal FROM sg GROUP BY symbol, bar_no"
+
+
+def _vote_query(category: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = strategies.with_signals(series(spark, sf_dir), strategies.CATEGORIES[category])
+        return T.ensembles(rows, [category]).select("symbol", "bar_no", F.col(f"{category}_Ensemble").alias("signal"))
+
+    return run
+
+
+for _c in ("TREND", "VOLATILITY", "CONTRARIAN", "ALL"):
+    query(f"vote_{_c.lower()}", _all_signals_sql(strategies.CATEGORIES[_c]) + VOTE)(_vote_query(_c))
+
+
 @query("grid_all")
 def grid_all(spark, sf_dir):
     """Every strategy, category votes and the votes of the best, on bars of three sizes."""

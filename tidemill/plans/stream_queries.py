@@ -19,11 +19,45 @@ from .tick_queries import query, series
 @query(
     "stream_live_bars",
     f"""WITH {TICKS}, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1) // 60 AS bar_no FROM t)
-SELECT symbol, bar_no, min(ts) AS open_time, max(ts) AS close_time, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, CAST(sum(volume) AS BIGINT) AS volume, CAST(count(*) AS INTEGER) AS ticks
+SELECT symbol, bar_no, min(ts) AS open_time, max(ts) AS close_time, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, CAST(sum(volume) AS BIGINT) AS volume, CAST(count(*) AS INTEGER) AS ticks,
+  round(sum(price * volume), 4) AS money
 FROM n GROUP BY symbol, bar_no HAVING count(*) = 60""",
 )
 def stream_live_bars(spark, sf_dir):
-    return live.run_once(live.live_bars(live.tick_stream(spark, sf_dir), 60), "live-bars").drop("complete")
+    bars = live.run_once(live.live_bars(live.tick_stream(spark, sf_dir), 60), "live-bars")
+    return bars.withColumn("money", F.round("money", 4)).drop("complete", "bought")
+
+
+@query(
+    "rebuild_bars",
+    f"""WITH {TICKS}, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1) // 45 AS bar_no FROM t)
+SELECT symbol, bar_no, min(ts) AS open_time, max(ts) AS close_time, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, CAST(sum(volume) AS BIGINT) AS volume,
+  CAST(count(*) AS INTEGER) AS ticks, count(*) = 45 AS complete FROM n GROUP BY symbol, bar_no""",
+)
+def rebuild_bars(spark, sf_dir):
+    return live.rebuild(B.event_ticks(spark, sf_dir), 45)
+
+
+def rule(rows):
+    """Stands in for a model: the sign of the return over three bars."""
+    return rows.withColumn("label", F.signum("ret_3").cast("int"))
+
+
+@query(
+    "stream_decisions",
+    f"""WITH {TICKS}, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1) // 12 AS bar_no FROM t),
+b AS (SELECT symbol, bar_no, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close FROM n GROUP BY symbol, bar_no HAVING count(*) = 12),
+l AS (SELECT *, avg(high - low) OVER (PARTITION BY symbol ORDER BY bar_no ROWS 13 PRECEDING) AS span,
+  CASE WHEN bar_no >= 49 THEN CAST(coalesce(sign(lag(close, 1) OVER w - lag(close, 4) OVER w), 0) AS INTEGER) ELSE 0 END AS label FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
+h AS (SELECT *, coalesce(last_value(nullif(label, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM l)
+SELECT symbol, bar_no, label, CASE WHEN label = 1 AND held <= 0 THEN 'BUY' WHEN label = -1 AND held >= 0 THEN 'SELL' ELSE 'HOLD' END AS action, CAST(CASE WHEN label <> 0 THEN label ELSE held END AS INTEGER) AS target_pos,
+  round(close + CASE label WHEN 1 THEN 2.0 ELSE -2.0 END * span, 6) AS take_profit, round(close - CASE label WHEN 1 THEN 1.5 ELSE -1.5 END * span, 6) AS stop_loss FROM h WHERE bar_no >= 49""",
+)
+def stream_decisions(spark, sf_dir):
+    path = shared_path(spark, "decisions")
+    live.decide(live.live_bars(live.tick_stream(spark, sf_dir), 12), path, rule).awaitTermination()
+    rows = spark.read.schema("symbol string, bar_no bigint, label int, action string, target_pos int, take_profit double, stop_loss double").option("recursiveFileLookup", "true").parquet(f"{path}/decisions")
+    return rows.select("symbol", "bar_no", "label", "action", "target_pos", F.round("take_profit", 6).alias("take_profit"), F.round("stop_loss", 6).alias("stop_loss"))
 
 
 @query(
@@ -33,7 +67,7 @@ SELECT symbol, count(*) AS ticks, last(price ORDER BY ts, seq) AS price, round(l
   round((count(*) FILTER (back <= 200) - 1) / ((epoch_us(max(ts)) - epoch_us(min(ts) FILTER (back <= 200))) / 1e6), 6) AS tps FROM n GROUP BY symbol""",
 )
 def stream_quotes(spark, sf_dir):
-    rows = live.run_once(live.quotes(live.tick_stream(spark, sf_dir)), "quotes", "update")
+    rows = live.run_once(live.quotes(live.tick_stream(spark, sf_dir)), "quotes", "update", ["symbol"])
     return rows.select("symbol", "ticks", "price", F.round("change", 6).alias("change"), "total_volume", F.round("tps", 6).alias("tps"))
 
 
@@ -54,7 +88,7 @@ def stream_windows(spark, sf_dir):
         f"{SIGNALS['ATR_Breakout'][1]} AS label",
         f"avg(high - low) OVER (PARTITION BY symbol ORDER BY bar_no ROWS 13 PRECEDING) AS span, coalesce(last_value(nullif(label, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held",
         "CASE WHEN label = 1 AND held <= 0 THEN 'BUY' WHEN label = -1 AND held >= 0 THEN 'SELL' ELSE 'HOLD' END AS action",
-        "CASE action WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 END AS way",
+        "CASE label WHEN 1 THEN 1 ELSE -1 END AS way",
     )
     + f"SELECT symbol, bar_no, action, CAST(CASE WHEN label <> 0 THEN label ELSE held END AS INTEGER) AS target_pos, round(close + way * 2.0 * span, 6) AS take_profit, round(close - way * 1.5 * span, 6) AS stop_loss FROM s{len(SIGNALS['ATR_Breakout'][0]) + 4}",
 )

@@ -3,55 +3,85 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.windows import carried, chunk_window, in_chunks, own_rows
-from ..sources.shared import shared_path
+from ..functions.windows import carried, chunk_window, in_chunks, numbered, own_rows
+from ..operators.learning import features
+from ..sources.shared import shared_path, stored
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table, one file or a folder of part files, as a stream of ticks."""
+def tick_stream(spark: SparkSession, sf_dir: str, files_a_trigger: int | None = None) -> DataFrame:
+    """The events table, one file or a folder of part files, as a stream of ticks; ``files_a_trigger`` bounds what a trigger
+    reads."""
     # as a pattern, since a stream takes a plain path for a folder
-    rows = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
+    reader = spark.readStream.schema(EVENTS)
+    rows = (reader.option("maxFilesPerTrigger", files_a_trigger) if files_a_trigger else reader).parquet(f"{sf_dir}/events.parque[t]")
     return rows.select("ts", F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("bigint").alias("volume"))
 
 
-BAR = "symbol string, bar_no bigint, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume bigint, ticks int, complete boolean"
-HELD = "bar_no bigint, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume bigint, ticks int"
+BAR = (
+    "symbol string, bar_no bigint, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume bigint, ticks int, money double, bought bigint,"
+    " complete boolean"
+)
+HELD = "bar_no bigint, last double, rows array<struct<t:timestamp_ntz,p:double,v:bigint,b:bigint>>"
 
 
 def live_bars(ticks: DataFrame, size: int, forming: bool = False) -> DataFrame:
-    """A bar whenever ``size`` ticks of a symbol have arrived; what is left is held as state, and shown with ``forming``.
+    """A bar whenever ``size`` ticks of a symbol have arrived; fewer than ``size`` ticks are held as state, and shown as a bar
+    with ``forming``. money is the sum of price times volume, bought the volume of ticks that rose (a first tick did not).
 
     Ticks of one trigger are taken in the order of (ts, seq); bound a trigger by the source's options.
     """
 
+    def bars(key: str, number: int, f: pd.DataFrame, complete: bool) -> pd.DataFrame:
+        at = np.arange(0, len(f), size)
+        p, v, t = f["price"].to_numpy(float), f["volume"].to_numpy(np.int64), f["ts"].to_numpy()
+        ends = np.minimum(at + size, len(f)) - 1
+        made = {
+            "symbol": key, "bar_no": number + np.arange(len(at)), "open_time": t[at], "close_time": t[ends], "open": p[at], "high": np.maximum.reduceat(p, at), "low": np.minimum.reduceat(p, at), "close": p[ends],
+            "volume": np.add.reduceat(v, at), "ticks": ends - at + 1, "money": np.add.reduceat(p * v, at), "bought": np.add.reduceat(f["bought"].to_numpy(np.int64), at), "complete": complete,
+        }
+        return pd.DataFrame(made)
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, *bar = state.get if state.exists else (0, None, None, 0.0, 0.0, 0.0, 0.0, 0, 0)
-        out = []
+        number, last, held = state.get if state.exists else (0, None, [])
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        for ts, price, volume in zip(rows["ts"], rows["price"], rows["volume"], strict=True):
-            if not bar[7]:
-                bar = [ts, ts, price, price, price, price, 0, 0]
-            bar = [bar[0], ts, bar[2], max(bar[3], price), min(bar[4], price), price, bar[6] + int(volume), bar[7] + 1]
-            if bar[7] == size:
-                out.append((key[0], number, *bar, True))
-                number, bar = number + 1, [None, None, 0.0, 0.0, 0.0, 0.0, 0, 0]
-        state.update((number, *bar))
-        if forming and bar[7]:
-            out.append((key[0], number, *bar, False))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in BAR.split(", ")])
+        before = rows["price"].shift(fill_value=rows["price"].iloc[0] if last is None else last)
+        rows = rows.assign(bought=rows["volume"].where(rows["price"] > before, 0))[["ts", "price", "volume", "bought"]]
+        last = float(rows["price"].iloc[-1])
+        if held:
+            rows = pd.concat([pd.DataFrame([tuple(x) for x in held], columns=rows.columns), rows], ignore_index=True)
+        whole = len(rows) // size * size
+        if whole:
+            yield bars(key[0], number, rows.iloc[:whole], True)
+        rest = rows.iloc[whole:]
+        number += whole // size
+        state.update((number, last, [(t.to_pydatetime(), float(p), int(v), int(b)) for t, p, v, b in rest.itertuples(index=False)]))
+        if forming and len(rest):
+            yield bars(key[0], number, rest, False)
 
     return ticks.groupBy("symbol").applyInPandasWithState(step, BAR, HELD, "update" if forming else "append", GroupStateTimeout.NoTimeout)
 
 
+def rebuild(ticks: DataFrame, size: int) -> DataFrame:
+    """The bars that ``live_bars`` would have with another size, from all ticks so far; the last one may be forming."""
+    rows = numbered(ticks, ["symbol"], F.date_trunc("minute", "ts"), ("ts", "seq")).withColumn("bar_no", F.expr(f"(rn - 1) div {int(size)}"))
+    bars = rows.groupBy("symbol", "bar_no").agg(
+        F.min("ts").alias("open_time"), F.max("ts").alias("close_time"), F.min_by("price", "rn").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "rn").alias("close"), F.sum("volume").alias("volume"), F.count("*").cast("int").alias("ticks"),
+    )
+    return bars.withColumn("complete", F.col("ticks") == int(size))
+
+
 QUOTE = "symbol string, ticks bigint, price double, change double, change_pct double, total_volume bigint, tps double"
 
 
@@ -82,24 +112,64 @@ def windows(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -
     return rows.groupBy(F.window("at", width), "symbol").agg(F.count("*").alias("ticks"), F.sum("volume").alias("volume"), F.max("price").alias("high"), F.min("price").alias("low"))
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over all that is there, into a table in the shared folder, and read that."""
+def run_once(stream: DataFrame, name: str, mode: str = "append", latest_by: list[str] | None = None) -> DataFrame:
+    """Drive a stream over all that is there, into a table in the shared folder, and read that; with ``latest_by`` only the
+    row of the last trigger for each key. A trigger that is repeated writes its rows anew."""
     spark = stream.sparkSession
     path, marks = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.withColumn("trigger", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+        batch.withColumn("at_trigger", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/trigger={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(add).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("at_trigger", T.LongType())])).option("recursiveFileLookup", "true").parquet(path)
+    if latest_by:
+        rows = rows.groupBy(*latest_by).agg(F.max_by(F.struct(*stream.columns), "at_trigger").alias("x")).select("x.*")
+    return rows.select(*stream.columns)
+
+
+def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame], warm: int = 50, keep: int = 200):
+    """Start live decisions on a stream of complete bars (``live_bars``); the streaming query, which is not yet awaited.
+
+    Each trigger takes the last ``keep`` bars of a symbol from the trigger before, makes features of them and the new ones,
+    has ``label`` (a model) add the column label (1, 0, -1) to them, and writes the actions on the new bars from the
+    ``warm``-th on below ``path``/decisions. What the next trigger needs is written below ``path``/held, so a repeated
+    trigger does the same again.
+    """
+    spark = bars.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.where("complete").withColumns({
+            "bar_size": F.lit(0), "datetime": F.col("close_time"), "tick_count": F.col("ticks"), "vwap": F.col("money") / F.greatest(F.lit(1), "volume"), "buy_ratio": F.col("bought") / F.greatest(F.lit(1), "volume"),
+            "bar_duration_sec": F.greatest(F.lit(0.1), F.expr("timestampdiff(MICROSECOND, open_time, close_time)") / 1e6), "is_new": F.lit(True), "position": F.lit(None).cast("int"),
+        }).drop("complete", "money", "bought")
+        both = new
+        if number:
+            both = new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/held/trigger={number - 1}").withColumn("is_new", F.lit(False)))
+        both = stored(both, "bars-now")  # at most ``keep`` old bars of a symbol
+        first = both.groupBy("symbol").agg(F.min("bar_no").alias("_low"))
+        # features want bars numbered from 0
+        rows = both.join(first, "symbol").withColumn("bar_no", F.col("bar_no") - F.col("_low"))
+        known = label(features(rows.drop("_low", "is_new", "position"))).select("symbol", "bar_no", "label")
+        rows = rows.join(known, ["symbol", "bar_no"], "left").withColumn("label", F.when(F.col("bar_no") + F.col("_low") >= warm - 1, F.coalesce("label", F.lit(0))).otherwise(0))
+        rows = rows.withColumn("label", F.when(F.col("is_new"), F.col("label")).when(F.col("position") != 0, F.col("position")).otherwise(0))
+        done = actions(rows)
+        done = stored(done.withColumns({"bar_no": F.col("bar_no") + F.col("_low"), "position": F.col("target_pos")}), "decided")
+        out = done.where(F.col("is_new") & (F.col("bar_no") >= warm - 1)).select("symbol", "bar_no", "datetime", "close", "label", "action", "target_pos", "take_profit", "stop_loss")
+        out.write.mode("overwrite").parquet(f"{path}/decisions/trigger={number}")
+        back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar_no")))
+        done.withColumn("_back", back).where(F.col("_back") <= keep).select(*new.columns).write.mode("overwrite").parquet(f"{path}/held/trigger={number}")
+
+    return bars.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
 
 
 def actions(rows: DataFrame) -> DataFrame:
-    """Trade actions from class labels (1, 0, -1) on bars: BUY or SELL when a label turns the position, with target and stop.
+    """Trade actions from class labels (1, 0, -1) on bars: BUY or SELL when a label turns the position, HOLD else, each with
+    target and stop.
 
     A label of 0 never changes the position, so it is that of the last other label. Target and stop are 2.0 and 1.5 mean
-    ranges of the last 14 bars away.
+    ranges of the last 14 bars away, above and below for a label of 1 and the other way round for others.
     """
     by = [k for k in ("symbol", "bar_size") if k in rows.columns]
     w = chunk_window(by)
@@ -110,6 +180,6 @@ def actions(rows: DataFrame) -> DataFrame:
     held, span = F.col("_held"), F.col("_range")
     out = rows.withColumn("action", F.when((F.col("label") == 1) & (held <= 0), "BUY").when((F.col("label") == -1) & (held >= 0), "SELL").otherwise("HOLD"))
     out = out.withColumn("target_pos", F.coalesce(turned, held).cast("int"))
-    way = F.when(F.col("action") == "BUY", 1).when(F.col("action") == "SELL", -1)
+    way = F.when(F.col("label") == 1, 1).otherwise(-1)
     out = out.withColumn("take_profit", F.col("close") + way * 2.0 * span).withColumn("stop_loss", F.col("close") - way * 1.5 * span)
     return out.drop("_so_far", "_held", "_range")
