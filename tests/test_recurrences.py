@@ -196,6 +196,14 @@ def test_csv_forms(spark, tmp_path):
     ]
 
 
+def test_scan_counts_bad_times_and_reversed_files(spark, tmp_path):
+    (tmp_path / "170328.csv").write_text("time,price,volume\n15:45:00,10,1\nlate,11,1\n9:00:00,x,2\n")
+    (tmp_path / "170329.CSV").write_text("time,price,volume\n090000,10,1\n2017-03-29 10:00:00,11,1\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = {r.file: r[1:] for r in csv_ticks.scan_files(spark, f"file://{tmp_path}").collect()}
+    assert got == {"170328.csv": (3, 1, 1, True), "170329.CSV": (2, 0, 0, False)}
+
+
 def test_sync_loads_new_and_changed_files(spark, tmp_path):
     src, table, manifest = tmp_path / "in", f"file://{tmp_path}/t", f"file://{tmp_path}/m"
     src.mkdir()

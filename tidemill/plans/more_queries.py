@@ -419,6 +419,19 @@ for _c in ("TREND", "VOLATILITY", "CONTRARIAN", "ALL"):
     query(f"vote_{_c.lower()}", _all_signals_sql(strategies.CATEGORIES[_c]) + VOTE)(_vote_query(_c))
 
 
+SOME = tuple(strategies.MOMENTUM[:7])
+BEST = """,
+r AS (SELECT symbol, strategy, row_number() OVER (PARTITION BY symbol ORDER BY total_return_pct DESC, sharpe DESC, strategy) AS p, row_number() OVER (PARTITION BY symbol ORDER BY win_rate DESC, total_return_pct DESC, strategy) AS q FROM sm),
+c AS (SELECT symbol, strategy, e AS ensemble FROM r, (VALUES ('Top3_Ensemble', 3), ('Top5_Ensemble', 5)) v(e, k) WHERE p <= k UNION ALL SELECT symbol, strategy, 'Top3_WinRate_Ensemble' FROM r WHERE q <= 3)
+SELECT symbol, ensemble AS strategy, bar_no, CAST(CASE WHEN avg(signal) > 0.2 THEN 1 WHEN avg(signal) < -0.2 THEN -1 ELSE 0 END AS INTEGER) AS signal FROM sg JOIN c USING (symbol, strategy) GROUP BY symbol, ensemble, bar_no"""
+
+
+@query("vote_best", _signals_sql(SOME) + CURVE + DEALS + SUMMARY + BEST)
+def vote_best(spark, sf_dir):
+    rows = signal_rows(spark, sf_dir, SOME)
+    return T.top_votes(rows, stored(T.summary(T.equity(rows)), "summaries")).select("symbol", "strategy", "bar_no", "signal")
+
+
 @query("grid_all")
 def grid_all(spark, sf_dir):
     """Every strategy, category votes and the votes of the best, on bars of three sizes."""

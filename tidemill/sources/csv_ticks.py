@@ -74,14 +74,34 @@ def clock(time: Column) -> Column:
     return F.when(time.contains(":"), short).otherwise(packed)
 
 
+def _raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(_lines, RAW)
+
+
+def scan_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per file with lines: file, lines, bad_times (cells that are no time), no_price, and reversed, where the file
+    runs from late to early."""
+    rows = _raw(spark, path)
+    dated = F.col("time").rlike("[-/]") & (F.length("time") >= 10)
+    good = F.coalesce(dated | F.col("time").rlike(r"^\d{1,2}:\d{2}:\d{2}") | F.col("time").rlike(r"^\d{6}$"), F.lit(False))
+    at = F.when(good, F.when(dated, F.replace("time", F.lit("/"), F.lit("-"))).otherwise(clock(F.col("time"))))
+    price = F.regexp_replace("price", "[, ]", "").try_cast("double")
+    rows = rows.withColumns({"_at": at, "_bad": ~good, "_none": price.isNull()})
+    out = rows.groupBy("file").agg(
+        F.count("*").alias("lines"), F.count_if("_bad").alias("bad_times"), F.count_if("_none").alias("no_price"),
+        F.min_by("_at", F.when(F.col("_at").isNotNull(), F.col("line"))).alias("_a"), F.max_by("_at", F.when(F.col("_at").isNotNull(), F.col("line"))).alias("_b"),
+    )
+    return out.withColumn("reversed", F.coalesce(F.col("_a") > F.col("_b"), F.lit(False))).drop("_a", "_b")
+
+
 def read_ticks(spark: SparkSession, path: str | list[str], symbol: str = "DEFAULT") -> DataFrame:
     """Ticks of all files below ``path`` (one or several). Files in falling order of time are turned round; seq follows the file's order.
 
     A file is read whole by one task (a day of ticks is some megabytes). Rows without a price or a date are dropped,
     missing volumes are 1. An empty file gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path)
-    raw = files.select("path", "content").mapInPandas(_lines, RAW)
+    raw = _raw(spark, path)
     number = lambda c: F.regexp_replace(F.col(c), "[, ]", "").try_cast("double")
     dated = F.col("time").rlike("[-/]") & (F.length("time") >= 10)
     day = F.when(dated, F.try_to_timestamp(F.replace(F.substring("time", 1, 10), F.lit("/"), F.lit("-")), F.lit("yyyy-MM-dd")).cast("date")).otherwise(date_in_name(F.col("file")))
