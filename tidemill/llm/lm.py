@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +35,13 @@ END = b"\n"
 LANES = 1024
 #: Bytes of context that choose an n-gram's part.
 NEAR = 3
-#: Bytes of text in a block.
+#: Bytes of text in a block, and of these in a slice whose n-grams are made at once.
 BLOCK = 8_000_000
+SLICE = 1_000_000
+#: What a block's texts and answers are packed with.
+CODEC = pa.Codec("zstd", compression_level=5)
+#: Bits of an answer's fraction that are rounded off: a log10 probability keeps 16 of 23, under 1e-5 of its size.
+ROUNDED = 7
 
 
 @dataclass(frozen=True)
@@ -239,29 +244,57 @@ def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where in the sorted ``keys`` each of ``wanted`` is: by a table of slots, by search where two share one."""
+def places(keys: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """What finds wanted keys in the sorted ``keys``: by a table of slots, by search where two share one."""
     bits = np.uint64(64 - max(8, len(keys).bit_length() + 2))
     slot = lambda x: x * np.uint64(0x9E3779B97F4A7C15) >> bits
     slots = np.zeros(1 << 64 - int(bits), np.int32)
     slots[slot(keys)] = np.arange(len(keys), dtype=np.int32)
-    at = slots[slot(wanted)]
-    other = np.flatnonzero(keys[at] != wanted)
-    at[other] = np.searchsorted(keys, wanted[other])
-    return at
+
+    def find(wanted: np.ndarray) -> np.ndarray:
+        at = slots[slot(wanted)]
+        other = np.flatnonzero(keys[at] != wanted)
+        at[other] = np.searchsorted(keys, wanted[other])
+        return at
+
+    return find
 
 
 def packed(values: np.ndarray) -> bytes:
     """Compressed, with bytes of one weight together."""
-    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), codec="zstd", asbytes=True)
+    return CODEC.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), asbytes=True)
 
 
 def unpacked(cell: bytes, kind: type, size: int) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(cell, size * width, codec="zstd", asbytes=True), np.uint8)
+    raw = np.frombuffer(CODEC.decompress(cell, size * width, asbytes=True), np.uint8)
     return np.ascontiguousarray(raw.reshape(width, size).T).view(kind).ravel()
 
 
+def rounded(logs: np.ndarray) -> np.ndarray:
+    """float32 values with the last ROUNDED bits of the fraction rounded off; what is not a number stays that."""
+    bits = logs.astype(np.float32).view(np.uint32)
+    bits = (bits + np.uint32(1 << ROUNDED - 1)) & np.uint32(0xFFFFFFFF << ROUNDED & 0xFFFFFFFF)
+    return np.where(np.isnan(logs), np.float32(np.nan), bits.view(np.float32))
+
+
+def slices(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of documents of about SLICE bytes each (a longer document is one of its own)."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1
+    edges = [0, *cuts.tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+def counted(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of documents and how often each occurs, made slice by slice."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in slices(np.array([sum(map(len, w)) + len(w) for w in words], np.int64)):
+        found, n = np.unique(keys_of(symbols(words[a:b]), depth), return_counts=True)
+        keys.append(found)
+        counts.append(n.astype(np.int64))
+    return merge_counts(keys, counts) if len(keys) > 1 else (keys[0], counts[0])
+
+
 def block_of(rows: np.ndarray, sizes: np.ndarray, before: tuple[int, int]) -> tuple[np.ndarray, tuple[int, int]]:
     """Block numbers of a partition's next rows, by the bytes before each, and what to go on with."""
     part, done = int(rows[0]) >> 33, before[1] if before[0] == int(rows[0]) >> 33 else 0
@@ -273,10 +306,9 @@ def _with_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, docs): the rows of every block, compressed."""
 
     def cell(block: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for x in rows:
-                out.write_batch(x)
+        sink, whole = pa.BufferOutputStream(), pa.Table.from_batches(rows).combine_chunks()
+        with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as out:
+            out.write_table(whole)
         return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
 
     now, before, rows = None, (-1, 0), []
@@ -300,8 +332,8 @@ def _ask(depth: int, parts: int):
     """(part, block, size, steps, n) of every block: its distinct n-grams and how often its training texts have them."""
 
     def cells(block: int, train: list, rest: list) -> Iterator[pa.RecordBatch]:
-        learnt, n = np.unique(keys_of(symbols(train), depth), return_counts=True)
-        keys = np.union1d(learnt, np.unique(keys_of(symbols(rest), depth)))
+        learnt, n = counted(train, depth)
+        keys = np.union1d(learnt, counted(rest, depth)[0])
         counts = np.zeros(len(keys), np.uint32)
         counts[np.searchsorted(keys, learnt)] = n
         order, begins = by_part(keys, parts)
@@ -346,6 +378,7 @@ def _answer(near, settings: Settings, least: float):
         order = np.argsort(codes)
         logs = np.empty(len(keys), np.float32)
         logs[order] = far_logs(codes[order], n[order], near.value[0], settings, least)
+        logs = rounded(logs)
         cells = [packed(logs[x]) for x in at]
         return pa.table({"block": table["block"], "part": table["part"], "size": table["size"], "logs": pa.array(cells, pa.binary())})
 
@@ -444,8 +477,7 @@ def _score(shared, kind: str, depth: int, parts: int):
         own = pa.ipc.open_stream(docs["docs"][0].as_py()).read_all()
         ids, rows = own["doc_id"].combine_chunks(), own["row"].combine_chunks()
         words = [words_of(x) for x in own["text"].to_pylist()]
-        wanted = keys_of(symbols(words), depth)
-        distinct = np.unique(wanted)
+        distinct, _ = counted(words, depth)
         order, begins = by_part(distinct, parts)
         cells = dict(zip(answers["part"].to_pylist(), zip(answers["logs"].to_pylist(), answers["size"].to_pylist(), strict=True), strict=True))
         if {p: m for p, (_, m) in cells.items()} != {p: m for p, m in enumerate(np.diff(begins).tolist()) if m}:
@@ -454,8 +486,11 @@ def _score(shared, kind: str, depth: int, parts: int):
         known_logs[order] = np.concatenate([unpacked(*cells[p][:1], np.float32, cells[p][1]) for p in sorted(cells)])
         short = np.isnan(known_logs)
         known_logs[short] = np.log10(near_probs(near, codes_of(distinct[short]))[1])
-        sizes = np.array([sum(map(len, w)) + max(len(w), 1) for w in words])
-        scores = np.add.reduceat(known_logs[places(distinct, wanted)], np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        sizes, scores = np.array([sum(map(len, w)) + max(len(w), 1) for w in words]), np.empty(len(words))
+        where = places(distinct)
+        for a, b in slices(sizes):
+            wanted = keys_of(symbols(words[a:b]), depth)
+            scores[a:b] = np.add.reduceat(known_logs[where(wanted)], np.concatenate(([0], np.cumsum(sizes[a:b])[:-1])))
         out = []
         for low in range(0, len(words), ARROW_ROWS):
             at, keys, ns, tokens, known, sums, total = [], [], [], [], [], [], []
@@ -480,8 +515,9 @@ def _score(shared, kind: str, depth: int, parts: int):
                 sums += [log, *[0.0] * more]
                 total += [float(scores[i]), *[0.0] * more]
             index = pa.array(at, pa.int64())
+            own_id = pa.array([i if n == 0 else None for i, n in zip(at, ns, strict=True)], pa.int64())  # a word's row only says which document
             out.append(pa.RecordBatch.from_arrays(
-                [ids.take(index), rows.take(index), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total, pa.float64())],
+                [ids.take(own_id), rows.take(index), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total, pa.float64())],
                 names,
             ))
         return pa.Table.from_batches(out)
@@ -515,7 +551,8 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     blocks = texts.mapInArrow(_with_block, "block bigint, docs binary")
     rows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, kind, settings.depth, parts), SCORED.format(kind=kind))
     joined = rows.join(vocabulary, "word", "left")
-    scored = joined.groupBy("doc_id", "row").agg(
+    scored = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("logs") + F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("logs"),
