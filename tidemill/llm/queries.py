@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, lm, mixing, secrets, simhash, toxicity, warc
+from . import alignment, chat, decontaminate, exact_dedup, licenses, lm, mixing, negatives, secrets, simhash, toxicity, url_rules, warc
 from .common import held_out, table
 
 
@@ -145,8 +145,37 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS u
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, cast(list_dot_product(a.u, b.u) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, cast(row_number() OVER w AS INTEGER) AS rank, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: tuple[str, str] | None = None) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizers)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_pages(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op4_warc, op5_lm_score, op6_secret_scan, op7_source_mix, op8_decontaminate, op9_chat_format, op10_license_scan)
+    for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op4_warc, op5_lm_score, op6_secret_scan, op7_source_mix, op8_decontaminate, op9_chat_format, op10_license_scan, op11_hard_negatives, op12_token_alignment, op13_url_filter)
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_chat_format": OP9_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_hard_negatives": OP11_SQL}
