@@ -182,7 +182,9 @@ def with_signals(bars: DataFrame, names: Iterable[str] | None = None) -> DataFra
     if looped:
         pairs = {n: TRIGGERS[n][1](F.col) for n in looped if n in TRIGGERS}
         out = out.withColumns({f"_{n}_{k}": F.coalesce(x, F.lit(False)) for n, pair in pairs.items() for k, x in zip(("short", "long"), pair, strict=True)})
-        out = folded(out, by, fold_all(looped), {n: "int" for n in looped})
+        reads = ["close", "high", "low", *(["bar_size"] if "bar_size" in by else [])]
+        reads += [x for n in looped for x in ([*turns[n][0], f"_turn_{n}"] if n in turns else ["bb_mid", f"_{n}_short", f"_{n}_long"])]
+        out = folded(out, by, fold_all(looped), {n: "int" for n in looped}, reads)
     own = {n.lower() for n in names}
     return out.select(*[c for c in bars.columns if c.lower() not in own], *names)
 

@@ -7,18 +7,24 @@ by as many as the longest looks ahead. One shuffle and one sort serve all window
 
 from __future__ import annotations
 
+import functools
+import json
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 #: Bars of a chunk, and bars that lead it where exponential means need them: what is older has less weight than the last
 #: digit of a double (a mean of span 100 keeps 1e-35 of it).
 CHUNK = 16384
 WARM = 4096
+#: A mean keeps exp(-FORGOTTEN) of a weight, the last digits of a double, at the far end of its look-back.
+FORGOTTEN = 36
 #: Bars of a block, within which an exponential mean is a prefix sum of scaled terms.
 BLOCK = 512
 
@@ -102,7 +108,10 @@ def ewm_steps(name: str, x: str, by: Sequence[str], *, span: float | None = None
         raise ValueError("the mean forgets too fast for its block; use a wider span")
     w, block = chunk_window(by), Window.partitionBy(*by, "_chunk", "_block").orderBy("bar_no")
     so_far = block.rowsBetween(Window.unboundedPreceding, 0)
-    reach = WARM // BLOCK if gaps else max(1, math.ceil(40 / (-math.log(keep) * BLOCK)))
+    reach = math.ceil(FORGOTTEN / (-math.log(keep) * BLOCK))
+    if reach * BLOCK > WARM:
+        raise ValueError(f"the mean remembers more than the {WARM} bars that lead a chunk; use a narrower span or a longer lead")
+    reach = WARM // BLOCK if gaps else max(1, reach)
     earlier = Window.partitionBy(*by, "_chunk").orderBy("_block").rangeBetween(-reach, -1)
     at_end, c = F.col("_at") == BLOCK - 1, F.col
     base, part, ends = f"_{x}_base", f"_{name}_part", f"_{name}_ends"
@@ -162,33 +171,127 @@ def carried(rows: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> D
     return out.drop(*[f"_v_{k}" for k in columns], *[f"_c_{k}" for k in columns])
 
 
-def folded(rows: DataFrame, by: Sequence[str], fold: Callable, outputs: dict[str, str]) -> DataFrame:
+#: Bars after which two runs of a state machine are compared.
+COMPARE = 256
+
+
+def _line(state) -> str:
+    """A state as text: equal states have equal lines."""
+    return json.dumps(state, sort_keys=True, default=lambda x: x.item())
+
+
+def _state(line: str | None):
+    return None if line is None else json.loads(line)
+
+
+def run_until_agreed(f: pd.DataFrame, fold: Callable, guess, true, end: str) -> str:
+    """The state at the end of the bars ``f`` from the state ``true``, knowing that from ``guess`` it is ``end``: both runs go
+    on side by side until they agree, and then they end alike."""
+    for s in range(0, len(f), COMPARE):
+        part = f.iloc[s : s + COMPARE]
+        guess, true = fold(part, guess)[1], fold(part, true)[1]
+        if _line(guess) == _line(true):
+            return end
+    return _line(true)
+
+
+def folded(rows: DataFrame, by: Sequence[str], fold: Callable, outputs: dict[str, str], needs: Sequence[str], chunk: int | None = None) -> DataFrame:
     """``rows`` with the ``outputs`` (name: type) of a state machine that runs along each series.
 
-    ``fold(frame, state)`` gives the arrays of the outputs for consecutive bars and the state after them (None before the
-    first). A series streams through its task batch by batch; only the state is held.
+    ``fold(frame, state)`` reads the columns ``needs`` and gives the arrays of the outputs for consecutive bars and the state
+    after them (None before the first; of numbers, lists and dicts else). A series is cut into chunks that run side by side,
+    each from a guessed state, as if it began there. Chunks whose guess is not how the one before them ended run again from
+    that state, but only until both runs agree; this is repeated until every chunk begins as the one before it ends. Most
+    machines forget (a stop is hit, a position closed), so that a few hundred bars of a chunk run again, once; one that never
+    does costs a round for each chunk and stays exact. A last pass makes the outputs. No task holds more than a chunk.
     """
-    by = list(by)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for f in frames:
-            if not len(f):
-                continue
-            cuts = [0, *(np.flatnonzero((f[by] != f[by].shift()).any(axis=1).to_numpy()[1:]) + 1).tolist(), len(f)] if by else [0, len(f)]
-            made: dict[str, list] = {k: [] for k in outputs}
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                now = tuple(None if pd.isna(x) else x for x in f[by].iloc[s])
-                if now != key:
-                    key, state = now, None
-                columns, state = fold(f.iloc[s:e], state)
-                for k in outputs:
-                    made[k].append(np.asarray(columns[k]))
-            yield f.assign(**{k: np.concatenate(v) for k, v in made.items()})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"`{k}` {t}" for k, t in outputs.items())])
-    dealt = rows.repartition(*by) if by else rows.coalesce(1)
-    return dealt.sortWithinPartitions(*by, "bar_no").mapInPandas(run, schema)
+    by, chunk = list(by), chunk or CHUNK
+    keys = [*by, "_chunk"]
+    kept = stored(rows.withColumn("_chunk", F.expr(f"bar_no div {chunk}")), "bars-to-fold")
+    small = kept.select(*dict.fromkeys([*keys, "bar_no", *needs]))
+    of = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    text = lambda names: ", ".join(f"`{k}` {of[k]}" for k in names)
+    starts = None
+    if kept.where("_chunk > 0").limit(1).count():
+        starts = _starts(small, by, fold, f"{text(keys)}, _begin string, _end string")
+
+    def make(f: pd.DataFrame, begin: pd.DataFrame | None = None) -> pd.DataFrame:
+        f = f.sort_values("bar_no")
+        known = begin["_begin"].iloc[0] if begin is not None and len(begin) else None
+        columns, _ = fold(f, _state(known if isinstance(known, str) else None))
+        return f.assign(**{k: np.asarray(columns[k]) for k in outputs})
+
+    schema = ", ".join([text(kept.columns), *(f"`{k}` {t}" for k, t in outputs.items())])
+    if starts is None:
+        return kept.groupBy(*keys).applyInPandas(lambda f: make(f), schema).drop("_chunk")
+    return kept.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(lambda f, b: make(f, b), schema).drop("_chunk")
+
+
+def _starts(rows: DataFrame, by: list[str], fold: Callable, schema: str) -> DataFrame:
+    """The state in which each chunk begins (null: as a series does) and ends."""
+    keys = [*by, "_chunk"]
+
+    def guess(f: pd.DataFrame) -> pd.DataFrame:
+        end = fold(f.sort_values("bar_no"), None)[1]
+        return f[keys].head(1).assign(_begin=None, _end=_line(end))
+
+    def again(f: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        begin, end, true = (None if pd.isna(x) else x for x in at[["_begin", "_end", "_true"]].iloc[0])
+        end = run_until_agreed(f.sort_values("bar_no"), fold, _state(begin), _state(true), end)
+        return at[keys].head(1).assign(_begin=true, _end=end)
+
+    before = Window.partitionBy(*by).orderBy("_chunk")  # a row for each chunk
+    found = stored(rows.groupBy(*keys).applyInPandas(guess, schema), "chunk-ends")
+    while True:
+        now = stored(found.withColumn("_true", F.lag("_end").over(before)), "chunk-begins")
+        wrong = now.where(~F.col("_true").eqNullSafe(F.col("_begin")))
+        if not wrong.limit(1).count():
+            return found
+        on = [F.col(k).eqNullSafe(F.col("_w_" + k)) for k in keys]
+        asked = wrong.select(*[F.col(k).alias("_w_" + k) for k in keys])
+        todo = rows.join(asked, functools.reduce(lambda a, b: a & b, on), "left_semi")
+        done = todo.groupBy(*keys).cogroup(wrong.groupBy(*keys)).applyInPandas(again, schema)
+        found = stored(now.where(F.col("_true").eqNullSafe(F.col("_begin"))).drop("_true").unionByName(done), "chunk-ends")
+
+
+def summed(rows: DataFrame, by: Sequence[str], x: str, total: str, highest: str, before: str | None = None) -> DataFrame:
+    """Rows of chunks (``in_chunks``) with the running sum ``total`` of ``x`` along the whole series, in ``highest`` its
+    greatest value so far, and in ``before`` the sum up to the row before; copies have none of these.
+
+    A chunk is a segment with its sum and its highest prefix. Segments merge: sums add up, and the highest prefix is that of
+    the left one or the left sum and that of the right one. So windows stay within chunks, and one over a row for each
+    chunk says what comes before them.
+    """
+    keys = [*by, "_chunk"]
+    w = Window.partitionBy(*keys).orderBy("_block", "bar_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("_own"), F.coalesce(F.col(x), F.lit(0.0)))
+    rows = rows.withColumn("_part", F.coalesce(F.sum(own).over(w), F.lit(0.0)))
+    ends = rows.where("_own").groupBy(*keys).agg(F.max_by("_part", "bar_no").alias("_sum"), F.max("_part").alias("_top"))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_carry", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    ends = ends.withColumn("_high", F.max(F.col("_carry") + F.col("_top")).over(earlier))
+    out = rows.join(*by_chunk(ends, keys), "left").drop(*["_k_" + k for k in keys])
+    out = out.withColumn(total, F.when(F.col("_own"), F.col("_carry") + F.col("_part")))
+    out = out.withColumn(highest, F.greatest(F.col("_high"), F.max(total).over(w)))
+    if before:
+        out = out.withColumn(before, F.when(F.col("_own"), F.col("_carry") + F.coalesce(F.lag("_part").over(chunk_window(by)), F.lit(0.0))))
+    return out.drop("_part", "_carry", "_high", "_sum", "_top")
+
+
+def by_chunk(table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``table`` (a row for each chunk) and the condition under which it joins rows of the same chunk, null keys too."""
+    return table.withColumnsRenamed({k: "_k_" + k for k in keys}), [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys]
+
+
+def highest_so_far(rows: DataFrame, by: Sequence[str], piece: Column, order: str, x: str, out: str) -> DataFrame:
+    """Adds the greatest ``x`` so far within ``by``. Only rows of one ``piece`` (monotone in the order) meet in a window; the
+    greatest of the pieces before comes from one over a row for each piece."""
+    keyed, keys = rows.withColumn("_piece", piece), [*by, "_piece"]
+    earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    tops = keyed.groupBy(*keys).agg(F.max(x).alias("_top")).select(*keys, F.max("_top").over(earlier).alias("_high"))
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = keyed.join(*by_chunk(tops, keys), "left").drop(*["_k_" + k for k in keys])
+    return joined.withColumn(out, F.greatest("_high", F.max(x).over(inside))).drop("_piece", "_high")
 
 
 def numbered(df: DataFrame, by: Sequence[str], piece: Column, order: Sequence[str], out: str = "rn", add: str | Sequence[str] | None = None, total: str | Sequence[str] = "running") -> DataFrame:

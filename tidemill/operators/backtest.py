@@ -1,7 +1,8 @@
 """Backtests of signals over bar series, in long form: one series per (symbol, bar_size, strategy).
 
-Input rows have symbol, bar_size, strategy, bar_no, open_time, close, signal. Every step is a window or an aggregate
-over the series' keys, so a grid of sizes and strategies is one plan.
+Input rows have symbol, bar_size, strategy, bar_no, open_time, close, signal. Series are cut into chunks of bars; what a
+chunk needs of the others (sums, peaks, the change that ends a trade) comes from a row for each chunk, so no window holds a
+series, and a grid of sizes and strategies is one plan.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strategies import CATEGORIES, vote
+from ..functions.windows import CHUNK, by_chunk, chunk_window, highest_so_far, in_chunks, numbered, own_rows, summed
 from ..sources.shared import stored
 
 KEYS = ("symbol", "bar_size", "strategy")
@@ -58,12 +60,16 @@ def _keys(df: DataFrame) -> list[str]:
 
 
 def equity(rows: DataFrame, costs: Costs | None = None) -> DataFrame:
-    """Adds position, cash (net of costs), cum_cash, equity, drawdown_pct, bar_ret and day."""
-    costs = costs or Costs()
-    w = Window.partitionBy(*_keys(rows)).orderBy("bar_no")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    """Adds position, cash (net of costs), cum_cash, equity, drawdown_pct, bar_ret and day.
+
+    A series (with bar_no, from 0 without gaps) is read in chunks that overlap by the bars which a position depends on; sums
+    and peaks are those of segments that merge (``windows.summed``).
+    """
+    costs, keys = costs or Costs(), _keys(rows)
+    w = chunk_window(keys)
     position = F.lag("signal", 1, 0).over(w)
-    out = rows.withColumn("position", position if costs.short else F.greatest(position, F.lit(0))).withColumn("day", F.to_date("open_time"))
+    out = in_chunks(rows, keys, 2, 1)
+    out = out.withColumn("position", position if costs.short else F.greatest(position, F.lit(0))).withColumn("day", F.to_date("open_time"))
     if costs.flat_at.upper() not in ("NONE", "24H", "OFF", "FALSE", ""):
         late = F.date_format("open_time", "HH:mm:ss") >= costs.flat_at
         out = out.withColumn("position", F.when(late | ~F.col("day").eqNullSafe(F.lead("day").over(w)), 0).otherwise(F.col("position")))
@@ -71,27 +77,46 @@ def equity(rows: DataFrame, costs: Costs | None = None) -> DataFrame:
     turn = F.abs(F.col("position") - before)
     move = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
     points = before * move - turn * (costs.slippage_ticks * costs.tick_value) - turn * F.col("close") * costs.commission
-    out = out.withColumn("cash", points * costs.multiplier).withColumn("cum_cash", F.sum("cash").over(so_far)).withColumn("equity", F.col("cum_cash") + costs.capital)
-    peak = F.max("equity").over(so_far)
-    return out.withColumn("drawdown_pct", (F.col("equity") - peak) / peak * 100).withColumn("bar_ret", F.col("cash") / F.coalesce(F.lag("equity").over(w), F.lit(costs.capital)))
+    out = summed(out.withColumn("cash", points * costs.multiplier), keys, "cash", "cum_cash", "_peak", "_before")
+    peak = F.col("_peak") + costs.capital
+    out = own_rows(out).withColumn("equity", F.col("cum_cash") + costs.capital)
+    out = out.withColumn("drawdown_pct", (F.col("equity") - peak) / peak * 100).withColumn("bar_ret", F.col("cash") / (F.col("_before") + costs.capital))
+    return out.drop("_peak", "_before")
 
 
 def trades(curve: DataFrame) -> DataFrame:
-    """Stretches of one position, to the bar at which it changes (which belongs to both) or the last one."""
+    """Stretches of one position, to the bar at which it changes (which belongs to both) or the last one.
+
+    A chunk knows its own changes and what it begins and ends with; the change that ends its last stretch is the first one
+    of the chunks after it, and the number and profit of earlier trades are sums over the chunks before.
+    """
     keys = _keys(curve)
-    w = Window.partitionBy(*keys).orderBy("bar_no")
     end = F.struct("bar_no", "open_time", "close", "cum_cash")
-    rows = curve.withColumn("_last", F.max(end).over(Window.partitionBy(*keys))).withColumn("_new", ~F.col("position").eqNullSafe(F.lag("position").over(w)))
-    rows = rows.where("_new").withColumn("_end", F.coalesce(F.lead(end).over(w), "_last")).where((F.col("position") != 0) & (F.col("_end.bar_no") > F.col("bar_no")))
+    rows = in_chunks(curve, keys, 1).withColumn("_new", ~F.col("position").eqNullSafe(F.lag("position").over(chunk_window(keys))))
+    rows = rows.where("_own")
+    ends = rows.groupBy(*keys, "_chunk").agg(F.max(end).alias("_last"), F.min(F.when(F.col("_new"), end)).alias("_first"))
+    later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.withColumns({"_after": F.first("_first", True).over(later), "_final": F.max("_last").over(Window.partitionBy(*keys))}).drop("_first", "_last")
+    chunk = [*keys, "_chunk"]
+    rows = rows.where("_new").join(*by_chunk(ends, chunk)).drop(*["_k_" + k for k in chunk])
+    rows = rows.withColumn("_end", F.coalesce(F.lead(end).over(chunk_window(keys)), "_after", "_final"))
+    rows = rows.where((F.col("position") != 0) & (F.col("_end.bar_no") > F.col("bar_no")))
     points = (F.col("_end.close") - F.col("close")) * F.col("position")
     pnl = F.bround(F.col("_end.cum_cash") - F.col("cum_cash") + F.col("cash"), 2)
     out = rows.select(
-        *keys, F.row_number().over(w).cast("bigint").alias("trade_no"), F.col("open_time").alias("entry_time"), F.col("_end.open_time").alias("exit_time"),
+        *keys, "_chunk", "bar_no", F.col("open_time").alias("entry_time"), F.col("_end.open_time").alias("exit_time"),
         F.when(F.col("position") > 0, "LONG").otherwise("SHORT").alias("side"), F.col("close").alias("entry_price"), F.col("_end.close").alias("exit_price"),
         F.bround(points, 2).alias("pts_pnl"), pnl.alias("pnl"), F.bround(F.try_divide(points, F.col("close")) * 100, 2).alias("ret_pct"),
         (F.col("_end.bar_no") - F.col("bar_no") + 1).alias("bars_held"),
     )
-    return out.withColumn("cum_pnl", F.sum("pnl").over(Window.partitionBy(*keys).orderBy("trade_no").rowsBetween(Window.unboundedPreceding, 0)))
+    out = numbered(out, keys, F.col("_chunk"), ["bar_no"], "trade_no", "pnl", "cum_pnl")
+    figures = [c for c in out.columns if c not in (*keys, "_chunk", "bar_no", "trade_no", "cum_pnl")]
+    return out.select(*keys, F.col("trade_no").cast("bigint").alias("trade_no"), *figures, "cum_pnl")
+
+
+def with_empty(results: DataFrame, series: DataFrame) -> DataFrame:
+    """``results`` with a row of zeros for each of the ``series`` (rows of the same keys) that has none, as it has no bars."""
+    return series.distinct().join(results, _keys(series), "left").na.fill(0)
 
 
 def summary(curve: DataFrame, costs: Costs | None = None) -> DataFrame:
@@ -130,8 +155,8 @@ def breakdown(curve: DataFrame, period: str, costs: Costs | None = None) -> Data
     costs = costs or Costs()
     keys = _keys(curve)
     rows = curve.withColumn("period", F.date_format("open_time", period))
-    peak = F.max("equity").over(Window.partitionBy(*keys, "period").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_dd", (F.col("equity") - peak) / peak * 100)
+    rows = highest_so_far(rows, [*keys, "period"], F.expr(f"bar_no div {CHUNK}"), "bar_no", "equity", "_peak")
+    rows = rows.withColumn("_dd", (F.col("equity") - F.col("_peak")) / F.col("_peak") * 100)
     money = rows.groupBy(*keys, "period").agg(F.sum("cash").alias("net_pnl"), F.abs(F.min("_dd")).alias("mdd_pct"))
     deals = trades(curve).groupBy(*keys, F.date_format("entry_time", period).alias("period")).agg(F.count("*").alias("trades"), F.count_if(F.col("pnl") > 0).alias("wins"))
     out = money.join(deals, [*keys, "period"], "left")
@@ -202,19 +227,18 @@ def return_backtest(rows: DataFrame, threshold: float = 0.0005, money_per_point:
     bars has zeros throughout.
     """
     keys = _keys(rows)
-    w = Window.partitionBy(*keys).orderBy("bar_no")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    w = chunk_window(keys)
     whole = dict(rows.dtypes)["signal"] in ("tinyint", "smallint", "int", "bigint")
     side = F.col("signal") if whole else F.when(F.col("signal") > threshold, 1).when(F.col("signal") < -threshold, -1).otherwise(0)
-    out = rows.withColumn("side", side).withColumn("held", F.lag("side", 1, 0).over(w))
+    out = in_chunks(rows, keys, 2).withColumn("side", side).withColumn("held", F.lag("side", 1, 0).over(w))
     turn = F.abs(F.col("held") - F.lag("held", 1, 0).over(w))
     prior = F.lag("close").over(w)
     gross = F.coalesce((F.col("close") - prior) / F.greatest(prior, F.lit(1e-6)), F.lit(0.0)) * F.col("held")
     out = out.withColumn("turn", turn).withColumn("gross", gross)
     out = out.withColumn("points", F.when(F.col("turn") > 0, trade_cost(F.col("close"), F.col("close"), volume=F.col("volume"), **cost)).otherwise(0.0))
     out = out.withColumn("net", F.col("gross") - F.col("points") / F.greatest(F.lit(1.0), F.col("close")))
-    out = out.withColumn("curve", F.exp(F.sum(F.log1p(F.greatest("net", F.lit(-0.999999)))).over(so_far)))
-    out = out.withColumn("dd", F.col("curve") / F.max("curve").over(so_far) - 1)
+    out = own_rows(summed(out.withColumn("_log", F.log1p(F.greatest("net", F.lit(-0.999999)))), keys, "_log", "_grown", "_summit"))
+    out = out.withColumn("curve", F.exp("_grown")).withColumn("dd", F.col("curve") / F.exp("_summit") - 1)
     n, up, down = F.count("*"), F.sum(F.when(F.col("net") > 0, F.col("net"))), F.abs(F.sum(F.when(F.col("net") < 0, F.col("net"))))
     agg = out.groupBy(*keys).agg(
         n.alias("bars"), F.max_by("curve", "bar_no").alias("final"), F.min("dd").alias("dd"), F.avg("net").alias("mean"), F.stddev_pop("net").alias("sd"),
