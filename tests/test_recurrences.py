@@ -273,15 +273,22 @@ def test_bar_cache_keeps_other_series(spark, tmp_path):
     from conftest import SF
 
     from tidemill.sources import bar_cache
+    from tidemill.sources.bar_cache import Key
 
     root = f"file://{tmp_path}/bars"
-    assert bar_cache.read(spark, root) is None and bar_cache.clear(spark, root) == 0
+    assert bar_cache.read(spark, root, Key("tick", 20)) is None and bar_cache.clear(spark, root) == 0
     bars = B.tick_bars(B.event_ticks(spark, SF), [20, 50], per_symbol=True)
-    bar_cache.write(bars, root)
-    bar_cache.write(bars.where("bar_size = 20 and symbol = 'click'").limit(3), root)
-    assert bar_cache.read(spark, root, "click", 20).count() == 3 and bar_cache.read(spark, root, size=50).count() == bars.where("bar_size = 50").count()
-    assert bar_cache.read(spark, root, "click", 50, ["close"]).columns == ["close"]
-    assert bar_cache.clear(spark, root) == 10 and bar_cache.read(spark, root) is None
+    for symbol in ("click", "view"):
+        for size in (20, 50):
+            bar_cache.write(bars.where((F.col("symbol") == symbol) & (F.col("bar_size") == size)), root, Key("tick", size, symbol))
+    some = bars.where("bar_size = 20 and symbol = 'click'")
+    first = some.agg(F.min("trade_date")).first()[0]
+    bar_cache.write(some.where(F.col("trade_date") == first).limit(1), root, Key("tick", 20, "click"))
+    kept = some.where(F.col("trade_date") != first).count()
+    assert bar_cache.read(spark, root, Key("tick", 20, "click")).count() == kept + 1
+    assert bar_cache.read(spark, root, Key("tick", 50, "view")).count() == bars.where("bar_size = 50 and symbol = 'view'").count()
+    assert bar_cache.read(spark, root, Key("tick", 50, "click"), ["close"]).columns == ["close"]
+    assert bar_cache.clear(spark, root) == 4 and bar_cache.read(spark, root, Key("tick", 20, "click")) is None
 
 
 def test_series_of_one_bar_have_zeros(spark):

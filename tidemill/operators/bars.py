@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.windows import mean_without_current, numbered, quantiles
 
 
+#: Ticks of a unit of which bars of several sizes are made, at least; smaller units save nothing.
+LEAST_UNIT = 8
+
+
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as ticks."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -104,19 +108,34 @@ def tick_bars(ticks: DataFrame, sizes: int | Sequence[int], per_symbol: bool = F
     """
     by = (["symbol"] if per_symbol else []) + ["trade_date"]
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
+    unit = math.gcd(*sizes)
+    if len(sizes) > 1 and unit >= LEAST_UNIT:
+        return of_units(unit_bars(ticks, unit, per_symbol, piece), sizes, unit)
+    rows = numbered(ticks, by, piece if piece is not None else F.date_trunc("minute", "ts"), ("ts", "seq"))
+    rows = rows.withColumn("bar_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("bar_idx", F.expr("(rn - 1) div bar_size"))
+    return rows.groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn"), _quotes(ticks)))
+
+
+def unit_bars(ticks: DataFrame, unit: int, per_symbol: bool = False, piece: Column | None = None) -> DataFrame:
+    """Bars of ``unit`` ticks with unit_no and the money that they moved, of which ``of_units`` makes bars of its multiples."""
+    by = (["symbol"] if per_symbol else []) + ["trade_date"]
     rows = numbered(ticks, by, piece if piece is not None else F.date_trunc("minute", "ts"), ("ts", "seq"))
-    each, unit = F.array(*map(F.lit, sizes)), math.gcd(*sizes)
-    if len(sizes) == 1 or unit < 8:
-        rows = rows.withColumn("bar_size", F.explode(each)).withColumn("bar_idx", F.expr("(rn - 1) div bar_size"))
-        return rows.groupBy(*by, "bar_size", "bar_idx").agg(*bar_columns(F.col("rn"), _quotes(ticks)))
-    quotes = _quotes(ticks)
-    parts = rows.withColumn("unit_no", F.expr(f"(rn - 1) div {unit}")).groupBy(*by, "unit_no").agg(*bar_columns(F.col("rn"), quotes), F.sum(F.col("price") * F.col("volume")).alias("money"))
-    parts = parts.withColumn("bar_size", F.explode(each)).withColumn("bar_idx", F.expr(f"unit_no div (bar_size div {unit})"))
+    rows = rows.withColumn("unit_no", F.expr(f"(rn - 1) div {int(unit)}")).groupBy(*by, "unit_no")
+    return rows.agg(*bar_columns(F.col("rn"), _quotes(ticks)), F.sum(F.col("price") * F.col("volume")).alias("money"))
+
+
+def of_units(parts: DataFrame, sizes: Sequence[int], unit: int) -> DataFrame:
+    """Tick bars of ``sizes``, all multiples of ``unit``, from the bars of that size."""
+    if any(x % unit for x in sizes):
+        raise ValueError(f"sizes must be multiples of {unit}")
+    by = [c for c in ("symbol", "trade_date") if c in parts.columns]
+    rows = parts.withColumn("bar_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("bar_idx", F.expr(f"unit_no div (bar_size div {int(unit)})"))
     first, last = (lambda c: F.min_by(c, "unit_no").alias(c)), (lambda c: F.max_by(c, "unit_no").alias(c))
     volume = F.sum("volume")
-    return parts.groupBy(*by, "bar_size", "bar_idx").agg(
+    return rows.groupBy(*by, "bar_size", "bar_idx").agg(
         F.min("open_time").alias("open_time"), F.max("close_time").alias("close_time"), first("open"), F.max("high").alias("high"), F.min("low").alias("low"), last("close"),
-        volume.alias("volume"), F.sum("tick_count").alias("tick_count"), F.when(volume > 0, F.sum("money") / volume).otherwise(F.max_by("close", "unit_no")).alias("vwap"), *map(last, quotes),
+        volume.alias("volume"), F.sum("tick_count").alias("tick_count"), F.when(volume > 0, F.sum("money") / volume).otherwise(F.max_by("close", "unit_no")).alias("vwap"),
+        *map(last, _quotes(parts)),
     )
 
 
@@ -166,6 +185,11 @@ def full_sizes(start: int, end: int, step: int) -> list[int]:
     return list(range(start, end + 1, step))
 
 
+def coarse_sizes(start: int, end: int, step: int) -> list[int]:
+    """Sizes of a first look: every ``step`` from the start, and the end."""
+    return sorted({*range(start, end + 1, max(1, step)), end})
+
+
 def fine_sizes(best: Sequence[int], reach: int, step: int, low: int, high: int) -> list[int]:
     """Sizes around the best ones, within bounds."""
     return sorted({x for b in best for x in range(max(low, b - reach), min(high, b + reach) + 1, step)})

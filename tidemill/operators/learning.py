@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.indicators import with_indicators
 from ..functions.windows import chunk_window, in_chunks, numbered, own_rows, quantiles, rolling
 from ..sources.shared import stored
+from . import boosting, search
 
 #: The names of the features.
 FEATURES = (
@@ -151,9 +152,9 @@ def drift(scores: DataFrame, threshold: float = 0.25) -> DataFrame:
 
 
 def models(columns: Sequence[str], label: str = "label", seed: int = 42) -> dict:
-    """Pipelines of pyspark.ml: scaled logistic regression, random forest, boosted trees (one against the rest)."""
+    """Pipelines of pyspark.ml: scaled logistic regression and random forest."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     vector = VectorAssembler(inputCols=list(columns), outputCol="_raw")
@@ -162,38 +163,56 @@ def models(columns: Sequence[str], label: str = "label", seed: int = 42) -> dict
     return {
         "logistic": Pipeline(stages=[vector, scaled, LogisticRegression(maxIter=100, regParam=1e-4, **own)]),
         "forest": Pipeline(stages=[vector, scaled, RandomForestClassifier(numTrees=100, maxDepth=6, seed=seed, **own)]),
-        "boosted": Pipeline(stages=[vector, scaled, OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **own), **own)]),
     }
 
 
-def train_and_predict(folds: DataFrame, columns: Sequence[str], model: str = "forest", seed: int = 42) -> DataFrame:
-    """Predictions for each fold's test rows by a model of its training rows; labels -1, 0, 1. Fitting passes over the rows
-    many times, so they are stored, and so are each fold's predictions."""
-    folds, parts = stored(folds, "folds"), []
+def labelled_features(bars: DataFrame, columns: Sequence[str] = FEATURES, **barriers) -> DataFrame:
+    """Keys, bar_no, datetime, close_raw, the feature ``columns`` and label (``triple_barrier``) of each bar that has them.
+
+    Features are written before they are joined: what Spark infers about two dozen columns that are never null, through
+    all the steps that make them, is more than its optimizer can compare in a join.
+    """
+    by = _keys(bars)
+    made = stored(features(bars), "features").select(*by, "bar_no", "datetime", "close_raw", *columns)
+    return made.join(triple_barrier(bars, **barriers).select(*by, "bar_no", "label"), [*by, "bar_no"])
+
+
+def train_and_predict(folds: DataFrame, columns: Sequence[str], model: str = "forest", seed: int = 42, shape: boosting.Shape | None = None) -> DataFrame:
+    """Predictions for each fold's test rows by a model of its training rows (logistic, forest or boosted); labels -1, 0, 1.
+    Fitting passes over the rows many times, so they are stored, and so are each fold's predictions. No folds give no rows."""
+    folds = stored(folds, "folds")
+    parts = [folds.limit(0).withColumn("predicted", F.lit(None).cast("int"))]
     for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):  # a number for each fold
-        rows = folds.where(F.col("fold") == fold).withColumn("_label", (F.col("label") + 1).cast("double"))
-        fitted = models(columns, "_label", seed)[model].fit(rows.where("part = 'train'"))
-        part = fitted.transform(rows.where("part = 'test'")).withColumn("predicted", (F.col("prediction") - 1).cast("int")).drop("_raw", "_x", "rawPrediction", "probability", "prediction", "_label")
+        rows = folds.where(F.col("fold") == fold)
+        train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
+        if model == "boosted":
+            part = boosting.fit(train, columns, shape=shape or boosting.Shape(seed=seed)).predict(test).drop("probability")
+        else:
+            with_class = F.col("label").cast("double") + 1
+            fitted = models(columns, "_label", seed)[model].fit(train.withColumn("_label", with_class))
+            part = fitted.transform(test).withColumn("predicted", (F.col("prediction") - 1).cast("int")).drop("_raw", "_x", "rawPrediction", "probability", "prediction")
         parts.append(stored(part, "predictions"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def tuned(rows: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 42, folds: int = 3, model: str = "forest"):
-    """The forest, or the boosted trees, whose depth and number of trees do best in cross-validation."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    pipeline = models(columns, label, seed)[model]
-    last = pipeline.getStages()[-1]
-    tree = last.getClassifier() if model == "boosted" else last
-    number = {"forest": ("numTrees", [40, 100]), "boosted": ("maxIter", [10, 20])}[model]
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, [4, 6]).addGrid(getattr(tree, number[0]), number[1]).build()
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
-    kept = rows.persist()
-    try:
-        return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed).fit(kept).bestModel
-    finally:
-        kept.unpersist()
+#: What a search of boosted trees looks at.
+SPACE = {
+    "rounds": search.Range(4, 12, whole=True), "depth": search.Range(2, 4, whole=True), "rate": search.Range(0.05, 0.3, log=True),
+    "rows_share": search.Range(0.6, 1.0), "columns_share": search.Range(0.6, 1.0),
+}
+
+
+def tuned(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str = "label", space: dict[str, search.Range] | None = None, trials: int = 10, seed: int = 42, **how) -> tuple[boosting.Boosted, list[search.Trial]]:
+    """Boosted trees with the parameters of the best trial, and all trials; a trial's score is its accuracy on ``test``."""
+    train, test = (stored(x.select(*columns, label), "search-rows") for x in (train, test))
+    shape_of = lambda found: boosting.Shape(seed=seed, **found)
+
+    def score(found: dict) -> float:
+        rows = boosting.fit(train, columns, label, shape_of(found)).predict(test)
+        return rows.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] or 0.0
+
+    done = search.search(train.sparkSession, space or SPACE, score, trials, seed=seed, **how)
+    return boosting.fit(train, columns, label, shape_of(search.best(done).parameters)), done
 
 
 def save_model(model, path: str, columns: Sequence[str], **facts: str) -> None:

@@ -11,6 +11,7 @@ from ..operators import bars as B
 from ..operators import learning as L
 from ..operators import quality as Q
 from ..operators import selection as S
+from ..operators import sweep
 from ..sources import bar_cache as cache
 from ..sources.shared import shared_path, stored
 from . import recursive_sql
@@ -501,9 +502,70 @@ def chosen_result(spark, sf_dir):
 @query("bar_cache", bars_sql(BY_TICK, (50,), "k", RANKED.format("t")).replace(DAY, f"'ALL' AS symbol, {DAY}", 1))
 def bar_cache(spark, sf_dir):
     """Bars of two sizes written to the cache and those of one read back."""
-    path = shared_path(spark, "bar-cache")
-    cache.write(B.tick_bars(B.event_ticks(spark, sf_dir), [20, 50]).withColumn("symbol", F.lit("ALL")), path)
-    return out(cache.read(spark, path, "ALL", 50), "symbol", *BAR_COLUMNS)
+    path, ticks = shared_path(spark, "bar-cache"), B.event_ticks(spark, sf_dir)
+    for size in (20, 50):
+        cache.write(B.tick_bars(ticks, size).withColumn("symbol", F.lit("ALL")), path, cache.Key("tick", size))
+    return out(cache.read(spark, path, cache.Key("tick", 50)), "symbol", *BAR_COLUMNS)
+
+
+CACHED = """, kinds(kind, is_volume) AS (VALUES ('tick', false), ('volume', true)),
+o AS (SELECT *, row_number() OVER d AS rn, sum(volume) OVER d AS cum FROM t WINDOW d AS (PARTITION BY trade_date ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT kind, trade_date, CASE WHEN is_volume THEN CAST(greatest(cum - 1, 0) // 40 AS BIGINT) ELSE (rn - 1) // 40 END AS bar_idx, count(*) AS n, sum(volume) AS v FROM o, kinds GROUP BY ALL)"""
+
+
+@query(
+    "bar_cache_refresh",
+    f"WITH {TICKS} {CACHED} SELECT kind, CAST(trade_date AS VARCHAR) AS day, count(*) AS bars, CAST(sum(n) AS BIGINT) AS ticks, CAST(sum(v) AS BIGINT) AS volume,"
+    " CASE WHEN trade_date = (SELECT min(trade_date) FROM t) OR trade_date = (SELECT max(trade_date) FROM t) THEN 'made' ELSE 'kept' END AS action FROM b GROUP BY kind, trade_date",
+)
+def bar_cache_refresh(spark, sf_dir):
+    """Tick and volume bars of one size side by side, cached while the first day lacks its odd ticks and the last one all,
+    then brought up to date: which days were made anew, and what the cache has."""
+    path, ticks = shared_path(spark, "bar-cache"), B.event_ticks(spark, sf_dir)
+    days = ticks.agg(F.min("trade_date").alias("first"), F.max("trade_date").alias("last")).first()
+    early = ticks.where((F.col("trade_date") < days["last"]) & ((F.col("trade_date") > days["first"]) | (F.col("seq") % 2 == 0)))
+    parts = []
+    for kind, make in (("tick", B.tick_bars), ("volume", B.volume_bars)):
+        key, make_bars = cache.Key(kind, 40), lambda rows, make=make: make(rows, 40)
+        cache.refresh(early, path, key, make_bars)
+        plan = cache.refresh(ticks, path, key, make_bars)
+        bars = cache.read(spark, path, key).groupBy(F.col("trade_date").cast("string").alias("day"))
+        bars = bars.agg(F.count("*").alias("bars"), F.sum("tick_count").alias("ticks"), F.sum("volume").alias("volume"))
+        parts.append(bars.join(plan.select("day", "action"), "day").withColumn("kind", F.lit(kind)))
+    return parts[0].unionByName(parts[1])
+
+
+SWEEP = (
+    TICKS
+    + """,
+sizes AS (SELECT unnest([16, 24, 32, 40, 48, 56, 64, 72, 80]) AS bar_size),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY ts, seq) AS rn FROM t),
+b AS (SELECT symbol || '~' || bar_size AS symbol, trade_date, (rn - 1) // bar_size AS bar_idx, """
+    + BAR
+    + """ FROM n, sizes GROUP BY ALL),
+bars AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date, bar_idx) - 1 AS bar_no FROM b)"""
+)
+
+
+def _sweep_sql() -> str:
+    base = _signals_sql(("Donchian_Channel",)).replace(SERIES, SWEEP) + RET
+    return base + """,
+z AS (SELECT CAST(split_part(symbol, '~', 2) AS INTEGER) AS bar_size, strategy AS model, avg(sharpe) AS sharpe, avg(mdd_pct) AS mdd_pct, CAST(sum(trades) AS BIGINT) AS trades FROM rb GROUP BY ALL),
+c AS (SELECT bar_size AS best FROM z WHERE bar_size % 16 = 0 ORDER BY sharpe DESC, bar_size LIMIT 1),
+y AS (SELECT *, CASE WHEN bar_size % 16 = 0 THEN 1 ELSE 2 END AS stage FROM z, c WHERE bar_size % 16 = 0 OR abs(bar_size - best) <= 16),
+k AS (SELECT *, sharpe > 5.0 OR trades < 10 AS overfitting, row_number() OVER (ORDER BY sharpe DESC, bar_size) AS place FROM y)
+SELECT bar_size, stage, place, round(sharpe, 4) AS sharpe, trades, row_number() OVER (ORDER BY trades >= 30 AND mdd_pct <= 60 AND NOT overfitting DESC, place) = 1 AS is_chosen FROM k"""
+
+
+@query("coarse_to_fine", _sweep_sql())
+def coarse_to_fine(spark, sf_dir):
+    """Sizes 16 to 80 in steps of 16, then every 8 around the best of them."""
+    def score(bars: DataFrame) -> DataFrame:
+        rows = stored(T.long_signals(strategies.with_signals(bars, ["Donchian_Channel"]), ["Donchian_Channel"]), "signals")
+        return T.return_backtest(rows).withColumnRenamed("strategy", "model")
+
+    rows = sweep.coarse_to_fine(B.event_ticks(spark, sf_dir), score, 16, 80, 16, 8, 16, max_mdd_pct=60.0)
+    return rows.select("bar_size", "stage", "place", F.round("sharpe", 4).alias("sharpe"), "trades", "is_chosen")
 
 
 # --- learning ----------------------------------------------------------------------------------------------------
@@ -626,16 +688,31 @@ def sequences(spark, sf_dir):
     return rows.select("bar_no", F.round(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(xs[0], 4).alias("oldest"), F.size(L.patches(F.col("sequence"))).alias("patches"))
 
 
+def labelled_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(L.labelled_features(stored(learning_bars(spark, sf_dir), "bars")), "labelled")
+    return L.walk_forward(rows, "datetime", 12, 6, 0.0)
+
+
 def _model_query(model: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bars = learning_bars(spark, sf_dir)
-        bars = stored(bars, "bars")
-        rows = stored(L.features(bars).join(L.triple_barrier(bars).select("symbol", "bar_no", "label"), ["symbol", "bar_no"]), "labelled")
-        folds = L.walk_forward(rows, "datetime", 12, 6, 0.0)
-        return L.train_and_predict(folds, L.FEATURES, model).select("bar_no", "fold", "label", "predicted")
+        shape = L.boosting.Shape(rounds=8, depth=3, rate=0.2)
+        return L.train_and_predict(labelled_folds(spark, sf_dir), L.FEATURES, model, shape=shape).select("bar_no", "fold", "label", "predicted")
 
     return run
 
 
 for _m in ("logistic", "forest", "boosted"):
     query(f"model_{_m}")(_model_query(_m))
+
+
+@query("search_trials")
+def search_trials(spark, sf_dir):
+    """Trials of a search of boosted trees on the first fold."""
+    rows = labelled_folds(spark, sf_dir).where("fold = 0")
+    if not rows.limit(1).count():  # too few days for a fold
+        return L.search.as_rows(spark, [])
+    _, trials = L.tuned(rows.where("part = 'train'"), rows.where("part = 'test'"), L.FEATURES, space=SEARCHED, trials=6)
+    return L.search.as_rows(spark, trials).withColumn("value", F.round("value", 6))
+
+
+SEARCHED = {"rounds": L.search.Range(2, 6, whole=True), "depth": L.search.Range(1, 3, whole=True), "rate": L.search.Range(0.05, 0.3, log=True), "rows_share": L.search.Range(0.6, 1.0)}

@@ -151,7 +151,8 @@ def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame],
         first = both.groupBy("symbol").agg(F.min("bar_no").alias("_low"))
         # features want bars numbered from 0
         rows = both.join(first, "symbol").withColumn("bar_no", F.col("bar_no") - F.col("_low"))
-        known = label(features(rows.drop("_low", "is_new", "position"))).select("symbol", "bar_no", "label")
+        made = stored(features(rows.drop("_low", "is_new", "position")), "features-now")  # written before it is joined: see learning.labelled_features
+        known = label(made).select("symbol", "bar_no", "label")
         rows = rows.join(known, ["symbol", "bar_no"], "left").withColumn("label", F.when(F.col("bar_no") + F.col("_low") >= warm - 1, F.coalesce("label", F.lit(0))).otherwise(0))
         rows = rows.withColumn("label", F.when(F.col("is_new"), F.col("label")).when(F.col("position") != 0, F.col("position")).otherwise(0))
         done = actions(rows)
