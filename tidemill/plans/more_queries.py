@@ -688,9 +688,10 @@ def sequences(spark, sf_dir):
     return rows.select("bar_no", F.round(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(xs[0], 4).alias("oldest"), F.size(L.patches(F.col("sequence"))).alias("patches"))
 
 
-def labelled_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_folds(spark: SparkSession, sf_dir: str, folds: bool = True) -> DataFrame:
+    """Features and labels of the bars; with ``folds`` a row for each fold that one is in."""
     rows = stored(L.labelled_features(stored(learning_bars(spark, sf_dir), "bars")), "labelled")
-    return L.walk_forward(rows, "datetime", 12, 6, 0.0)
+    return L.walk_forward(rows, "datetime", 12, 6, 0.0) if folds else rows
 
 
 def _model_query(model: str):

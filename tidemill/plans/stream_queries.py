@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import strategies
 from ..operators import backtest as T
 from ..operators import bars as B
+from ..operators import learning as L
+from ..operators import model_versions
 from ..sources import cdt, csv_ticks
 from ..sources.shared import shared_path
-from ..streaming import live
+from ..streaming import live, resizable
 from .indicator_sql import SIGNALS
-from .more_queries import CURVE_SQL, DEALS, signal_rows
+from .more_queries import CURVE_SQL, DEALS, labelled_folds, signal_rows
 from .sql import SERIES, TICKS, stages
 from .tick_queries import query, series
 
@@ -60,6 +62,76 @@ def stream_decisions(spark, sf_dir):
     return rows.select("symbol", "bar_no", "label", "action", "target_pos", F.round("take_profit", 6).alias("take_profit"), F.round("stop_loss", 6).alias("stop_loss"))
 
 
+def resized(spark, sf_dir):
+    """Bars of 60 ticks whose size becomes 45 at each symbol's first tick after the middle of the month; the stream's output
+    and its checkpoint."""
+    middle = B.event_ticks(spark, sf_dir).where("trade_date >= '2024-01-16'").groupBy("symbol").agg(F.min("ts").alias("ts"))
+    path, marks = shared_path(spark, "orders"), shared_path(spark, "resized-checkpoint")
+    middle.withColumn("size", F.lit(45)).write.parquet(path)
+    orders = spark.readStream.schema("symbol string, ts timestamp_ntz, size int").parquet(path)
+    with resizable.rocksdb(spark):
+        stream = resizable.resizable_bars(live.tick_stream(spark, sf_dir), orders, 60, keep=1_000_000)
+        return live.run_once(stream, "resized", "update", ["symbol", "version", "bar_no"], marks), marks
+
+
+@query(
+    "stream_resized_bars",
+    f"""WITH {TICKS}, c AS (SELECT symbol, count(*) FILTER (trade_date >= DATE '2024-01-16') > 0 AS is_changed FROM t GROUP BY symbol),
+n AS (SELECT *, CASE WHEN is_changed THEN 45 ELSE 60 END AS size, (row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1) // CASE WHEN is_changed THEN 45 ELSE 60 END AS bar_no FROM t JOIN c USING (symbol))
+SELECT symbol, CAST(size AS INTEGER) AS size, CAST(bar_no AS BIGINT) AS bar_no, min(ts) AS open_time, max(ts) AS close_time, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close,
+  CAST(sum(volume) AS BIGINT) AS volume, CAST(count(*) AS INTEGER) AS ticks, count(*) = size AS complete FROM n GROUP BY symbol, size, bar_no""",
+)
+def stream_resized_bars(spark, sf_dir):
+    return resizable.last_version(resized(spark, sf_dir)[0]).drop("version")
+
+
+@query(
+    "stream_status",
+    f"""WITH {TICKS}, c AS (SELECT symbol, CASE WHEN count(*) FILTER (trade_date >= DATE '2024-01-16') > 0 THEN 45 ELSE 60 END AS size, count(*) AS ticks, last(price ORDER BY ts, seq) AS price FROM t GROUP BY symbol),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1 AS i FROM t),
+f AS (SELECT symbol, first(n.price ORDER BY ts, seq) AS open, max(n.price) AS high, min(n.price) AS low, last(n.price ORDER BY ts, seq) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS k
+  FROM n JOIN c USING (symbol) WHERE i >= ticks // size * size GROUP BY symbol)
+SELECT symbol, CAST(size AS INTEGER) AS size, ticks, price, open, high, low, close, volume, CAST(coalesce(k, 0) AS INTEGER) AS forming_ticks, round(coalesce(k, 0) / size * 100, 1) AS progress_pct FROM c LEFT JOIN f USING (symbol)""",
+)
+def stream_status(spark, sf_dir):
+    """The forming bars and totals as they stand in the state store when the stream has ended."""
+    _, marks = resized(spark, sf_dir)
+    return resizable.status(spark, marks).drop("version")
+
+
+def fitted_model(spark, sf_dir):
+    """Boosted trees of the labelled bars, saved as a version and loaded by its number: model, training counts."""
+    root, rows = shared_path(spark, "models"), labelled_folds(spark, sf_dir, False)
+    number = model_versions.save(spark, root, L.boosting.fit(rows, L.FEATURES, shape=L.boosting.Shape(rounds=4, depth=3)), rows)
+    return model_versions.load(spark, root, number)[:2]
+
+
+def decided(spark, stream, path, model):
+    """Drive ``live.decide`` with a model and read what it has decided."""
+    label = lambda rows: model.predict(rows).withColumnRenamed("predicted", "label")
+    live.decide(live.live_bars(stream, 30), path, label, warm=40, watch=lambda rows: model_versions.counted(model, rows)).awaitTermination()
+    schema = "symbol string, bar_no bigint, label int, action string, target_pos int, take_profit double, stop_loss double"
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/decisions")
+
+
+@query("stream_model_decisions")
+def stream_model_decisions(spark, sf_dir):
+    """Decisions of a pinned version of fitted trees on a stream of 30-tick bars."""
+    model, _ = fitted_model(spark, sf_dir)
+    rows = decided(spark, live.tick_stream(spark, sf_dir), shared_path(spark, "decisions"), model)
+    return rows.withColumns({c: F.round(c, 6) for c in ("take_profit", "stop_loss")})
+
+
+@query("stream_drift")
+def stream_drift(spark, sf_dir):
+    """How far the features of the streamed bars have drifted from those that the trees were fitted on."""
+    model, expected = fitted_model(spark, sf_dir)
+    path = shared_path(spark, "decisions")
+    decided(spark, live.tick_stream(spark, sf_dir), path, model)
+    seen = spark.read.schema(model_versions.COUNTS).option("recursiveFileLookup", "true").parquet(f"{path}/drift")
+    return model_versions.psi(expected, seen).select("feature", F.round("psi", 6).alias("psi"))
+
+
 @query(
     "stream_quotes",
     f"""WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS back FROM t)

@@ -112,11 +112,12 @@ def windows(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -
     return rows.groupBy(F.window("at", width), "symbol").agg(F.count("*").alias("ticks"), F.sum("volume").alias("volume"), F.max("price").alias("high"), F.min("price").alias("low"))
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", latest_by: list[str] | None = None) -> DataFrame:
+def run_once(stream: DataFrame, name: str, mode: str = "append", latest_by: list[str] | None = None, marks: str | None = None) -> DataFrame:
     """Drive a stream over all that is there, into a table in the shared folder, and read that; with ``latest_by`` only the
-    row of the last trigger for each key. A trigger that is repeated writes its rows anew."""
+    row of the last trigger for each key. A trigger that is repeated writes its rows anew. ``marks``: the checkpoint."""
     spark = stream.sparkSession
-    path, marks = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
+    path, marks = shared_path(spark, name), marks or shared_path(spark, f"{name}-checkpoint")
+    spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("at_trigger", T.LongType())])).write.parquet(f"{path}/trigger=none")  # so that an empty stream can be read
 
     def add(batch: DataFrame, number: int) -> None:
         batch.withColumn("at_trigger", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/trigger={number}")
@@ -129,13 +130,14 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", latest_by: list
     return rows.select(*stream.columns)
 
 
-def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame], warm: int = 50, keep: int = 200):
+def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame], warm: int = 50, keep: int = 200, watch: Callable[[DataFrame], DataFrame] | None = None):
     """Start live decisions on a stream of complete bars (``live_bars``); the streaming query, which is not yet awaited.
 
     Each trigger takes the last ``keep`` bars of a symbol from the trigger before, makes features of them and the new ones,
     has ``label`` (a model) add the column label (1, 0, -1) to them, and writes the actions on the new bars from the
     ``warm``-th on below ``path``/decisions. What the next trigger needs is written below ``path``/held, so a repeated
-    trigger does the same again.
+    trigger does the same again. ``watch`` makes counts of the features of the new bars (``model_versions.counted``), which
+    are written below ``path``/drift, a folder for each trigger.
     """
     spark = bars.sparkSession
 
@@ -153,6 +155,9 @@ def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame],
         rows = both.join(first, "symbol").withColumn("bar_no", F.col("bar_no") - F.col("_low"))
         made = stored(features(rows.drop("_low", "is_new", "position")), "features-now")  # written before it is joined: see learning.labelled_features
         known = label(made).select("symbol", "bar_no", "label")
+        if watch:
+            fresh = made.join(rows.where("is_new").select("symbol", "bar_no"), ["symbol", "bar_no"], "left_semi")
+            watch(fresh).write.mode("overwrite").parquet(f"{path}/drift/trigger={number}")
         rows = rows.join(known, ["symbol", "bar_no"], "left").withColumn("label", F.when(F.col("bar_no") + F.col("_low") >= warm - 1, F.coalesce("label", F.lit(0))).otherwise(0))
         rows = rows.withColumn("label", F.when(F.col("is_new"), F.col("label")).when(F.col("position") != 0, F.col("position")).otherwise(0))
         done = actions(rows)
