@@ -21,10 +21,16 @@ _ST_KEEP = "NOT n.close > p.u AND NOT n.close < p.l"
 _ST_THEN = (
     f"{_ST_D}, CASE WHEN {_ST_KEEP} AND p.d = -1 THEN least(n.up, p.u) ELSE n.up END, CASE WHEN {_ST_KEEP} AND p.d = 1 THEN greatest(n.lo, p.l) ELSE n.lo END, n.bar_no = 0"
 )
-SUPERTREND = _walk(
-    _ST, "1, n.up, n.lo, true", _ST_THEN, "d, u, l, is_first",
-    "round(CASE WHEN is_first THEN 0.0 WHEN d = 1 THEN l ELSE u END, 6) AS supertrend, CAST(d AS INTEGER) AS supertrend_dir, round(u, 6) AS supertrend_upper, round(l, 6) AS supertrend_lower",
-)
+_ST_OUT = "round(CASE WHEN is_first THEN 0.0 WHEN d = 1 THEN l ELSE u END, 6) AS supertrend, CAST(d AS INTEGER) AS supertrend_dir, round(u, 6) AS supertrend_upper, round(l, 6) AS supertrend_lower"
+SUPERTREND = _walk(_ST, "1, n.up, n.lo, true", _ST_THEN, "d, u, l, is_first", _ST_OUT)
+
+
+def supertrend_sql(n: int, factor: float) -> str:
+    """The stop with another span and factor."""
+    steps = [*_ST[:2], f"{ewm('tr', 1 / n)} AS a10", f"(high + low) / 2 + {factor} * a10 AS up, (high + low) / 2 - {factor} * a10 AS lo"]
+    return _walk(steps, "1, n.up, n.lo, true", _ST_THEN, "d, u, l, is_first", _ST_OUT)
+
+
 SIG_SUPERTREND = _walk(_ST, "1, n.up, n.lo, true", _ST_THEN, "d, u, l, is_first", "CAST(d AS INTEGER) AS signal")
 
 _PS = [f"lag(low, 1) OVER {W} AS l1, coalesce(lag(low, 2) OVER {W}, lag(low, 1) OVER {W}) AS l2, lag(high, 1) OVER {W} AS h1, coalesce(lag(high, 2) OVER {W}, lag(high, 1) OVER {W}) AS h2"]

@@ -1,6 +1,6 @@
 """All queries of the market-data part, by name."""
 
-from . import catalogue_queries, more_queries, stream_queries, tick_queries  # noqa: F401  the others register themselves
+from . import catalogue_queries, more_queries, parametric_queries, stream_queries, tick_queries  # noqa: F401  the others register themselves
 
 
 def queries() -> dict:

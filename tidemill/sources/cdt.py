@@ -1,7 +1,7 @@
 """CDT bar files: a header of two 32-bit numbers (kind, count) and records of 8 or 10 doubles.
 
-Files are written and read by the tasks themselves through pyarrow's file systems, a batch or a stretch of records at a
-time, so neither a file nor a series is ever held whole.
+The format is a data source of Spark's: ``read.format("cdt")`` and ``write.format("cdt")``. Tasks read and write through
+pyarrow's file systems, a stretch of records or a batch at a time, so neither a file nor a series is ever held whole.
 """
 
 from __future__ import annotations
@@ -10,15 +10,20 @@ import csv
 import io
 import re
 import struct
+import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote
+from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .csv_ticks import decoded, read_ticks
+from .shared import stored
 
 FIELDS = ("stamp", "open", "high", "low", "close", "volume", "trading_value", "open_interest")
 
@@ -86,42 +91,151 @@ def layout(kind: int, count: int, body: int) -> tuple[int, int]:
     return width, body // width
 
 
+#: Columns of the data source.
+SOURCE = "file string, " + ", ".join(f"{f} double" for f in FIELDS)
+
+
 def read(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
-    """file and bars of every .cdt file; timestamps stay text, prices have two decimals. Files are listed, their headers
-    read, and their records dealt to tasks in stretches."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cdt").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    """file and bars of every .cdt file; timestamps stay text, prices have two decimals."""
+    register(spark)
+    return with_timestamps(spark.read.format("cdt").option("stretch", stretch).load(path)).select(*FIELDS[1:], "file", "timestamp")
+
+
+class CdtSource(DataSource):
+    """The format ``cdt``: every .cdt file below a path, raw, and what writes such files.
+
+    Read options: ``stretch`` (records of a partition), ``names`` (of files, comma-joined; default all). Rows to write have the columns of SOURCE in any order and
+    ``records``, how many a file has; those of a file must be in one partition and in their order.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "cdt"
+
+    def schema(self) -> str:
+        return SOURCE
+
+    def reader(self, schema):
+        return CdtReader(self.options)
+
+    def writer(self, schema, overwrite: bool):
+        return CdtWriter(self.options["path"], overwrite)
+
 
-    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for name, length in zip(f["path"], f["length"], strict=True):
-                if length >= 8:
-                    width, count = layout(*struct.unpack("<2i", read_bytes(name, 0, 8)), length - 8)
-                    rows += [(name, width, at, min(stretch, count - at)) for at in range(0, count, stretch)]
-            yield pd.DataFrame(rows, columns=["path", "width", "at", "n"])
+class Stretch(InputPartition):
+    def __init__(self, path: str, size: int, at: int, end: int):
+        self.path, self.size, self.at, self.end = path, size, at, end
 
-    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, width, at, n in zip(f["path"], f["width"], f["at"], f["n"], strict=True):
-                cells = np.frombuffer(read_bytes(name, 8 + int(at) * int(width), int(n) * int(width)), "<f8").reshape(int(n), -1)[:, :8]
-                yield pd.DataFrame(cells, columns=list(FIELDS)).assign(file=name.rsplit("/", 1)[-1])
 
-    parts = files.mapInPandas(heads, "path string, width bigint, at bigint, n bigint").repartition("path", "at")
-    return with_timestamps(parts.mapInPandas(records, ", ".join(f"{f} double" for f in FIELDS) + ", file string"))
+class CdtReader(DataSourceReader):
+    """Plans from sizes of files alone: a partition is a stretch of bytes after the header and has the records that begin in
+    it. Files are chosen by an option, not by filters pushed down: Spark plans a source once for all queries of one frame,
+    so a filter of one query would hold for the others."""
+
+    def __init__(self, options):
+        names = options.get("names")
+        self.path, self.stretch, self.names = options["path"], int(options.get("stretch", STRETCH)), names and set(names.split(","))
+
+    def partitions(self):
+        from pyarrow import fs
+
+        files, root = _file_system(self.path)
+        found = files.get_file_info(fs.FileSelector(root, recursive=True)) if not root.endswith(".cdt") else [files.get_file_info(root)]
+        out, length = [], self.stretch * 64
+        for x in sorted((x for x in found if x.is_file and x.path.endswith(".cdt")), key=lambda x: x.path):
+            hidden = any(p.startswith(("_", ".")) for p in x.path[len(root) :].split("/"))
+            if not hidden and x.size >= 8 and (not self.names or x.base_name in self.names):
+                out += [Stretch(x.path, x.size, at, min(at + length, x.size - 8)) for at in range(0, max(1, x.size - 8), length)]
+        return out or [Stretch("", 0, 0, 0)]
+
+    def read(self, partition):
+        if not partition.path:
+            return
+        files, _ = _file_system(self.path)
+        with files.open_input_file(partition.path) as f:
+            width, count = layout(*struct.unpack("<2i", f.read_at(8, 0)), partition.size - 8)
+            first, last = -(-partition.at // width), min(-(-partition.end // width), count)
+            if last > first:
+                cells = np.frombuffer(f.read_at((last - first) * width, 8 + first * width), "<f8").reshape(last - first, -1)[:, :8]
+                name = pa.array([partition.path.rsplit("/", 1)[-1]] * len(cells))
+                yield pa.RecordBatch.from_arrays([name, *[pa.array(np.ascontiguousarray(c)) for c in cells.T]], ["file", *FIELDS])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list
+
+
+class CdtWriter(DataSourceArrowWriter):
+    """A task writes into a hidden folder of its own; the driver moves the files of the tasks that count to their places when
+    all have ended, so that what a failed or repeated task has written is never seen."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.hidden = path, overwrite, f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator):
+        files, root = _file_system(self.path)
+        folder, out, now, done = f"{root}/{self.hidden}/{uuid.uuid4().hex}", None, None, []
+        for batch in iterator:
+            names = batch["file"].to_pylist()
+            cells = np.column_stack([batch[c].to_numpy(zero_copy_only=False) for c in FIELDS]).astype("<f8") if names else None
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a and names[a] != now:
+                    if out:
+                        out.close()
+                    now = names[a]
+                    if now in done:
+                        raise ValueError(f"rows of {now} are not together")
+                    files.create_dir(folder, recursive=True)
+                    out = files.open_output_stream(f"{folder}/{now}")
+                    out.write(struct.pack("<2i", 1, batch["records"][a].as_py()))
+                    done.append(now)
+                if b > a:
+                    out.write(cells[a:b].tobytes())
+        if out:
+            out.close()
+        return Written([f"{folder}/{name}" for name in done])
+
+    def commit(self, messages):
+        files, root = _file_system(self.path)
+        made = [f for m in messages if m is not None for f in m.files]
+        if len({f.rsplit("/", 1)[-1] for f in made}) < len(made):
+            self.abort(messages)
+            raise ValueError("rows of a file were in several partitions")
+        if self.overwrite:
+            from pyarrow import fs
+
+            for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if x.is_file and x.path.endswith(".cdt"):
+                    files.delete_file(x.path)
+        for f in made:
+            files.move(f, f"{root}/{f.rsplit('/', 1)[-1]}")
+        self._clear(files, root)
+
+    def abort(self, messages):
+        files, root = _file_system(self.path)
+        self._clear(files, root)
+
+    def _clear(self, files, root: str) -> None:
+        from pyarrow import fs
+
+        if files.get_file_info(f"{root}/{self.hidden}").type == fs.FileType.Directory:
+            files.delete_dir(f"{root}/{self.hidden}")
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format ``cdt`` known to a session."""
+    spark.dataSource.register(CdtSource)
 
 
 def _file_system(path: str):
-    """The file system of a path and the path within it."""
+    """The file system of a path and the path within it, without escapes."""
     from pyarrow import fs
 
     path = re.sub("^file:/(?=[^/])", "file:///", path)
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
-def read_bytes(path: str, at: int, n: int) -> bytes:
-    files, name = _file_system(path)
-    with files.open_input_file(unquote(name)) as f:
-        return f.read_at(n, at)
+    files, within = fs.FileSystem.from_uri(quote(path if "://" in path else f"file://{path}", safe="/:%@?&=+,;~"))
+    return files, unquote(within)
 
 
 def with_timestamps(rows: DataFrame) -> DataFrame:
@@ -134,36 +248,20 @@ def write(bars: DataFrame, by: str, path: str, at: str = "open_time") -> DataFra
     """One file <value>.cdt below ``path`` for each value of ``by``, its bars in order of time; (by, file, records).
 
     Bars without a time have the fixed one of the format; missing prices and volumes are 0; trading value is close times
-    volume unless there is a column for it. Rows stream into the files; a repeated task writes its files anew.
+    volume unless there is a column for it. Rows stream into the files, which appear together when all are written; files of
+    other names stay.
     """
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in bars.columns else F.lit(0.0)
     value = number("trading_value") if "trading_value" in bars.columns else number("close") * number("volume")
     rows = bars.select(
-        by, F.col(at).alias("_at"), F.coalesce(F.date_format(at, "yyyyMMddHHmmss"), F.lit("20240101090000")).cast("double").alias("stamp"),
+        F.col(by).cast("string").alias(by), F.col(at).alias("_at"), F.coalesce(F.date_format(at, "yyyyMMddHHmmss"), F.lit("20240101090000")).cast("double").alias("stamp"),
         *[number(c).alias(c) for c in FIELDS[1:6]], value.alias("trading_value"), number("open_interest").alias("open_interest"),
     )
-    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
-    rows = rows.join(counts, by).repartition(by).sortWithinPartitions(by, "_at").drop("_at")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, out, done = None, None, []
-        for f in frames:
-            for now, own in f.groupby(by, sort=False):
-                if now != key:
-                    if out:
-                        out.close()
-                    key, n = now, int(own["_n"].iloc[0])
-                    files, folder = _file_system(path)
-                    files.create_dir(folder, recursive=True)
-                    out = files.open_output_stream(f"{folder}/{now}.cdt")
-                    out.write(struct.pack("<2i", 1, n))
-                    done.append((now, f"{now}.cdt", n))
-                out.write(own[list(FIELDS)].to_numpy("<f8").tobytes())
-        if out:
-            out.close()
-        yield pd.DataFrame(done, columns=[by, "file", "records"])
-
-    return rows.mapInPandas(run, f"{by} string, file string, records bigint")
+    counts = stored(rows.groupBy(by).agg(F.count("*").alias("records")), "cdt-counts")
+    rows = rows.join(counts, by).withColumn("file", F.concat(by, F.lit(".cdt"))).repartition("file").sortWithinPartitions("file", "_at")
+    register(bars.sparkSession)
+    rows.select("file", *FIELDS, "records").write.format("cdt").mode("append").save(path)
+    return counts.select(by, F.concat(by, F.lit(".cdt")).alias("file"), "records")
 
 
 def csv_to_cdt(spark: SparkSession, source: str | list[str], path: str) -> DataFrame:
