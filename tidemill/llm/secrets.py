@@ -15,7 +15,6 @@ below.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -70,6 +69,10 @@ BEGINS = {
     MORE_RULES["url_login"]: r"[a-z]+://",
 }
 VALUE_LENGTH = 8
+#: Kinds that stand alone, bytes that may not come before them, and those of which a key has some.
+ALONE = frozenset(MORE_RULES) - {"private_key", "url_login"}
+MIXED_BYTES = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+WORD_BYTES = MIXED_BYTES | frozenset(b"abcdefghijklmnopqrstuvwxyz_-")
 #: A byte that UTF-8 never holds; it stands between texts and takes every state back to the start.
 END = 255
 LANES = 1024
@@ -257,6 +260,17 @@ def short_value(match: bytes) -> bool:
     return len(value[1:] if value[:1] in (b'"', b"'") else value) < VALUE_LENGTH
 
 
+def credible(kind: str, data: bytes, start: int, end: int) -> bool:
+    """Whether a match counts. A key of the further kinds doesn't begin within a word ("risk-...", "TASK0123"); one that is
+    known by ``sk-`` alone also has a tenth of digits and capitals, which words joined by hyphens lack. A match that doesn't
+    count still takes its text, as short values do."""
+    if kind == "assign":
+        return not short_value(data[start:end])
+    if kind in ALONE and start and data[start - 1] in WORD_BYTES:
+        return False
+    return kind != "sk_key" or 10 * sum(b in MIXED_BYTES for b in data[start + 3 : end]) >= end - start - 3
+
+
 def find_all(texts: list[str | None], kinds: dict[str, str], compiled: tuple | None = None) -> list[list[tuple[int, int, int]]]:
     """For each text its matches (start, rule number, end) in code points, in order of start, then rule."""
     combined, forward, backward = compiled or automata(tuple(kinds.values()))
@@ -283,7 +297,7 @@ def find_all(texts: list[str | None], kinds: dict[str, str], compiled: tuple | N
     for doc, found in enumerate(out):
         if found:
             data = raw[doc]
-            found[:] = sorted((s, r, e) for s, r, e in found if not (names[r] == "assign" and short_value(data[s:e])))
+            found[:] = sorted((s, r, e) for s, r, e in found if credible(names[r], data, s, e))
             if not data.isascii():  # bytes to code points
                 before = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
                 found[:] = [(int(before[s]), r, int(before[e])) for s, r, e in found]
@@ -305,7 +319,3 @@ def scan_documents(docs: DataFrame, rules: dict[str, str] | None = None) -> Data
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(find, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
-
-
-def digest_of(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
