@@ -10,7 +10,7 @@ from ..operators import bars as B
 from ..operators import learning as L
 from ..operators import model_versions
 from ..sources import cdt, csv_ticks
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
 from ..streaming import live, resizable
 from .indicator_sql import SIGNALS
 from .more_queries import CURVE_SQL, DEALS, labelled_folds, signal_rows
@@ -194,6 +194,22 @@ def sync_ticks(spark, sf_dir):
     return csv_ticks.sync_status(spark, table, manifest).select("total_ticks").crossJoin(days)  # a row each
 
 
+@query("sync_incremental", f"WITH {TICKS} SELECT count(*) AS total_ticks, count(*) FILTER (trade_date = (SELECT max(trade_date) FROM t)) AS loaded_later, CAST(0 AS BIGINT) AS loaded_again FROM t")
+def sync_incremental(spark, sf_dir):
+    """All days but the last in one folder, loaded; then the last day in another one, and a sync of both, which reads the new
+    files alone; then one that finds nothing to do."""
+    early, late, table, manifest = (shared_path(spark, f"sync-{x}") for x in ("early", "late", "table", "manifest"))
+    ticks, bounds = B.event_ticks(spark, sf_dir), csv_ticks.Bounds(float("inf"), float("-inf"), 0)
+    last = ticks.agg(F.max("trade_date")).first()[0]
+    rows = ticks.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "price", "volume", "trade_date", "seq")
+    for keep, path in ((F.col("trade_date") < last, early), (F.col("trade_date") == last, late)):
+        rows.where(keep).repartition("trade_date").sortWithinPartitions("seq").select("time", "price", "volume").write.option("header", "true").csv(path)
+    syncs = [stored(csv_ticks.sync(spark, paths, table, manifest, bounds=bounds), "manifest") for paths in (early, [early, late], [early, late])]
+    times = [m.agg(F.max("synced_at")).first()[0] for m in syncs[:2]]
+    after = lambda t: F.coalesce(F.sum(F.when(F.col("synced_at") > t, F.col("row_count"))), F.lit(0))
+    return syncs[2].agg(F.sum("row_count").alias("total_ticks"), after(times[0]).alias("loaded_later"), after(times[1]).alias("loaded_again"))
+
+
 CDT_OUT = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS timestamp, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close, CAST(volume AS DOUBLE) AS volume, {1} AS trading_value"
 
 

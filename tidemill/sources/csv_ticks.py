@@ -5,14 +5,15 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.quality import suspect_files
 from .shared import stored
 
+#: Encodings of the source files, in the order in which they are tried.
 ENCODINGS = ("cp949", "euc-kr", "utf-8", "utf-8-sig", "latin1")
 #: Header words of the source files.
 WORDS = {
@@ -118,7 +119,7 @@ def read_ticks(spark: SparkSession, path: str | list[str], symbol: str = "DEFAUL
 
 
 FILES = "file_name string, file_path string, file_size bigint, modified timestamp"
-MANIFEST = FILES + ", file_hash string, row_count bigint, synced_at timestamp"
+MANIFEST = FILES + ", file_hash string, row_count bigint, synced_at timestamp, max_price double, min_price double"
 
 
 def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -149,6 +150,20 @@ def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
         return spark.createDataFrame([], MANIFEST)
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """A loaded file is suspect with a price beyond these, with fewer rows, or without figures in the manifest."""
+
+    most: float = 5000.0
+    least: float = 10.0
+    rows: int = 2000
+
+
+def suspect_rows(manifest: DataFrame, bounds: Bounds) -> DataFrame:
+    odd = (F.col("max_price") > bounds.most) | (F.col("min_price") < bounds.least) | (F.col("row_count") < bounds.rows)
+    return manifest.where(F.coalesce(odd, F.lit(True)))
+
+
 def to_sync(found: DataFrame, manifest: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
     """The listed files that are new, whose size or time differs from the manifest's, or whose ticks are suspect."""
     same = manifest.select("file_name", "file_size", "modified")
@@ -157,16 +172,17 @@ def to_sync(found: DataFrame, manifest: DataFrame, suspects: DataFrame | None =
     return found.join(same, ["file_name", "file_size", "modified"], "left_anti")
 
 
-def sync(spark: SparkSession, path: str | list[str], table: str, manifest: str, full: bool = False) -> DataFrame:
+def sync(spark: SparkSession, path: str | list[str], table: str, manifest: str, full: bool = False, bounds: Bounds = Bounds()) -> DataFrame:  # noqa: B008
     """Load new, changed and suspect files into the Parquet table (one partition per file, replaced whole) and renew the
     manifest; ``full`` loads all files anew and forgets those that are gone. Only the files that are loaded are read: of
-    the others size and time are compared, and of those that differ the hash. Files without ticks are tried again."""
+    the others size and time are compared, and of those that differ the hash. Files without ticks are tried again. What
+    makes a file suspect is in the manifest, so of the table no more than the partitions just written is read."""
     found, known = listed(spark, path), read_manifest(spark, manifest)
     if full:
         known = known.limit(0)
     suspects = None
     if not known.isEmpty():
-        suspects = suspect_files(known.select("file_name", "file_size"), spark.read.parquet(table))
+        suspects = suspect_rows(known, bounds).select("file_name")
     new = stored(to_sync(found, known, suspects), "to-sync")
     names = [r.file_path for r in new.select("file_path").collect()]  # a name for each file to load
     if names:
@@ -181,8 +197,9 @@ def sync(spark: SparkSession, path: str | list[str], table: str, manifest: str,
         ticks = read_ticks(spark, names).withColumn("seq", F.col("seq.n"))
         writer = ticks.write.mode("overwrite").partitionBy("file_source")
         (writer if full else writer.option("partitionOverwriteMode", "dynamic")).parquet(table)
-        counts = spark.read.parquet(table).groupBy(F.col("file_source").alias("file_name")).agg(F.count("*").alias("row_count"))
-        loaded = new.join(counts, "file_name").withColumn("synced_at", F.current_timestamp())
+        written = spark.read.parquet(table).join(F.broadcast(new.select(F.col("file_name").alias("file_source"))), "file_source")  # a name for each file just loaded
+        figures = written.groupBy(F.col("file_source").alias("file_name")).agg(F.count("*").alias("row_count"), F.max("price").alias("max_price"), F.min("price").alias("min_price"))
+        loaded = new.join(figures, "file_name").withColumn("synced_at", F.current_timestamp())
         kept = known.join(new, "file_name", "left_anti")
         columns = [x.split()[0] for x in MANIFEST.split(", ")]
         stored(kept.select(*columns).unionByName(loaded.select(*columns)), "manifest").write.mode("overwrite").parquet(manifest)
