@@ -27,7 +27,7 @@ def test_quotes_fold_frames_of_a_few_rows(spark):
 
 
 def test_streams_carry_their_state_over_triggers(spark, tmp_path):
-    """The ticks in twelve files of some hours each, one a trigger, against all of them at once."""
+    """The ticks in six files of some days each, one a trigger, against all of them at once."""
     from pyspark.sql import functions as F
 
     from tidemill.plans import stream_queries
@@ -35,8 +35,8 @@ def test_streams_carry_their_state_over_triggers(spark, tmp_path):
 
     rows = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").toPandas()
     (tmp_path / "events.parquet").mkdir()
-    for i in range(12):
-        part = rows.iloc[len(rows) * i // 12 : len(rows) * (i + 1) // 12]
+    for i in range(6):
+        part = rows.iloc[len(rows) * i // 6 : len(rows) * (i + 1) // 6]
         spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/one")
     files = sorted((tmp_path / "one").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
     for i, f in enumerate(files):
