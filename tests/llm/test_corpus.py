@@ -460,11 +460,29 @@ def test_chat_round_trip(spark):
     _, ids = chat.tokenizer(chat.default_ranks())
     tokens = {r.conv_id: r.tokens for r in made.collect()}
     assert sum(t == ids[chat.TURN] for t in tokens[1]) == 4  # control strings of the texts are no control tokens
-    assert chat.digests(chat.format_conversations(docs.limit(0))).count() == 0
+    assert chat.digests(chat.format_conversations(docs.limit(0))).count() == 0 == chat.digests(chat.format_turns(docs.limit(0))).count()
+    assert sorted(chat.digests(chat.format_turns(docs)).collect()) == sorted(got.values())  # turns as a stream: the same
     for text in ("", "\\", "<|", "<\\|", "\\<|\\", "a\\b<|c"):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
 
 
+def test_chat_of_long_and_nameless_conversations(spark):
+    """A conversation of most rows and one without an id, over batches; repeated rows, large ids and a clashing column."""
+    big = 2**53 + 1
+    rows = [(big, i, ("user", "assistant")[i % 2], f"say <|end|> {i}", "x") for i in range(1500)]
+    rows += [(None, i, "assistant", None if i % 3 else "none", "x") for i in range(700)] + [(None, 5, "assistant", "twice", "x")] * 2
+    rows += [(big + 1 + i, 0, "assistant", f"only {i}", "x") for i in range(600)]
+    random.Random(3).shuffle(rows)
+    docs = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, tokens string").repartition(7)
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns(docs)).collect()}
+    assert len(got) == 602 and sum(r.n_turns for r in got.values()) == len(rows)
+    for conv in (None, big, big + 1, big + 600):
+        turns = sorted((t, r, x or "") for c, t, r, x, _ in rows if c == conv)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_license_templates():
     auto = licenses.compile_templates({"t": "start <<optional>>very <<optional>>much<<end>><<end>> free <<var 3>> as is"})
     found = lambda s: [m[:2] for m in auto.matches(s.encode().split())[0]]

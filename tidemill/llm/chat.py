@@ -5,6 +5,10 @@ never produces are spliced between them: turn, content, end of turn. Control str
 escaped first, reversibly, so that they occur neither as ids nor as text. The loss mask over the tokens marks the
 content of assistant turns; it is derived from the reserved ids by prefix sums: a token counts when more contents of
 assistant turns have begun than turns have ended.
+
+Turns are encoded each on its own, in any task; a formatted conversation is its turns' segments in order, and since a mask
+opens and closes within a turn, so do theirs. Reading back streams over sorted segments, so a conversation may be of any
+length.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import ARROW_ROWS, small_batches
 
 TURN, CONTENT, END = "<|turn|>", "<|content|>", "<|end|>"
 ASSISTANT = "assistant"
@@ -99,41 +103,98 @@ def read_back(tokens: list[int], mask: list[bool], ranks_path: str) -> tuple[lis
     return turns, "".join(loss), size
 
 
-def conversations(rows: DataFrame) -> DataFrame:
-    """conv_id and turns (ordered structs of turn, role, text). Null roles and texts are empty; rows without a turn
-    number come first; rows that repeat a number stand in the order of role and text; rows without a conv_id are one
-    conversation. A conversation is gathered whole, as it is one training example: the longest must fit into a task."""
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+#: The order of a conversation's segments.
+ORDER = ("turn", "role", "text")
 
 
-def format_conversations(rows: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """conv_id, tokens and loss_mask, one row per conversation, as in ``conversations``; an empty table gives an empty
-    result; texts may be of any length; other columns are not read."""
+def format_turns(rows: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """conv_id, turn, role, text, tokens and loss_mask, one row per turn; a conversation is its turns in the order of turn,
+    role and text.
+
+    Null roles and texts are empty; rows without a turn number come first; rows that repeat a number stand in the order of
+    role and text; rows without a conv_id are one conversation; an empty table gives an empty result; texts may be of any
+    length; other columns are not read.
+    """
     path = ranks_path or default_ranks()
     small_batches(rows.sparkSession)
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    rows = rows.select("conv_id", "turn", empty("role"), empty("text"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turns = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            tokens, masks = zip(*(assemble([turn], path) for turn in turns), strict=True) if batch.num_rows else ((), ())
+            made = [pa.array(tokens, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "tokens", "loss_mask"])
+
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(build, f"{own}, tokens array<int>, loss_mask array<boolean>")
+
+
+def format_conversations(rows: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """conv_id, tokens and loss_mask, one row per conversation, as training examples; else as in ``format_turns``. Each
+    must fit into a task; where one may not, take ``format_turns``."""
+    one = F.sort_array(F.collect_list(F.struct(*ORDER, "tokens", "loss_mask"))).alias("turns")
+    turns = format_turns(rows, ranks_path).groupBy("conv_id").agg(one)
+    return turns.select("conv_id", F.flatten("turns.tokens").alias("tokens"), F.flatten("turns.loss_mask").alias("loss_mask"))
+
+
+class Reading:
+    """What the segments of one conversation have said so far."""
+
+    def __init__(self, conv: object):
+        self.conv, self.said, self.loss = conv, hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.size = 0
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [assemble([(t["role"], t["text"]) for t in turns], path) for turns in frame["turns"]]
-            yield pd.DataFrame({"conv_id": frame["conv_id"], "tokens": [x for x, _ in made], "loss_mask": [x for _, x in made]})
+    def add(self, tokens: list[int], mask: list[bool], path: str) -> None:
+        turns, loss, size = read_back(tokens, mask, path)
+        for role, text in turns:
+            self.said.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+        self.loss.update(loss.encode("utf-8", "replace"))
+        self.n_turns += len(turns)
+        self.loss_chars += len(loss)
+        self.size += size
 
-    return conversations(rows).mapInPandas(build, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, tokens array<int>, loss_mask array<boolean>")
+    def row(self) -> tuple:
+        return self.conv, self.n_turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.size
+
+
+DIGESTS = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
 def digests(formatted: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """What the formatted conversations say when they are read back."""
+    """What formatted conversations say when they are read back, one row for each, from whole ones or from turns.
+
+    Turns are sorted by Spark, which spills, and read as a stream: a task holds a batch of them and the state of one
+    conversation's digests, however long it is. Those of one conversation pass through one task, as a digest needs them in
+    order.
+    """
     path = ranks_path or default_ranks()
     small_batches(formatted.sparkSession)
-    sha = lambda x: hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for conv, tokens, mask in zip(frame["conv_id"], frame["tokens"], frame["loss_mask"], strict=True):
-                turns, loss, size = read_back(list(map(int, tokens)), list(mask), path)
-                out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), size))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInPandas(read, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    kind = next(f.dataType.simpleString() for f in formatted.schema.fields if f.name == "conv_id")
+    if set(ORDER) <= set(formatted.columns):
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER)
+    names = ["conv_id", *[x.split()[0] for x in DIGESTS.split(", ")]]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done, ids = None, [], None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            types = [ids, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        for batch in batches:
+            ids = batch.schema.field("conv_id").type
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "tokens", "loss_mask")]
+            for i, conv in enumerate(columns[0].to_pylist()):
+                if now is None or conv != now.conv:
+                    done += [now.row()] if now else []
+                    now = Reading(conv)
+                now.add(columns[1][i].as_py(), columns[2][i].as_py(), path)
+            if len(done) >= ARROW_ROWS:
+                yield batch_of(done)
+                done = []
+        if now:
+            yield batch_of([*done, now.row()])
+
+    return formatted.mapInArrow(read, f"conv_id {kind}, {DIGESTS}")

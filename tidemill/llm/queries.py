@@ -113,7 +113,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str, ranks_path: str | None = N
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
-    return chat.digests(chat.format_conversations(rows.unionByName(added), ranks_path), ranks_path)
+    return chat.digests(chat.format_turns(rows.unionByName(added), ranks_path), ranks_path)
 
 
 OP9_SQL = r"""
