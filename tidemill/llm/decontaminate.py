@@ -6,7 +6,7 @@ its items so many smallest shingle hashes as its MinHash sketch; and it has a le
 q, below which a document can't hold any of its items. A document that holds at least t * q of an item's shingles lacks at
 most (1 - t) * q of them, fewer than the width, so it must hold one of the sketch: the search has full recall, where
 symmetric MinHash between a short item and a long document would need thousands of rows. A document's shingles are looked
-up partition by partition, in those that it is long enough for. Candidates are then verified by exact containment of the
+up in those partitions that it is long enough for. Candidates are then verified by exact containment of the
 shingle texts.
 """
 
@@ -21,8 +21,10 @@ from .common import written
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: Sketch rows (40 bytes each) that are broadcast at once; more are looked up in as many blocks as it takes.
+#: Sketch rows (40 bytes each) that are broadcast; more are shuffled by their hash.
 BROADCAST_ROWS = 1_000_000
+#: Shares of documents for each of which a shuffled sketch row is repeated, so that a popular shingle isn't one task's.
+SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -71,19 +73,25 @@ def item_sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = W
 
 
 def candidates(docs: DataFrame, sketch: DataFrame, threshold: float, width: int, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id) of documents that hold a hash of an item's sketch and are long enough for the item."""
+    """(doc_id, item_id) of documents that hold a hash of an item's sketch and are long enough for the item.
+
+    Documents are read and hashed once. A sketch of up to ``rows`` rows is broadcast; a larger one is shuffled, and so are the
+    distinct hashes of each document, under salts of the documents.
+    """
     total, least = sketch.agg(F.count("*"), F.coalesce(F.min("least"), F.lit(1))).first()
     own = docs.select("doc_id", shingle_hashes(words_of(F.col("text")), width).alias("hashes")).where(F.size("hashes") >= least)
-    own = own.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
-    blocks, out = max(1, -(-total // rows)), None
-    for b in range(blocks):
-        mine = lambda df: df.where(F.pmod("hash", F.lit(blocks)) == b) if blocks > 1 else df  # noqa: B023, E731
-        part = mine(sketch)
-        keys = part.select("hash", "size_class", "least").distinct()
-        hits = mine(own).join(F.broadcast(keys), "hash").where("n >= least").select("doc_id", "n", "size_class", "hash").distinct()
-        found = hits.join(F.broadcast(part), ["size_class", "hash"]).where(f"n >= {threshold} * q - 1e-9").select("doc_id", "item_id")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    own = own.withColumn("n", F.size("hashes"))
+    keys = sketch.select("hash", "size_class", "least").distinct()
+    if total <= rows:
+        hits = own.select("doc_id", "n", F.explode("hashes").alias("hash")).join(F.broadcast(keys), "hash")
+        part = F.broadcast(sketch)
+    else:
+        own = own.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n"), F.lit(SALTS)).alias("salt"), F.explode(F.array_distinct("hashes")).alias("hash"))
+        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        hits, part = own.join(keys, ["hash", "salt"]), sketch
+    hits = hits.where("n >= least").select("doc_id", "n", "size_class", "hash").distinct()
+    found = hits.join(part, ["size_class", "hash"]).where(f"n >= {threshold} * q - 1e-9")
+    return found.select("doc_id", "item_id").distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
