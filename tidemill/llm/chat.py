@@ -83,23 +83,24 @@ def mask_of(tokens: np.ndarray, ids: dict[str, int], assistant: list[int]) -> np
     return np.cumsum(step[:-1]) > 0
 
 
-def read_back(tokens: list[int], mask: list[bool], ranks_path: str) -> tuple[list[tuple[str, str]], str, int]:
+def read_back(tokens: np.ndarray, mask: np.ndarray, ranks_path: str) -> tuple[list[tuple[str, str]], str, int]:
     """(turns, text under the loss mask, characters of the formatted text) from the tokens alone."""
     encoder, ids = tokenizer(ranks_path)
     named = {v: k for k, v in ids.items()}
-    ids_of, held = np.array(tokens, np.int64), np.array(mask, bool)
-    cuts = np.flatnonzero(ids_of >= min(named))
+    cuts = np.flatnonzero(tokens >= min(named))
     turns, loss, size, role = [], [], 0, ""
     for cut, to in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tokens)], strict=True):
-        name, part = named[tokens[cut]], tokens[cut + 1 : to]
-        text = encoder.decode(part)
+        name, part, held = named[int(tokens[cut])], tokens[cut + 1 : to], mask[cut + 1 : to]
+        text = encoder.decode(part.tolist())
         size += len(name) + len(text)
         if name == TURN:
             role = unescape(text)
         elif name == CONTENT:
             turns.append((role, unescape(text)))
-            masked = [t for t, m in zip(part, held[cut + 1 : to].tolist(), strict=True) if m]
-            loss.append(unescape(encoder.decode(masked)))
+            if held.all():
+                loss.append(turns[-1][1])
+            elif held.any():
+                loss.append(unescape(encoder.decode(part[held].tolist())))
     return turns, "".join(loss), size
 
 
@@ -146,7 +147,7 @@ class Reading:
         self.conv, self.said, self.loss = conv, hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.size = 0
 
-    def add(self, tokens: list[int], mask: list[bool], path: str) -> None:
+    def add(self, tokens: np.ndarray, mask: np.ndarray, path: str) -> None:
         turns, loss, size = read_back(tokens, mask, path)
         for role, text in turns:
             self.said.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
@@ -185,12 +186,15 @@ def digests(formatted: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
         for batch in batches:
             ids = batch.schema.field("conv_id").type
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "tokens", "loss_mask")]
-            for i, conv in enumerate(columns[0].to_pylist()):
+            convs, tokens, masks = (batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "tokens", "loss_mask"))
+            edges = tokens.offsets.to_pylist(), masks.offsets.to_pylist()
+            tokens, masks = tokens.values.to_numpy(), masks.values.to_numpy(zero_copy_only=False)
+            for i, conv in enumerate(convs.to_pylist()):
                 if now is None or conv != now.conv:
                     done += [now.row()] if now else []
                     now = Reading(conv)
-                now.add(columns[1][i].as_py(), columns[2][i].as_py(), path)
+                own, held = (slice(x[i], x[i + 1]) for x in edges)
+                now.add(tokens[own], masks[held], path)
             if len(done) >= ARROW_ROWS:
                 yield batch_of(done)
                 done = []
