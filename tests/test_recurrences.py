@@ -301,6 +301,21 @@ def test_series_of_one_bar_have_zeros(spark):
     assert all(one[k] == 0 for k in one if k not in ("symbol", "strategy", "bars"))
 
 
+def test_series_without_bars_have_zeros(spark):
+    from tidemill.operators import backtest as T
+
+    rows = spark.createDataFrame([("a", "s", i, 10.0 + i, 5, 1) for i in range(4)] + [(None, "s", i, 9.0 + i, 5, 1) for i in range(4)], "symbol string, strategy string, bar_no bigint, close double, volume bigint, signal int")
+    done = T.summary(T.equity(rows.withColumn("open_time", F.expr("timestamp_ntz'2024-01-02 10:00:00' + make_dt_interval(0, 0, bar_no)"))))
+    asked = spark.createDataFrame([("a", "s"), ("b", "s"), ("b", "s"), (None, "s"), (None, "t")], "symbol string, strategy string")
+    got = {(r.symbol, r.strategy): r.asDict() for r in T.asked_series(done, asked).collect()}
+    own = {(r.symbol, r.strategy): r.asDict() for r in done.collect()}
+    assert set(got) == {("a", "s"), ("b", "s"), (None, "s"), (None, "t")} and got["a", "s"] == own["a", "s"] and own["a", "s"]["bars"] == 4
+    for key in (("b", "s"), (None, "t")):
+        assert all(v == 0 for k, v in got[key].items() if k not in ("symbol", "strategy"))
+    assert got[None, "s"]["bars"] == own.get((None, "s"), {"bars": 0})["bars"]
+    assert T.asked_series(done, asked.limit(0)).count() == 0 and T.asked_series(done.limit(0), asked).count() == 4
+
+
 def test_whole_signals_keep_two_units_and_no_loss_means_one(spark):
     from tidemill.operators import backtest as T
 

@@ -150,6 +150,19 @@ def summary(curve: DataFrame, costs: Costs | None = None) -> DataFrame:
     )
 
 
+def asked_series(results: DataFrame, series: DataFrame) -> DataFrame:
+    """A row of ``results`` for each of ``series`` (rows of keys, repeats once): its own, or zeros where it has no bars.
+
+    Keys may be null; results of series that aren't asked for are left out; columns other than numbers stay null.
+    """
+    keys, numbers = series.columns, [c for c, kind in results.dtypes if kind in ("int", "bigint", "float", "double")]
+    left, right = series.distinct().alias("s"), results.withColumn("_found", F.lit(True)).alias("r")
+    on = [F.col(f"s.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    zero = lambda c: F.when(F.col("r._found"), F.col(f"r.{c}")).otherwise(F.lit(0)).cast(dict(results.dtypes)[c]).alias(c)
+    out = left.join(right, on, "left")
+    return out.select(*[F.col(f"s.{c}") if c in keys else zero(c) if c in numbers else F.col(f"r.{c}") for c in results.columns])
+
+
 def breakdown(curve: DataFrame, period: str, costs: Costs | None = None) -> DataFrame:
     """Per year ('yyyy') or month ('yyyy-MM'): return on the initial capital, drawdown from the period's own peak, trades by entry."""
     costs = costs or Costs()

@@ -353,6 +353,21 @@ def backtest_summary(spark, sf_dir):
     return summary_out(T.summary(curve_of(spark, sf_dir)))
 
 
+@query(
+    "backtest_asked",
+    _signals_sql() + ", st AS (SELECT * FROM sg WHERE open_time >= (SELECT date_trunc('hour', max(ts)) FROM t))" + CURVE.replace("FROM sg)", "FROM st)") + DEALS + SUMMARY
+    + " SELECT symbol, strategy, coalesce(bars, 0) AS bars, coalesce(total_trades, 0) AS total_trades, " + ", ".join(f"round(coalesce({c}, 0), 4) AS {c}" for c in FIGURES)
+    + " FROM (SELECT DISTINCT symbol, strategy FROM sg) LEFT JOIN sm USING (symbol, strategy)",
+)
+def backtest_asked(spark, sf_dir):
+    """The backtest of the last hour for every series, also for those that have no bars in it."""
+    rows = signal_rows(spark, sf_dir)
+    last = B.event_ticks(spark, sf_dir).agg(F.max("ts")).first()[0]  # null without ticks
+    hour = F.lit(last and last.strftime("%Y-%m-%d %H:00:00")).cast("timestamp_ntz")
+    curve = stored(T.equity(rows.where(F.col("open_time") >= hour)), "curve")
+    return summary_out(T.asked_series(T.summary(curve), rows.select("symbol", "strategy")))
+
+
 @query("rank_matrix", CURVE_SQL + DEALS + SUMMARY + " SELECT symbol, strategy, row_number() OVER (ORDER BY sharpe DESC, total_return_pct DESC, symbol, strategy) AS place FROM sm")
 def rank_matrix(spark, sf_dir):
     return T.rank_matrix(T.summary(curve_of(spark, sf_dir))).select("symbol", "strategy", F.col("place").cast("bigint").alias("place"))
