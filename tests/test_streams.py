@@ -55,3 +55,22 @@ def test_streams_carry_their_state_over_triggers(spark, tmp_path):
         live.decide(live.live_bars(stream, 2), path, stream_queries.rule, warm=30, keep=60).awaitTermination()
         made.append(spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/decisions").withColumn("take_profit", F.round("take_profit", 6)).withColumn("stop_loss", F.round("stop_loss", 6)).drop("trigger"))
     assert made[0].count() > 50 and sorted(map(str, made[0].collect())) == sorted(map(str, made[1].collect()))
+
+
+def test_decisions_where_closes_are_zero(spark, tmp_path):
+    """A close of 0 leaves returns without a value: the bars that lack a feature have label 0, in the SQL too."""
+    import duckdb
+    import pandas as pd
+    from test_against_sql import rows_of
+
+    closes = [10.0 + (i * 7) % 11 for i in range(100)]
+    closes[60] = closes[75] = 0.0
+    rows = [(12 * i + j, pd.Timestamp("2024-01-02") + pd.Timedelta(seconds=12 * i + j), 1, "a", c + (11 - j) * 0.5, '{"k": 3}') for i, c in enumerate(closes) for j in range(12)]
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    got = registry.queries()["stream_decisions"](spark, f"file://{tmp_path}").toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(registry.oracles()["stream_decisions"]).df()
+    assert len(got) == 51 and rows_of(got) == rows_of(want)
+    labels = dict(zip(got["bar_no"], got["label"], strict=True))
+    assert all(labels[i + k] == 0 for i in (60, 75) for k in (2, 4, 6, 11)) and set(labels.values()) == {-1, 0, 1}

@@ -41,7 +41,8 @@ def rebuild_bars(spark, sf_dir):
 
 
 def rule(rows):
-    """Stands in for a model: the sign of the return over three bars."""
+    """Stands in for a model: the sign of the return over three bars. A bar without features (a return over 1, 3, 5 or 10
+    bars is missing where the earlier close is 0) gets no label from a model, so ``live.decide`` gives it 0."""
     return rows.withColumn("label", F.signum("ret_3").cast("int"))
 
 
@@ -50,7 +51,8 @@ def rule(rows):
     f"""WITH {TICKS}, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1) // 12 AS bar_no FROM t),
 b AS (SELECT symbol, bar_no, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close FROM n GROUP BY symbol, bar_no HAVING count(*) = 12),
 l AS (SELECT *, avg(high - low) OVER (PARTITION BY symbol ORDER BY bar_no ROWS 13 PRECEDING) AS span,
-  CASE WHEN bar_no >= 49 THEN CAST(coalesce(sign(lag(close, 1) OVER w - lag(close, 4) OVER w), 0) AS INTEGER) ELSE 0 END AS label FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
+  CASE WHEN bar_no >= 49 AND least(abs(lag(close, 2) OVER w), abs(lag(close, 6) OVER w), abs(lag(close, 11) OVER w)) > 0
+    THEN CAST(coalesce(sign((lag(close, 1) OVER w - lag(close, 4) OVER w) / nullif(lag(close, 4) OVER w, 0)), 0) AS INTEGER) ELSE 0 END AS label FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
 h AS (SELECT *, coalesce(last_value(nullif(label, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM l)
 SELECT symbol, bar_no, label, CASE WHEN label = 1 AND held <= 0 THEN 'BUY' WHEN label = -1 AND held >= 0 THEN 'SELL' ELSE 'HOLD' END AS action, CAST(CASE WHEN label <> 0 THEN label ELSE held END AS INTEGER) AS target_pos,
   round(close + CASE label WHEN 1 THEN 2.0 ELSE -2.0 END * span, 6) AS take_profit, round(close - CASE label WHEN 1 THEN 1.5 ELSE -1.5 END * span, 6) AS stop_loss FROM h WHERE bar_no >= 49""",

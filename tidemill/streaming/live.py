@@ -135,7 +135,7 @@ def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame],
 
     Each trigger takes the last ``keep`` bars of a symbol from the trigger before, makes features of them and the new ones,
     has ``label`` (a model) add the column label (1, 0, -1) to them, and writes the actions on the new bars from the
-    ``warm``-th on below ``path``/decisions. What the next trigger needs is written below ``path``/held, so a repeated
+    ``warm``-th on below ``path``/decisions; the label of a bar that lacks a feature is 0. What the next trigger needs is written below ``path``/held, so a repeated
     trigger does the same again. ``watch`` makes counts of the features of the new bars (``model_versions.counted``), which
     are written below ``path``/drift, a folder for each trigger.
     """
