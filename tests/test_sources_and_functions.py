@@ -130,3 +130,19 @@ def test_wrong_parameters(spark, bars):
     missing.createOrReplaceTempView("odd_bars")
     rows = spark.sql("SELECT * FROM indicator(TABLE(SELECT * FROM odd_bars) PARTITION BY symbol ORDER BY (bar_no), 'rsi')")
     assert rows.where("bar_no = 5 and rsi is null").count() == 2 and rows.where("rsi is null").count() == 2
+
+
+def test_csv_files_are_read_in_pieces(spark, tmp_path):
+    """A file of many lines comes some thousand at a time, in the encoding of the whole file, whatever its name."""
+    import pandas as pd
+
+    from tidemill.sources import csv_ticks
+
+    lines = [f"2024-01-02 09:{i // 60 % 60:02d}:{i % 60:02d},{i},{i % 9},x" for i in range(60_000)] + ["2024-01-02 10:00:00,7,1,가나다€"]
+    path = tmp_path / "a%20b?c#.csv"
+    path.write_bytes(("time,price,volume,side\n" + "\n".join(lines) + "\n").encode())
+    frames = list(csv_ticks._lines(iter([pd.DataFrame({"path": [f"file:{path}"]})])))
+    assert len(frames) == 7 and max(map(len, frames)) == csv_ticks.LINES
+    whole = pd.concat(frames, ignore_index=True)
+    assert list(whole["line"]) == list(range(60_001)) and list(whole["price"][:-1]) == [str(i) for i in range(60_000)] and whole["side"].iloc[-1] == "가나다€"
+    assert csv_ticks.read_ticks(spark, f"file://{tmp_path}").count() == 60_001

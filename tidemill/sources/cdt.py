@@ -8,12 +8,10 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .csv_ticks import decoded, read_ticks
-from .shared import stored
+from .shared import file_system, stored
 
 FIELDS = ("stamp", "open", "high", "low", "close", "volume", "trading_value", "open_interest")
 
@@ -139,7 +137,7 @@ class CdtReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        files, root = _file_system(self.path)
+        files, root = file_system(self.path)
         found = files.get_file_info(fs.FileSelector(root, recursive=True)) if not root.endswith(".cdt") else [files.get_file_info(root)]
         out, length = [], self.stretch * 64
         for x in sorted((x for x in found if x.is_file and x.path.endswith(".cdt")), key=lambda x: x.path):
@@ -151,7 +149,7 @@ class CdtReader(DataSourceReader):
     def read(self, partition):
         if not partition.path:
             return
-        files, _ = _file_system(self.path)
+        files, _ = file_system(self.path)
         with files.open_input_file(partition.path) as f:
             width, count = layout(*struct.unpack("<2i", f.read_at(8, 0)), partition.size - 8)
             first, last = -(-partition.at // width), min(-(-partition.end // width), count)
@@ -174,7 +172,7 @@ class CdtWriter(DataSourceArrowWriter):
         self.path, self.overwrite, self.hidden = path, overwrite, f"_temporary-{uuid.uuid4().hex}"
 
     def write(self, iterator):
-        files, root = _file_system(self.path)
+        files, root = file_system(self.path)
         folder, out, now, done = f"{root}/{self.hidden}/{uuid.uuid4().hex}", None, None, []
         for batch in iterator:
             names = batch["file"].to_pylist()
@@ -198,7 +196,7 @@ class CdtWriter(DataSourceArrowWriter):
         return Written([f"{folder}/{name}" for name in done])
 
     def commit(self, messages):
-        files, root = _file_system(self.path)
+        files, root = file_system(self.path)
         made = [f for m in messages if m is not None for f in m.files]
         if len({f.rsplit("/", 1)[-1] for f in made}) < len(made):
             self.abort(messages)
@@ -214,7 +212,7 @@ class CdtWriter(DataSourceArrowWriter):
         self._clear(files, root)
 
     def abort(self, messages):
-        files, root = _file_system(self.path)
+        files, root = file_system(self.path)
         self._clear(files, root)
 
     def _clear(self, files, root: str) -> None:
@@ -229,15 +227,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CdtSource)
 
 
-def _file_system(path: str):
-    """The file system of a path and the path within it, without escapes."""
-    from pyarrow import fs
-
-    path = re.sub("^file:/(?=[^/])", "file:///", path)
-    files, within = fs.FileSystem.from_uri(quote(path if "://" in path else f"file://{path}", safe="/:%@?&=+,;~"))
-    return files, unquote(within)
-
-
 def with_timestamps(rows: DataFrame) -> DataFrame:
     text = F.rpad(F.col("stamp").cast("decimal(20,0)").cast("string"), 14, "0")
     stamp = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")

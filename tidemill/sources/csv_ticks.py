@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import file_of, stored
 
 #: Encodings of the source files, in the order in which they are tried.
 ENCODINGS = ("cp949", "euc-kr", "utf-8", "utf-8-sig", "latin1")
@@ -44,19 +47,47 @@ def columns_of(first: list[str]) -> tuple[dict[str, int], bool]:
     return place, len(first) > 1 and not first[1].replace(",", "").replace(".", "").lstrip("+-").isdigit()
 
 
+#: Characters of a file that a task decodes at once, and lines that it hands on at once.
+PIECE, LINES = 1 << 20, 10_000
+
+
+def encoding_of(file: BinaryIO) -> str:
+    """The first of the ENCODINGS that the whole file is in, read piece by piece."""
+    for encoding in ENCODINGS:
+        file.seek(0)
+        decoder = codecs.getincrementaldecoder(encoding)()
+        try:
+            while piece := file.read(PIECE):
+                decoder.decode(piece)
+            decoder.decode(b"", True)
+            return encoding
+        except UnicodeDecodeError:
+            continue
+    return "latin1"
+
+
 def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of files, some thousand at a time; a file is opened by its task and never held."""
     for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            rows = list(csv.reader(io.StringIO(decoded(bytes(content)))))
-            rows = [r for r in rows if len(r) >= 3]
-            if not rows:
-                continue
-            at, header = columns_of(rows[0])
-            cells = [[r[at[k]].strip() if k in at and at[k] < len(r) else None for k in ("time", "price", "volume", "side")] for r in rows[header:]]
-            out = pd.DataFrame(cells, columns=["time", "price", "volume", "side"], dtype=object)
-            out.insert(0, "line", range(len(out)))
-            out.insert(0, "file", path.rsplit("/", 1)[-1])
-            yield out
+        for path in frame["path"]:
+            files, within = file_of(path)
+            with files.open_input_file(within) as file:
+                encoding = encoding_of(file)
+                file.seek(0)
+                text = io.TextIOWrapper(io.BufferedReader(file, PIECE), encoding, newline="\n")
+                rows = (r for r in csv.reader(text) if len(r) >= 3)
+                first = next(rows, None)
+                if first is None:
+                    continue
+                at, header = columns_of(first)
+                rows, done = itertools.chain([] if header else [first], rows), 0
+                while some := list(itertools.islice(rows, LINES)):
+                    cells = [[r[at[k]].strip() if k in at and at[k] < len(r) else None for k in ("time", "price", "volume", "side")] for r in some]
+                    out = pd.DataFrame(cells, columns=["time", "price", "volume", "side"], dtype=object)
+                    out.insert(0, "line", range(done, done + len(out)))
+                    out.insert(0, "file", path.rsplit("/", 1)[-1])
+                    done += len(out)
+                    yield out
 
 
 def date_in_name(name: Column) -> Column:
@@ -77,7 +108,7 @@ def clock(time: Column) -> Column:
 
 def _raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(_lines, RAW)
+    return files.select("path").mapInPandas(_lines, RAW)
 
 
 def scan_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -99,7 +130,7 @@ def scan_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_ticks(spark: SparkSession, path: str | list[str], symbol: str = "DEFAULT") -> DataFrame:
     """Ticks of all files below ``path`` (one or several). Files in falling order of time are turned round; seq follows the file's order.
 
-    A file is read whole by one task (a day of ticks is some megabytes). Rows without a price or a date are dropped,
+    A file is read by one task, some thousand lines at a time. Rows without a price or a date are dropped,
     missing volumes are 1. An empty file gives no rows.
     """
     raw = _raw(spark, path)

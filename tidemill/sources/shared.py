@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(path: str):
+    """The file system of a path and the path within it, without escapes."""
+    from pyarrow import fs
+
+    path = re.sub("^file:/(?=[^/])", "file:///", path)
+    files, within = fs.FileSystem.from_uri(quote(path if "://" in path else f"file://{path}", safe="/:%@?&=+,;~"))
+    return files, unquote(within)
+
+
+def file_of(path: str):
+    """The file system of a file as Spark names it (a local one's name has no escapes) and the path within it."""
+    from pyarrow import fs
+
+    local = re.fullmatch("(?:file:(?://)?)?(/.*)", path, re.DOTALL)
+    return (fs.LocalFileSystem(), local[1]) if local else file_system(path)
