@@ -74,3 +74,25 @@ def test_decisions_where_closes_are_zero(spark, tmp_path):
     assert len(got) == 51 and rows_of(got) == rows_of(want)
     labels = dict(zip(got["bar_no"], got["label"], strict=True))
     assert all(labels[i + k] == 0 for i in (60, 75) for k in (2, 4, 6, 11)) and set(labels.values()) == {-1, 0, 1}
+
+
+def test_bars_of_a_trigger_hold_no_symbol_in_python(spark, tmp_path):
+    """Two triggers as batch plans, with null symbols and times; no Python process gets a symbol's ticks."""
+    from pyspark.sql import functions as F
+
+    from tidemill.streaming import live
+
+    rows = [("a" if i % 3 else None, None if i in (3, 37) else f"2024-01-02 00:0{i // 10}:{i % 10:02d}", i, float((i * 7) % 13), i % 5) for i in range(40)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts string, seq bigint, price double, volume bigint").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    bars = live.live_bars(ticks, 4, forming=True)
+    made = [bars.make(ticks.where(keep), i, f"file://{tmp_path}/held") for i, keep in enumerate(("seq < 21", "seq >= 21"))]
+    assert not any(w in m._jdf.queryExecution().toString() for m in made for w in ("Pandas", "Python", "InArrow"))
+    got = {(r.symbol, r.bar_no): (r.open, r.high, r.low, r.close, r.volume, r.ticks, r.money, r.bought, r.complete) for m in made for r in m.collect()}
+    want = {}
+    for symbol in (None, "a"):
+        own = [r for part in (rows[:21], rows[21:]) for r in sorted((r for r in part if r[0] == symbol), key=lambda r: (r[1] is None, r[1] or "", r[2]))]
+        rose = [r[4] if i and r[3] > own[i - 1][3] else 0 for i, r in enumerate(own)]
+        for i in range(0, len(own), 4):
+            p, v = [r[3] for r in own[i : i + 4]], [r[4] for r in own[i : i + 4]]
+            want[symbol, i // 4] = (p[0], max(p), min(p), p[-1], sum(v), len(p), sum(x * y for x, y in zip(p, v, strict=True)), sum(rose[i : i + 4]), len(p) == 4)
+    assert got == want

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.windows import carried, chunk_window, in_chunks, numbered, own_rows
+from ..functions.windows import carried, chunk_window, in_chunks, lagged, numbered, own_rows
 from ..operators.learning import features
 from ..sources.shared import shared_path, stored
 
@@ -32,44 +32,75 @@ BAR = (
     "symbol string, bar_no bigint, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume bigint, ticks int, money double, bought bigint,"
     " complete boolean"
 )
-HELD = "bar_no bigint, last double, rows array<struct<t:timestamp_ntz,p:double,v:bigint,b:bigint>>"
+#: Symbols up to which a table with a row for each is broadcast.
+FEW = 100_000
 
 
-def live_bars(ticks: DataFrame, size: int, forming: bool = False) -> DataFrame:
-    """A bar whenever ``size`` ticks of a symbol have arrived; fewer than ``size`` ticks are held as state, and shown as a bar
-    with ``forming``. money is the sum of price times volume, bought the volume of ticks that rose (a first tick did not).
+@dataclass(frozen=True)
+class Triggers:
+    """A stream that a batch plan makes trigger by trigger: ``make(batch, number, held)`` gives the rows of a trigger from what
+    has come, and what the one before has left below ``held``, where it leaves its own. A repeated trigger does the same
+    again. ``run_once`` and ``decide`` drive it."""
 
-    Ticks of one trigger are taken in the order of (ts, seq); bound a trigger by the source's options.
+    source: DataFrame
+    schema: T.StructType
+    make: Callable[[DataFrame, int, str], DataFrame]
+
+
+def in_order(ticks: DataFrame, before: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of a trigger's ticks with rn, their number in the order of (ts, seq) after those that came ``before`` (symbol,
+    rn: how many, price: the last one), and bought, the volume of a tick that rose; ticks without a time come last.
+
+    Numbers are counts of pieces put one after another and windows hold a minute of a symbol, so no task holds a symbol.
     """
+    by, end = ["_symbol", "_none"], F.lit("9999-12-31").cast("timestamp_ntz")
+    rows = ticks.withColumns({"_symbol": F.coalesce("symbol", F.lit("")), "_none": F.isnull("symbol")})
+    piece = F.coalesce(F.date_trunc("minute", "ts"), end)
+    rows = numbered(lagged(rows, by, piece, ("ts", "seq"), {"_before": "price"}), by, piece, ("ts", "seq"))
+    if before is None:
+        rows = rows.withColumns({"_n": F.lit(0), "_last": F.col("price")})
+    else:
+        known = before.select(F.col("symbol").alias("_known"), F.col("rn").alias("_n"), F.col("price").alias("_last"))
+        known = F.broadcast(known) if known.limit(FEW + 1).count() <= FEW else known
+        rows = rows.join(known, F.col("symbol").eqNullSafe(F.col("_known")), "left").withColumn("_last", F.when(F.col("_n").isNull(), F.col("price")).otherwise(F.col("_last")))
+    rose = (F.col("price") > F.when(F.col("rn") == 1, F.col("_last")).otherwise(F.col("_before"))) & ~F.isnan("price")
+    return rows.select(*columns, F.when(rose, F.col("volume")).otherwise(0).alias("bought"), (F.col("rn") + F.coalesce("_n", F.lit(0))).alias("rn"))
 
-    def bars(key: str, number: int, f: pd.DataFrame, complete: bool) -> pd.DataFrame:
-        at = np.arange(0, len(f), size)
-        p, v, t = f["price"].to_numpy(float), f["volume"].to_numpy(np.int64), f["ts"].to_numpy()
-        ends = np.minimum(at + size, len(f)) - 1
-        made = {
-            "symbol": key, "bar_no": number + np.arange(len(at)), "open_time": t[at], "close_time": t[ends], "open": p[at], "high": np.maximum.reduceat(p, at), "low": np.minimum.reduceat(p, at), "close": p[ends],
-            "volume": np.add.reduceat(v, at), "ticks": ends - at + 1, "money": np.add.reduceat(p * v, at), "bought": np.add.reduceat(f["bought"].to_numpy(np.int64), at), "complete": complete,
-        }
-        return pd.DataFrame(made)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, last, held = state.get if state.exists else (0, None, [])
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        before = rows["price"].shift(fill_value=rows["price"].iloc[0] if last is None else last)
-        rows = rows.assign(bought=rows["volume"].where(rows["price"] > before, 0))[["ts", "price", "volume", "bought"]]
-        last = float(rows["price"].iloc[-1])
-        if held:
-            rows = pd.concat([pd.DataFrame([tuple(x) for x in held], columns=rows.columns), rows], ignore_index=True)
-        whole = len(rows) // size * size
-        if whole:
-            yield bars(key[0], number, rows.iloc[:whole], True)
-        rest = rows.iloc[whole:]
-        number += whole // size
-        state.update((number, last, [(t.to_pydatetime(), float(p), int(v), int(b)) for t, p, v, b in rest.itertuples(index=False)]))
-        if forming and len(rest):
-            yield bars(key[0], number, rest, False)
-
-    return ticks.groupBy("symbol").applyInPandasWithState(step, BAR, HELD, "update" if forming else "append", GroupStateTimeout.NoTimeout)
+TICK = ("symbol", "ts", "price", "volume")
+
+
+def live_bars(ticks: DataFrame, size: int, forming: bool = False) -> Triggers:
+    """A bar whenever ``size`` ticks of a symbol have arrived; fewer than ``size`` ticks are held, and shown as a bar with
+    ``forming``. money is the sum of price times volume, bought the volume of ticks that rose (a first tick did not).
+
+    Ticks of one trigger are taken in the order of (ts, seq). A trigger is a batch plan whose tasks hold pieces of symbols, so
+    it may be as large as the whole table.
+    """
+    size = int(size)
+
+    def make(batch: DataFrame, number: int, held: str) -> DataFrame:
+        spark, old = batch.sparkSession, None
+        if number:
+            old = spark.read.parquet(f"{held}/trigger={number - 1}")
+            last = old.groupBy("symbol").agg(F.max_by("price", "rn").alias("price"), F.max("rn").alias("rn"))
+        rows = in_order(batch, last if number else None, TICK).withColumn("is_done", F.lit(False))
+        rows = stored(rows.unionByName(old) if number else rows, "ticks-now")
+        # a held tick may be done: the last one, whose number and price the next trigger needs
+        known = rows.groupBy(F.col("symbol").alias("_known")).agg(F.max("rn").alias("_n"))
+        known = F.broadcast(known) if known.limit(FEW + 1).count() <= FEW else known
+        left = rows.join(known, F.col("symbol").eqNullSafe(F.col("_known"))).withColumn("is_done", F.col("rn") <= F.expr(f"_n div {size} * {size}"))
+        left.where(~F.col("is_done") | (F.col("rn") == F.col("_n"))).select(*rows.columns).write.mode("overwrite").parquet(f"{held}/trigger={number}")
+        rows = rows.where(~F.col("is_done")).withColumn("bar_no", F.expr(f"(rn - 1) div {size}"))
+        so_far = Window.partitionBy("symbol", "bar_no").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("money", F.sum(F.col("price") * F.col("volume")).over(so_far))  # in order, so that a bar's money is the same however it came
+        bars = rows.groupBy("symbol", "bar_no").agg(
+            F.min_by("ts", "rn").alias("open_time"), F.max_by("ts", "rn").alias("close_time"), F.min_by("price", "rn").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "rn").alias("close"),
+            F.sum("volume").alias("volume"), F.count("*").cast("int").alias("ticks"), F.max_by("money", "rn").alias("money"), F.sum("bought").alias("bought"),
+        ).withColumn("complete", F.col("ticks") == size)
+        return bars if forming else bars.where("complete")
+
+    return Triggers(ticks, T.StructType.fromDDL(BAR), make)
 
 
 def rebuild(ticks: DataFrame, size: int) -> DataFrame:
@@ -112,25 +143,28 @@ def windows(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -
     return rows.groupBy(F.window("at", width), "symbol").agg(F.count("*").alias("ticks"), F.sum("volume").alias("volume"), F.max("price").alias("high"), F.min("price").alias("low"))
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", latest_by: list[str] | None = None, marks: str | None = None) -> DataFrame:
+def run_once(stream: DataFrame | Triggers, name: str, mode: str = "append", latest_by: list[str] | None = None, marks: str | None = None) -> DataFrame:
     """Drive a stream over all that is there, into a table in the shared folder, and read that; with ``latest_by`` only the
     row of the last trigger for each key. A trigger that is repeated writes its rows anew. ``marks``: the checkpoint."""
-    spark = stream.sparkSession
+    made = isinstance(stream, Triggers)
+    source, fields = stream.source if made else stream, stream.schema.fields
+    spark, columns = source.sparkSession, [f.name for f in fields]
     path, marks = shared_path(spark, name), marks or shared_path(spark, f"{name}-checkpoint")
-    spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("at_trigger", T.LongType())])).write.parquet(f"{path}/trigger=none")  # so that an empty stream can be read
+    spark.createDataFrame([], T.StructType([*fields, T.StructField("at_trigger", T.LongType())])).write.parquet(f"{path}/trigger=none")  # so that an empty stream can be read
 
     def add(batch: DataFrame, number: int) -> None:
+        batch = stream.make(batch, number, f"{marks}/held") if made else batch
         batch.withColumn("at_trigger", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/trigger={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(add).start()
+    query = source.writeStream.outputMode("append" if made else mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(add).start()
     query.awaitTermination()
-    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("at_trigger", T.LongType())])).option("recursiveFileLookup", "true").parquet(path)
+    rows = spark.read.schema(T.StructType([*fields, T.StructField("at_trigger", T.LongType())])).option("recursiveFileLookup", "true").parquet(path)
     if latest_by:
-        rows = rows.groupBy(*latest_by).agg(F.max_by(F.struct(*stream.columns), "at_trigger").alias("x")).select("x.*")
-    return rows.select(*stream.columns)
+        rows = rows.groupBy(*latest_by).agg(F.max_by(F.struct(*columns), "at_trigger").alias("x")).select("x.*")
+    return rows.select(*columns)
 
 
-def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame], warm: int = 50, keep: int = 200, watch: Callable[[DataFrame], DataFrame] | None = None):
+def decide(bars: Triggers, path: str, label: Callable[[DataFrame], DataFrame], warm: int = 50, keep: int = 200, watch: Callable[[DataFrame], DataFrame] | None = None):
     """Start live decisions on a stream of complete bars (``live_bars``); the streaming query, which is not yet awaited.
 
     Each trigger takes the last ``keep`` bars of a symbol from the trigger before, makes features of them and the new ones,
@@ -139,10 +173,10 @@ def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame],
     trigger does the same again. ``watch`` makes counts of the features of the new bars (``model_versions.counted``), which
     are written below ``path``/drift, a folder for each trigger.
     """
-    spark = bars.sparkSession
+    spark = bars.source.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        new = batch.where("complete").withColumns({
+        new = bars.make(batch, number, f"{path}/ticks-held").where("complete").withColumns({
             "bar_size": F.lit(0), "datetime": F.col("close_time"), "tick_count": F.col("ticks"), "vwap": F.col("money") / F.greatest(F.lit(1), "volume"), "buy_ratio": F.col("bought") / F.greatest(F.lit(1), "volume"),
             "bar_duration_sec": F.greatest(F.lit(0.1), F.expr("timestampdiff(MICROSECOND, open_time, close_time)") / 1e6), "is_new": F.lit(True), "position": F.lit(None).cast("int"),
         }).drop("complete", "money", "bought")
@@ -167,7 +201,7 @@ def decide(bars: DataFrame, path: str, label: Callable[[DataFrame], DataFrame],
         back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar_no")))
         done.withColumn("_back", back).where(F.col("_back") <= keep).select(*new.columns).write.mode("overwrite").parquet(f"{path}/held/trigger={number}")
 
-    return bars.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
+    return bars.source.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
 
 
 def actions(rows: DataFrame) -> DataFrame:
