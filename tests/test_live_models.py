@@ -165,3 +165,33 @@ def test_stream_query_with_a_model(spark):
     assert len(got) > 100 and {r.action for r in got} <= {"BUY", "SELL", "HOLD"} and min(r.bar_no for r in got) == 39
     psi = stream_queries.stream_drift(spark, "/root/testdata/sf0.01").collect()
     assert {r.feature for r in psi} == set(L.FEATURES) and all(r.psi >= 0 for r in psi)
+
+
+@pytest.mark.parametrize("keep", [40, None])
+def test_sizes_change_in_batch_plans(spark, tmp_path, keep):
+    """Triggers as batch plans against one list of all that has come; no Python process gets a symbol's ticks."""
+    rng, at, ticks, size, version, base, shown = np.random.default_rng(5), 0, [], 7, 0, 0, {}
+    schema = "symbol string, ts timestamp_ntz, seq bigint, price double, volume bigint, size int"
+    stream = None
+    for number, orders in enumerate(([], [9, 21], [50, 4], [])):
+        rows = []
+        for i in range(30 + 20 * number):
+            at += 1
+            moment = (pd.Timestamp("2024-01-02") + pd.Timedelta(seconds=at * 7)).to_pydatetime()
+            if i in orders:
+                rows.append((None, moment, None, None, None, int(rng.integers(0, 12))))
+                size, version, base = max(1, rows[-1][-1]), version + 1, max(0, len(ticks) - keep) if keep else 0
+            else:
+                rows.append((None, moment, at, float(rng.integers(1, 50)), int(rng.integers(0, 9)), None))
+                ticks.append((at, *rows[-1][3:5]))
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, schema)
+        stream = resizable.resizable_bars(df.where("size is null"), df.where("size is not null").select("symbol", "ts", "size"), 7, keep)
+        made = stream.make(stream.source, number, f"file://{tmp_path}/held")
+        assert not any(w in made._jdf.queryExecution().toString() for w in ("Pandas", "Python", "InArrow"))
+        for r in made.collect():
+            shown[r.version, r.bar_no] = (r.bar_no, r.open, r.high, r.low, r.close, r.volume, r.ticks, r.complete)
+        assert [shown[k] for k in sorted(shown) if k[0] == version] == plain_bars(ticks[base:], size)
+        now = resizable.status(spark, f"file://{tmp_path}").first()
+        last = plain_bars(ticks[base:], size)[-1]
+        assert (now.ticks, now.size, now.version, now.price) == (len(ticks), size, version, ticks[-1][1]) and now.forming_ticks == (0 if last[-1] else last[-2])

@@ -71,9 +71,8 @@ def resized(spark, sf_dir):
     path, marks = shared_path(spark, "orders"), shared_path(spark, "resized-checkpoint")
     middle.withColumn("size", F.lit(45)).write.parquet(path)
     orders = spark.readStream.schema("symbol string, ts timestamp_ntz, size int").parquet(path)
-    with resizable.rocksdb(spark):
-        stream = resizable.resizable_bars(live.tick_stream(spark, sf_dir), orders, 60, keep=1_000_000)
-        return live.run_once(stream, "resized", "update", ["symbol", "version", "bar_no"], marks), marks
+    stream = resizable.resizable_bars(live.tick_stream(spark, sf_dir), orders, 60, keep=None)
+    return live.run_once(stream, "resized", "update", ["symbol", "version", "bar_no"], marks), marks
 
 
 @query(
@@ -96,7 +95,7 @@ f AS (SELECT symbol, first(n.price ORDER BY ts, seq) AS open, max(n.price) AS hi
 SELECT symbol, CAST(size AS INTEGER) AS size, ticks, price, open, high, low, close, volume, CAST(coalesce(k, 0) AS INTEGER) AS forming_ticks, round(coalesce(k, 0) / size * 100, 1) AS progress_pct FROM c LEFT JOIN f USING (symbol)""",
 )
 def stream_status(spark, sf_dir):
-    """The forming bars and totals as they stand in the state store when the stream has ended."""
+    """The forming bars and totals as they stand when the stream has ended."""
     _, marks = resized(spark, sf_dir)
     return resizable.status(spark, marks).drop("version")
 
