@@ -53,6 +53,25 @@ def test_strategies_in_chunks(spark, monkeypatch):
     assert got == want and any(any(r[2:]) for r in got)
 
 
+def test_one_pass_of_all_machines_over_evenly_dealt_chunks(spark, monkeypatch):
+    """All stops and rules run in one pass, which isn't led by columns that nothing reads, and the windows before it are dealt
+    to all tasks however few bytes the bars have."""
+    rows, names = two_series(300)
+    bars, seen, real = spark.createDataFrame(rows, names), [], windows.folded
+    count = lambda rows, *a: (seen.append(rows.columns), real(rows, *a))[1]
+    monkeypatch.setattr(strategies, "folded", count)
+    monkeypatch.setattr(indicators, "folded", count)
+    mixed = ["Supertrend", "Parabolic_SAR", "RSI", "Contrarian_BB_PinBar"]
+    got = strategies.with_signals(bars, mixed)
+    assert len(seen) == 1 and "rsi" not in seen[0] and "_tr" not in seen[0]
+    monkeypatch.undo()
+    alone = strategies.with_signals(bars, ["Parabolic_SAR"]).select("symbol", "bar_no", "Parabolic_SAR").collect()
+    assert sorted(map(tuple, got.select("symbol", "bar_no", "Parabolic_SAR").collect())) == sorted(map(tuple, alone))
+    rows = windows.in_chunks(bars, ["symbol", "bar_size"], 0)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.rdd.getNumPartitions() == n == windows.carried(rows, ["symbol", "bar_size"], {"_last": F.col("close")}).rdd.getNumPartitions()
+
+
 def test_machine_that_never_forgets(spark):
     """A count of all bars so far: no chunk's guess is right, and every round settles one more."""
     def fold(f, state):

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .indicators import keys_of, with_indicators
-from .windows import carried, folded, in_chunks, own_rows
+from .indicators import MACHINES, keys_of, machines_of, with_indicators
+from .windows import carried, folded, in_chunks, own_rows, side_by_side
 
 #: The names of the strategies and their categories.
 TREND = (
@@ -87,6 +87,7 @@ def contrarian(close: np.ndarray, mid: np.ndarray, short: np.ndarray, long: np.n
     """Enter against a trigger, leave at the middle band, after ``most`` bars, or into the opposite trigger. A series' first
     bar is flat. The state is the position and its age."""
     out = np.zeros(len(close), int)
+    close, mid, short, long = (np.asarray(x).tolist() for x in (close, mid, short, long))  # plain numbers: several times as fast one by one
     for i in range(len(close)):
         if state is None:
             state = (0, 0)
@@ -111,9 +112,9 @@ def breakout(f: pd.DataFrame, name: str, state: tuple | None = None) -> tuple[np
     which the bar breaks out), and the columns of the exit channel and of the 10 bars before. The state is the side, the
     units, the extreme and the price of the last entry."""
     _, out_reach, width, _, add = BREAKOUTS[name]
-    close, high, low, span, turns = (f[x].to_numpy(float) for x in ("close", "high", "low", "_tr_mean", f"_turn_{name}"))
-    exits = {1: f[f"_low_{out_reach}"].to_numpy(float), -1: f[f"_high_{out_reach}"].to_numpy(float)} if out_reach else None
-    more = {1: f["_high_10"].to_numpy(float), -1: f["_low_10"].to_numpy(float)} if add else None
+    close, high, low, span, turns = (f[x].to_numpy(float).tolist() for x in ("close", "high", "low", "_tr_mean", f"_turn_{name}"))
+    exits = {1: f[f"_low_{out_reach}"].to_numpy(float).tolist(), -1: f[f"_high_{out_reach}"].to_numpy(float).tolist()} if out_reach else None
+    more = {1: f["_high_10"].to_numpy(float).tolist(), -1: f["_low_10"].to_numpy(float).tolist()} if add else None
     out = np.zeros(len(f), int)
     for i in range(len(f)):
         if state is None:
@@ -174,17 +175,26 @@ def with_signals(bars: DataFrame, names: Iterable[str] | None = None) -> DataFra
     turns = {n: _turn(n) for n in looped if n in BREAKOUTS}
     needs = [x for n in names if n in STATELESS for x in STATELESS[n][0].split()] + [x for n in turns for x in turns[n][0]]
     needs += [x for n in looped if n in TRIGGERS for x in ("bb_mid", "bb_upper", "bb_lower", *TRIGGERS[n][0].split())]
+    machines = [m for m, (outs, *_) in MACHINES.items() if any(x in outs for x in needs)]
+    late = {n for n in names if n in STATELESS and any(x in MACHINES[m][0] for m in machines for x in STATELESS[n][0].split())}
+    plain = [x for x in needs if not any(x in MACHINES[m][0] for m in machines)] + [x for m in machines for x in MACHINES[m][1]]
     donchian = "_last_broke" in needs
-    out = with_indicators(bars, ["_broke" if x == "_last_broke" else x for x in needs]) if needs else bars
+    out = with_indicators(bars, ["_broke" if x == "_last_broke" else x for x in plain]) if plain else bars
     if donchian:
         out = own_rows(carried(in_chunks(out, by, 0), by, {"_last_broke": F.col("_broke")}))
-    out = out.withColumns({n: STATELESS[n][1](F.col("close"), F.col) for n in names if n in STATELESS} | {f"_turn_{n}": t for n, (_, t) in turns.items()})
-    if looped:
+    early = [n for n in names if n in STATELESS and n not in late]
+    out = out.withColumns({n: STATELESS[n][1](F.col("close"), F.col) for n in early} | {f"_turn_{n}": t for n, (_, t) in turns.items()})
+    if looped or machines:
         pairs = {n: TRIGGERS[n][1](F.col) for n in looped if n in TRIGGERS}
         out = out.withColumns({f"_{n}_{k}": F.coalesce(x, F.lit(False)) for n, pair in pairs.items() for k, x in zip(("short", "long"), pair, strict=True)})
-        reads = ["close", "high", "low", *(["bar_size"] if "bar_size" in by else [])]
+        fold, outs, reads = machines_of(machines)
+        reads += ["close", "high", "low", *(["bar_size"] if "bar_size" in by else [])] if looped else []
         reads += [x for n in looped for x in ([*turns[n][0], f"_turn_{n}"] if n in turns else ["bb_mid", f"_{n}_short", f"_{n}_long"])]
-        out = folded(out, by, fold_all(looped), {n: "int" for n in looped}, reads)
+        # All machines run in one pass, over bars that keep what is read and the signals made so far.
+        there, made = {*map(str.lower, bars.columns)}, {n.lower() for n in early}
+        out = out.select(*[c for c in bars.columns if c.lower() not in made], *early, *dict.fromkeys(x for x in reads if x.lower() not in there))
+        out = folded(out, by, side_by_side({"stops": fold, "rules": fold_all(looped)}), outs | {n: "int" for n in looped}, list(dict.fromkeys(reads)))
+        out = out.withColumns({n: STATELESS[n][1](F.col("close"), F.col) for n in late})
     own = {n.lower() for n in names}
     return out.select(*[c for c in bars.columns if c.lower() not in own], *names)
 

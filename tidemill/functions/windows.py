@@ -46,7 +46,13 @@ def in_chunks(bars: DataFrame, by: Sequence[str], back: int, ahead: int = 0, chu
     rows = bars.withColumn("_chunk", F.explode(F.array_compact(copies))).withColumns({
         "_own": F.col("_chunk") == own, "_block": F.expr(f"bar_no div {BLOCK}"), "_at": F.col("bar_no") % BLOCK,
     })
-    return rows.repartition(*by, "_chunk")
+    return dealt(rows, by)
+
+
+def dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows by chunk, to a fixed number of partitions: windows cost far more than bytes say, by which adaptive execution
+    would join the small ones to a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_chunk")
 
 
 def own_rows(rows: DataFrame) -> DataFrame:
@@ -81,8 +87,8 @@ def rolling_list(x: Column, n: int, w: WindowSpec) -> Column:
 
 def rolling_median(x: Column, n: int, w: WindowSpec) -> Column:
     """Median of the values among the last ``n`` rows (missing ones are skipped)."""
-    xs = F.array_sort(rolling_list(x, n, w))
-    size = F.size(xs)
+    xs = rolling_list(x, n, w)
+    size, xs = F.size(xs), F.sort_array(xs)
     mid = (F.element_at(xs, (F.floor((size + 1) / 2)).cast("int")) + F.element_at(xs, (F.floor(size / 2) + 1).cast("int"))) / 2
     return F.when(size > 0, mid)
 
@@ -90,8 +96,17 @@ def rolling_median(x: Column, n: int, w: WindowSpec) -> Column:
 def rolling_mad(x: Column, n: int, w: WindowSpec) -> Column:
     """Mean absolute deviation from the mean of the last ``n`` values; null until there are ``n``."""
     xs = rolling_list(x, n, w)
-    mean = F.aggregate(xs, F.lit(0.0), lambda a, v: a + v) / n
-    return F.when(F.size(xs) >= n, F.aggregate(F.transform(xs, lambda v: F.abs(v - mean)), F.lit(0.0), lambda a, v: a + v) / n)
+    mean = F.avg(x).over(frame(w, n))
+    off = sum((F.abs(F.get(xs, F.lit(i)) - mean) for i in range(n)), F.lit(0.0))  # compiled, as functions over arrays are not
+    return F.when(F.size(xs) >= n, off / n)
+
+
+def _carry(ends: str, reach: int, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` (so far, element) along the last ``reach`` elements of an array that may have fewer, from 0."""
+    out = F.lit(0.0)
+    for i in range(reach, 0, -1):
+        out = step(out, F.get(F.col(ends), F.size(ends) - i))
+    return out
 
 
 def ewm_steps(name: str, x: str, by: Sequence[str], *, span: float | None = None, alpha: float | None = None, gaps: bool = False) -> dict[str, tuple[tuple[str, ...], Callable[[], Column]]]:
@@ -116,7 +131,8 @@ def ewm_steps(name: str, x: str, by: Sequence[str], *, span: float | None = None
     at_end, c = F.col("_at") == BLOCK - 1, F.col
     base, part, ends = f"_{x}_base", f"_{name}_part", f"_{name}_ends"
     first = {base: ((x,), lambda: F.first(x, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))}
-    off = F.coalesce(c(x) - c(base), F.lit(0.0))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    off = zero(c(x) - c(base))
     if gaps:
         seen, held, scale = (f"_{name}_{k}" for k in ("seen", "held", "scale"))
         faded = F.pow(F.lit(keep), c("bar_no") - c(seen))
@@ -126,10 +142,10 @@ def ewm_steps(name: str, x: str, by: Sequence[str], *, span: float | None = None
             scale: ((held,), lambda: F.sum(F.log(c(held))).over(so_far)),
             part: ((x, base, held, scale), lambda: F.exp(c(scale)) * F.sum((1 - c(held)) * off * F.exp(-c(scale))).over(so_far)),
             ends: ((part, scale), lambda: F.collect_list(F.when(at_end, F.struct(F.exp(c(scale)).alias("d"), c(part).alias("p")))).over(earlier)),
-            name: ((base, part, scale, ends), lambda: c(base) + c(part) + F.exp(c(scale)) * F.aggregate(ends, F.lit(0.0), lambda a, e: a * e["d"] + e["p"])),
+            name: ((base, part, scale, ends), lambda: c(base) + c(part) + F.exp(c(scale)) * _carry(ends, reach, lambda a, e: a * zero(e["d"]) + zero(e["p"]))),
         }
     down = lambda shift=0: F.pow(F.lit(keep), c("_at") + shift)
-    mean = lambda: c(base) + c(part) + down(1) * F.aggregate(ends, F.lit(0.0), lambda a, p: a * (keep**BLOCK) + p)
+    mean = lambda: c(base) + c(part) + down(1) * _carry(ends, reach, lambda a, p: a * (keep**BLOCK) + zero(p))
     return first | {
         part: ((x, base), lambda: down() * F.sum(alpha * off * F.pow(F.lit(keep), -c("_at"))).over(so_far)),
         ends: ((part,), lambda: F.collect_list(F.when(at_end, c(part))).over(earlier)),
@@ -165,7 +181,7 @@ def carried(rows: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> D
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*[F.col(k).alias("_k_" + k) for k in (*by, "_chunk")], *[F.last(f"_e_{k}", True).over(before).alias(f"_c_{k}") for k in columns])
     on = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in (*by, "_chunk")]
-    out = marked.join(ends, on, "left").drop(*["_k_" + k for k in (*by, "_chunk")])
+    out = dealt(marked.join(ends, on, "left").drop(*["_k_" + k for k in (*by, "_chunk")]), by)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({k: F.coalesce(F.last(f"_v_{k}", True).over(so_far), f"_c_{k}") for k in columns})
     return out.drop(*[f"_v_{k}" for k in columns], *[f"_c_{k}" for k in columns])
@@ -195,6 +211,19 @@ def run_until_agreed(f: pd.DataFrame, fold: Callable, guess, true, end: str) ->
     return _line(true)
 
 
+def side_by_side(folds: dict[str, Callable]) -> Callable:
+    """The fold of several state machines over the same bars, whose state has one of each by name."""
+
+    def fold(f: pd.DataFrame, state: dict | None) -> tuple[dict, dict]:
+        out, after = {}, {}
+        for name, one in folds.items():
+            made, after[name] = one(f, (state or {}).get(name))
+            out |= made
+        return out, after
+
+    return fold
+
+
 def folded(rows: DataFrame, by: Sequence[str], fold: Callable, outputs: dict[str, str], needs: Sequence[str], chunk: int | None = None) -> DataFrame:
     """``rows`` with the ``outputs`` (name: type) of a state machine that runs along each series.
 
