@@ -210,6 +210,19 @@ def test_grid_against_single_backtests(spark):
         assert made == {i: 1 if m > 0.2 else -1 if m < -0.2 else 0 for i, m in means.items()}
 
 
+def test_curves_of_strategies_as_columns(spark):
+    """Bars are dealt and become a row for each strategy after that; the curves are those of long signals, trades too."""
+    rows, columns = two_series(90)
+    bars = spark.createDataFrame(rows, columns).withColumn("open_time", F.expr("timestamp_ntz'2024-01-02 10:00:00' + make_dt_interval(0, bar_no)"))
+    wide = stored(bars.withColumns({"up": F.expr("cast(bar_no % 7 > 3 as int)"), "down": F.expr("cast(-(bar_no div 30) % 2 as int)")}), "wide")
+    got, want = T.equity(wide, None, ["up", "down"]), T.equity(T.long_signals(wide, ["up", "down"]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("REPARTITION_BY_NUM")
+    order = lambda df: sorted(map(tuple, df.select(*sorted(want.columns)).collect()), key=str)
+    assert order(got) == order(want) and got.count() == 2 * len(rows)
+    assert sorted(map(tuple, T.trades(stored(got, "got")).collect())) == sorted(map(tuple, T.trades(stored(want, "want")).collect()))
+
+
 # ---- boosted trees and the search ----
 
 

@@ -51,7 +51,7 @@ def contract_costs(symbol: str, capital: float, **more) -> Costs:
 def long_signals(rows: DataFrame, strategies: Sequence[str]) -> DataFrame:
     """One row per bar and strategy from a column per strategy."""
     pairs = F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("signal")) for s in strategies])
-    keep = [c for c in ("symbol", "bar_size", "bar_no", "open_time", "close", "volume") if c in rows.columns]
+    keep = [c for c in ("symbol", "bar_size", "bar_no", "open_time", "close", "volume", "_chunk", "_own", "_block", "_at") if c in rows.columns]
     return rows.select(*keep, F.inline(pairs))
 
 
@@ -59,20 +59,24 @@ def _keys(df: DataFrame) -> list[str]:
     return [k for k in KEYS if k in df.columns]
 
 
-def equity(rows: DataFrame, costs: Costs | None = None) -> DataFrame:
-    """Adds position, cash (net of costs), cum_cash, equity, drawdown_pct, bar_ret and day.
+def equity(rows: DataFrame, costs: Costs | None = None, strategies: Sequence[str] | None = None) -> DataFrame:
+    """Adds position, turned (it differs from that of the bar before), cash (net of costs), cum_cash, equity, drawdown_pct,
+    bar_ret and day. With ``strategies`` rows are bars with a column for each; they are dealt as such and become long after.
 
     A series (with bar_no, from 0 without gaps) is read in chunks that overlap by the bars which a position depends on; sums
     and peaks are those of segments that merge (``windows.summed``).
     """
     costs, keys = costs or Costs(), _keys(rows)
+    out = in_chunks(rows, keys, 2, 1)
+    if strategies:
+        out, keys = long_signals(out, strategies), [*keys, "strategy"]
     w = chunk_window(keys)
     position = F.lag("signal", 1, 0).over(w)
-    out = in_chunks(rows, keys, 2, 1)
     out = out.withColumn("position", position if costs.short else F.greatest(position, F.lit(0))).withColumn("day", F.to_date("open_time"))
     if costs.flat_at.upper() not in ("NONE", "24H", "OFF", "FALSE", ""):
         late = F.date_format("open_time", "HH:mm:ss") >= costs.flat_at
         out = out.withColumn("position", F.when(late | ~F.col("day").eqNullSafe(F.lead("day").over(w)), 0).otherwise(F.col("position")))
+    out = out.withColumn("turned", ~F.col("position").eqNullSafe(F.lag("position").over(w)))
     before = F.lag("position", 1, 0).over(w)
     turn = F.abs(F.col("position") - before)
     move = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
@@ -91,14 +95,16 @@ def trades(curve: DataFrame) -> DataFrame:
     of the chunks after it, and the number and profit of earlier trades are sums over the chunks before.
     """
     keys = _keys(curve)
-    end = F.struct("bar_no", "open_time", "close", "cum_cash")
-    rows = in_chunks(curve, keys, 1).withColumn("_new", ~F.col("position").eqNullSafe(F.lag("position").over(chunk_window(keys))))
-    rows = rows.where("_own")
-    ends = rows.groupBy(*keys, "_chunk").agg(F.max(end).alias("_last"), F.min(F.when(F.col("_new"), end)).alias("_first"))
+    parts = ("bar_no", "open_time", "close", "cum_cash")
+    end, at_turn = F.struct(*parts), F.when(F.col("turned"), F.col("bar_no"))
+    rows = curve.withColumns({"_chunk": F.expr(f"bar_no div {CHUNK}"), "_block": F.lit(0)})
+    flat = [F.max_by(c, "bar_no").alias(f"_l_{c}") for c in parts] + [F.min_by(c, at_turn).alias(f"_f_{c}") for c in parts]  # numbers, which hash tables hold
+    struct = lambda k: F.struct(*[F.col(f"_{k}_{c}").alias(c) for c in parts])
+    ends = rows.groupBy(*keys, "_chunk").agg(*flat).select(*keys, "_chunk", struct("l").alias("_last"), F.when(F.col("_f_bar_no").isNotNull(), struct("f")).alias("_first"))
     later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
     ends = ends.withColumns({"_after": F.first("_first", True).over(later), "_final": F.max("_last").over(Window.partitionBy(*keys))}).drop("_first", "_last")
     chunk = [*keys, "_chunk"]
-    rows = rows.where("_new").join(*by_chunk(ends, chunk)).drop(*["_k_" + k for k in chunk])
+    rows = rows.where("turned").join(*by_chunk(ends, chunk)).drop(*["_k_" + k for k in chunk])
     rows = rows.withColumn("_end", F.coalesce(F.lead(end).over(chunk_window(keys)), "_after", "_final"))
     rows = rows.where((F.col("position") != 0) & (F.col("_end.bar_no") > F.col("bar_no")))
     points = (F.col("_end.close") - F.col("close")) * F.col("position")
@@ -214,12 +220,14 @@ def grid(rows: DataFrame, strategies: Sequence[str], costs: Costs | None = None,
     keys = [k for k in ("symbol", "bar_size") if k in rows.columns]
     rows = stored(rows, "bars-with-signals")
     enough = rows.groupBy(*keys).count().where(F.col("count") >= least_bars).select(*keys)
-    # Indicators and signals are made once, and so is each equity curve, which a summary reads several times.
-    signals = stored(long_signals(rows.join(enough, keys, "left_semi"), strategies), "signals")
-    singles = stored(summary(stored(equity(signals, costs), "curves"), costs), "summaries")
+    # Indicators and signals are made once, and so is each equity curve, which a summary reads several times. What is dealt is
+    # bars, not a row for each strategy.
+    rows = rows.join(enough, keys, "left_semi")
+    singles = stored(summary(stored(equity(rows, costs, strategies), "curves"), costs), "summaries")
     if not with_votes or len(strategies) < 3:
         return singles
-    return singles.unionByName(summary(stored(equity(top_votes(signals, singles), costs), "curves"), costs))
+    votes = stored(top_votes(long_signals(rows, strategies), singles), "votes")
+    return singles.unionByName(summary(stored(equity(votes, costs), "curves"), costs))
 
 
 def trade_cost(entry: Column, exit_: Column, quantity: float = 1.0, volume: Column | None = None, mode: str = "fixed_and_volume", rate: float = 0.00003, tick: float = 0.05, impact: float = 0.00001) -> Column:
