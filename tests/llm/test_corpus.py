@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -290,6 +292,60 @@ def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark, monkeypatch):
     assert {i: got[i] for i in want} == pytest.approx(want, rel=1e-5)
 
 
+def test_suffix_tree_reads_texts_once_and_joins_no_words(spark):
+    """Each reading of the texts and each row for a word of a document costs; base scores over several blocks are right without."""
+    import zlib
+
+    rnd, read = random.Random(5), spark.sparkContext.accumulator(0)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 900)}" for _ in range(rnd.randint(0, 30)))) for i in range(200)] + [(None, "w1 \x00 w1"), (900, "")]
+
+    def noted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = lm.score_documents(docs.mapInArrow(noted, docs.schema))
+    got = out.collect()
+    assert read.value == len(rows)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    tokens = [(i, [*lm.words_of(t), lm.END]) for i, t in rows]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    counts = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    total = sum(counts.values())
+    want = {i: (len(ws), sum(counts[w] > 0 for w in ws), sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in ws)) for i, ws in tokens}
+    assert any(known < n for n, known, _ in want.values()) and len(got) == len(want)
+    for r in got:
+        assert (r.train_tokens, r.n_tokens, r.n_known, r.base_score) == (total, *want[r.doc_id][:2], pytest.approx(want[r.doc_id][2], rel=1e-9))
+
+
+def test_blocks_ask_for_every_word_and_gram_of_their_texts(monkeypatch):
+    """Blocks in one partition, n-grams of all depths, and keys that share slots."""
+    monkeypatch.setattr(lm, "BLOCK", 40)
+    texts = ["A cat", None, "", "x" * 100, "\x00 a\t\u00e9", "cat cat"] * 3
+    held = [i % 4 == 1 for i in range(len(texts))]
+    lines = [b" ".join(lm.words_of(x)) for x in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "row": list(range(len(texts))), "text": texts, "held": held})
+    rows = [r for out in lm._cells(6, 3)(iter([batch.slice(0, 7), batch.slice(7)])) for r in out.to_pylist()]
+    cells = [r for r in rows if r["part"] is not None]
+    assert len({r["block"] for r in cells}) > 3 and len(cells) == 3 * sum(r["docs"] is not None for r in rows)
+    assert b"".join(line for r in rows if r["docs"] for line in pa.ipc.open_stream(r["docs"]).read_all()["line"].to_pylist()) == b"".join(lines)
+    want, got = Counter(), Counter()
+    for line, h in zip(lines, held, strict=True):
+        want.update(dict.fromkeys([*line.split(), lm.END], 0) if h else [*line.split(), lm.END])
+    for r in cells:
+        words = lm.unpacked_text(r["words"], r["letters"]).split(b" ")[:-1]
+        for word, n in zip(words, lm.unpacked(r["words_n"], np.uint32, len(words)).tolist(), strict=True):
+            got[word] += n
+    assert dict(got) == dict(want)
+    assert sum(r["count"] for r in rows if r["code"] == lm.TOKENS) == sum(want.values())
+    data = lm.line_symbols(lines)
+    for depth in range(1, 7):
+        assert lm.codes_of(lm.keys_of(data, depth)).tolist() == lm.gram_codes(data, depth).tolist()
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 56, 50_000, np.uint64))
+    assert (lm.places(keys)(keys[::-1]) == np.arange(len(keys))[::-1]).all()
+
+
 def test_tree_is_followed_alike_in_stretches_and_alone():
     words = [[b"ab", b"abc"], [], [b"b"] * 700, [b"cab" * 300]]
     data = lm.symbols(words)

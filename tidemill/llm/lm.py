@@ -8,19 +8,17 @@ next-symbol counts diverge from those of its parent (the context without its old
 alphabet bounds, are all retained. Distributions are smoothed towards the parent's in proportion to the number of
 distinct symbols seen. Every symbol is scored by the longest retained context before it.
 
-The tree grows with the corpus and is never in one place. Texts are dealt into blocks of some megabytes, and the distinct
-n-grams of a block into parts by the last NEAR bytes of their context, so that a part holds whole subtrees. A part adds
-up the counts of all blocks, grows its subtrees and answers each block's n-grams in their order; a block then scores its
-texts by these answers. Only the levels below NEAR bytes are broadcast.
-
-Word counts come from every training document in one aggregation. The unigram base score looks the
-frequent words up in a bounded table and joins the rest with the word counts, word by word.
+The tree grows with the corpus and is never in one place. Texts are read once and dealt into blocks of some megabytes, the
+distinct n-grams of a block into parts by the last NEAR bytes of their context, so that a part holds whole subtrees, and
+its distinct words by their checksum. A part adds up the counts of all blocks, grows its subtrees and answers each block's
+n-grams and words in their order; a block then scores its texts by these answers, the base score by the words' counts in
+training. Only the levels below NEAR bytes are broadcast.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, LOWER_BYTES, held_out, small_batches, written
+from .common import LOWER_BYTES, held_out, small_batches, written
 
 END = b"\n"
 LANES = 1024
@@ -37,7 +35,7 @@ LANES = 1024
 NEAR = 3
 #: Bytes of text in a block, and of these in a slice whose n-grams are made at once.
 BLOCK = 8_000_000
-SLICE = 1_000_000
+SLICE = 300_000
 #: What a block's texts and answers are packed with.
 CODEC = pa.Codec("zstd", compression_level=5)
 #: Bits of an answer's fraction that are rounded off: a log10 probability keeps 16 of 23, under 1e-5 of its size.
@@ -51,8 +49,6 @@ class Settings:
     #: A further share of all training positions, none by default: with it contexts must occur the more the larger the corpus.
     least_share: float = 0.0
     least_gain: float = 10.0
-    #: Words at least this frequent are looked up in a table of at most 1 / frequent entries.
-    frequent: float = 1e-5
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,8 +57,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 def symbols(words: list[list[bytes]]) -> np.ndarray:
     """The bytes of documents in a row: end, first document, end, second document, ..., end. Byte 0 becomes 1."""
-    data = np.frombuffer(b"".join(END + b" ".join(w) for w in words) + END, np.uint8)
-    return np.where(data == 0, np.uint8(1), data)
+    return line_symbols([b" ".join(w) for w in words])
+
+
+def line_symbols(lines: list[bytes]) -> np.ndarray:
+    """The same of documents whose words are joined already."""
+    return np.maximum(np.frombuffer(b"".join(END + x for x in lines) + END, np.uint8), 1)
 
 
 def gram_codes(data: np.ndarray, depth: int) -> np.ndarray:
@@ -78,63 +78,6 @@ def gram_codes(data: np.ndarray, depth: int) -> np.ndarray:
     return codes[1:]
 
 
-def merge_counts(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    both, n = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(both, kind="stable")
-    both, n = both[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    return both[first], np.add.reduceat(n, first)
-
-
-def _count(depth: int):
-    """Counts of a task's words (word, null, n) and n-grams (null, code, n), sent on whenever they grow large."""
-
-    def words_out(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.nulls(len(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["word", "code", "n"])
-
-    def grams_out(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes.view(np.int64)), pa.array(n)], ["word", "code", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, codes, counts, waiting, size = Counter(), [], [], [], 0
-
-        def take() -> None:
-            nonlocal waiting, size, codes, counts
-            if waiting:
-                found, n = np.unique(gram_codes(symbols(waiting), depth), return_counts=True)
-                codes, counts = ([x] for x in merge_counts([*codes, found], [*counts, n.astype(np.int64)]))
-                waiting, size = [], 0
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                seen.update(words)
-                seen[END] += 1
-                waiting.append(words)
-                size += len(text or "")
-                if size > 6_000_000:
-                    take()
-            if len(seen) > 600_000:
-                yield words_out(seen)
-                seen = Counter()
-            if codes and len(codes[0]) > 3_000_000:
-                yield grams_out(codes[0], counts[0])
-                codes, counts = [], []
-        take()
-        if seen:
-            yield words_out(seen)
-        if codes:
-            yield grams_out(codes[0], counts[0])
-
-    return run
-
-
-def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """(word, code, n) over all of ``texts``: word counts (the end symbol is a word) and counts of (context, symbol)."""
-    parts = texts.select("text").mapInArrow(_count(depth), "word binary, code bigint, n bigint")
-    return written(parts.groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-counts")
-
-
 def mask(size: int) -> int:
     return (1 << 8 * size) - 1
 
@@ -216,25 +159,33 @@ def far_logs(codes: np.ndarray, n: np.ndarray, near: list[Level], settings: Sett
     return np.log10(out).astype(np.float32)
 
 
+def kept_bytes(depth: int) -> np.uint64:
+    """The bytes of a key that hold its symbol and the ``depth`` nearest of its context."""
+    return np.uint64(sum((255 << 8 * (7 - j if j <= NEAR else 6 - j) for j in range(1, depth + 1)), 255 << 24))
+
+
 def keys_of(data: np.ndarray, depth: int) -> np.ndarray:
     """For every symbol but the first its n-gram, as bytes from high to low: the NEAR nearest of the context, the symbol,
     the rest of the context. Neighbours in this order mostly have one answer, which packs well."""
-    keys = data.astype(np.uint64) << np.uint64(24)
-    open_ = np.ones(len(data), bool)
-    for j in range(1, depth + 1):
-        back = np.zeros(len(data), np.uint64)
-        back[j:] = data[:-j]
-        keys |= np.where(open_, back, np.uint64(0)) << np.uint64(8 * (7 - j if j <= NEAR else 6 - j))
-        open_ &= back != END[0]
-    return keys[1:]
+    padded = np.concatenate((np.zeros(7, np.uint8), data))
+    back = np.ndarray(len(data) - 1, "<u8", padded, 1, (1,)).copy()  # a symbol (highest) and the seven before it
+    keys = back >> 8
+    keys &= 0xFFFFFF
+    keys |= back >> 56 << 24
+    back &= 0xFFFFFF << 32
+    keys |= back
+    if depth < 6:
+        keys &= kept_bytes(depth)
+    ends = np.flatnonzero(data == END[0])
+    for k in range(1, depth):  # so many symbols after an end, no more than those are context
+        keys[ends[: np.searchsorted(ends, len(data) - k)] + (k - 1)] &= kept_bytes(k)
+    return keys
 
 
 def codes_of(keys: np.ndarray) -> np.ndarray:
     """The same n-grams as in gram_codes."""
-    out = keys >> 24 & 255
-    for j in range(1, 7):
-        out |= (keys >> 8 * (7 - j if j <= NEAR else 6 - j) & 255) << 8 * j
-    return out
+    turned = keys.byteswap()
+    return turned >> 8 & 0xFFFFFF << 32 | turned & 0xFFFFFF << 8 | turned >> 32 & 255
 
 
 def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,24 +196,50 @@ def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def places(keys: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """What finds wanted keys in the sorted ``keys``: by a table of slots, by search where two share one."""
-    bits = np.uint64(64 - max(8, len(keys).bit_length() + 2))
-    slot = lambda x: x * np.uint64(0x9E3779B97F4A7C15) >> bits
-    slots = np.zeros(1 << 64 - int(bits), np.int32)
-    slots[slot(keys)] = np.arange(len(keys), dtype=np.int32)
+    """What finds wanted keys in the sorted ``keys``: by a table of slots, by another for those whose slot another key has,
+    by search where that fails too."""
+
+    def table(some: np.ndarray, factor: int) -> tuple[Callable[[np.ndarray], np.ndarray], np.ndarray]:
+        bits = np.uint64(64 - max(8, len(some).bit_length() + 1))
+        slots = np.zeros(1 << 64 - int(bits), np.int32)
+        slot = lambda x: slots[x * np.uint64(factor) >> bits]
+        slots[keys[some] * np.uint64(factor) >> bits] = some
+        return slot, some[slot(keys[some]) != some]
+
+    first, rest = table(np.arange(len(keys), dtype=np.int32), 0x9E3779B97F4A7C15)
+    second, _ = table(rest, 0xD6E8FEB86659FD93)
 
     def find(wanted: np.ndarray) -> np.ndarray:
-        at = slots[slot(wanted)]
+        at = first(wanted)
         other = np.flatnonzero(keys[at] != wanted)
-        at[other] = np.searchsorted(keys, wanted[other])
+        left = wanted[other]
+        again = second(left)
+        missed = np.flatnonzero(keys[again] != left)
+        again[missed] = np.searchsorted(keys, left[missed])
+        at[other] = again
         return at
 
     return find
 
 
+def packed_text(text: bytes | memoryview) -> bytes:
+    return CODEC.compress(text, asbytes=True)
+
+
+def unpacked_text(cell: bytes, size: int) -> bytes:
+    return CODEC.decompress(cell, size, asbytes=True)
+
+
+def packed_rows(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
 def packed(values: np.ndarray) -> bytes:
     """Compressed, with bytes of one weight together."""
-    return CODEC.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), asbytes=True)
+    return CODEC.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T), asbytes=True)
 
 
 def unpacked(cell: bytes, kind: type, size: int) -> np.ndarray:
@@ -285,14 +262,47 @@ def slices(sizes: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def counted(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of documents and how often each occurs, made slice by slice."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, b in slices(np.array([sum(map(len, w)) + len(w) for w in words], np.int64)):
-        found, n = np.unique(keys_of(symbols(words[a:b]), depth), return_counts=True)
-        keys.append(found)
-        counts.append(n.astype(np.int64))
-    return merge_counts(keys, counts) if len(keys) > 1 else (keys[0], counts[0])
+def counted(lines: list[bytes], sizes: np.ndarray, held: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of documents, in order, and how often those that aren't held out have each."""
+    keys, ends = np.empty(int(sizes.sum()), np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+    for a, b in slices(sizes):
+        some = keys[ends[a] : ends[b]]
+        np.left_shift(keys_of(line_symbols(lines[a:b]), depth), 1, out=some)
+        some |= np.repeat(held[a:b], sizes[a:b])
+    keys.sort()
+    learnt = keys.astype(np.uint8) & 1 ^ 1
+    keys >>= 1
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(learnt, first, dtype=np.uint32)
+
+
+def near_counts(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams (codes) of the deepest level below NEAR bytes, or below ``depth``, and their counts, from all n-grams."""
+    both = np.sort((codes_of(keys[n > 0]) & mask(min(NEAR, depth))) << 32 | n[n > 0])
+    first = np.flatnonzero(np.diff(both >> 32, prepend=np.uint64(mask(8))))
+    return both[first] >> 32, np.add.reduceat(both & mask(4), first) if len(first) else np.zeros(0, np.uint64)
+
+
+def split_words(text: bytes) -> pa.DictionaryArray:
+    """The words of a text in which one space follows each (and belongs to it), coded in order of appearance."""
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1
+    offsets = np.concatenate((np.zeros(1, np.int64), ends))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
+
+
+def coded_words(lines: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of documents in a row, the end symbol last in each: their numbers, the distinct ones, and how many each
+    document has."""
+    coded = split_words(b"".join(x + b" \n " if x else b"\n " for x in lines))
+    return coded.indices.to_numpy(), coded.dictionary, np.array([x.count(b" ") + 2 if x else 1 for x in lines], np.int64)
+
+
+def words_by_part(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``words`` by part, and where each part begins."""
+    each = words.buffers()[2].to_pybytes().split(b" ")[:-1]
+    part = np.fromiter(map(zlib.crc32, each), np.uint32, len(words)) % parts
+    order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
 def block_of(rows: np.ndarray, sizes: np.ndarray, before: tuple[int, int]) -> tuple[np.ndarray, tuple[int, int]]:
@@ -302,70 +312,84 @@ def block_of(rows: np.ndarray, sizes: np.ndarray, before: tuple[int, int]) -> tu
     return (part << 33) + (ends - sizes - 1) // BLOCK, (part, int(ends[-1]))
 
 
-def _with_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, docs): the rows of every block, compressed."""
-
-    def cell(block: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink, whole = pa.BufferOutputStream(), pa.Table.from_batches(rows).combine_chunks()
-        with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as out:
-            out.write_table(whole)
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
-
-    now, before, rows = None, (-1, 0), []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.array([len(x or "") for x in batch.column("text").to_pylist()], np.int64)
-        blocks, before = block_of(batch.column("row").to_numpy(), sizes, before)
-        firsts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)])).tolist()
-        for low, high in zip(firsts, firsts[1:], strict=False):
-            if rows and blocks[low] != now:
-                yield cell(now, rows)
-                rows = []
-            now = int(blocks[low])
-            rows.append(batch.slice(low, high - low).select(["doc_id", "row", "text"]))
-    if rows:
-        yield cell(now, rows)
-
-
-def _ask(depth: int, parts: int):
-    """(part, block, size, steps, n) of every block: its distinct n-grams and how often its training texts have them."""
-
-    def cells(block: int, train: list, rest: list) -> Iterator[pa.RecordBatch]:
-        learnt, n = counted(train, depth)
-        keys = np.union1d(learnt, counted(rest, depth)[0])
-        counts = np.zeros(len(keys), np.uint32)
-        counts[np.searchsorted(keys, learnt)] = n
+CELLS = "part bigint, block bigint, size bigint, steps binary, n binary, letters bigint, words binary, words_n binary, docs binary, code bigint, count bigint"
+TOKENS = -1
+
+
+def _cells(depth: int, parts: int):
+    """Three kinds of rows. Of every block and part: its distinct n-grams and words, and how often its training texts have
+    them. Of every block: its documents, their words joined. Of every block and n-gram below NEAR bytes: its count in
+    training texts; the code TOKENS stands for these texts' number of words."""
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in CELLS.split(", ")])
+
+    def filled(**columns) -> pa.RecordBatch:
+        made = {k: pa.array(v, schema.field(k).type) for k, v in columns.items()}
+        size = len(next(iter(made.values())))
+        return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def cells(block: int, ids: list[pa.Array], lines: list[bytes], held: list[bool]) -> Iterator[pa.RecordBatch]:
+        own = pa.table({"doc_id": pa.chunked_array(ids), "line": pa.array(lines, pa.large_binary())})
+        yield filled(block=[block], docs=[packed_rows(own)])
+        held = np.array(held)
+        numbers, words, tokens = coded_words(lines)
+        words_n = np.bincount(numbers[np.repeat(~held, tokens)], minlength=len(words)).astype(np.uint32)
+        keys, n = counted(lines, np.array([len(x) + 1 for x in lines], np.int64), held, depth)
+        near, near_n = near_counts(keys, n, depth)
+        yield filled(code=np.append(near.view(np.int64), TOKENS), count=np.append(near_n.view(np.int64), tokens[~held].sum()))
         order, begins = by_part(keys, parts)
-        keys, counts = keys[order], counts[order]
-        some = np.flatnonzero(np.diff(begins))
-        steps = [np.diff(keys[begins[i] : begins[i + 1]], prepend=np.uint64(0)) for i in some]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some), pa.array(np.full(len(some), block)), pa.array([len(x) for x in steps], pa.int64()), pa.array(map(packed, steps), pa.binary()), pa.array([packed(counts[begins[i] : begins[i + 1]]) for i in some], pa.binary())],
-            ["part", "block", "size", "steps", "n"],
+        keys, n = keys[order], n[order]
+        order, at = words_by_part(words, parts)
+        words, words_n = words.take(pa.array(order)), words_n[order]
+        letters = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)[at]
+        text = memoryview(words.buffers()[2])
+        # every part gets a cell, be it empty: its answer tells how many words the part has in all
+        yield filled(
+            part=np.arange(parts),
+            block=np.full(parts, block),
+            size=np.diff(begins),
+            steps=[packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(begins, begins[1:], strict=False)],
+            n=[packed(n[a:b]) for a, b in zip(begins, begins[1:], strict=False)],
+            letters=np.diff(letters),
+            words=[packed_text(text[a:b]) for a, b in zip(letters, letters[1:], strict=False)],
+            words_n=[packed(words_n[a:b]) for a, b in zip(at, at[1:], strict=False)],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before, texts = None, (-1, 0), ([], [])
+        now, before, docs = None, (-1, 0), ([], [], [])
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = batch.column("text").to_pylist()
             blocks, before = block_of(batch.column("row").to_numpy(), np.array([len(x or "") for x in own], np.int64), before)
-            for block, text, held in zip(blocks.tolist(), own, batch.column("held").to_pylist(), strict=True):
-                if block != now:
-                    if now is not None:
-                        yield from cells(now, *texts)
-                    now, texts = block, ([], [])
-                texts[held].append(words_of(text))
-        if now is not None:
-            yield from cells(now, *texts)
+            firsts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)])).tolist()
+            for low, high in zip(firsts, firsts[1:], strict=False):
+                if docs[1] and blocks[low] != now:
+                    yield from cells(now, *docs)
+                    docs = ([], [], [])
+                now = int(blocks[low])
+                docs[0].append(batch.column("doc_id").slice(low, high - low))
+                docs[1].extend(b" ".join(words_of(x)) for x in own[low:high])
+                docs[2].extend(batch.column("held").slice(low, high - low).to_pylist())
+        if docs[1]:
+            yield from cells(now, *docs)
 
     return run
 
 
+ANSWERS = "block bigint, part bigint, size bigint, logs binary, words bigint, counts binary, distinct bigint"
+
+
 def _answer(near, settings: Settings, least: float):
-    """(block, part, size, logs): the answers to each block's n-grams of a part, in their order."""
+    """The answers to each block's n-grams and words of a part, in their order, and the number of training words there."""
+
+    def word_counts(table: pa.Table) -> tuple[list[np.ndarray], int]:
+        texts = [unpacked_text(x, m) for x, m in zip(table["words"].to_pylist(), table["letters"].to_pylist(), strict=True)]
+        sizes = [x.count(b" ") for x in texts]
+        numbers = split_words(b"".join(texts)).indices.to_numpy()
+        n = np.concatenate([unpacked(x, np.uint32, m) for x, m in zip(table["words_n"].to_pylist(), sizes, strict=True)])
+        count = np.bincount(numbers, n).astype(np.int64)
+        return np.split(count[numbers], np.cumsum(sizes)[:-1]), int(np.count_nonzero(count))
 
     def run(table: pa.Table) -> pa.Table:
         sizes = table["size"].to_pylist()
@@ -377,10 +401,14 @@ def _answer(near, settings: Settings, least: float):
         codes = codes_of(keys)
         order = np.argsort(codes)
         logs = np.empty(len(keys), np.float32)
-        logs[order] = far_logs(codes[order], n[order], near.value[0], settings, least)
+        logs[order] = far_logs(codes[order], n[order], near.value, settings, least)
         logs = rounded(logs)
         cells = [packed(logs[x]) for x in at]
-        return pa.table({"block": table["block"], "part": table["part"], "size": table["size"], "logs": pa.array(cells, pa.binary())})
+        counts, distinct = word_counts(table)
+        return pa.table({
+            "block": table["block"], "part": table["part"], "size": table["size"], "logs": pa.array(cells, pa.binary()),
+            "words": pa.array(map(len, counts), pa.int64()), "counts": pa.array(map(packed, counts), pa.binary()), "distinct": pa.array([distinct] * len(counts), pa.int64()),
+        })
 
     return run
 
@@ -464,63 +492,40 @@ def build_tree(rows: Iterable, settings: Settings) -> Tree:
     return Tree(logp.ravel(), follow.ravel(), class_of, classes, number[1, END[0]], settings.depth)
 
 
-SCORED = "doc_id {kind}, row bigint, word binary, n bigint, n_tokens bigint, known bigint, logs double, score double"
+SCORED = "doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _score(shared, kind: str, depth: int, parts: int):
-    """A row for each document of a block, keyed by a word of its own, and one for each of its words outside the table."""
-    names = [x.split()[0] for x in SCORED.format(kind=kind).split(", ")]
+def _score(near, train: int, depth: int, parts: int):
+    """A row for each document of a block."""
+
+    def answered(answers: pa.Table, cell: str, size: str, kind: type, begins: np.ndarray) -> np.ndarray:
+        """The answers of all parts in a row."""
+        if answers[size].to_pylist() != np.diff(begins).tolist():
+            raise ValueError("a block's texts differ from those that were counted")
+        return np.concatenate([unpacked(x, kind, m) for x, m in zip(answers[cell].to_pylist(), answers[size].to_pylist(), strict=True)])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        near, frequent = shared.value
-        logs = {w: math.log10(c + 0.5) for w, c in frequent.items()}
-        own = pa.ipc.open_stream(docs["docs"][0].as_py()).read_all()
-        ids, rows = own["doc_id"].combine_chunks(), own["row"].combine_chunks()
-        words = [words_of(x) for x in own["text"].to_pylist()]
-        distinct, _ = counted(words, depth)
+        own, answers = pa.ipc.open_stream(docs["docs"][0].as_py()).read_all(), answers.sort_by("part")
+        lines = own["line"].to_pylist()
+        sizes, scores = np.array([len(x) + 1 for x in lines], np.int64), np.empty(len(lines))
+        distinct, _ = counted(lines, sizes, np.zeros(len(lines), bool), depth)
         order, begins = by_part(distinct, parts)
-        cells = dict(zip(answers["part"].to_pylist(), zip(answers["logs"].to_pylist(), answers["size"].to_pylist(), strict=True), strict=True))
-        if {p: m for p, (_, m) in cells.items()} != {p: m for p, m in enumerate(np.diff(begins).tolist()) if m}:
-            raise ValueError("a block's texts differ from those that were counted")
-        known_logs = np.empty(len(distinct))
-        known_logs[order] = np.concatenate([unpacked(*cells[p][:1], np.float32, cells[p][1]) for p in sorted(cells)])
-        short = np.isnan(known_logs)
-        known_logs[short] = np.log10(near_probs(near, codes_of(distinct[short]))[1])
-        sizes, scores = np.array([sum(map(len, w)) + max(len(w), 1) for w in words]), np.empty(len(words))
+        logs = np.empty(len(distinct))
+        logs[order] = answered(answers, "logs", "size", np.float32, begins)
+        short = np.isnan(logs)
+        logs[short] = np.log10(near_probs(near.value, codes_of(distinct[short]))[1])
         where = places(distinct)
         for a, b in slices(sizes):
-            wanted = keys_of(symbols(words[a:b]), depth)
-            scores[a:b] = np.add.reduceat(known_logs[where(wanted)], np.concatenate(([0], np.cumsum(sizes[a:b])[:-1])))
-        out = []
-        for low in range(0, len(words), ARROW_ROWS):
-            at, keys, ns, tokens, known, sums, total = [], [], [], [], [], [], []
-            for i in range(low, min(low + ARROW_ROWS, len(words))):
-                counts = Counter(words[i])
-                counts[END] += 1
-                hits, log, first = 0, 0.0, len(at)
-                at.append(i)
-                keys.append(b"\n%d" % rows[i].as_py())
-                ns.append(0)
-                for w, n in counts.items():
-                    if w in logs:
-                        hits += n
-                        log += n * logs[w]
-                    else:
-                        at.append(i)
-                        keys.append(w)
-                        ns.append(n)
-                more = len(at) - first - 1
-                tokens += [len(words[i]) + 1, *[0] * more]
-                known += [hits, *[0] * more]
-                sums += [log, *[0.0] * more]
-                total += [float(scores[i]), *[0.0] * more]
-            index = pa.array(at, pa.int64())
-            own_id = pa.array([i if n == 0 else None for i, n in zip(at, ns, strict=True)], pa.int64())  # a word's row only says which document
-            out.append(pa.RecordBatch.from_arrays(
-                [ids.take(own_id), rows.take(index), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total, pa.float64())],
-                names,
-            ))
-        return pa.Table.from_batches(out)
+            wanted = keys_of(line_symbols(lines[a:b]), depth)
+            scores[a:b] = np.add.reduceat(logs[where(wanted)], np.concatenate(([0], np.cumsum(sizes[a:b])[:-1])))
+        numbers, words, tokens = coded_words(lines)
+        order, begins = words_by_part(words, parts)
+        counts = np.empty(len(words), np.int64)
+        counts[order] = answered(answers, "counts", "words", np.int64, begins)
+        first = np.concatenate(([0], np.cumsum(tokens)[:-1]))
+        base = np.add.reduceat(np.log10(counts + 0.5)[numbers], first) - tokens * math.log10(train + 0.5 * (sum(answers["distinct"].to_pylist()) + 1))
+        known = np.add.reduceat((counts > 0)[numbers], first, dtype=np.int64)
+        return pa.table({"doc_id": own["doc_id"], "n_tokens": tokens, "n_known": known, "base_score": base, "score": scores})
 
     return run
 
@@ -535,28 +540,17 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     settings = settings or Settings()
     spark = docs.sparkSession
     small_batches(spark)
-    counts = corpus_counts(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 5)), min(NEAR, settings.depth) - 1)
-    vocabulary = counts.where("word is not null").select("word", F.col("n").alias("c"))
-    train, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = {bytes(w): c for w, c in vocabulary.where(F.col("c") >= max(1.0, settings.frequent * train)).collect()}  # at most 1 / frequent words
-    grams = counts.where("code is not null").select("code", "n").toPandas()  # contexts below NEAR bytes: bounded by the alphabet
-    near = near_levels(grams["code"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64), settings.depth)
-    least = max(settings.least_count, settings.least_share * float(grams["n"].sum()))
-    shared = spark.sparkContext.broadcast((near, frequent))
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", held_out(F.col("doc_id"), 5).alias("held"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
-    asked = texts.mapInArrow(_ask(settings.depth, parts), "part bigint, block bigint, size bigint, steps binary, n binary")
-    answers = asked.groupBy("part").applyInArrow(_answer(shared, settings, least), "block bigint, part bigint, size bigint, logs binary")
-    blocks = texts.mapInArrow(_with_block, "block bigint, docs binary")
-    rows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, kind, settings.depth, parts), SCORED.format(kind=kind))
-    joined = rows.join(vocabulary, "word", "left")
-    scored = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("logs"),
-        F.sum("score").alias("score"),
-    )
-    whole = math.log10(train + 0.5 * (distinct + 1))
-    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "n_tokens", "n_known", F.lit(int(train)).cast("bigint").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * whole).alias("base_score"), "score")
+    cells = written(texts.mapInArrow(_cells(settings.depth, parts), CELLS), "lm-cells")
+    counts = cells.where("code is not null").groupBy("code").agg(F.sum("count").alias("n")).toPandas()  # contexts below NEAR bytes: bounded by the alphabet
+    train, grams = int(counts["n"][counts["code"] == TOKENS].sum()), counts[counts["code"] != TOKENS]
+    near = near_levels(grams["code"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64), settings.depth)
+    least = max(settings.least_count, settings.least_share * float(grams["n"].sum()))
+    shared = spark.sparkContext.broadcast(near)
+    asked = cells.where("part is not null").select("part", "block", "size", "steps", "n", "letters", "words", "words_n")
+    answers = asked.groupBy("part").applyInArrow(_answer(shared, settings, least), ANSWERS)
+    blocks = cells.where("docs is not null").select("block", "docs")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, train, settings.depth, parts), SCORED.format(kind=kind))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "n_tokens", "n_known", F.lit(train).cast("bigint").alias("train_tokens"), "base_score", "score")
